@@ -51,7 +51,7 @@ def stream_cursor(
         offset["character"].cast("bigint").alias("_chars"),
     )
     inside = Window.partitionBy("stream_id", "_block").orderBy("seq")
-    local = blocked.withColumns(
+    local = blocked.repartition("stream_id", "_block").withColumns(
         {
             "_line_sum": F.sum("_lines").over(inside.rowsBetween(*scale.UP_TO_HERE)),
             "_char_sum": F.sum("_chars").over(inside.rowsBetween(*scale.UP_TO_HERE)),
@@ -79,7 +79,7 @@ def stream_cursor(
         carry = carry.withColumns({"_line0": F.lit(0), "_char0": F.lit(0)})
     else:
         first = starts.select("stream_id", F.col("line").alias("_line0"), F.col("character").alias("_char0"))
-        carry = scale.join_unique(carry, first, STREAM, salt_by=["_block"]).fillna(0, ["_line0", "_char0"])
+        carry = carry.join(first, STREAM, "left").fillna(0, ["_line0", "_char0"])
 
     joined = local.join(carry, ["stream_id", "_block"])
     base = F.coalesce(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import specs as sp
 from symloom.functions import text as tx
-from symloom.operators.scale import concat_in_order, join_unique
+from symloom.operators.scale import PART_BYTES, concat_in_order, join_unique
 from symloom.operators.search import SYMBOL_ORDER, prefix_matches, prefix_search_many
 
 # Fixed value: the instruction block of the prompt.
@@ -100,10 +100,19 @@ def find_symbol_in_file(
     )
 
 
-def _item_text(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add the current text of the item's file; a file named by many items is salted."""
-    current = texts.select("workspace", F.col("path").alias("filename"), "text")
-    return join_unique(items, current, ["workspace", "filename"])
+def _with_text(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add the current text of the file each item names; other files' texts leave before the shuffle."""
+    named = texts.select("workspace", F.col("path").alias("filename"), "text").join(
+        items.select("workspace", "filename").distinct(), ["workspace", "filename"], "left_semi"
+    )
+    return items.join(named, ["workspace", "filename"], "left")
+
+
+def _symbol_text(corrected: bool) -> Column:
+    return tx.slice_text_range(
+        F.col("text"), F.col("start_line"), F.col("start_col"), F.col("end_line"), F.col("end_col"),
+        corrected=corrected,
+    )
 
 
 def lookup_symbol_text(
@@ -114,24 +123,16 @@ def lookup_symbol_text(
     The text is cut from the file of exactly that name, though the symbol may lie in a file whose path
     only ends with it.
     """
-    found = find_symbol_in_file(symbols, wanted, root, corrected)
-    placed = wanted.select("workspace", "filename", "identifier").distinct().join(
-        found, ["workspace", "filename", "identifier"], "left"
-    )
-    cut = tx.slice_text_range(
-        F.col("text"), F.col("start_line"), F.col("start_col"), F.col("end_line"), F.col("end_col"),
-        corrected=corrected,
-    )
-    return _item_text(placed, texts).select(
-        "workspace",
-        "filename",
-        "identifier",
-        cut.alias("content"),
-        F.when(F.col("start_line").isNull(), ERROR_NO_SYMBOL)
-        .when(F.col("text").isNull(), ERROR_NO_FILE)
-        .when(cut.isNull(), ERROR_OUTSIDE)
-        .alias("error"),
+    items = wanted.withColumns(
+        {
+            "type": F.lit("symbol"),
+            "range_start": F.lit(None).cast("bigint"),
+            "range_end": F.lit(None).cast("bigint"),
+            "error": F.lit(None).cast("string"),
+        }
     )
+    found = fetch_context_items(items, symbols, texts, root, corrected)
+    return found.select("workspace", "filename", "identifier", "content", "error")
 
 
 def fetch_context_items(
@@ -139,23 +140,27 @@ def fetch_context_items(
 ) -> DataFrame:
     """Content of each parsed item: a file, some of its lines, or one of its symbols; else an error.
 
-    ``items`` needs a workspace column. Files and line ranges are cut in one join with the texts; symbols
-    are looked up once per file and name.
+    ``items`` needs a workspace column. Symbols are looked up once per file and name; then one join with
+    the texts serves all items.
     """
-    plain = _item_text(items.where((F.col("type") != "symbol") | F.col("error").isNotNull()), texts)
+    named = items.where((F.col("type") == "symbol") & F.col("error").isNull())
+    places = find_symbol_in_file(symbols, named, root, corrected)
+    placed = items.join(places, ["workspace", "filename", "identifier"], "left")
+    is_symbol = F.col("type") == "symbol"
     lines = tx.slice_line_range(F.col("text"), F.col("range_start"), F.col("range_end"), corrected)
-    content = F.when(F.col("type") == "file", F.col("text")).otherwise(lines)
-    plain = plain.withColumn("content", content).withColumn(
+    content = (
+        F.when(F.col("type") == "file", F.col("text"))
+        .when(is_symbol, _symbol_text(corrected))
+        .otherwise(lines)
+    )
+    error = F.coalesce(
         "error",
-        F.coalesce(
-            "error",
-            F.when(F.col("text").isNull(), ERROR_NO_FILE).when(F.col("content").isNull(), ERROR_OUTSIDE),
-        ),
-    ).drop("text")
-    named = items.where((F.col("type") == "symbol") & F.col("error").isNull()).drop("error")
-    looked_up = lookup_symbol_text(symbols, named, texts, root, corrected)
-    of_symbol = join_unique(named, looked_up, ["workspace", "filename", "identifier"])
-    return plain.unionByName(of_symbol.select(*plain.columns))
+        F.when(is_symbol & F.col("start_line").isNull(), ERROR_NO_SYMBOL)
+        .when(F.col("text").isNull(), ERROR_NO_FILE)
+        .when(F.col("content").isNull(), ERROR_OUTSIDE),
+    )
+    fetched = _with_text(placed, texts).withColumn("content", content).withColumn("error", error)
+    return fetched.select(*[c for c in items.columns if c != "error"], "content", "error")
 
 
 def render_context_item(kind, filename, identifier, content):
@@ -170,49 +175,30 @@ def render_context_item(kind, filename, identifier, content):
     )
 
 
-def build_context(items: DataFrame, keys: list[str], part_bytes: int | None = None) -> DataFrame:
+def build_context(items: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """Rendered items of each spec in order; any failing item fails the whole spec.
 
     A context longer than ``part_bytes`` comes as numbered parts.
     """
-    failed = (
-        items.where(F.col("error").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min_by("error", F.struct("line_no", "item_no")).alias("error"))
-    )
-    rendered = items.where(F.col("error").isNull()).withColumn(
+    rendered = items.withColumn(
         "_text",
         render_context_item(F.col("type"), F.col("filename"), F.col("identifier"), F.col("content")),
     )
-    sound = rendered.select(*keys, "line_no", "item_no", "_text").join(failed.select(*keys), keys, "left_anti")
     block = F.struct("line_no", F.floor(F.col("item_no") / ITEMS_PER_BLOCK))
-    limits = {} if part_bytes is None else {"part_bytes": part_bytes}
-    built = concat_in_order(sound, keys, ["line_no", "item_no"], "_text", block, result="context", **limits)
-    nothing = failed.select(
-        *keys, F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("string").alias("context"), "error"
+    return concat_in_order(
+        rendered, keys, ["line_no", "item_no"], "_text", block, part_bytes, result="context", error="error"
     )
-    return built.withColumn("error", F.lit(None).cast("string")).unionByName(nothing)
 
 
-def selection_prompt(selections: DataFrame, open_documents: DataFrame, contexts: DataFrame) -> DataFrame:
+def selection_prompt(
+    selections: DataFrame, open_documents: DataFrame, contexts: DataFrame, corrected: bool = False
+) -> DataFrame:
     """The prompt for ``selections(workspace, path, sl, sc, el, ec)``; NULL and an error where it fails.
 
     ``contexts(workspace, context, error)`` holds one context per workspace. The text before the end line
-    shows the start line already cut, and on one line the end column counts after that cut.
+    shows the start line already cut, and on one line the end column counts after that cut; ``corrected``
+    shows the line whole and counts columns as selected.
     """
-    return _prompt(selections, open_documents, contexts, corrected=False)
-
-
-def selection_prompt_corrected(
-    selections: DataFrame, open_documents: DataFrame, contexts: DataFrame
-) -> DataFrame:
-    """The prompt with the uncut text before the end line, and columns as selected."""
-    return _prompt(selections, open_documents, contexts, corrected=True)
-
-
-def _prompt(
-    selections: DataFrame, open_documents: DataFrame, contexts: DataFrame, corrected: bool
-) -> DataFrame:
     sl, sc, el, ec = (F.col(c) for c in ("sl", "sc", "el", "ec"))
     opened = open_documents.select(
         "workspace",
@@ -220,7 +206,7 @@ def _prompt(
         F.concat(tx.split_lines(F.col("text")), F.array(F.lit(""))).alias("_lines"),
     )
     context = contexts.select("workspace", "context", F.col("error").alias("_context_error"))
-    joined = join_unique(selections, opened, ["workspace", "path"])
+    joined = selections.join(opened, ["workspace", "path"], "left")
     joined = join_unique(joined, context, ["workspace"], salt_by=selections.columns)
 
     first, last = F.get("_lines", sl), F.get("_lines", el)

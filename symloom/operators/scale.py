@@ -64,8 +64,9 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums per group.
 
-    ``block`` must not decrease along ``order``. The rows are shuffled once, by group and block; what a
-    single task sees of a hot group is one block, and one short row per block for the carry.
+    ``block`` must not decrease along ``order``. The rows are shuffled by group and block, even where they
+    are partitioned by the group already; what a single task sees of a hot group is some of its blocks,
+    and one short row per block for the carry.
     """
     blocked = df.withColumn("_block", block)
     totals = blocked.groupBy(*group, "_block").agg(
@@ -78,7 +79,8 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in sums],
     )
     inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(*UP_TO_HERE)
-    local = blocked.select("*", *[F.sum(amount).over(inside).alias(name) for name, amount in sums.items()])
+    spread = blocked.repartition(*group, "_block")
+    local = spread.select("*", *[F.sum(amount).over(inside).alias(name) for name, amount in sums.items()])
     added = local.join(carry, [*group, "_block"])
     for name in sums:
         added = added.withColumn(name, F.col(name) + F.col(f"_carry_{name}"))
@@ -93,26 +95,47 @@ def concat_in_order(
     block: Column,
     part_bytes: int = PART_BYTES,
     result: str = "text",
+    error: str | None = None,
 ) -> DataFrame:
     """Concatenate ``text`` per key in order: one row per key, numbered parts beyond ``part_bytes``.
 
     The texts of a block are joined first. A key of any size is whole: its parts, in order, are its text.
+    With an ``error`` column, a key with any error gives its first error and no text.
     """
-    pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    failure = F.lit(None).cast("string") if error is None else F.col(error)
+    piece = F.struct(*order, F.when(failure.isNull(), F.col(text)).alias("_text"), failure.alias("_error"))
     blocks = (
         df.withColumn("_block", block)
+        .repartition(*keys, "_block")
         .groupBy(*keys, "_block")
-        .agg(F.array_join(F.transform(pieces, lambda p: p["_text"]), "").alias("_text"))
-        .withColumn("_bytes", F.octet_length("_text").cast("bigint"))
+        .agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+        .select(
+            *keys,
+            "_block",
+            F.array_join(F.transform("_pieces", lambda p: p["_text"]), "").alias("_text"),
+            F.get(
+                F.filter(F.transform("_pieces", lambda p: p["_error"]), lambda e: e.isNotNull()), F.lit(0)
+            ).alias("_error"),
+        )
     )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*BEFORE_HERE)
-    parts = blocks.select(*keys, "_block", "_bytes").select(
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("_block").rowsBetween(*BEFORE_HERE)
+    summary = blocks.select(*keys, "_block", F.octet_length("_text").cast("bigint").alias("_bytes"), "_error")
+    parts = summary.select(
         *keys,
         "_block",
         F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / F.lit(part_bytes)).alias("part"),
+        F.min(F.when(F.col("_error").isNotNull(), F.struct("_block", "_error"))).over(key).alias("_first"),
     )
-    joined = blocks.drop("_bytes").join(parts, [*keys, "_block"])
-    ordered = F.array_sort(F.collect_list(F.struct("_block", "_text")))
-    return joined.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(ordered, lambda p: p["_text"]), "").alias(result)
+    failed = F.col("_first").isNotNull()
+    joined = blocks.drop("_error").join(parts, [*keys, "_block"]).select(
+        *keys,
+        F.when(failed, F.lit(0)).otherwise(F.col("part")).cast("bigint").alias("part"),
+        F.col("_first._error").alias("_error"),
+        F.struct("_block", F.when(~failed, F.col("_text")).alias("_text")).alias("_piece"),
     )
+    ordered = F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_text"])
+    columns = [F.when(F.first("_error").isNull(), F.array_join(ordered, "")).alias(result)]
+    if error is not None:
+        columns.append(F.first("_error").alias(error))
+    return joined.groupBy(*keys, "part").agg(*columns)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from symloom.functions import text as tx
 PREFIX_LIMIT = 100
 NEAREST = 10
 HEAD = 3
+CACHED_WORDS = 1 << 16
 # Queries a single pass over the embeddings compares with; more queries take more passes.
 QUERIES_PER_PASS = 2000
 DISTANCE_DIGITS = 6
@@ -67,28 +67,35 @@ def prefix_search_many(
     )
 
 
-def hashed_words(dimensions: int = 64) -> Model:
-    """The offline model: counts of words hashed to ``dimensions`` places, scaled to length 1."""
+class HashedWords:
+    """The offline model: counts of words hashed to a number of places, scaled to length 1."""
 
-    @lru_cache(maxsize=1 << 16)
-    def place(word: str) -> int:
-        return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dimensions
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
+        self._places: dict[str, int] = {}
 
-    def embed(texts: pd.Series) -> np.ndarray:
+    def _place(self, word: str) -> int:
+        place = self._places.get(word)
+        if place is None:
+            if len(self._places) >= CACHED_WORDS:
+                self._places.clear()
+            digest = hashlib.md5(word.encode()).digest()
+            place = self._places[word] = int.from_bytes(digest[:4], "big") % self.dimensions
+        return place
+
+    def __call__(self, texts: pd.Series) -> np.ndarray:
+        size, shape = self.dimensions, (len(texts), self.dimensions)
         words = [names.fold_text(text).split() for text in texts]
         rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        places = np.fromiter((place(w) for text in words for w in text), dtype=np.int64, count=len(rows))
-        counts = np.bincount(rows * dimensions + places, minlength=len(words) * dimensions)
-        counts = counts.reshape(len(words), dimensions).astype(np.float64)
+        places = np.fromiter((self._place(w) for text in words for w in text), np.int64, len(rows))
+        counts = np.bincount(rows * size + places, minlength=shape[0] * size).reshape(shape).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return counts / np.where(norms == 0, 1, norms)
 
-    return embed
-
 
 def embed_text(text: Column, model: Model | None = None) -> Column:
     """Vector of each text by a model that maps a batch of texts to a matrix."""
-    chosen = model or hashed_words()
+    chosen = model or HashedWords()
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

@@ -89,6 +89,13 @@ def open_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _instant(column: str):
+    """A timestamp without zone, taken as UTC."""
+    return F.timestamp_micros(
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column))
+    )
+
+
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as editor messages: a user's signup opens a document, an error closes it, all else edits it."""
     uri = F.concat(F.lit("file:///u/"), F.col("user_id").cast("string"))
@@ -106,7 +113,7 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     params = F.when(kind == "signup", opened).when(kind == "error", closed).otherwise(changed)
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), method.alias("method"), params.alias("params"), "ts"
+        F.col("event_id").alias("seq"), method.alias("method"), params.alias("params"), _instant("ts").alias("ts")
     )
 
 

@@ -144,7 +144,8 @@ def format_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def open_documents_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = _document_stream(spark, sf_dir).documents()
-    return tb.open_documents_snapshot(states).select("document.*")
+    snapshot = tb.open_documents_snapshot(states).select("document.*")
+    return snapshot.withColumn("last_edit", F.unix_micros("last_edit"))
 
 
 @query
@@ -651,11 +652,8 @@ def selection_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = documents.groupBy("workspace").agg(spec.alias("spec")).withColumn("spec_id", F.col("workspace"))
     items = cx.fetch_context_items(cx.parse_context_specs(specs), inp.symbols(spark, sf_dir), documents)
     contexts = cx.build_context(items, ["workspace"])
-    plain = cx.selection_prompt(selections, documents, contexts)
-    corrected = cx.selection_prompt_corrected(selections, documents, contexts)
-    return plain.select("path", F.md5("prompt").alias("prompt_md5"), "error").join(
-        corrected.select("path", F.md5("prompt").alias("corrected_md5")), "path"
-    )
+    prompts = cx.selection_prompt(selections, documents, contexts)
+    return prompts.select("path", F.md5("prompt").alias("prompt_md5"), "error")
 
 
 @query
@@ -732,7 +730,9 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DocumentStateStream:
 @query
 def document_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = _document_stream(spark, sf_dir).documents()
-    return states.select("uri", "is_open", "language_id", "version", "text", "last_edit", "last_seq")
+    return states.select(
+        "uri", "is_open", "language_id", "version", "text", F.unix_micros("last_edit").alias("last_edit"), "last_seq"
+    )
 
 
 @query

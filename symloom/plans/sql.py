@@ -53,8 +53,8 @@ placed AS (
   SELECT workspace, path, line_no, m, g, unnest(range(1, len(m) + 1)) AS k FROM spans),
 reference AS (
   SELECT workspace, path, line_no::INT AS line, m[k] AS content,
-    (coalesce(list_sum(list_transform(g[1:k], x -> length(x))), 0)
-      + coalesce(list_sum(list_transform(m[1:k - 1], x -> length(x))), 0))::INT AS start_col
+    (length(coalesce(array_to_string(g[1:k], ''), ''))
+      + length(coalesce(array_to_string(m[1:k - 1], ''), '')))::INT AS start_col
   FROM placed)"""
 
 RESOLVED = """,
@@ -132,12 +132,12 @@ REPORTS = (
     SO_FAR
     + """,
 closing AS (
-  SELECT stream_id, seq, length(before) + instr(text, chr(10)) - 1 AS at, upto FROM so_far
+  SELECT stream_id, seq, length(before) + instr(text, chr(10)) - 1 AS cut, upto FROM so_far
   WHERE contains(text, chr(10))),
 report AS (
   SELECT stream_id, seq, 0::BIGINT AS part, 'progress: ' || substr(upto,
-    (coalesce(lag(at) OVER w + 1, 0) + 1)::BIGINT,
-    (at - coalesce(lag(at) OVER w + 1, 0))::BIGINT) AS message
+    coalesce((lag(cut) OVER w) + 1, 0) + 1,
+    cut - coalesce((lag(cut) OVER w) + 1, 0)) AS message
   FROM closing WINDOW w AS (PARTITION BY stream_id ORDER BY seq))"""
 )
 
@@ -304,9 +304,7 @@ _BEFORE_CUT = """CASE n WHEN 2 THEN ls[1] ELSE array_to_string(
         list_concat([ls[1], substr(ls[2], 3)], ls[3:n - 1]), chr(10)) END"""
 _SELECTED = """CASE n WHEN 2 THEN left(substr(ls[2], 3), 3) ELSE array_to_string(
         list_concat(list_concat([substr(ls[2], 3)], ls[3:n - 1]), [left(ls[n], 3)]), chr(10)) END"""
-_SELECTED_CORRECTED = _SELECTED.replace("left(substr(ls[2], 3), 3)", "substr(ls[2], 3, 1)")
 _FITS = "n >= 2 AND length(ls[2]) >= 2 AND length(ls[n]) >= CASE n WHEN 2 THEN 5 ELSE 3 END"
-_FITS_CORRECTED = "n >= 2 AND length(ls[2]) >= 2 AND length(ls[n]) >= 3"
 
 _SYMBOL_COLUMNS = "kind, name, start_line, start_col, end_line, end_col"
 
@@ -348,11 +346,11 @@ ORACLES: dict[str, str] = {
         SELECT f.path, to_json({{'symbols': symbols}})::VARCHAR AS report
         FROM files f LEFT JOIN record r ON r.workspace = f.workspace AND r.path = f.path""",
     "format_embedding": """
-        SELECT vec_id, '[' || array_to_string(list_transform(embedding,
-            x -> regexp_replace(x::VARCHAR, '[.]0$', '')), ', ') || ']' AS vector, len(embedding)::INT AS dimensions
+        SELECT vec_id, '[' || array_to_string(
+            [regexp_replace(x::VARCHAR, '[.]0$', '') FOR x IN embedding], ', ') || ']' AS vector, len(embedding)::INT AS dimensions
         FROM embeddings""",
     "open_documents_snapshot": f"""WITH {DOCUMENT_STATE}
-        SELECT uri, language_id, version, text, last_edit, 0 AS last_edited_line FROM document WHERE is_open""",
+        SELECT uri, language_id, version, text, epoch_us(last_edit) AS last_edit, 0 AS last_edited_line FROM document WHERE is_open""",
     "context_graph_json": f"""WITH {SYMBOLS}{REFERENCES}{RESOLVED}
         SELECT r.path, 0 AS line, f.md5 AS file_md5, r.uid, count(*)::INT AS n_nodes, max(content) AS content,
           any_value(s.body) AS definition
@@ -413,9 +411,9 @@ ORACLES: dict[str, str] = {
     "replace_file_index": f"WITH {SYMBOLS} {_rows_of_index('files', 'symbol')}",
     "semantic_symbol_search": f"""WITH {SYMBOLS},
         parts AS (
-          SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS at FROM embeddings),
-        means AS (SELECT label, at, avg(v) AS mean FROM parts GROUP BY label, at),
-        target AS (SELECT label AS query_id, list(mean ORDER BY at) AS q FROM means GROUP BY label),
+          SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS place FROM embeddings),
+        means AS (SELECT label, place, avg(v) AS mean FROM parts GROUP BY label, place),
+        target AS (SELECT label AS query_id, list(mean ORDER BY place) AS q FROM means GROUP BY label),
         ranked AS (
           SELECT query_id, symbol_id, path, name, row_number() OVER (PARTITION BY query_id
             ORDER BY round(list_distance(q, embedding::DOUBLE[]), 6), symbol_id)::INT AS rank
@@ -529,9 +527,9 @@ ORACLES: dict[str, str] = {
           CASE WHEN len(ls) < 2 THEN 'line out of bounds' WHEN length(ls[2]) < 2 THEN 'column out of bounds' END AS error
         FROM t""",
     "tokenize_spec_line": """
-        SELECT doc_id, CASE WHEN lang <> 'en' THEN source || ' |' || doc_id || '| |' || lang || ' "x|n' || n_chars END
+        SELECT doc_id, CASE WHEN lang <> 'en' THEN source || ' |' || doc_id || ' |' || lang || ' "x|n' || n_chars END
             AS tokens,
-          CASE WHEN lang <> 'en' THEN 5 END AS n_tokens FROM documents""",
+          CASE WHEN lang <> 'en' THEN 4 END AS n_tokens FROM documents""",
     "parse_line_range": """
         SELECT doc_id, CASE WHEN doc_id <= n_chars AND lang NOT IN ('fr', 'de') THEN doc_id END AS range_start,
           CASE WHEN doc_id <= n_chars AND lang NOT IN ('fr', 'de') THEN n_chars END AS range_end FROM documents""",
@@ -540,9 +538,7 @@ ORACLES: dict[str, str] = {
         SELECT spec_id, line_no, item_no, rendered FROM rendered WHERE error IS NULL""",
     "selection_prompt": f"""WITH {FILES}{_PROMPT_CONTEXT}
         SELECT path, CASE WHEN {_FITS} THEN {_prompt(_BEFORE_CUT, _SELECTED)} END AS prompt_md5,
-          CASE WHEN NOT ({_FITS}) THEN 'range outside the file' END AS error,
-          CASE WHEN {_FITS_CORRECTED} THEN {
-            _prompt("array_to_string(ls[1:n - 1], chr(10))", _SELECTED_CORRECTED)} END AS corrected_md5
+          CASE WHEN NOT ({_FITS}) THEN 'range outside the file' END AS error
         FROM selected""",
     "symbol_embedding_text": f"""WITH {SYMBOLS}
         SELECT path, symbol_no, md5(chr(10) || {_PLAIN_BODY}) AS text_md5 FROM symbol""",
@@ -568,7 +564,7 @@ ORACLES: dict[str, str] = {
         FROM placed""",
     "stream_line_progress": f"WITH {REPORTS} SELECT * FROM report",
     "document_state_stream": f"""WITH {DOCUMENT_STATE}
-        SELECT uri, is_open, language_id, version, text, last_edit, last_seq FROM document""",
+        SELECT uri, is_open, language_id, version, text, epoch_us(last_edit) AS last_edit, last_seq FROM document""",
     # A change fails when the last open or close before it is not an open.
     "document_stream_problems": """
         WITH e AS (
@@ -583,7 +579,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'symbol', 'all', path, symbol_no, name FROM symbol""",
     "completion_stream": f"""WITH {REPORTS},
         last_chunk AS (SELECT * FROM so_far QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1),
-        shown AS (SELECT stream_id, max(at) + 1 AS upto_at FROM closing GROUP BY stream_id)
+        shown AS (SELECT stream_id, max(cut) + 1 AS upto_at FROM closing GROUP BY stream_id)
         SELECT l.stream_id, {_NEWLINES.format("upto")} AS line, length({_LAST_LINE.format("upto")}) AS "character",
           substr(upto, coalesce(upto_at, 0) + 1) AS pending, seq AS last_seq
         FROM last_chunk l LEFT JOIN shown USING (stream_id)""",

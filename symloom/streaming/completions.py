@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators.chunks import stream_cursor, stream_full_text, stream_line_progress
-from symloom.operators.scale import join_unique
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.runner import run_available
 
@@ -33,7 +32,7 @@ class CompletionStream:
         if prior is None:
             prior = self.spark.createDataFrame([], _STATE)
         applied = prior.select("stream_id", F.col("last_seq").alias("_applied"), F.col("is_done").alias("_closed"))
-        marked = join_unique(batch, applied, ["stream_id"], salt_by=["seq"])
+        marked = batch.join(applied, "stream_id", "left")
         is_late = F.coalesce((F.col("seq") <= F.col("_applied")) | F.col("_closed"), F.lit(False))
         self._late.write(marked.where(is_late).select(*batch.columns), batch_id)
         fresh = marked.where(~is_late).select(*batch.columns)

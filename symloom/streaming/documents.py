@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.operators.events import parse_event_json
-from symloom.operators.scale import join_unique, running_totals, seq_block
+from symloom.operators.scale import running_totals, seq_block
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.edit_fold import FOLD_TYPE, fold_documents
 from symloom.streaming.runner import run_available
@@ -86,7 +86,7 @@ class DocumentStateStream:
         sound = parsed.where(F.col("error").isNull())
         prior = self._prior(batch_id)
         applied = prior.select("uri", F.col("last_seq").alias("_applied"))
-        marked = join_unique(sound, applied, ["uri"], salt_by=["seq"])
+        marked = sound.join(applied, "uri", "left")
         is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False))
         known = prior.join(sound.select("uri").distinct(), "uri", "left_semi")
 
