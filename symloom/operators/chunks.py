@@ -6,7 +6,7 @@ chunks: positions come from running totals in two levels, texts are joined block
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -119,33 +119,33 @@ def line_pieces(chunks: DataFrame, rows_per_block: int = scale.ROWS_PER_BLOCK) -
         scale.seq_block("seq", rows_per_block),
         {"_newlines": F.when(has_newline, 1).otherwise(0)},
     )
-    piece = lambda report, place, value, closes: F.struct(
-        report.alias("report"), F.lit(place).alias("place"), value.alias("piece"), F.lit(closes).alias("closes")
-    )
-    number = F.col("_newlines")
+
+    def piece(report: Column, place: int, value: Column, closed_by: Column) -> Column:
+        return F.struct(
+            report.alias("report"), F.lit(place).alias("place"), value.alias("piece"), closed_by.alias("closed_by")
+        )
+
+    number, open_end = F.col("_newlines"), F.lit(None).cast("bigint")
     first = F.substring_index(text, "\n", 1)
     cut = F.array(
-        piece(number - 1, 1, first, True),
-        piece(number, 0, F.substring(text, F.length(first) + 2, F.length(text)), False),
-    )
-    whole = F.array(piece(number, 1, text, False))
-    return counted.select(
-        "stream_id", "seq", F.inline(F.when(has_newline, cut).otherwise(whole))
+        piece(number - 1, 1, first, F.col("seq").cast("bigint")),
+        piece(number, 0, F.substring(text, F.length(first) + 2, F.length(text)), open_end),
     )
+    whole = F.array(piece(number, 1, text, open_end))
+    return counted.select("stream_id", "seq", F.inline(F.when(has_newline, cut).otherwise(whole)))
 
 
-def stream_line_progress(
+def stream_lines(
     chunks: DataFrame,
     prefix: str = "",
     pending: DataFrame | None = None,
     part_bytes: int = scale.PART_BYTES,
     rows_per_block: int = scale.ROWS_PER_BLOCK,
-) -> tuple[DataFrame, DataFrame]:
-    """Line reports, and the text still pending per stream.
+) -> DataFrame:
+    """Line reports ``(stream_id, seq, part, message)``, and the pending text of a stream with NULL seq.
 
-    A report ``(stream_id, seq, part, message)`` comes with each chunk that has a newline: the pending text
-    and the chunk up to its first newline, after ``prefix``. ``pending(stream_id, part, text)`` is what
-    earlier chunks left over.
+    A report comes with each chunk that has a newline: the pending text and the chunk up to its first
+    newline, after ``prefix``. ``pending(stream_id, part, text)`` is what earlier chunks left over.
     """
     pieces = line_pieces(chunks, rows_per_block)
     if pending is not None:
@@ -155,7 +155,7 @@ def stream_line_progress(
             F.lit(0).cast("bigint").alias("report"),
             F.col("part").cast("int").alias("place"),
             F.col("text").alias("piece"),
-            F.lit(False).alias("closes"),
+            F.lit(None).cast("bigint").alias("closed_by"),
         )
         pieces = pieces.unionByName(earlier)
     texts = scale.concat_in_order(
@@ -166,13 +166,17 @@ def stream_line_progress(
         scale.seq_block("seq", scale.ROWS_PER_TEXT_BLOCK),
         part_bytes,
         result="message",
+        highest="closed_by",
     )
-    closed = pieces.where("closes").select("stream_id", "report", "seq")
-    first_part = F.when(F.col("part") == 0, F.lit(prefix)).otherwise(F.lit(""))
-    reports = texts.join(closed, ["stream_id", "report"]).select(
-        "stream_id", "seq", "part", F.concat(first_part, F.col("message")).alias("message")
-    )
-    left_over = texts.join(closed, ["stream_id", "report"], "left_anti").select(
-        "stream_id", "part", F.col("message").alias("text")
+    starts_report = F.col("closed_by").isNotNull() & (F.col("part") == 0)
+    return texts.select(
+        "stream_id",
+        F.col("closed_by").alias("seq"),
+        "part",
+        F.concat(F.when(starts_report, F.lit(prefix)).otherwise(F.lit("")), F.col("message")).alias("message"),
     )
-    return reports, left_over
+
+
+def stream_line_progress(chunks: DataFrame, prefix: str = "") -> DataFrame:
+    """The line report of each chunk that has a newline."""
+    return stream_lines(chunks, prefix).where(F.col("seq").isNotNull())

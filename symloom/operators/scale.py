@@ -56,7 +56,18 @@ def join_unique(
 
 def seq_block(seq: str, rows: int = ROWS_PER_BLOCK) -> Column:
     """Block number of an integer order column."""
-    return F.floor(F.col(seq) / F.lit(rows))
+    return F.expr(f"`{seq}` div {rows}")
+
+
+def _keyed(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Add the block; rows without a key have no place in any group.
+
+    Both readers of the blocks get the same filter here, so Spark can share one shuffle between them.
+    """
+    blocked = df.withColumn("_block", block)
+    for key in (*keys, "_block"):
+        blocked = blocked.where(F.col(key).isNotNull())
+    return blocked
 
 
 def running_totals(
@@ -68,7 +79,7 @@ def running_totals(
     are partitioned by the group already; what a single task sees of a hot group is some of its blocks,
     and one short row per block for the carry.
     """
-    blocked = df.withColumn("_block", block)
+    blocked = _keyed(df, group, block)
     totals = blocked.groupBy(*group, "_block").agg(
         *[F.sum(amount).alias(f"_sum_{name}") for name, amount in sums.items()]
     )
@@ -96,22 +107,26 @@ def concat_in_order(
     part_bytes: int = PART_BYTES,
     result: str = "text",
     error: str | None = None,
+    highest: str | None = None,
 ) -> DataFrame:
     """Concatenate ``text`` per key in order: one row per key, numbered parts beyond ``part_bytes``.
 
     The texts of a block are joined first. A key of any size is whole: its parts, in order, are its text.
-    With an ``error`` column, a key with any error gives its first error and no text.
+    With an ``error`` column, a key with any error gives its first error and no text. The largest value of
+    the column ``highest`` comes along with each key.
     """
+    mark = F.lit(None) if highest is None else F.col(highest)
     failure = F.lit(None).cast("string") if error is None else F.col(error)
     piece = F.struct(*order, F.when(failure.isNull(), F.col(text)).alias("_text"), failure.alias("_error"))
     blocks = (
-        df.withColumn("_block", block)
+        _keyed(df, keys, block)
         .repartition(*keys, "_block")
         .groupBy(*keys, "_block")
-        .agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+        .agg(F.array_sort(F.collect_list(piece)).alias("_pieces"), F.max(mark).alias("_mark"))
         .select(
             *keys,
             "_block",
+            "_mark",
             F.array_join(F.transform("_pieces", lambda p: p["_text"]), "").alias("_text"),
             F.get(
                 F.filter(F.transform("_pieces", lambda p: p["_error"]), lambda e: e.isNotNull()), F.lit(0)
@@ -120,22 +135,26 @@ def concat_in_order(
     )
     key = Window.partitionBy(*keys)
     before = key.orderBy("_block").rowsBetween(*BEFORE_HERE)
-    summary = blocks.select(*keys, "_block", F.octet_length("_text").cast("bigint").alias("_bytes"), "_error")
+    summary = blocks.select(*keys, "_block", F.octet_length("_text").cast("bigint").alias("_bytes"), "_error", "_mark")
     parts = summary.select(
         *keys,
         "_block",
         F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / F.lit(part_bytes)).alias("part"),
         F.min(F.when(F.col("_error").isNotNull(), F.struct("_block", "_error"))).over(key).alias("_first"),
+        F.max("_mark").over(key).alias("_mark"),
     )
     failed = F.col("_first").isNotNull()
-    joined = blocks.drop("_error").join(parts, [*keys, "_block"]).select(
+    joined = blocks.drop("_error", "_mark").join(parts, [*keys, "_block"]).select(
         *keys,
         F.when(failed, F.lit(0)).otherwise(F.col("part")).cast("bigint").alias("part"),
         F.col("_first._error").alias("_error"),
+        "_mark",
         F.struct("_block", F.when(~failed, F.col("_text")).alias("_text")).alias("_piece"),
     )
     ordered = F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_text"])
     columns = [F.when(F.first("_error").isNull(), F.array_join(ordered, "")).alias(result)]
     if error is not None:
         columns.append(F.first("_error").alias(error))
+    if highest is not None:
+        columns.append(F.first("_mark").alias(highest))
     return joined.groupBy(*keys, "part").agg(*columns)

@@ -79,13 +79,13 @@ class HashedWords:
         if place is None:
             if len(self._places) >= CACHED_WORDS:
                 self._places.clear()
-            digest = hashlib.md5(word.encode()).digest()
+            digest = hashlib.md5(names.fold_text(word).encode()).digest()
             place = self._places[word] = int.from_bytes(digest[:4], "big") % self.dimensions
         return place
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
         size, shape = self.dimensions, (len(texts), self.dimensions)
-        words = [names.fold_text(text).split() for text in texts]
+        words = [text.split() for text in texts]
         rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
         places = np.fromiter((self._place(w) for text in words for w in text), np.int64, len(rows))
         counts = np.bincount(rows * size + places, minlength=shape[0] * size).reshape(shape).astype(np.float64)
@@ -94,14 +94,17 @@ class HashedWords:
 
 
 def embed_text(text: Column, model: Model | None = None) -> Column:
-    """Vector of each text by a model that maps a batch of texts to a matrix."""
+    """Vector of each text by a model that maps a batch of texts to a matrix.
+
+    Marked as not deterministic, so that no optimizer rule copies the call: a text is embedded once.
+    """
     chosen = model or HashedWords()
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(chosen(texts), dtype=np.float32)))
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def embed_symbols(symbols_with_text: DataFrame, model: Model | None = None) -> DataFrame:

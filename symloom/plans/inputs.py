@@ -12,6 +12,7 @@ from symloom.functions import paths
 from symloom.operators import symbols as sy
 from symloom.operators.events import CHANGE, CLOSE, OPEN
 from symloom.operators.symbols import Rule
+from symloom.session import read_spread
 from symloom.sources.files import open_filesystem
 
 NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -33,13 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one table with long texts, spread over the cores."""
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def document_path():
     return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files of one workspace per language."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.col("lang").alias("workspace"),
         document_path().alias("path"),

@@ -696,8 +696,7 @@ def stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_line_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports, _ = ch.stream_line_progress(inp.chunks(spark, sf_dir), prefix="progress: ")
-    return reports
+    return ch.stream_line_progress(inp.chunks(spark, sf_dir), prefix="progress: ")
 
 
 # --- streaming -----------------------------------------------------------------------------------

@@ -38,6 +38,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet table with at least one split per core.
+
+    A file with one row group is one split. Only a table that gives fewer splits than there are cores is
+    shuffled, by ``key``; a large table is read as it lies.
+    """
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder, so lost executors do not force a recomputation."""
     context = df.sparkSession.sparkContext

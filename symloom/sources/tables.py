@@ -134,61 +134,73 @@ class VersionedTable:
         self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
 
     def _path(self, kind: str, version: int) -> str:
-        return f"{self.root}/{kind}/version={version:012d}"
+        return f"{self.root}/{kind}/table_version={version:012d}"
 
-    def _versions(self, kind: str) -> list[int]:
+    def _versions(self, kind: str, before: int | None = None) -> list[int]:
         """Numbers of the complete versions: a handful of directory names."""
         system, inner = open_filesystem(f"{self.root}/{kind}")
         found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-        numbers = [int(info.base_name.split("=")[1]) for info in found if "=" in info.base_name]
-        complete = [
-            number
-            for number in numbers
-            if system.get_file_info(f"{inner}/version={number:012d}/_SUCCESS").type != fs.FileType.NotFound
-        ]
-        return sorted(complete)
+        numbers = sorted(int(info.base_name.split("=")[1]) for info in found if "=" in info.base_name)
+        marks = system.get_file_info([f"{inner}/table_version={n:012d}/_SUCCESS" for n in numbers])
+        complete = [n for n, mark in zip(numbers, marks, strict=True) if mark.type != fs.FileType.NotFound]
+        return [n for n in complete if before is None or n < before]
+
+    def _read(self, kind: str, versions: list[int]) -> DataFrame | None:
+        if not versions:
+            return None
+        reader = self.spark.read.option("basePath", f"{self.root}/{kind}")
+        return reader.parquet(*[self._path(kind, version) for version in versions])
+
+    def _parts(self, before: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+        """The newest base, and the deltas after it with their version."""
+        bases = self._versions("base", before)[-1:]
+        deltas = [v for v in self._versions("delta", before) if not bases or v > bases[0]]
+        base = self._read("base", bases)
+        return base if base is None else base.drop("table_version"), self._read("delta", deltas)
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self._path("delta", version))
 
-    def deltas(self, before: int | None = None, after: int = -1) -> DataFrame | None:
-        """All rows of the deltas with their version, superseded ones too."""
-        wanted = [v for v in self._versions("delta") if v > after and (before is None or v < before)]
-        result = None
-        for version in wanted:
-            rows = self.spark.read.parquet(self._path("delta", version)).withColumn("_version", F.lit(version))
-            result = rows if result is None else result.unionByName(rows)
-        return result
+    def delta(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._path("delta", version))
+
+    def rows(self) -> DataFrame | None:
+        """Everything stored, superseded rows too."""
+        base, deltas = self._parts()
+        if deltas is None:
+            return base
+        rows = deltas.drop("table_version")
+        return rows if base is None else base.unionByName(rows)
 
     def latest(self, before: int | None = None) -> DataFrame | None:
         """The current row of each key, as of the versions below ``before``; None when nothing is there."""
-        bases = [v for v in self._versions("base") if before is None or v < before]
-        base = self.spark.read.parquet(self._path("base", bases[-1])) if bases else None
-        deltas = self.deltas(before, bases[-1] if bases else -1)
+        base, deltas = self._parts(before)
         if deltas is None:
             return base
-        columns = [c for c in deltas.columns if c not in (*self.keys, "_version")]
+        columns = [c for c in deltas.columns if c not in (*self.keys, "table_version")]
         recent = (
             deltas.groupBy(*self.keys)
-            .agg(F.max_by(F.struct(*columns), F.col("_version")).alias("_row"))
+            .agg(F.max_by(F.struct(*columns), F.col("table_version")).alias("_row"))
             .select(*self.keys, "_row.*")
         )
         if base is None:
             return recent
         return base.join(recent.select(*self.keys), self.keys, "left_anti").unionByName(recent)
 
-    def rows(self) -> DataFrame | None:
-        """Everything stored: the newest base and the deltas after it, superseded rows too."""
-        bases = self._versions("base")
-        base = self.spark.read.parquet(self._path("base", bases[-1])) if bases else None
-        deltas = self.deltas(after=bases[-1] if bases else -1)
-        if deltas is None or base is None:
-            return base if deltas is None else deltas.drop("_version")
-        return base.unionByName(deltas.drop("_version"))
-
     def write_base(self, df: DataFrame, version: int) -> None:
+        """A new base; what only the base before the previous one needed is removed."""
         df.write.mode("overwrite").parquet(self._path("base", version))
+        bases = self._versions("base")
+        if len(bases) > 2:
+            self.remove_before(bases[-2])
 
     def compact(self, version: int) -> None:
         """Fold everything up to ``version`` into a base."""
         self.write_base(self.latest(version + 1), version)
+
+    def remove_before(self, version: int) -> None:
+        """Remove the versions below, which later versions supersede."""
+        for kind in ("base", "delta"):
+            system, _ = open_filesystem(self.root)
+            for old in self._versions(kind, version):
+                system.delete_dir(open_filesystem(self._path(kind, old))[1])

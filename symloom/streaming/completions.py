@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.operators.chunks import stream_cursor, stream_full_text, stream_line_progress
+from symloom.operators.chunks import stream_cursor, stream_full_text, stream_lines
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.runner import run_available
 
@@ -20,11 +20,12 @@ class CompletionStream:
     A chunk at or below the last applied seq of its stream, or after the done flag, is late and ignored.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str = "", compact_every: int = 50):
+    def __init__(self, spark: SparkSession, root: str, prefix: str = "", compact_every: int = 20):
         self.spark, self.prefix, self.compact_every = spark, prefix, compact_every
         self.states = VersionedTable(spark, f"{root}/states", ["stream_id"])
+        self._taken = VersionedTable(spark, f"{root}/taken", ["stream_id", "seq"])
         self._edits = VersionedTable(spark, f"{root}/edits", ["stream_id", "seq"])
-        self._reports = VersionedTable(spark, f"{root}/reports", ["stream_id", "seq", "part"])
+        self._lines = VersionedTable(spark, f"{root}/lines", ["stream_id", "seq", "part"])
         self._late = VersionedTable(spark, f"{root}/late", ["stream_id", "seq"])
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -32,43 +33,48 @@ class CompletionStream:
         if prior is None:
             prior = self.spark.createDataFrame([], _STATE)
         applied = prior.select("stream_id", F.col("last_seq").alias("_applied"), F.col("is_done").alias("_closed"))
-        marked = batch.join(applied, "stream_id", "left")
         is_late = F.coalesce((F.col("seq") <= F.col("_applied")) | F.col("_closed"), F.lit(False))
-        self._late.write(marked.where(is_late).select(*batch.columns), batch_id)
-        fresh = marked.where(~is_late).select(*batch.columns)
-
-        present = fresh.select("stream_id").distinct()
-        known = prior.join(present, "stream_id", "left_semi")
+        marked = batch.join(applied, "stream_id", "left").select(*batch.columns, is_late.alias("late"))
+        # Written once: everything below reads the batch from here.
+        self._taken.write(marked, batch_id)
+        taken = self._taken.delta(batch_id)
+        self._late.write(taken.where("late").drop("late"), batch_id)
+        fresh = taken.where(~F.col("late")).drop("late")
+        known = prior.join(fresh.select("stream_id").distinct(), "stream_id", "left_semi")
         pending = known.select("stream_id", F.posexplode("pending").alias("part", "text"))
-        reports, left_over = stream_line_progress(fresh, self.prefix, pending)
         self._edits.write(stream_cursor(fresh, known), batch_id)
-        self._reports.write(reports, batch_id)
+        self._lines.write(stream_lines(fresh, self.prefix, pending), batch_id)
+        self.states.write(self._new_states(fresh, batch_id), batch_id)
+        self._taken.remove_before(batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self.states.compact(batch_id)
 
-        edits = self._edits.deltas(batch_id + 1, batch_id - 1)
-        cursor = edits.groupBy("stream_id").agg(
-            F.max_by(F.struct("next_line", "next_character"), F.col("seq")).alias("_at"),
-            F.max("seq").alias("last_seq"),
+    def _new_states(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+        cursor = (
+            self._edits.delta(batch_id)
+            .groupBy("stream_id")
+            .agg(
+                F.max_by(F.struct("next_line", "next_character"), F.col("seq")).alias("_at"),
+                F.max("seq").alias("last_seq"),
+            )
         )
         done = fresh.groupBy("stream_id").agg(F.max(F.coalesce("done", F.lit(False))).alias("is_done"))
-        held = left_over.groupBy("stream_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("part", "text"))), lambda piece: piece["text"]
-            ).alias("pending")
+        pieces = F.array_sort(F.collect_list(F.struct("part", "message")))
+        held = (
+            self._lines.delta(batch_id)
+            .where(F.col("seq").isNull())
+            .groupBy("stream_id")
+            .agg(F.transform(pieces, lambda piece: piece["message"]).alias("pending"))
         )
         state = cursor.join(done, "stream_id").join(held, "stream_id", "left")
-        self.states.write(
-            state.select(
-                "stream_id",
-                F.col("_at.next_line").alias("line"),
-                F.col("_at.next_character").alias("character"),
-                "pending",
-                "last_seq",
-                "is_done",
-            ),
-            batch_id,
+        return state.select(
+            "stream_id",
+            F.col("_at.next_line").alias("line"),
+            F.col("_at.next_character").alias("character"),
+            "pending",
+            "last_seq",
+            "is_done",
         )
-        if (batch_id + 1) % self.compact_every == 0:
-            self.states.compact(batch_id)
 
     def run(self, chunks: DataFrame, checkpoint: str) -> None:
         run_available(chunks, self.process, checkpoint)
@@ -78,7 +84,8 @@ class CompletionStream:
         return self._edits.rows()
 
     def reports(self) -> DataFrame:
-        return self._reports.rows()
+        """The line reports of all batches."""
+        return self._lines.rows().where(F.col("seq").isNotNull())
 
     def late(self) -> DataFrame:
         return self._late.rows()

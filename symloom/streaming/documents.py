@@ -13,6 +13,7 @@ from symloom.streaming.edit_fold import FOLD_TYPE, fold_documents
 from symloom.streaming.runner import run_available
 
 _STATE_COLUMNS = schemas.DOCUMENT_STATE.fieldNames()
+_EVENT_COLUMNS = ["uri", "seq", "event", "language_id", "version", "text", "changes", "ts"]
 
 
 def fold_events(events: DataFrame, prior: DataFrame, corrected: bool = False) -> DataFrame:
@@ -23,7 +24,7 @@ def fold_events(events: DataFrame, prior: DataFrame, corrected: bool = False) ->
     """
     starts_epoch = F.col("event").isin("open", "close")
     numbered = running_totals(
-        events.select("uri", "seq", "event", "language_id", "version", "text", "changes", "ts"),
+        events.select(*_EVENT_COLUMNS),
         ["uri"],
         ["seq"],
         seq_block("seq"),
@@ -70,9 +71,10 @@ class DocumentStateStream:
     changes nothing and is reported.
     """
 
-    def __init__(self, spark: SparkSession, root: str, corrected: bool = False, compact_every: int = 50):
+    def __init__(self, spark: SparkSession, root: str, corrected: bool = False, compact_every: int = 20):
         self.spark, self.corrected, self.compact_every = spark, corrected, compact_every
         self.states = VersionedTable(spark, f"{root}/states", ["uri"])
+        self._taken = VersionedTable(spark, f"{root}/taken", ["uri", "seq"])
         self._folded = VersionedTable(spark, f"{root}/folded", ["uri", "epoch"])
         self._problems = VersionedTable(spark, f"{root}/problems", ["uri", "seq"])
 
@@ -82,26 +84,28 @@ class DocumentStateStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Take in a batch of ``(seq, method, params, ts)``."""
-        parsed = parse_event_json(batch).where(F.col("event").isin("open", "close", "change"))
-        sound = parsed.where(F.col("error").isNull())
         prior = self._prior(batch_id)
         applied = prior.select("uri", F.col("last_seq").alias("_applied"))
-        marked = sound.join(applied, "uri", "left")
         is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False))
-        known = prior.join(sound.select("uri").distinct(), "uri", "left_semi")
-
-        self._folded.write(fold_events(marked.where(~is_late), known, self.corrected), batch_id)
-        folded = self._folded.deltas(batch_id + 1, batch_id - 1)
-        problems = (
-            folded.where(F.col("kind") == "error")
-            .select("uri", F.col("last_seq").alias("seq"), F.col("error").alias("reason"))
-            .unionByName(marked.where(is_late).select("uri", "seq", F.lit("late").alias("reason")))
-            .unionByName(
-                parsed.where(F.col("error").isNotNull()).select("uri", "seq", F.col("error").alias("reason"))
-            )
+        parsed = parse_event_json(batch).where(F.col("event").isin("open", "close", "change"))
+        marked = parsed.join(applied, "uri", "left").select(
+            *_EVENT_COLUMNS, F.coalesce("error", F.when(is_late, "late")).alias("reason")
+        )
+        # Written once: the fold and the problems read the same rows.
+        self._taken.write(marked, batch_id)
+        taken = self._taken.delta(batch_id)
+        fresh = taken.where(F.col("reason").isNull())
+        known = prior.join(fresh.select("uri").distinct(), "uri", "left_semi")
+        self._folded.write(fold_events(fresh, known, self.corrected), batch_id)
+        folded = self._folded.delta(batch_id)
+        failed = folded.where(F.col("kind") == "error").select(
+            "uri", F.col("last_seq").alias("seq"), F.col("error").alias("reason")
         )
-        self._problems.write(problems, batch_id)
+        rejected = taken.where(F.col("reason").isNotNull()).select("uri", "seq", "reason")
+        self._problems.write(failed.unionByName(rejected), batch_id)
         self.states.write(last_states(folded), batch_id)
+        self._taken.remove_before(batch_id)
+        self._folded.remove_before(batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self.states.compact(batch_id)
 

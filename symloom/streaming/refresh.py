@@ -24,7 +24,7 @@ class IndexRefreshStream:
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, compact_every: int = 50
+        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, compact_every: int = 20
     ):
         self.spark, self.rules, self.compact_every = spark, rules, compact_every
         self._files = VersionedTable(spark, f"{root}/files", FILE_KEY)
