@@ -25,14 +25,21 @@ DIRECTORIES_PER_TASK = 200
 FILES_PER_TASK = 2000
 
 
-def open_filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path inside it."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+def open_filesystem(path: str, opened: dict | None = None) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it; ``opened`` keeps it for the next path.
 
-
-def _scheme(path: str) -> str:
-    """What to put before a path inside its file system to open it again."""
-    return path[: len(path) - len(open_filesystem(path)[1])] if "://" in path else ""
+    A URI is taken as Spark takes it: the part after the authority is a plain path, not percent-encoded.
+    """
+    opened = {} if opened is None else opened
+    scheme, separator, rest = path.partition("://")
+    if not separator:
+        return opened.setdefault("", fs.LocalFileSystem()), path
+    authority, _, inner = rest.partition("/")
+    top = f"{scheme}://{authority}/"
+    if top not in opened:
+        opened[top] = fs.FileSystem.from_uri(top)
+    system, base = opened[top]
+    return system, f"{base.rstrip('/')}/{inner}"
 
 
 def _is_linked_dir(info: fs.FileInfo, system: fs.FileSystem) -> bool:
@@ -40,10 +47,11 @@ def _is_linked_dir(info: fs.FileInfo, system: fs.FileSystem) -> bool:
 
 
 def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    opened: dict = {}
     for batch in batches:
         for directory in batch["path"]:
-            system, inner = open_filesystem(directory)
-            scheme = _scheme(directory)
+            system, inner = open_filesystem(directory, opened)
+            scheme = directory.removesuffix(inner)
             rows = []
             for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
                 is_dir = info.type == fs.FileType.Directory
@@ -85,10 +93,11 @@ def read_contents(files: DataFrame) -> DataFrame:
     """Bytes of each path. Files gone since the listing are left out, as they would be by a later listing."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: dict = {}
         rows, held = [], 0
         for batch in batches:
             for path in batch["path"]:
-                system, inner = open_filesystem(path)
+                system, inner = open_filesystem(path, opened)
                 try:
                     with system.open_input_stream(inner, compression=None) as stream:
                         content = stream.read()

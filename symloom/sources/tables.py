@@ -88,17 +88,21 @@ def index_report_json(files: DataFrame, located_symbols: DataFrame) -> DataFrame
 
 def _float_text(value: Column) -> Column:
     """Shortest decimal digits of a float32; exponents only below 1e-4 and from 1e21 on, as in ``1e-05``."""
-    digits = value.cast("string")
-    plain = F.regexp_replace(digits.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
-    mantissa = F.regexp_replace(F.substring_index(digits, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(digits, "E", -1).cast("int")
-    scientific = F.format_string(
-        "%se%s%02d", mantissa, F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent)
-    )
+
+    def digits(count: int) -> Column:
+        return F.format_string(f"%.{count - 1}e", value.cast("double"))
+
+    # Six to nine digits tell any two float32 values apart; the first count that reads back is the shortest.
+    exact = F.coalesce(*[F.when(digits(n).cast("float") == value, digits(n)) for n in (6, 7, 8)], digits(9))
+    mantissa = F.regexp_replace(F.substring_index(exact, "e", 1), r"\.?0+$", "")
+    plain = F.regexp_replace(exact.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
     size = F.abs(value)
     return (
         F.when(value == 0, "0")
-        .when((size < F.lit(1e-4).cast("float")) | (size >= F.lit(1e21).cast("float")), scientific)
+        .when(
+            (size < F.lit(1e-4).cast("float")) | (size >= F.lit(1e21).cast("float")),
+            F.concat(mantissa, F.lit("e"), F.substring_index(exact, "e", -1)),
+        )
         .otherwise(plain)
     )
 
@@ -188,7 +192,9 @@ class VersionedTable:
         return base.join(recent.select(*self.keys), self.keys, "left_anti").unionByName(recent)
 
     def write_base(self, df: DataFrame, version: int) -> None:
-        """A new base; what only the base before the previous one needed is removed."""
+        """A new base, unless it is there already; what only the base before the previous one needed is removed."""
+        if version in self._versions("base"):
+            return
         df.write.mode("overwrite").parquet(self._path("base", version))
         bases = self._versions("base")
         if len(bases) > 2:
@@ -196,7 +202,8 @@ class VersionedTable:
 
     def compact(self, version: int) -> None:
         """Fold everything up to ``version`` into a base."""
-        self.write_base(self.latest(version + 1), version)
+        if version not in self._versions("base"):
+            self.write_base(self.latest(version + 1), version)
 
     def remove_before(self, version: int) -> None:
         """Remove the versions below, which later versions supersede."""
