@@ -53,8 +53,7 @@ def has_prefix(name_fold: Column, prefix: Column | str, corrected: bool = False)
     return F.like(name_fold, pattern, F.lit(_NO_ESCAPE))
 
 
-def literal_head(prefix: Column, size: int, corrected: bool = False) -> Column:
-    """The first characters of a prefix that every match must start with."""
+def literal_start(prefix: Column, corrected: bool = False) -> Column:
+    """The characters of a prefix that every match must start with."""
     folded = fold_name(prefix)
-    literal = folded if corrected else F.regexp_extract(folded, r"(?s)^[^%_]*", 0)
-    return F.substring(literal, 1, size)
+    return folded if corrected else F.regexp_extract(folded, r"(?s)^[^%_]*", 0)

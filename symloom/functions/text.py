@@ -6,6 +6,8 @@ crash (an index out of bounds) is NULL here. ``corrected=True`` gives the eviden
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _with_lines(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` over the lines of a text, which is split once however often they are used."""
+    return F.element_at(F.transform(F.array(split_lines(text)), use), 1)
+
+
 def length_in(text: Column, unit: str) -> Column:
     return F.octet_length(text) if unit == "byte" else F.length(text)
 
@@ -56,7 +63,7 @@ def slice_lines(lines: Column, sl, sc, el, ec, unit: str = "char", corrected: bo
 
 
 def slice_text_range(text: Column, sl, sc, el, ec, unit: str = "char", corrected: bool = False) -> Column:
-    return slice_lines(split_lines(text), sl, sc, el, ec, unit, corrected)
+    return _with_lines(text, lambda lines: slice_lines(lines, sl, sc, el, ec, unit, corrected))
 
 
 def slice_line_range(text: Column, start, end, corrected: bool = False) -> Column:
@@ -64,15 +71,16 @@ def slice_line_range(text: Column, start, end, corrected: bool = False) -> Colum
 
     An end at or past the line count loses the last line, unless ``corrected``.
     """
-    lines = split_lines(text)
-    count = F.size(lines)
-    first = F.greatest(_column(start) - 1, F.lit(0))
-    end = _column(end)
-    last = F.when(end >= count, count if corrected else count - 1).otherwise(end)
-    wanted = F.array_join(
-        F.slice(lines, (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int")), "\n"
-    )
-    return F.when((first < count) & (first <= last), wanted)
+    first, end = F.greatest(_column(start) - 1, F.lit(0)), _column(end)
+
+    def cut(lines: Column) -> Column:
+        count = F.size(lines)
+        last = F.when(end >= count, count if corrected else count - 1).otherwise(end)
+        size = F.greatest(last - first, F.lit(0))
+        wanted = F.array_join(F.slice(lines, (first + 1).cast("int"), size.cast("int")), "\n")
+        return F.when((first < count) & (first <= last), wanted)
+
+    return _with_lines(text, cut)
 
 
 def count_newlines(text: Column) -> Column:

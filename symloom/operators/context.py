@@ -207,7 +207,7 @@ def selection_prompt(
     )
     context = contexts.select("workspace", "context", F.col("error").alias("_context_error"))
     joined = selections.join(opened, ["workspace", "path"], "left")
-    joined = join_unique(joined, context, ["workspace"], salt_by=selections.columns)
+    joined = join_unique(joined, context, ["workspace"], salt_by=selections.columns, counted=selections)
 
     first, last = F.get("_lines", sl), F.get("_lines", el)
     cut_first = tx.tail(first, sc)

@@ -22,16 +22,24 @@ BEFORE_HERE = (Window.unboundedPreceding, -1)
 
 
 def join_unique(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salt_by: list[str] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    salt_by: list[str] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key once.
 
     The 256 most frequent keys of ``left`` get 64 salts, and their few rows of ``right`` are repeated
     once per salt. Any other key holds less than 1/256 of the rows. ``salt_by`` names the columns that
-    tell the rows of one key apart (all columns when not given).
+    tell the rows of one key apart (all columns when not given). The keys are
+    counted in ``left``, or in the cheaper frame ``counted`` that has the same keys: ``left`` is read twice
+    otherwise, so give it a stored or checkpointed table when it is dear to compute.
     """
     hot = (
-        left.groupBy(*keys)
+        (left if counted is None else counted)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .orderBy(F.desc("_rows"), *keys)
         .limit(HOT_KEYS)

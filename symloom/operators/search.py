@@ -16,7 +16,8 @@ from symloom.functions import text as tx
 
 PREFIX_LIMIT = 100
 NEAREST = 10
-HEAD = 3
+# Lengths of the prefixes that join queries to names; a query uses the longest that its literal start fills.
+HEADS = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32]
 CACHED_WORDS = 1 << 16
 # Queries a single pass over the embeddings compares with; more queries take more passes.
 QUERIES_PER_PASS = 2000
@@ -41,11 +42,15 @@ def symbol_prefix_search(
 def prefix_matches(symbols: DataFrame, queries: DataFrame, corrected: bool = False) -> DataFrame:
     """Symbols that match each ``queries(workspace, query_id, query)``, uncut.
 
-    An equi-join on workspace and the first literal characters of the query finds the candidates, so a
-    symbol meets only queries that share its head.
+    An equi-join on workspace and the literal start of the query finds the candidates, so a symbol meets
+    next to no query that it does not match.
     """
-    heads = F.array_distinct(F.array(*[F.substring("name_fold", 1, size) for size in range(HEAD + 1)]))
-    asked = queries.withColumn("_head", names.literal_head(F.col("query"), HEAD, corrected))
+    sizes = F.array(*[F.lit(size) for size in HEADS])
+    fitting = F.filter(sizes, lambda size: size <= F.length("name_fold"))
+    heads = F.transform(fitting, lambda size: F.substring(F.col("name_fold"), F.lit(1), size))
+    literal = names.literal_start(F.col("query"), corrected)
+    size = F.array_max(F.filter(sizes, lambda size: size <= F.length(literal)))
+    asked = queries.withColumn("_head", F.substring(literal, F.lit(1), size))
     return (
         symbols.withColumn("_head", F.explode(heads))
         .join(asked, ["workspace", "_head"])

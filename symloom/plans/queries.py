@@ -21,7 +21,7 @@ from symloom.operators import search as se
 from symloom.operators import stats as st
 from symloom.operators import symbols as sy
 from symloom.plans import inputs as inp
-from symloom.session import scratch_dir
+from symloom.session import checkpointed, scratch_dir
 from symloom.sources import files as fl
 from symloom.sources import tables as tb
 from symloom.streaming.completions import CompletionStream
@@ -79,6 +79,13 @@ def write_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("file_id", "workspace", "path", "md5")
 
 
+def _stored_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol table written out and read back, as an index is: for queries that read it several times."""
+    target = scratch_dir(spark, "symbol-table")
+    tb.write_symbol_table(inp.symbols(spark, sf_dir), target)
+    return spark.read.parquet(target)
+
+
 def _embedded_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols; the first one of a document has the embedding with that document's number."""
     vectors = inp.files(spark, sf_dir).join(
@@ -272,7 +279,7 @@ def map_symbol_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def symbol_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = inp.symbols(spark, sf_dir)
+    symbols = _stored_symbols(spark, sf_dir)
     found = None
     for corrected in (False, True):
         for prefix in PREFIXES:
@@ -377,10 +384,13 @@ def _search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = inp.symbols(spark, sf_dir, with_text=True, corrected=True).where(F.col("workspace") == "en")
-    embeddings = se.embed_symbols(symbols).select("symbol_id", "embedding")
+    target, vectors = scratch_dir(spark, "symbol-table"), scratch_dir(spark, "embedding-table")
+    symbols = inp.symbols(spark, sf_dir, with_text=True, corrected=True)
+    tb.write_symbol_table(se.embed_symbols(symbols), target, vectors)
     found = se.hybrid_symbol_search(
-        symbols.drop("symbol_text"), embeddings, _search_queries(spark, sf_dir)
+        tb.read_workspace_index(spark, target, "en"),
+        tb.read_workspace_index(spark, vectors, "en"),
+        _search_queries(spark, sf_dir),
     )
     return found.select("query_id", "source", "rank", "symbol_id", "name")
 
@@ -394,7 +404,7 @@ def open_document_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lookup_symbol_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last symbol name of every file, looked up in that file."""
-    symbols = inp.symbols(spark, sf_dir)
+    symbols = _stored_symbols(spark, sf_dir)
     wanted = symbols.groupBy("workspace", F.col("path").alias("filename")).agg(F.max("name").alias("identifier"))
     texts = cx.open_document_overlay(inp.files(spark, sf_dir), inp.open_documents(spark, sf_dir))
     return cx.lookup_symbol_text(symbols, wanted, texts)
@@ -402,7 +412,7 @@ def lookup_symbol_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = gr.resolve_references(inp.references(spark, sf_dir), inp.symbols(spark, sf_dir))
+    resolved = _resolved(spark, sf_dir)
     return resolved.select("workspace", "path", "line", "start_col", "content", "def_path", "uid")
 
 
@@ -418,7 +428,7 @@ def enclosing_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("line").alias("start_line"),
         "start_col",
     )
-    around = gr.enclosing_definition(locations, symbols).withColumnRenamed("uid", "place")
+    around = checkpointed(gr.enclosing_definition(locations, symbols)).withColumnRenamed("uid", "place")
     uid = tx.definition_uid(F.col("path"), *[F.col(c) for c in PLACE])
     around = around.withColumn("uid", uid)
     texts = gr.definition_texts(
@@ -489,11 +499,12 @@ def failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.resolve_references(inp.references(spark, sf_dir), inp.symbols(spark, sf_dir))
+    references = checkpointed(inp.references(spark, sf_dir))
+    return gr.resolve_references(references, _stored_symbols(spark, sf_dir))
 
 
 def _code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = _resolved(spark, sf_dir)
+    resolved = checkpointed(_resolved(spark, sf_dir))
     definitions = gr.definition_texts(gr.distinct_locations(resolved), inp.files(spark, sf_dir))
     return gr.code_context(gr.group_captures(resolved), definitions)
 
@@ -536,7 +547,7 @@ def compare_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = cx.parse_context_specs(inp.specs(spark, sf_dir))
     texts = cx.open_document_overlay(inp.files(spark, sf_dir), inp.open_documents(spark, sf_dir))
-    return cx.fetch_context_items(items, inp.symbols(spark, sf_dir), texts)
+    return cx.fetch_context_items(items, _stored_symbols(spark, sf_dir), texts)
 
 
 @query
@@ -558,11 +569,8 @@ def slice_text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     uid = tx.definition_uid(F.col("path"), *[F.col(c) for c in PLACE])
     places = inp.symbols(spark, sf_dir).select("workspace", "path", uid.alias("uid"), *PLACE)
     files = inp.files(spark, sf_dir)
-    plain = gr.definition_texts(places, files, corrected=False)
-    corrected = gr.definition_texts(places, files).withColumnRenamed("definition", "corrected")
-    return plain.join(corrected, ["workspace", "path", "uid"]).select(
-        "uid", F.md5("definition").alias("text_md5"), F.md5("corrected").alias("corrected_md5")
-    )
+    texts = gr.definition_texts(places, files, corrected=False)
+    return texts.select("uid", F.md5("definition").alias("text_md5"))
 
 
 @query
@@ -650,7 +658,7 @@ def selection_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spec = F.concat(F.min("path"), F.lit(" 1:2\n"), F.max("path"), F.lit(" 1:1"))
     specs = documents.groupBy("workspace").agg(spec.alias("spec")).withColumn("spec_id", F.col("workspace"))
-    items = cx.fetch_context_items(cx.parse_context_specs(specs), inp.symbols(spark, sf_dir), documents)
+    items = cx.fetch_context_items(cx.parse_context_specs(specs), _stored_symbols(spark, sf_dir), documents)
     contexts = cx.build_context(items, ["workspace"])
     prompts = cx.selection_prompt(selections, documents, contexts)
     return prompts.select("path", F.md5("prompt").alias("prompt_md5"), "error")

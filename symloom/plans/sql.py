@@ -513,7 +513,7 @@ ORACLES: dict[str, str] = {
         SELECT conv_id AS stream_id, 0::BIGINT AS part, string_agg(text, '' ORDER BY turn) AS full_text
         FROM conversations GROUP BY conv_id""",
     "slice_text_range": f"""WITH {SYMBOLS}
-        SELECT uid, md5({_PLAIN_BODY}) AS text_md5, md5(body) AS corrected_md5 FROM symbol""",
+        SELECT uid, md5({_PLAIN_BODY}) AS text_md5 FROM symbol""",
     "slice_line_range": f"""WITH {FILES}, t AS (SELECT path, string_split(text, chr(10)) AS ls FROM files)
         SELECT path, {_LINE_RANGE.format(a="3", b="9", ls="ls")} AS lines,
           {_LINE_RANGE.format(a="1", b="1000", ls="ls")} AS head,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,11 @@ def write_symbol_table(
 ) -> None:
     """Symbol rows; an embedding row for each symbol that has one.
 
-    Sorted by folded name inside each file, so the row group statistics serve prefix search.
+    Sorted by folded name inside each file, so the row group statistics serve prefix search. With
+    embeddings the rows are kept on disk for the second write: a model is not asked twice.
     """
+    if embedding_path is not None:
+        symbols = symbols.persist(StorageLevel.DISK_ONLY)
     columns = [c for c in symbols.columns if c not in ("embedding", "symbol_text")]
     (
         symbols.select(*columns)
@@ -45,6 +49,7 @@ def write_symbol_table(
             .partitionBy("workspace")
             .parquet(embedding_path)
         )
+        symbols.unpersist()
 
 
 def read_workspace_index(spark: SparkSession, path: str, workspace: str) -> DataFrame:
