@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import sharding
+from symloom.llm import packing, sharding, tokens, wavelet
+from symloom.llm.shared import scratch_path, stored
+
+CAPACITY = 2048
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,3 +35,31 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every document in sequences of at most 2048 tokens: where each piece lies, and the checksum of its ids."""
+    pieces = packing.token_pieces(docs, tokenizer(), 1, CAPACITY)
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(stored(digests, "digests"), CAPACITY).select(*digests.columns, "sequence_id", "offset")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "wavelet")
+    wavelet.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer(), 2)
+    files = wavelet.read_token_files(spark, path)
+    return wavelet.documents_of(files).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
