@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import packing, sharding, tokens, wavelet
+from symloom.llm import packing, sharding, simhash, tokens, wavelet
 from symloom.llm.shared import scratch_path, stored
 
 CAPACITY = 2048
@@ -63,3 +63,11 @@ def op2_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents_of(files).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
