@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import packing, sharding, simhash, tokens, wavelet
+from symloom.llm import decontaminate, packing, sharding, simhash, tokens, topk, wavelet
 from symloom.llm.shared import scratch_path, stored
 
 CAPACITY = 2048
@@ -71,3 +71,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    lengths = F.zip_with("_hits.from", "_hits.to", lambda a, b: (b - a).cast("long"))
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + x)
+    return found.select("doc_id", F.col("_hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_hits.items").alias("items")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op10_norm_bucketed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
