@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import decontaminate, packing, sharding, simhash, tokens, topk, wavelet
+from symloom.llm import decontaminate, langid, packing, secrets, sharding, simhash, tokens, topk, urls, wavelet
 from symloom.llm.shared import scratch_path, stored
 
 CAPACITY = 2048
@@ -87,3 +87,46 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_norm_bucketed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op3_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predicted(docs, langid.learn_profiles(docs))
+    return found.select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"),
+        F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"),
+    )
+
+
+URL_RULES = {
+    "com/": urls.ALLOW,
+    "example.com/en/": urls.BLOCK,
+    "www.example.com/en/": urls.ALLOW,
+    "net/es/": urls.BLOCK,
+    "net/fr/": urls.BLOCK,
+}
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", *[F.col(f"_judged.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def joined_spans(spans: str):
+    """Findings as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = stored(secrets.scanned(table(spark, sf_dir, "documents")), "scans")
+    found = secrets.findings(scans, secrets.learn(scans))
+
+    def number_of(kind: str):
+        return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [number_of(kind) for kind in secrets.KINDS[:3]]
+    base = F.sha2(joined_spans("base"), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *count, base, joined_spans("spans").alias("spans"))
