@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import decontaminate, langid, packing, secrets, sharding, simhash, tokens, topk, urls, wavelet
+from symloom.llm import decontaminate, langid, packing, secrets, sharding, simhash, suffixes, tokens, topk, urls, wavelet
 from symloom.llm.shared import scratch_path, stored
 
 CAPACITY = 2048
@@ -130,3 +130,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [number_of(kind) for kind in secrets.KINDS[:3]]
     base = F.sha2(joined_spans("base"), 256).alias("base_sha256")
     return found.select(F.col("id").alias("doc_id"), *count, base, joined_spans("spans").alias("spans"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), span=200)
+    lengths = F.transform("spans", lambda s: (s["to"] - s["from"]).cast("long"))
+    n_removed = F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + x)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
