@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from symloom.llm.shared import placed_in_order, prefix_sums, stored
+from symloom.llm.shared import free_name, placed_in_order, prefix_sums, stored
 
 #: Benchmark text in one automaton; a larger benchmark takes several, one pass over the documents for each.
 AUTOMATON_BYTES = 512 * 1024
@@ -151,9 +151,9 @@ def _hits(sent):
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text",
+    item_text_col: str = "text", result: str = "_hits",
 ) -> DataFrame:
-    """Add the struct ``_hits``: the document's number of words, the runs of hit words ``from`` to ``to`` (end exclusive), and the items.
+    """Add the struct ``result``: the document's number of words, the runs of hit words ``from`` to ``to`` (end exclusive), and the items.
 
     A window is ``window`` consecutive words of an item; a shorter item with any word is one window. A word inside any
     occurrence of a window is hit. Null texts have no words; items with equal ids are one item; a null item
@@ -178,7 +178,8 @@ def contamination(
         cut = stored(placed.withColumn("block", F.expr(f"before_bytes div {AUTOMATON_BYTES}")), "item-blocks")
         numbers = range(-(-size // AUTOMATON_BYTES))
         blocks = [cut.where(F.col("block") == n).select("item", "words") for n in numbers]
-        docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        row, some_hits = free_name(docs, "_row"), free_name(docs, "_some")
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
         text = F.coalesce(F.col(text_col), F.lit(""))
 
     def hits_of(block: DataFrame) -> Column:
@@ -186,8 +187,8 @@ def contamination(
         return _hits(spark.sparkContext.broadcast(Automaton(rows, window)))(text)
 
     if len(blocks) == 1:
-        return docs.withColumn("_hits", hits_of(blocks[0]))
-    passes = [stored(docs.select("_row", hits_of(b).alias("h")).where(F.size("h.items") > 0), "hits") for b in blocks]
+        return docs.withColumn(result, hits_of(blocks[0]))
+    passes = [stored(docs.select(row, hits_of(b).alias("h")).where(F.size("h.items") > 0), "hits") for b in blocks]
     united = passes[0]
     for more in passes[1:]:
         united = united.unionByName(more)
@@ -203,16 +204,16 @@ def contamination(
         return pd.DataFrame(rows, columns=["n_words", "from", "to", "items"])
 
     # One row per pass and document at most.
-    gathered = united.groupBy("_row").agg(
+    gathered = united.groupBy(row).agg(
         F.max("h.n_words").alias("n"), *[F.collect_list(f"h.{c}").alias(c) for c in ("from", "to", "items")]
     )
-    some = gathered.select("_row", unite("n", "from", "to", "items").alias("_some"))
+    some = gathered.select(row, unite("n", "from", "to", "items").alias(some_hits))
     clean = F.struct(
         F.pandas_udf(_word_counts, LongType())(text).alias("n_words"), F.expr("array()").cast("array<int>").alias("from"),
         F.expr("array()").cast("array<int>").alias("to"), F.expr("array()").cast("array<string>").alias("items"),
     )
-    joined = docs.join(some, "_row", "left").withColumn("_hits", F.coalesce("_some", clean))
-    return joined.drop("_some", "_row")
+    joined = docs.join(some, row, "left").withColumn(result, F.coalesce(some_hits, clean))
+    return joined.drop(some_hits, row)
 
 
 def _word_counts(texts: pd.Series) -> pd.Series:
@@ -242,11 +243,11 @@ def decontaminated(
 
     Columns stay as they are; documents without a hit keep every character, null texts stay null.
     """
-    columns = docs.columns
-    found = contamination(docs, benchmark, window, text_col)
+    columns, hits = docs.columns, free_name(docs, "_hits")
+    found = contamination(docs, benchmark, window, text_col, result=hits)
     n_hit = F.aggregate(
-        F.zip_with("_hits.from", "_hits.to", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x
+        F.zip_with(f"{hits}.from", f"{hits}.to", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x
     )
-    kept = found.where(n_hit <= F.col("_hits.n_words") * F.lit(max_share))
+    kept = found.where(n_hit <= F.col(f"{hits}.n_words") * F.lit(max_share))
     without = F.pandas_udf(_without, StringType())
-    return kept.withColumn(text_col, without(F.col(text_col), "_hits.from", "_hits.to")).select(*columns)
+    return kept.withColumn(text_col, without(F.col(text_col), f"{hits}.from", f"{hits}.to")).select(*columns)

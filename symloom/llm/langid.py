@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import stored
+from symloom.llm.shared import free_name, stored
 
 #: The n-grams of a profile, most frequent first.
 PROFILE = 400
@@ -108,8 +108,8 @@ def learn_profiles(
     return Profiles(best)
 
 
-def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """Add the struct ``_language`` of ``lang`` and ``score`` (0 to 1) to every row; other columns stay.
+def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", result: str = "_language") -> DataFrame:
+    """Add the struct ``result`` of ``lang`` and ``score`` (0 to 1) to every row; other columns stay.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when nothing was
     learned. Equal distances go to the first language in alphabetical order. Only the text counts.
@@ -121,11 +121,12 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Da
         known = sent.value
         return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_language", language(F.col(text_col)))
+    return docs.withColumn(result, language(F.col(text_col)))
 
 
 def identified(docs: DataFrame, min_score: float = 0.0, **columns: str) -> DataFrame:
     """The documents in a known language with at least ``min_score``; their columns stay as they are."""
-    found = predicted(docs, learn_profiles(docs, **columns), columns.get("text_col", "text"))
-    sure = (F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= min_score)
+    name = free_name(docs, "_language")
+    found = predicted(docs, learn_profiles(docs, **columns), columns.get("text_col", "text"), name)
+    sure = (F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)
     return found.where(sure).select(*docs.columns)

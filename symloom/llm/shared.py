@@ -46,6 +46,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker, for caches that later tasks of the worker use again."""
     module = sys.modules.setdefault("symloom_worker_state", types.ModuleType("symloom_worker_state"))

@@ -122,9 +122,10 @@ class Bayes:
 
 
 def judged(
-    pages: DataFrame, rules: dict[str, str], url_col: str = "url", html_col: str = "html", vocabulary: int = VOCABULARY
-) -> DataFrame:
-    """Add the struct ``_judged``: ``host, path, rule, verdict, odds``; other columns stay as they are.
+    pages: DataFrame, rules: dict[str, str], url_col: str = "url", html_col: str = "html", vocabulary: int = VOCABULARY,
+    result: str = "_judged",
+) -> DataFrame:
+    """Add the struct ``result``: ``host, path, rule, verdict, odds``; other columns stay as they are.
 
     The longest rule that fits decides. For other urls the naive Bayes does, taught by all pages that a rule
     decides: ``block`` where the odds favour it, ``allow`` otherwise, also when no rule fits anywhere. A null url, or
@@ -142,18 +143,15 @@ def judged(
         return pd.Series([words.tokens(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="object")
 
     host, path = host_and_path(F.col(url_col))
-    verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else None
-
-    def ruled(df: DataFrame, *columns: str) -> DataFrame:
-        parsed = df.select(*columns, host.alias("_host"), path.alias("_path"))
-        found = parsed.withColumn("_rule", rule_for(F.col("_host"), F.col("_path"), rules))
-        decided = F.lit(None).cast("string") if verdicts is None else F.when(F.col("_rule").isNotNull(), verdicts[F.col("_rule")])
-        return found.withColumn("_decided", decided)
-
-    taught = ruled(pages).where(F.col("_decided").isNotNull())
-    blocked = (F.col("_decided") == BLOCK).cast("long")
+    rule = rule_for(host, path, rules)
+    decided = F.lit(None).cast("string")
+    for name, verdict in rules.items():
+        decided = F.when(rule == name, F.lit(verdict)).otherwise(decided)
+    ruled = pages.select(host.alias("host"), path.alias("path"), decided.alias("decided"))
+    taught = ruled.where(F.col("decided").isNotNull())
+    blocked = (F.col("decided") == BLOCK).cast("long")
     n = taught.agg(F.sum(1 - blocked), F.sum(blocked)).first()
-    tokens = taught.select(blocked.alias("b"), F.explode(tokens_of("_host", "_path")).alias("token"))
+    tokens = taught.select(blocked.alias("b"), F.explode(tokens_of("host", "path")).alias("token"))
     counts = stored(tokens.groupBy("token").agg(F.sum(1 - F.col("b")).alias("a"), F.sum("b").alias("b")), "url-tokens")
     totals = counts.agg(F.sum("a"), F.sum("b")).first()
     top = counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary).collect()
@@ -169,10 +167,9 @@ def judged(
             np.array([scorer.score(words.tokens(h, p)) for h, p in zip(hosts, paths, strict=True)], np.float64)
         )
 
-    scored = ruled(pages, *pages.columns).withColumn("_odds", odds("_host", "_path"))
-    verdict = F.coalesce("_decided", F.when(F.col("_odds") > 0, BLOCK).otherwise(ALLOW))
+    score = odds(host, path)
+    verdict = F.coalesce(decided, F.when(score > 0, BLOCK).otherwise(ALLOW))
     found = F.struct(
-        F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
-        verdict.alias("verdict"), F.col("_odds").alias("odds"),
-    )
-    return scored.select(*pages.columns, found.alias("_judged"))
+        host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"), score.alias("odds")
+    )
+    return pages.withColumn(result, found)
