@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "symloom", cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session. On a cluster use the session you are given; nothing here depends on this one."""
-    spark = (
+def build_session(
+    app: str = "symloom", cpus: str = "8", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session, with ``shared`` as its shared folder. On a cluster use the session you are given."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +21,10 @@ def build_session(app: str = "symloom", cpus: str = "8", shuffle_partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -9,7 +9,7 @@ from symloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "8", 4)
+def spark(tmp_path_factory):
+    session = build_session("tests", "8", 4, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
