@@ -57,7 +57,7 @@ class WaveletMatrix:
         block = np.minimum(at // (8 * BLOCK_BYTES), len(self.ranks[level]) - 1)
         bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK_BYTES)[block], axis=1)
         inside = np.arange(8 * BLOCK_BYTES) < (at - block * 8 * BLOCK_BYTES)[:, None]
-        return self.ranks[level][block] + (bits & inside).sum(axis=1)
+        return self.ranks[level][block] + (bits & inside).sum(axis=1, dtype=np.int64)
 
     def _select(self, level: int, one: bool, nth: np.ndarray) -> np.ndarray:
         starts = np.arange(len(self.ranks[level])) * 8 * BLOCK_BYTES
