@@ -69,11 +69,12 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> l
     inside = right is None
     nodes = left if inside else np.concatenate((left, right))
     offset = 0 if inside else len(left)
-    others = nodes[offset:]
+    # Of a negative number numpy would count the bits of its absolute value.
+    bits = nodes.view(np.uint64)
     root = np.arange(len(nodes))
     links = []
     for at in range(0, len(left), 256):
-        near = np.bitwise_count(left[at : at + 256, None] ^ others[None, :]) <= radius
+        near = np.bitwise_count(bits[at : min(at + 256, len(left)), None] ^ bits[None, offset:]) <= radius
         for k in np.flatnonzero(near.any(axis=1)):
             i, hits = at + k, np.flatnonzero(near[k]) + offset
             roots, where = np.unique(root[hits], return_index=True)

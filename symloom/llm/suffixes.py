@@ -196,9 +196,10 @@ def sorted_repeats(suffixes: DataFrame, name: str) -> DataFrame:
     placed = suffixes.repartitionByRange(*WORDS, "row", "place")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = pd.concat(list(batches), ignore_index=True)
-        if not len(bucket):
+        frames = list(batches)
+        if not any(len(f) for f in frames):
             return
+        bucket = pd.concat(frames, ignore_index=True)
         order = multikey_order([bucket[c].to_numpy() for c in (*WORDS, "row", "place")])
         bucket = bucket.iloc[order].reset_index(drop=True)
         values = bucket[WORDS].to_numpy()
