@@ -16,15 +16,14 @@ from symloom.operators import scale
 STREAM = ["stream_id"]
 
 
-def stream_full_text(chunks: DataFrame, part_bytes: int = scale.PART_BYTES) -> DataFrame:
-    """All chunks of a stream in order as one text; numbered parts where it exceeds ``part_bytes``."""
+def stream_full_text(chunks: DataFrame) -> DataFrame:
+    """All chunks of a stream in order as one text."""
     return scale.concat_in_order(
         chunks,
         STREAM,
         ["seq"],
         "text",
         scale.seq_block("seq", scale.ROWS_PER_TEXT_BLOCK),
-        part_bytes,
         result="full_text",
     )
 
@@ -139,44 +138,56 @@ def stream_lines(
     chunks: DataFrame,
     prefix: str = "",
     pending: DataFrame | None = None,
-    part_bytes: int = scale.PART_BYTES,
     rows_per_block: int = scale.ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Line reports ``(stream_id, seq, part, message)``, and the pending text of a stream with NULL seq.
+    """Line reports ``(stream_id, seq, message)`` of the chunks that have a newline.
 
-    A report comes with each chunk that has a newline: the pending text and the chunk up to its first
-    newline, after ``prefix``. ``pending(stream_id, part, text)`` is what earlier chunks left over.
+    A report is the pending text and the chunk up to its first newline, after ``prefix``.
+    ``pending(stream_id, seq, place, piece)`` are the pieces that earlier chunks left open.
+    """
+    return close_reports(open_pieces(chunks, pending, rows_per_block), prefix)
+
+
+def open_pieces(
+    chunks: DataFrame, pending: DataFrame | None = None, rows_per_block: int = scale.ROWS_PER_BLOCK
+) -> DataFrame:
+    """The pieces of ``line_pieces``, with what earlier chunks left open in front, and ``closed``: whether a report closes.
+
+    The report after the last newline of a stream stays open; its pieces are what the next chunks go on from.
     """
     pieces = line_pieces(chunks, rows_per_block)
     if pending is not None:
         earlier = pending.select(
             "stream_id",
-            F.lit(-1).cast("bigint").alias("seq"),
+            F.col("seq").cast("bigint").alias("seq"),
             F.lit(0).cast("bigint").alias("report"),
-            F.col("part").cast("int").alias("place"),
-            F.col("text").alias("piece"),
+            F.col("place").cast("int").alias("place"),
+            "piece",
             F.lit(None).cast("bigint").alias("closed_by"),
         )
         pieces = pieces.unionByName(earlier)
+    last = pieces.groupBy("stream_id").agg(
+        F.coalesce(F.max(F.when(F.col("closed_by").isNotNull(), F.col("report"))), F.lit(-1)).alias("_last")
+    )
+    return pieces.join(last, "stream_id").withColumn("closed", F.col("report") <= F.col("_last")).drop("_last")
+
+
+def close_reports(pieces: DataFrame, prefix: str = "") -> DataFrame:
+    """The closed reports of ``open_pieces``, joined: ``(stream_id, seq, message)``."""
     texts = scale.concat_in_order(
-        pieces,
+        pieces.where("closed"),
         ["stream_id", "report"],
         ["seq", "place"],
         "piece",
         scale.seq_block("seq", scale.ROWS_PER_TEXT_BLOCK),
-        part_bytes,
         result="message",
         highest="closed_by",
     )
-    starts_report = F.col("closed_by").isNotNull() & (F.col("part") == 0)
     return texts.select(
-        "stream_id",
-        F.col("closed_by").alias("seq"),
-        "part",
-        F.concat(F.when(starts_report, F.lit(prefix)).otherwise(F.lit("")), F.col("message")).alias("message"),
+        "stream_id", F.col("closed_by").alias("seq"), F.concat(F.lit(prefix), F.col("message")).alias("message")
     )
 
 
 def stream_line_progress(chunks: DataFrame, prefix: str = "") -> DataFrame:
     """The line report of each chunk that has a newline."""
-    return stream_lines(chunks, prefix).where(F.col("seq").isNotNull())
+    return stream_lines(chunks, prefix)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.functions import names
 from symloom.functions import specs as sp
 from symloom.functions import text as tx
-from symloom.operators.scale import PART_BYTES, concat_in_order, join_unique
+from symloom.operators.scale import concat_in_order, join_unique
 from symloom.operators.search import SYMBOL_ORDER, prefix_matches, prefix_search_many
 
 # Fixed value: the instruction block of the prompt.
@@ -63,34 +64,70 @@ def parse_context_specs(specs: DataFrame) -> DataFrame:
 
 
 def open_document_overlay(files: DataFrame, open_documents: DataFrame) -> DataFrame:
-    """Current text of each path: the unsaved text of an open document wins over the stored one."""
-    opened = open_documents.select("workspace", "path", F.col("text").alias("_open_text"))
-    return files.join(opened, ["workspace", "path"], "full_outer").withColumns(
+    """Current text of each path: the unsaved text of an open document wins over the stored one.
+
+    The open documents are the small side of both joins; of the files, only keys meet the open documents that
+    are no files yet.
+    """
+    key = ["workspace", "path"]
+    opened = open_documents.select(*key, F.col("text").alias("_open_text"))
+    stored = files.join(opened, key, "left").withColumns(
         {"is_open": F.col("_open_text").isNotNull(), "text": F.coalesce("_open_text", "text")}
     ).drop("_open_text")
+    new = opened.join(files.select(*key), key, "left_anti").select(
+        *key, F.col("_open_text").alias("text"), F.col("_open_text").isNotNull().alias("is_open")
+    )
+    return stored.unionByName(new, allowMissingColumns=True)
+
+
+# Lengths of the path ends that join wanted files to symbols; a wanted file uses the longest that its name fills.
+TAILS = [1, 2, 4, 8, 16, 24, 32, 48, 64]
+
+
+def _symbols_of_files(symbols: DataFrame, asked: DataFrame, absolute: Column) -> DataFrame:
+    """Symbols of the files whose path ends with each ``asked`` filename, by an equi-join on the end of the path."""
+    sizes = F.array(*[F.lit(size) for size in TAILS])
+    size = F.array_max(F.filter(sizes, lambda size: size <= F.length("filename")))
+    tailed = asked.withColumn("_size", size).withColumn("_tail", F.right("filename", F.col("_size")))
+    # A handful of numbers.
+    used = sorted(r[0] for r in tailed.select("_size").distinct().collect() if r[0] is not None)
+    lengths = F.array(*[F.lit(size) for size in used or TAILS[:1]])
+    fitting = F.filter(lengths, lambda size: size <= F.length(absolute))
+    tails = F.transform(fitting, lambda size: F.right(absolute, size))
+    return (
+        symbols.withColumn("_tail", F.explode(tails))
+        .join(tailed.drop("_size"), ["workspace", "_tail"])
+        .where(absolute.endswith(F.col("filename")))
+        .drop("_tail")
+    )
 
 
 def find_symbol_in_file(
-    symbols: DataFrame, wanted: DataFrame, root: str = "", corrected: bool = False
+    symbols: DataFrame, wanted: DataFrame, root: str = "", corrected: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Range of the first prefix hit whose path ends with the filename, per ``(filename, identifier)``.
 
-    Only the first 100 hits of an identifier are tried, unless ``corrected``.
+    All hits are tried, and a name meets the symbols of its own files only; with a ``limit``, that many
+    first hits of an identifier in the workspace are looked through, as a search page would give them.
     """
     keys = ["workspace", "filename", "identifier"]
     asked = wanted.select(*keys).distinct()
     absolute = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
-    if corrected:
-        hits = prefix_matches(symbols, asked.withColumn("query", F.col("identifier")))
+    matches = names.has_prefix(F.col("name_fold"), F.col("identifier"), corrected)
+    if limit is None:
+        hits = _symbols_of_files(symbols, asked.where("filename <> ''"), absolute).where(matches)
+        # Every path ends with the empty name: those look by identifier.
+        anywhere = asked.where("filename = ''").withColumn("query", F.col("identifier"))
+        columns = [*keys, *SYMBOL_ORDER, "end_line", "end_col"]
+        hits = hits.select(*columns).unionByName(prefix_matches(symbols, anywhere, corrected).select(*columns))
     else:
         queries = asked.select(
             "workspace", F.col("identifier").alias("query_id"), F.col("identifier").alias("query")
         ).distinct()
-        first_hits = prefix_search_many(symbols, queries).withColumn("identifier", F.col("query_id"))
-        hits = asked.join(first_hits, ["workspace", "identifier"])
+        first_hits = prefix_search_many(symbols, queries, limit, corrected).withColumn("identifier", F.col("query_id"))
+        hits = asked.join(first_hits, ["workspace", "identifier"]).where(absolute.endswith(F.col("filename")))
     return (
-        hits.where(absolute.endswith(F.col("filename")))
-        .groupBy(*keys)
+        hits.groupBy(*keys)
         .agg(
             F.min_by(
                 F.struct("start_line", "start_col", "end_line", "end_col"), F.struct(*SYMBOL_ORDER)
@@ -175,18 +212,15 @@ def render_context_item(kind, filename, identifier, content):
     )
 
 
-def build_context(items: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rendered items of each spec in order; any failing item fails the whole spec.
-
-    A context longer than ``part_bytes`` comes as numbered parts.
-    """
+def build_context(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Rendered items of each spec in order, one whole context per spec; any failing item fails the whole spec."""
     rendered = items.withColumn(
         "_text",
         render_context_item(F.col("type"), F.col("filename"), F.col("identifier"), F.col("content")),
     )
     block = F.struct("line_no", F.floor(F.col("item_no") / ITEMS_PER_BLOCK))
     return concat_in_order(
-        rendered, keys, ["line_no", "item_no"], "_text", block, part_bytes, result="context", error="error"
+        rendered, keys, ["line_no", "item_no"], "_text", block, result="context", error="error"
     )
 
 

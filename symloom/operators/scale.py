@@ -2,7 +2,7 @@
 
 * ``join_unique``: equi-join to a side with unique keys; hot keys are salted.
 * ``running_totals``: running sums in two levels, blocks first, so a hot group is spread over tasks.
-* ``concat_in_order``: ordered concatenation by blocks, with a bound on each resulting text.
+* ``concat_in_order``: ordered concatenation by blocks, one whole text per key.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ HOT_KEYS = 256
 SALTS = 64
 ROWS_PER_BLOCK = 65536
 ROWS_PER_TEXT_BLOCK = 512
-PART_BYTES = 64 * 1024 * 1024
+# A row holds one text; Spark's rows end at 2 GB.
+MAX_TEXT_BYTES = 1 << 30
 
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE_HERE = (Window.unboundedPreceding, -1)
@@ -112,14 +113,15 @@ def concat_in_order(
     order: list[str],
     text: str,
     block: Column,
-    part_bytes: int = PART_BYTES,
     result: str = "text",
     error: str | None = None,
     highest: str | None = None,
+    max_bytes: int = MAX_TEXT_BYTES,
 ) -> DataFrame:
-    """Concatenate ``text`` per key in order: one row per key, numbered parts beyond ``part_bytes``.
+    """Concatenate ``text`` per key in order: one row per key with its whole text, at any size that a row can hold.
 
-    The texts of a block are joined first. A key of any size is whole: its parts, in order, are its text.
+    The texts of a block are joined first, so a key of many short rows is joined by many tasks and the last
+    step moves its blocks only. A text beyond ``max_bytes`` stops the job and names its key: it would not fit a row.
     With an ``error`` column, a key with any error gives its first error and no text. The largest value of
     the column ``highest`` comes along with each key.
     """
@@ -141,28 +143,24 @@ def concat_in_order(
             ).alias("_error"),
         )
     )
-    key = Window.partitionBy(*keys)
-    before = key.orderBy("_block").rowsBetween(*BEFORE_HERE)
-    summary = blocks.select(*keys, "_block", F.octet_length("_text").cast("bigint").alias("_bytes"), "_error", "_mark")
-    parts = summary.select(
-        *keys,
-        "_block",
-        F.floor(F.coalesce(F.sum("_bytes").over(before), F.lit(0)) / F.lit(part_bytes)).alias("part"),
-        F.min(F.when(F.col("_error").isNotNull(), F.struct("_block", "_error"))).over(key).alias("_first"),
-        F.max("_mark").over(key).alias("_mark"),
+    whole = blocks.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_text"))).alias("_texts"),
+        F.sum(F.octet_length("_text").cast("bigint")).alias("_bytes"),
+        F.min(F.when(F.col("_error").isNotNull(), F.struct("_block", "_error"))).alias("_first"),
+        F.max("_mark").alias("_mark"),
     )
-    failed = F.col("_first").isNotNull()
-    joined = blocks.drop("_error", "_mark").join(parts, [*keys, "_block"]).select(
-        *keys,
-        F.when(failed, F.lit(0)).otherwise(F.col("part")).cast("bigint").alias("part"),
-        F.col("_first._error").alias("_error"),
-        "_mark",
-        F.struct("_block", F.when(~failed, F.col("_text")).alias("_text")).alias("_piece"),
+    too_long = F.raise_error(
+        F.concat(F.lit("text longer than a row can hold: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))
     )
-    ordered = F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_text"])
-    columns = [F.when(F.first("_error").isNull(), F.array_join(ordered, "")).alias(result)]
+    joined = F.array_join(F.transform("_texts", lambda p: p["_text"]), "")
+    columns = [
+        F.when(F.col("_first").isNotNull(), None)
+        .when(F.col("_bytes") > max_bytes, too_long.cast("string"))
+        .otherwise(joined)
+        .alias(result)
+    ]
     if error is not None:
-        columns.append(F.first("_error").alias(error))
+        columns.append(F.col("_first._error").alias(error))
     if highest is not None:
-        columns.append(F.first("_mark").alias(highest))
-    return joined.groupBy(*keys, "part").agg(*columns)
+        columns.append(F.col("_mark").alias(highest))
+    return whole.select(*keys, *columns)

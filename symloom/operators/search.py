@@ -13,15 +13,18 @@ from pyspark.sql.window import Window
 
 from symloom.functions import names
 from symloom.functions import text as tx
+from symloom.session import checkpointed
 
 PREFIX_LIMIT = 100
 NEAREST = 10
 # Lengths of the prefixes that join queries to names; a query uses the longest that its literal start fills.
 HEADS = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32]
 CACHED_WORDS = 1 << 16
-# Queries a single pass over the embeddings compares with; more queries take more passes.
-QUERIES_PER_PASS = 2000
-DISTANCE_DIGITS = 6
+# Vectors in a block, about: a task compares one block of queries with one block of embeddings at a time.
+QUERIES_PER_BLOCK = 1024
+VECTORS_PER_BLOCK = 4096
+# Symbols of a workspace are spread over this many tasks for queries that start with a wildcard.
+SALTS = 64
 
 SYMBOL_ORDER = ["path", "start_line", "start_col", "name"]
 
@@ -43,20 +46,32 @@ def prefix_matches(symbols: DataFrame, queries: DataFrame, corrected: bool = Fal
     """Symbols that match each ``queries(workspace, query_id, query)``, uncut.
 
     An equi-join on workspace and the literal start of the query finds the candidates, so a symbol meets
-    next to no query that it does not match.
+    next to no query that it does not match; it is copied for the lengths that the queries use only. A
+    query without a literal start must look at every symbol of its workspace: those are spread by salts.
     """
     sizes = F.array(*[F.lit(size) for size in HEADS])
-    fitting = F.filter(sizes, lambda size: size <= F.length("name_fold"))
-    heads = F.transform(fitting, lambda size: F.substring(F.col("name_fold"), F.lit(1), size))
     literal = names.literal_start(F.col("query"), corrected)
     size = F.array_max(F.filter(sizes, lambda size: size <= F.length(literal)))
-    asked = queries.withColumn("_head", F.substring(literal, F.lit(1), size))
-    return (
-        symbols.withColumn("_head", F.explode(heads))
-        .join(asked, ["workspace", "_head"])
-        .where(names.has_prefix(F.col("name_fold"), F.col("query"), corrected))
-        .drop("_head")
-    )
+    asked = queries.withColumn("_size", size).withColumn("_head", F.substring(literal, F.lit(1), F.col("_size")))
+    # A dozen numbers at most.
+    used = sorted(r[0] for r in asked.select("_size").distinct().collect() if r[0] is not None)
+    matches = names.has_prefix(F.col("name_fold"), F.col("query"), corrected)
+    found = []
+    if any(used):
+        lengths = F.array(*[F.lit(size) for size in used if size])
+        fitting = F.filter(lengths, lambda size: size <= F.length("name_fold"))
+        heads = F.transform(fitting, lambda size: F.substring(F.col("name_fold"), F.lit(1), size))
+        by_head = asked.where("_size > 0").drop("_size")
+        found.append(
+            symbols.withColumn("_head", F.explode(heads)).join(by_head, ["workspace", "_head"]).where(matches).drop("_head")
+        )
+    if 0 in used or not found:
+        salt = F.pmod(F.xxhash64(*SYMBOL_ORDER), F.lit(SALTS)).cast("int")
+        copies = asked.where("_size = 0").drop("_size", "_head").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        )
+        found.append(symbols.withColumn("_salt", salt).join(copies, ["workspace", "_salt"]).where(matches).drop("_salt"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def prefix_search_many(
@@ -118,70 +133,91 @@ def embed_symbols(symbols_with_text: DataFrame, model: Model | None = None) -> D
     )
 
 
-def _nearest_in_task(queries: list, k: int):
-    """Keep the k nearest rows per query while the batches of a task go by."""
-    query_ids = [row["query_id"] for row in queries]
-    vectors = [np.asarray(row["embedding"], dtype=np.float64) for row in queries]
+def _vector_blocks(vectors: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Vectors in blocks of about ``size`` per workspace: ``workspace, <prefix>_block, <prefix>_blocks, keys, values``."""
+    sized = vectors.where(F.col("embedding").isNotNull()).select(
+        "workspace", F.col(key).alias("_key"), F.col("embedding").cast("array<double>").alias("_vector")
+    )
+    counts = sized.groupBy("workspace").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{prefix}_blocks"))
+    block = F.pmod(F.xxhash64("_key"), F.col(f"{prefix}_blocks")).cast("int")
+    row = F.struct("_key", "_vector")
+    return (
+        sized.join(counts, "workspace")
+        .groupBy("workspace", block.alias(f"{prefix}_block"), f"{prefix}_blocks")
+        .agg(F.collect_list(row).alias("_rows"))
+        .select(
+            "workspace",
+            f"{prefix}_block",
+            f"{prefix}_blocks",
+            F.transform("_rows", lambda r: r["_key"]).alias(f"{prefix}_keys"),
+            F.flatten(F.transform("_rows", lambda r: r["_vector"])).alias(f"{prefix}_values"),
+        )
+    )
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [(np.empty(0), np.empty(0, dtype=object))] * len(vectors)
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["symbol_id"].to_numpy(dtype=object)
-            matrix = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            for at, vector in enumerate(vectors):
-                gaps = matrix - vector
-                distance = np.round(np.sqrt((gaps * gaps).sum(axis=1)), DISTANCE_DIGITS)
-                distance = np.concatenate([best[at][0], distance])
-                names_ = np.concatenate([best[at][1], ids])
-                if len(distance) > k:
-                    near = distance <= np.partition(distance, k - 1)[k - 1]
-                    distance, names_ = distance[near], names_[near]
-                order = sorted(range(len(distance)), key=lambda i: (distance[i], names_[i]))[:k]
-                best[at] = (distance[order], names_[order])
-        for query_id, (distance, found) in zip(query_ids, best, strict=True):
-            if len(found):
-                yield pd.DataFrame({"query_id": query_id, "symbol_id": found, "distance": distance})
-
-    return nearest
-
-
-def _query_slices(queries: DataFrame) -> Iterator[list]:
-    """The query vectors in lists of a checked size: one list when they are few, else hash slices."""
-    few = queries.select("query_id", "embedding").limit(QUERIES_PER_PASS + 1).collect()
-    if len(few) <= QUERIES_PER_PASS:
-        yield few
-        return
-    slices = queries.count() * 2 // QUERIES_PER_PASS + 1
-    for number in range(slices):
-        chosen = F.pmod(F.xxhash64(F.col("query_id")), F.lit(slices)) == number
-        yield queries.where(chosen).select("query_id", "embedding").collect()
+
+def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
+    """Per query, its row number, the ids of the k nearest vectors, and their distances; ties by id.
+
+    One matrix product tells who can be among the k; their distances are then summed place by place.
+    """
+    squares = (vectors * vectors).sum(axis=1)
+    own = (queries * queries).sum(axis=1)
+    rough = own[:, None] + squares[None, :] - 2 * (queries @ vectors.T)
+    slack = 1e-9 * (own + squares.max(initial=0.0) + 1)
+    if len(ids) > k:
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+    else:
+        limit = np.full(len(queries), np.inf)
+    for at, query in enumerate(queries):
+        near = np.flatnonzero(rough[at] <= limit[at])
+        gaps = vectors[near] - query
+        distance = np.sqrt(np.cumsum(gaps * gaps, axis=1)[:, -1]) if gaps.shape[1] else np.zeros(len(near))
+        order = np.lexsort((ids[near], distance))[:k]
+        yield at, ids[near][order], distance[order]
 
 
 def nearest_symbols(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """The k nearest of ``embeddings(symbol_id, embedding)`` per ``queries(query_id, embedding)``, by L2.
+    """The k nearest of ``embeddings(workspace, symbol_id, embedding)`` per ``queries(workspace, query_id, embedding)``, by L2.
 
-    Each task keeps k rows per query, so the shuffle carries no more than that from a task. Distances are
-    rounded, so that ranks do not hang on the order of a sum; ties go to the lower id.
+    A query sees its own workspace only. Both sides come in blocks, and every block of a workspace's queries meets
+    every block of its embeddings in some task; a pair of blocks gives k rows per query. Ties go to the lower id.
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
-    found = None
-    for part in _query_slices(queries):
-        rows = embeddings.select("symbol_id", "embedding").mapInPandas(
-            _nearest_in_task(part, k), f"query_id {query_type}, symbol_id string, distance double"
-        )
-        found = rows if found is None else found.unionByName(rows)
-    by_distance = Window.partitionBy("query_id").orderBy("distance", "symbol_id")
+    asked = _vector_blocks(queries, "query_id", QUERIES_PER_BLOCK, "query")
+    stored = _vector_blocks(embeddings, "symbol_id", VECTORS_PER_BLOCK, "symbol")
+    numbers = asked.select("workspace", "query_blocks").distinct()
+    aimed = stored.join(numbers, "workspace").withColumn(
+        "query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))
+    )
+    pairs = aimed.drop("query_blocks").join(asked.drop("query_blocks"), ["workspace", "query_block"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                ids = np.array(list(pair.symbol_keys), dtype=object)
+                keys = list(pair.query_keys)
+                vectors = np.asarray(pair.symbol_values, np.float64).reshape(len(ids), -1)
+                sought = np.asarray(pair.query_values, np.float64).reshape(len(keys), -1)
+                frames = [
+                    pd.DataFrame({"workspace": pair.workspace, "query_id": keys[at], "symbol_id": found, "distance": distance})
+                    for at, found, distance in nearest_in_block(sought, vectors, ids, k)
+                ]
+                yield pd.concat(frames, ignore_index=True)
+
+    columns = ["workspace", "symbol_keys", "symbol_values", "query_keys", "query_values"]
+    found = pairs.select(*columns).mapInPandas(
+        compare, f"workspace string, query_id {query_type}, symbol_id string, distance double"
+    )
+    by_distance = Window.partitionBy("workspace", "query_id").orderBy("distance", "symbol_id")
     return found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
 
 
 def semantic_symbol_search(
     symbols: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = NEAREST
 ) -> DataFrame:
-    """The symbols whose embeddings are nearest to each query vector, with their rank."""
-    hits = nearest_symbols(embeddings, queries, k).select("query_id", "rank", "symbol_id")
-    return symbols.join(hits, "symbol_id")
+    """The symbols of each query's workspace whose embeddings are nearest to its vector, with their rank."""
+    hits = nearest_symbols(embeddings, queries, k).select("workspace", "query_id", "rank", "symbol_id")
+    return symbols.join(hits, ["workspace", "symbol_id"])
 
 
 def needs_semantic_search(query: Column) -> Column:
@@ -197,16 +233,21 @@ def hybrid_symbol_search(
     limit: int = PREFIX_LIMIT,
     k: int = NEAREST,
 ) -> DataFrame:
-    """Prefix hits of each query; for a long query without any, the nearest symbols instead."""
-    columns = ["query_id", "query", "rank", "symbol_id", "name", "path", "start_line", "source"]
-    prefix = prefix_search_many(symbols, queries, limit).withColumn("source", F.lit("prefix"))
+    """Prefix hits of each query in its workspace; for a long query without any, the nearest symbols there instead.
+
+    The prefix hits and the vectors of the queries left over are stored, so neither is made twice.
+    """
+    columns = ["workspace", "query_id", "query", "rank", "symbol_id", "name", "path", "start_line", "source"]
+    key = ["workspace", "query_id"]
+    hits = prefix_search_many(symbols, queries, limit).withColumn("source", F.lit("prefix"))
+    prefix = checkpointed(hits.select(*columns))
     unmatched = queries.where(needs_semantic_search(F.col("query"))).join(
-        prefix.select("query_id").distinct(), "query_id", "left_anti"
+        prefix.select(*key).distinct(), key, "left_anti"
     )
-    vectors = unmatched.withColumn("embedding", embed_text(F.col("query"), model))
+    vectors = checkpointed(unmatched.select(*key, "query").withColumn("embedding", embed_text(F.col("query"), model)))
     semantic = (
         semantic_symbol_search(symbols, embeddings, vectors, k)
-        .join(unmatched.select("query_id", "query"), "query_id")
+        .join(vectors.select(*key, "query"), key)
         .withColumn("source", F.lit("semantic"))
     )
-    return prefix.select(*columns).unionByName(semantic.select(*columns))
+    return prefix.unionByName(semantic.select(*columns))

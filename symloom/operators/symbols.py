@@ -100,9 +100,10 @@ def add_text_errors(files: DataFrame) -> DataFrame:
 
 
 def extract_symbols(
-    files: DataFrame, rules: list[Rule] = DEFINITION_RULES, with_text: bool = False, corrected: bool = False
-) -> DataFrame:
-    """One row per top-level definition of ``files(workspace, path, text)``.
+    files: DataFrame, rules: list[Rule] = DEFINITION_RULES, with_text: bool = False, corrected: bool = False,
+    keep: list[str] = (),
+) -> DataFrame:
+    """One row per top-level definition of ``files(workspace, path, text)``, with the columns of the file to ``keep``.
 
     A definition ends where the line before the next definition ends, or at the end of the text. All of
     it happens inside the row of the file: no shuffle, and only the lines array is held.
@@ -110,7 +111,7 @@ def extract_symbols(
     readable = F.instr(F.col("text"), "\u0000") == 0
     located = (
         files.where(readable)
-        .select("workspace", "path", tx.split_lines(F.col("text")).alias("_lines"))
+        .select("workspace", "path", *keep, tx.split_lines(F.col("text")).alias("_lines"))
         .withColumn("_found", _definitions(F.col("_lines"), paths.detect_language(F.col("path")), rules))
     )
     lines = F.col("_lines")
@@ -133,7 +134,7 @@ def extract_symbols(
             fields.append(cut.alias("symbol_text"))
         return F.struct(*fields)
 
-    return located.select("workspace", "path", F.inline(F.transform("_found", extent)))
+    return located.select("workspace", "path", *keep, F.inline(F.transform("_found", extent)))
 
 
 def symbol_table(symbols: DataFrame) -> DataFrame:

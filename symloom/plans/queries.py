@@ -357,9 +357,9 @@ def replace_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def semantic_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbols nearest to the mean vector of each label."""
+    """The symbols nearest to the mean vector of each label, in every workspace."""
     symbols = _embedded_symbols(spark, sf_dir)
-    embeddings = symbols.where(F.col("embedding").isNotNull()).select("symbol_id", "embedding")
+    embeddings = symbols.where(F.col("embedding").isNotNull()).select("workspace", "symbol_id", "embedding")
     means = (
         inp.table(spark, sf_dir, "embeddings")
         .select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("at", "value"))
@@ -368,18 +368,20 @@ def semantic_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("query_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda m: m["mean"]).alias("embedding"))
     )
-    found = se.semantic_symbol_search(symbols.drop("embedding"), embeddings, means)
-    return found.select("query_id", "rank", "symbol_id", "path", "name")
+    asked = means.withColumn("workspace", F.explode(F.array(*[F.lit(name) for name in inp.PROSE])))
+    found = se.semantic_symbol_search(symbols.drop("embedding"), embeddings, asked)
+    return found.select("workspace", "query_id", "rank", "symbol_id", "path", "name")
 
 
 def _search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts whole, and their first words, asked in the English workspace."""
+    """Benchmark texts whole, and their first words, asked in every workspace."""
     items = inp.table(spark, sf_dir, "benchmark")
     whole = items.select(F.concat(F.lit("text "), "item_id").alias("query_id"), F.col("text").alias("query"))
     word = items.select(
         F.concat(F.lit("word "), "item_id").alias("query_id"), F.substring_index("text", " ", 1).alias("query")
     )
-    return whole.unionByName(word).withColumn("workspace", F.lit("en"))
+    workspaces = F.array(*[F.lit(name) for name in inp.PROSE])
+    return whole.unionByName(word).withColumn("workspace", F.explode(workspaces))
 
 
 @query
@@ -387,12 +389,9 @@ def hybrid_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, vectors = scratch_dir(spark, "symbol-table"), scratch_dir(spark, "embedding-table")
     symbols = inp.symbols(spark, sf_dir, with_text=True, corrected=True)
     tb.write_symbol_table(se.embed_symbols(symbols), target, vectors)
-    found = se.hybrid_symbol_search(
-        tb.read_workspace_index(spark, target, "en"),
-        tb.read_workspace_index(spark, vectors, "en"),
-        _search_queries(spark, sf_dir),
-    )
-    return found.select("query_id", "source", "rank", "symbol_id", "name")
+    index, embeddings = spark.read.parquet(target), spark.read.parquet(vectors)
+    found = se.hybrid_symbol_search(index, embeddings, _search_queries(spark, sf_dir))
+    return found.select("workspace", "query_id", "source", "rank", "symbol_id", "name")
 
 
 @query
@@ -567,10 +566,8 @@ def stream_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_text_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every symbol."""
     uid = tx.definition_uid(F.col("path"), *[F.col(c) for c in PLACE])
-    places = inp.symbols(spark, sf_dir).select("workspace", "path", uid.alias("uid"), *PLACE)
-    files = inp.files(spark, sf_dir)
-    texts = gr.definition_texts(places, files, corrected=False)
-    return texts.select("uid", F.md5("definition").alias("text_md5"))
+    symbols = inp.symbols(spark, sf_dir, with_text=True)
+    return symbols.select(uid.alias("uid"), F.md5("symbol_text").alias("text_md5"))
 
 
 @query
@@ -800,13 +797,7 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def symbol_search_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, their symbols, a prefix search, and the located text of each hit."""
-    files = inp.files(spark, sf_dir)
-    hits = se.symbol_prefix_search(inp.symbols(spark, sf_dir), "th")
-    uid = tx.definition_uid(F.col("path"), *[F.col(c) for c in PLACE])
-    located = sy.symbol_location_struct(hits.withColumn("uid", uid), "/repo")
-    texts = gr.definition_texts(located.select("workspace", "path", "uid", *PLACE), files)
-    return (
-        located.join(texts, ["workspace", "path", "uid"])
-        .join(files.select("workspace", "path", "md5"), ["workspace", "path"])
-        .select("name", "kind", F.col("location.uri").alias("uri"), *PLACE, "definition", "md5")
-    )
+    symbols = inp.symbols(spark, sf_dir, with_text=True, corrected=True, keep=["md5"])
+    located = sy.symbol_location_struct(se.symbol_prefix_search(symbols, "th"), "/repo")
+    uri, definition = F.col("location.uri").alias("uri"), F.col("symbol_text").alias("definition")
+    return located.select("name", "kind", uri, *PLACE, definition, "md5")

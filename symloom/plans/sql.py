@@ -135,7 +135,7 @@ closing AS (
   SELECT stream_id, seq, length(before) + instr(text, chr(10)) - 1 AS cut, upto FROM so_far
   WHERE contains(text, chr(10))),
 report AS (
-  SELECT stream_id, seq, 0::BIGINT AS part, 'progress: ' || substr(upto,
+  SELECT stream_id, seq, 'progress: ' || substr(upto,
     coalesce((lag(cut) OVER w) + 1, 0) + 1,
     cut - coalesce((lag(cut) OVER w) + 1, 0)) AS message
   FROM closing WINDOW w AS (PARTITION BY stream_id ORDER BY seq))"""
@@ -182,7 +182,7 @@ found AS (
   SELECT w.workspace, w.filename, w.identifier, h.start_line, h.end_line, h.end_col,
     row_number() OVER (PARTITION BY w.workspace, w.filename, w.identifier ORDER BY rank) AS first
   FROM wanted w JOIN hit h ON h.workspace = w.workspace AND h.identifier = w.identifier
-    AND rank <= 100 AND ends_with('/' || h.path, w.filename)),
+    AND ends_with('/' || h.path, w.filename)),
 located AS (
   SELECT w.*, f.start_line, f.end_line, f.end_col, string_split(o.text, chr(10)) AS ls
   FROM wanted w
@@ -306,6 +306,9 @@ _SELECTED = """CASE n WHEN 2 THEN left(substr(ls[2], 3), 3) ELSE array_to_string
         list_concat(list_concat([substr(ls[2], 3)], ls[3:n - 1]), [left(ls[n], 3)]), chr(10)) END"""
 _FITS = "n >= 2 AND length(ls[2]) >= 2 AND length(ls[n]) >= CASE n WHEN 2 THEN 5 ELSE 3 END"
 
+# Squares are summed place by place.
+_DISTANCE = "sqrt(list_reduce(list_transform(list_zip({0}, {1}), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y))"
+
 _SYMBOL_COLUMNS = "kind, name, start_line, start_col, end_line, end_col"
 
 ORACLES: dict[str, str] = {
@@ -415,32 +418,36 @@ ORACLES: dict[str, str] = {
         means AS (SELECT label, place, avg(v) AS mean FROM parts GROUP BY label, place),
         target AS (SELECT label AS query_id, list(mean ORDER BY place) AS q FROM means GROUP BY label),
         ranked AS (
-          SELECT query_id, symbol_id, path, name, row_number() OVER (PARTITION BY query_id
-            ORDER BY round(list_distance(q, embedding::DOUBLE[]), 6), symbol_id)::INT AS rank
+          SELECT workspace, query_id, symbol_id, path, name, row_number() OVER (PARTITION BY workspace, query_id
+            ORDER BY {_DISTANCE.format("q", "embedding::DOUBLE[]")}, symbol_id)::INT AS rank
           FROM symbol JOIN embeddings ON vec_id = doc_id AND symbol_no = 0 CROSS JOIN target)
-        SELECT query_id, rank, symbol_id, path, name FROM ranked WHERE rank <= 10""",
+        SELECT workspace, query_id, rank, symbol_id, path, name FROM ranked WHERE rank <= 10""",
     "hybrid_symbol_search": f"""WITH {SYMBOLS},
-        english AS (SELECT *, symbol_id AS id, chr(10) || body AS embedded FROM symbol WHERE workspace = 'en'),
-        query AS (
+        embedded AS (SELECT *, symbol_id AS id, chr(10) || body AS embedded FROM symbol),
+        asked_text AS (
           SELECT 'text ' || item_id AS query_id, text AS query FROM benchmark
           UNION ALL SELECT 'word ' || item_id, string_split(text, ' ')[1] FROM benchmark),
+        query AS (SELECT *, unnest(['de', 'en', 'es', 'fr']) AS workspace FROM asked_text),
         prefix_hit AS (
-          SELECT query_id, 'prefix' AS source, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line)::INT
-            AS rank, symbol_id, name
-          FROM query JOIN english ON starts_with(name_fold, {_FOLD.format("query")})),
+          SELECT q.workspace, query_id, 'prefix' AS source, row_number() OVER (
+            PARTITION BY q.workspace, query_id ORDER BY path, start_line)::INT AS rank, symbol_id, name
+          FROM query q JOIN symbol s ON s.workspace = q.workspace AND starts_with(name_fold, {_FOLD.format("query")})),
         unmatched AS (
-          SELECT *, query_id AS id FROM query WHERE query_id NOT IN (SELECT query_id FROM prefix_hit)
-            AND strlen(query) >= 10 AND contains(query, ' '))
-        {_vectors("symbol", "english", "embedded")}{_vectors("asked", "unmatched", "query")},
+          SELECT q.*, query_id AS id FROM query q
+          WHERE strlen(query) >= 10 AND contains(query, ' ') AND NOT EXISTS (
+            SELECT 1 FROM prefix_hit h WHERE h.workspace = q.workspace AND h.query_id = q.query_id)),
+        asked_once AS (SELECT DISTINCT id, query FROM unmatched)
+        {_vectors("symbol", "embedded", "embedded")}{_vectors("asked", "asked_once", "query")},
         symbol_vector AS (SELECT id, list(value::DOUBLE ORDER BY place) AS v FROM symbol_places GROUP BY id),
         asked_vector AS (SELECT id, list(value::DOUBLE ORDER BY place) AS v FROM asked_places GROUP BY id),
         ranked AS (
-          SELECT a.id AS query_id, s.id AS symbol_id, row_number() OVER (PARTITION BY a.id
-            ORDER BY round(list_distance(a.v, s.v), 6), s.id)::INT AS rank
-          FROM asked_vector a CROSS JOIN symbol_vector s)
-        SELECT query_id, source, rank, symbol_id, name FROM prefix_hit WHERE rank <= 100
-        UNION ALL SELECT query_id, 'semantic', rank, symbol_id, name FROM ranked JOIN english USING (symbol_id)
-        WHERE rank <= 10""",
+          SELECT u.workspace, u.query_id, s.id AS symbol_id, row_number() OVER (PARTITION BY u.workspace, u.query_id
+            ORDER BY {_DISTANCE.format("a.v", "s.v")}, s.id)::INT AS rank
+          FROM unmatched u JOIN asked_vector a ON a.id = u.id JOIN embedded e ON e.workspace = u.workspace
+          JOIN symbol_vector s ON s.id = e.id)
+        SELECT workspace, query_id, source, rank, symbol_id, name FROM prefix_hit WHERE rank <= 100
+        UNION ALL SELECT r.workspace, query_id, 'semantic', rank, symbol_id, name
+        FROM ranked r JOIN symbol USING (symbol_id) WHERE rank <= 10""",
     "open_document_overlay": f"""WITH {FILES}{LABELLED}{OVERLAY}
         SELECT workspace, path, is_open, md5(text) AS text_md5 FROM overlay""",
     "lookup_symbol_text": f"""WITH {SYMBOLS}{LABELLED}{OVERLAY}{
@@ -504,13 +511,13 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS b)
         SELECT a AS n_first, b AS n_second, a <> b AS mismatch FROM n UNION ALL SELECT a, a, false FROM n""",
     "build_context": f"""WITH {FETCHED}
-        SELECT spec_id, 0::BIGINT AS part,
+        SELECT spec_id,
           CASE WHEN count(error) = 0 THEN string_agg(rendered, '' ORDER BY line_no, item_no) END AS context,
           arg_min(error, line_no * 10 + item_no) FILTER (error IS NOT NULL AND line_no IS NOT NULL) AS failed,
           coalesce(failed, min(error) FILTER (line_no IS NULL)) AS error
         FROM rendered GROUP BY spec_id""",
     "stream_full_text": """
-        SELECT conv_id AS stream_id, 0::BIGINT AS part, string_agg(text, '' ORDER BY turn) AS full_text
+        SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS full_text
         FROM conversations GROUP BY conv_id""",
     "slice_text_range": f"""WITH {SYMBOLS}
         SELECT uid, md5({_PLAIN_BODY}) AS text_md5 FROM symbol""",

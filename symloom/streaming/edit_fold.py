@@ -1,7 +1,7 @@
 """The fold of one document's events, row by row over sorted Arrow batches.
 
-Each edit needs the text the edits before it left, so a document is folded in order. Only the lines of
-the current document are held, however many events it has.
+Each edit needs the text the edits before it left, so a document is folded in order. Only the text of
+the current document is held, however many events it has.
 """
 
 from __future__ import annotations
@@ -37,56 +37,66 @@ class EditError(Exception):
     pass
 
 
-def apply_edit(lines: list[str], edit: dict, corrected: bool) -> None:
-    """Change the lines by one edit, or raise before anything is changed."""
-    text = edit["text"] or ""
-    if corrected and edit["sl"] is None:
-        lines[:] = text.split("\n")
-        return
-    sl, sc, el, ec = (edit[key] or 0 for key in ("sl", "sc", "el", "ec"))
-    if max(sl, el) >= len(lines):
-        raise EditError("line out of bounds")
-    if corrected:
-        ec = min(ec, len(lines[el]))
-    if ec > len(lines[el]):
-        raise EditError("column out of bounds")
-    before, after = lines[sl][:sc] + text, lines[el][ec:]
-    if sl == el and not corrected:
-        lines[sl] = before + after
-        return
-    pieces = before.split("\n")
-    pieces[-1] += after
-    lines[:] = lines[:sl] + pieces + lines[el + 1 :] if el < sl else lines
-    if el >= sl:
-        lines[sl : el + 1] = pieces
-
-
-def apply_batch(lines: list[str], edits: list[dict], corrected: bool) -> list[str]:
-    """The lines after an ordered batch of edits; raises and leaves ``lines`` as they are on an error."""
-    if len(edits) == 1:
-        apply_edit(lines, edits[0], corrected)
-        at = edits[0]["sl"] or 0
-        if "\n" in lines[at]:
-            lines[at : at + 1] = lines[at].split("\n")
-        return lines
-    work = list(lines)
-    for edit in edits:
-        apply_edit(work, edit, corrected)
-    return "\n".join(work).split("\n")
+class Buffer:
+    """A text with the lengths of its lines, so that a place becomes an offset and an edit one splice.
+
+    An edit inside one line may leave newlines in it: its length then spans them until the batch is over.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lengths = [len(line) for line in text.split("\n")]
+
+    def _start(self, line: int) -> int:
+        return sum(self.lengths[:line]) + line
+
+    def _replace(self, start: int, end: int, first: int, last: int, new: str, split: bool) -> None:
+        """Put ``new`` in place of the offsets, which lie in the lines ``first`` and ``last``."""
+        opening, closing = self._start(first), self._start(last) + self.lengths[last]
+        head, rest = self.text[opening:start] + new, closing - end
+        sizes = [len(piece) for piece in head.split("\n")] if split else [len(head)]
+        sizes[-1] += rest
+        self.text = self.text[:start] + new + self.text[end:]
+        self.lengths = [*self.lengths[:first], *sizes, *self.lengths[last + 1 :]]
+
+    def edit(self, edit: dict, corrected: bool) -> None:
+        """One edit; raises before anything is changed."""
+        new = edit["text"] or ""
+        if corrected and edit["sl"] is None:
+            self.__init__(new)
+            return
+        first, column, last, until = (edit[key] or 0 for key in ("sl", "sc", "el", "ec"))
+        if max(first, last) >= len(self.lengths):
+            raise EditError("line out of bounds")
+        if corrected:
+            until = min(until, self.lengths[last])
+        if until > self.lengths[last]:
+            raise EditError("column out of bounds")
+        start = self._start(first) + min(column, self.lengths[first])
+        self._replace(start, self._start(last) + until, first, last, new, corrected or first != last)
+
+    def edited(self, edits: list[dict], corrected: bool) -> Buffer:
+        """The text after an ordered batch of edits; raises and leaves this one as it is on an error."""
+        work = Buffer.__new__(Buffer)
+        work.text, work.lengths = self.text, self.lengths
+        for edit in edits:
+            work.edit(edit, corrected)
+        spanning = any("\n" in (edit["text"] or "") for edit in edits)
+        return Buffer(work.text) if spanning else work
 
 
 class _Document:
     def __init__(self, uri: str, epoch: int):
         self.row = dict.fromkeys(FOLD_SCHEMA.names)
         self.row.update(kind="state", uri=uri, epoch=epoch, is_open=False)
-        self.lines: list[str] = []
+        self.buffer = Buffer("")
 
     def apply(self, event: dict, corrected: bool) -> str | None:
         """Take one event in; the reason when it fails."""
         self.row["last_seq"] = event["seq"]
         kind = event["event"]
         if kind == "close" or (kind == "restore" and not event["is_open"]):
-            self.row["is_open"], self.lines = False, []
+            self.row["is_open"], self.buffer = False, Buffer("")
         elif kind in ("open", "restore"):
             self.row.update(
                 is_open=True,
@@ -95,7 +105,7 @@ class _Document:
                 last_edit=event["ts"],
                 last_edited_line=event["last_edited_line"] or 0,
             )
-            self.lines = (event["text"] or "").split("\n")
+            self.buffer = Buffer(event["text"] or "")
         elif not self.row["is_open"]:
             return "document not open"
         else:
@@ -105,7 +115,7 @@ class _Document:
     def _change(self, event: dict, corrected: bool) -> str | None:
         edits = event["changes"] or []
         try:
-            self.lines = apply_batch(self.lines, edits, corrected)
+            self.buffer = self.buffer.edited(edits, corrected)
         except EditError as failure:
             return str(failure)
         if corrected and edits:
@@ -121,7 +131,7 @@ class _Document:
         if not self.row["is_open"]:
             blank = dict.fromkeys(("language_id", "version", "text", "last_edit", "last_edited_line"))
             return {**self.row, **blank}
-        return {**self.row, "text": "\n".join(self.lines)}
+        return {**self.row, "text": self.buffer.text}
 
 
 def fold_documents(corrected: bool):

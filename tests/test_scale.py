@@ -66,23 +66,30 @@ def test_cursor_equals_the_fold(spark, rows_per_block, unit):
 @pytest.mark.parametrize("rows_per_block", [1, 7, 65536])
 def test_lines_equal_the_fold(spark, rows_per_block):
     rows = random_chunks(seed=8)
-    lines = ch.stream_lines(frame(spark, rows), rows_per_block=rows_per_block).collect()
+    pieces = ch.open_pieces(frame(spark, rows), rows_per_block=rows_per_block)
+    lines = ch.close_reports(pieces).collect()
     reports, pending = literal_progress(rows)
-    assert {(r["stream_id"], r["seq"]): r["message"] for r in lines if r["seq"] is not None} == reports
-    assert {r["stream_id"]: r["message"] for r in lines if r["seq"] is None} == pending
+    assert {(r["stream_id"], r["seq"]): r["message"] for r in lines} == reports
+    left = {}
+    for r in sorted(pieces.where("not closed").collect(), key=lambda r: (r["stream_id"], r["seq"], r["place"])):
+        left[r["stream_id"]] = left.get(r["stream_id"], "") + r["piece"]
+    assert left == pending
 
 
-def test_full_text_in_parts_is_whole(spark):
+def test_full_text_of_many_blocks_is_whole(spark):
     rows = random_chunks(seed=9, hot=5000)
-    parts = ch.stream_full_text(frame(spark, rows), part_bytes=512).collect()
+    found = ch.stream_full_text(frame(spark, rows)).collect()
     texts = {}
     for stream, _, text in sorted(rows):
         texts[stream] = texts.get(stream, "") + text
-    found = {}
-    for row in sorted(parts, key=lambda r: (r["stream_id"], r["part"])):
-        found[row["stream_id"]] = found.get(row["stream_id"], "") + row["full_text"]
-    assert found == texts
-    assert sum(r["stream_id"] == 0 for r in parts) > 5
+    assert {r["stream_id"]: r["full_text"] for r in found} == texts and len(found) == len(texts)
+
+
+def test_a_text_that_fits_no_row_stops_the_job(spark):
+    block = scale.seq_block("seq", 2)
+    joined = scale.concat_in_order(frame(spark, random_chunks(seed=9)), ["stream_id"], ["seq"], "text", block, max_bytes=3)
+    with pytest.raises(Exception, match="longer than a row can hold"):
+        joined.collect()
 
 
 def test_running_totals(spark):

@@ -8,28 +8,25 @@ from symloom.operators import search as se
 from symloom.operators import symbols as sy
 
 
-def brute_force(vectors, queries, k):
-    found = {}
-    for query_id, query in queries.items():
-        distance = {
-            name: round(float(np.sqrt(((np.float32(v).astype(float) - np.array(query)) ** 2).sum())), 6)
-            for name, v in vectors.items()
-        }
-        found[query_id] = sorted(distance, key=lambda name: (distance[name], name))[:k]
-    return found
-
-
-@pytest.mark.parametrize("per_pass", [2000, 3])
-def test_nearest_equals_brute_force(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(se, "QUERIES_PER_PASS", per_pass)
+@pytest.mark.parametrize("block", [4096, 7])
+def test_nearest_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(se, "VECTORS_PER_BLOCK", block)
+    monkeypatch.setattr(se, "QUERIES_PER_BLOCK", block)
     rng = np.random.default_rng(1)
-    vectors = {f"s{i:03}": [float(x) for x in rng.integers(0, 3, 4)] for i in range(300)}
-    queries = {i: [float(x) for x in rng.random(4) * 2] for i in range(10)}
-    embeddings = spark.createDataFrame(list(vectors.items()), "symbol_id string, embedding array<float>").repartition(5)
-    asked = spark.createDataFrame(list(queries.items()), "query_id int, embedding array<double>")
-    rows = se.nearest_symbols(embeddings, asked).collect()
-    found = {q: [r["symbol_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in queries}
-    assert found == brute_force(vectors, queries, 10)
+    vectors = {(w, f"{w}{i:03}"): [float(x) for x in rng.integers(0, 3, 4)] for w in "uv" for i in range(150)}
+    queries = {(w, i): [float(x) for x in rng.random(4) * 2] for w in "uvx" for i in range(10)}
+    rows = [(*key, vector) for key, vector in vectors.items()] + [("u", "none", None)]
+    embeddings = spark.createDataFrame(rows, "workspace string, symbol_id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(*key, q) for key, q in queries.items()], "workspace string, query_id int, embedding array<double>")
+    found = {}
+    for r in sorted(se.nearest_symbols(embeddings, asked).collect(), key=lambda r: r["rank"]):
+        found.setdefault((r["workspace"], r["query_id"]), []).append(r["symbol_id"])
+    wanted = {}
+    for (workspace, number), query in queries.items():
+        far = {name: sum((a - b) ** 2 for a, b in zip(v, query, strict=True)) ** 0.5 for (w, name), v in vectors.items() if w == workspace}
+        if far:
+            wanted[workspace, number] = sorted(far, key=lambda name: (far[name], name))[:10]
+    assert found == wanted
 
 
 def test_embedding_of_words(spark):
@@ -64,7 +61,7 @@ def code(spark):
 
 def test_hybrid_gate(spark):
     symbols = code(spark)
-    embeddings = se.embed_symbols(symbols).select("symbol_id", "embedding")
+    embeddings = se.embed_symbols(symbols).select("workspace", "symbol_id", "embedding")
     asked = ["PARSE", "tokens stream read", "no space here".replace(" ", ""), "a b", "ünï cödé", ""]
     queries = spark.createDataFrame([("w", i, q) for i, q in enumerate(asked)], "workspace string, query_id int, query string")
     rows = se.hybrid_symbol_search(symbols, embeddings, queries).collect()
@@ -80,6 +77,33 @@ def test_hybrid_gate(spark):
     assert len(found[5]) == 3 and found[5][0][0] == "prefix"
 
 
+def test_hybrid_search_stays_in_its_workspace(spark):
+    files = spark.createDataFrame(
+        [("w1", "a.py", "def foo():\n  read tokens\n"), ("w2", "b.py", "def bar():\n  read tokens\n")],
+        "workspace string, path string, text string",
+    )
+    symbols = sy.symbol_table(sy.extract_symbols(files, with_text=True, corrected=True))
+    embeddings = se.embed_symbols(symbols).select("workspace", "symbol_id", "embedding")
+    asked = [("w1", 0, "read tokens here"), ("w2", 0, "read tokens here"), ("w1", 1, "bar"), ("w3", 2, "read tokens here")]
+    queries = spark.createDataFrame(asked, "workspace string, query_id int, query string")
+    rows = se.hybrid_symbol_search(symbols, embeddings, queries).collect()
+    assert {(r["workspace"], r["query_id"], r["name"]) for r in rows} == {("w1", 0, "foo"), ("w2", 0, "bar")}
+
+
+def test_queries_without_a_literal_start_are_spread(spark):
+    symbols = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 7)).alias("workspace"),
+        F.concat(F.lit("f"), "id").alias("path"), F.lit(0).alias("start_line"), F.lit(0).alias("start_col"),
+        F.concat(F.lit("name"), "id").alias("name"), F.concat(F.lit("name"), "id").alias("name_fold"),
+    )
+    queries = spark.createDataFrame([("hot", 1, "%9"), ("hot", 2, ""), ("w1", 3, "name1")], "workspace string, query_id int, query string")
+    matches = se.prefix_matches(symbols, queries)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    assert matches.where("query_id = 2").count() == symbols.where("workspace = 'hot'").count()
+    assert matches.where("query_id = 1").count() == symbols.where("workspace = 'hot' and name like '%9%'").count()
+
+
 def test_prefix_search_of_many_equals_one_by_one(spark):
     symbols = code(spark)
     asked = ["p", "PARSE", "parse_", "write_file_x", "%file", "_arse", "", "w%e"]

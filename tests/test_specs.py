@@ -7,6 +7,7 @@ from symloom.functions import specs as sp
 from symloom.operators import context as cx
 from symloom.operators import symbols as sy
 
+# Specs and the items they must give.
 SPEC_CASES = [
     ("file.go", [(["file.go"], "file")]),
     ("file.go MyFunction", [(["file.go", "MyFunction"], "symbol")]),
@@ -52,42 +53,60 @@ def test_one_bad_line_fails_the_spec(spark):
     assert [(r["identifier"], r["range_start"], r["range_end"]) for r in found[5]] == [("1:7", 1, 7)]
 
 
-def literal_tokens(line):
-    """The tokenizer as a state machine over characters."""
-    parts, current, quoted, escaped = [], "", False, False
-    for char in line:
-        if escaped:
-            current, escaped = current + char, False
-        elif char == "\\":
-            escaped = True
-        elif char == '"':
-            quoted = not quoted
-            if not quoted:
-                parts.append(current)
-                current = ""
-        elif char == " " and not quoted:
-            if current:
-                parts.append(current)
-                current = ""
+TOKEN_CASES = [
+    ("", []),
+    ("   ", []),
+    ("a  b", ["a", "b"]),
+    ('""', [""]),
+    ('a "" b', ["a", "", "b"]),
+    ('ab"c d"e', ["abc d", "e"]),
+    ('"a""b"', ["a", "b"]),
+    (r"a\ b", ["a b"]),
+    (r"\\ x", ["\\", "x"]),
+    (r'\"a b\"', ['"a', 'b"']),
+    (r'"a\" b"', ['a" b']),
+    ("a\\", ["a"]),
+    ('a "b', None),
+    ('"', None),
+]
+
+
+def spelled(rng):
+    """A line made from tokens, each written plain, quoted, or plain with a quoted end."""
+    tokens, line, apart = [], "", True
+    for _ in range(rng.randint(0, 5)):
+        plain = "".join(rng.choice("abé") for _ in range(rng.randint(0, 3)))
+        odd = "".join(rng.choice('ab \\"é') for _ in range(rng.randint(0, 4)))
+        escape = lambda text, marks: "".join("\\" + c if c in marks else c for c in text)
+        kind = rng.choice(["plain", "quoted", "both"])
+        if kind == "plain":
+            token = plain + odd
+            if not token:
+                continue
+            written = escape(token, '\\" ')
         else:
-            current += char
-    if current:
-        parts.append(current)
-    return None if quoted else parts
+            token = (plain if kind == "both" else "") + odd
+            written = (plain if kind == "both" else "") + '"' + escape(odd, '\\"') + '"'
+        # A quote ends its token; a plain one lasts to the next blank.
+        gap = " " * rng.randint(0 if apart else 1, 2)
+        line += gap + written
+        tokens.append(token)
+        apart = kind != "plain"
+    return line, tokens
 
 
-def test_tokens_equal_the_state_machine(spark):
+def test_tokens(spark):
     rng = random.Random(3)
-    lines = ["".join(rng.choice('ab \\"é') for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    df = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    cases = TOKEN_CASES + [spelled(rng) for _ in range(3000)]
+    df = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(cases)], "id int, line string")
     rows = df.select("id", sp.tokenize_spec_line(F.col("line")).alias("tokens")).collect()
-    assert {r["id"]: r["tokens"] for r in rows} == {i: literal_tokens(line) for i, line in enumerate(lines)}
+    assert {r["id"]: r["tokens"] for r in rows} == {i: tokens for i, (_, tokens) in enumerate(cases)}
 
 
 def test_long_token(spark):
     line = '"' + "x" * 200000 + '" ' + "y\\ " * 20000
     tokens = spark.createDataFrame([(line,)], "l string").select(sp.tokenize_spec_line(F.col("l"))).first()[0]
-    assert tokens == literal_tokens(line)
+    assert tokens == ["x" * 200000, "y " * 20000]
 
 
 @pytest.fixture(scope="module")
@@ -128,28 +147,38 @@ def test_symbol_text_comes_from_the_file_of_exactly_that_name(spark, workspace):
     assert found["content"] == "func Foo() {\n\treturn\n"
 
 
-def test_only_the_first_hundred_hits_are_tried(spark):
+def test_all_hits_are_tried(spark):
     files = spark.createDataFrame(
-        [("w", f"f{i:03}.py", "def run():\n  pass\n") for i in range(120)], "workspace string, path string, text string"
+        [("w", f"f{i:03}.py", "def run():\n  pass\n") for i in range(120)] + [("v", "f100.py", "def other(): pass\n")],
+        "workspace string, path string, text string",
     )
     symbols = sy.symbol_table(sy.extract_symbols(files))
-    wanted = spark.createDataFrame(
-        [("w", "f099.py", "run"), ("w", "f100.py", "run")], "workspace string, filename string, identifier string"
-    )
-    plain = cx.lookup_symbol_text(symbols, wanted, files).collect()
-    assert {r["filename"]: r["error"] for r in plain} == {"f099.py": None, "f100.py": cx.ERROR_NO_SYMBOL}
-    corrected = cx.lookup_symbol_text(symbols, wanted, files, corrected=True).collect()
-    assert [r["error"] for r in corrected] == [None, None]
+    asked = [("w", "f099.py", "run"), ("w", "f100.py", "run"), ("w", "100.py", "ru"), ("v", "f100.py", "run"), ("w", "", "run")]
+    wanted = spark.createDataFrame(asked, "workspace string, filename string, identifier string")
+    places = lambda **options: {
+        (r["workspace"], r["filename"]) for r in cx.find_symbol_in_file(symbols, wanted, **options).collect()
+    }
+    assert places() == {("w", "f099.py"), ("w", "f100.py"), ("w", "100.py"), ("w", "")}
+    assert places(limit=100) == {("w", "f099.py"), ("w", "")}
+    found = cx.lookup_symbol_text(symbols, wanted.where("filename like 'f%'"), files).collect()
+    assert {(r["workspace"], r["filename"]): r["error"] for r in found} == {
+        ("w", "f099.py"): None, ("w", "f100.py"): None, ("v", "f100.py"): cx.ERROR_NO_SYMBOL,
+    }
 
 
-def test_context_in_parts_is_whole(spark, workspace):
+def test_a_context_of_many_pieces_gives_one_prompt(spark, workspace, monkeypatch):
+    monkeypatch.setattr(cx, "ITEMS_PER_BLOCK", 1)
     files, symbols = workspace
     spec = "\n".join(["b.txt"] * 40)
-    df = spark.createDataFrame([(0, "w", spec)], "spec_id int, workspace string, spec string")
+    df = spark.createDataFrame([("w", spec)], "workspace string, spec string")
     items = cx.fetch_context_items(cx.parse_context_specs(df), symbols, files)
-    rows = cx.build_context(items, ["spec_id"], part_bytes=100).orderBy("part").collect()
-    assert len(rows) > 3
-    assert "".join(r["context"] for r in rows) == '<File\nfile="b.txt"\n>\n1\n2\n3\n4\n</File>\n' * 40
+    contexts = cx.build_context(items, ["workspace"])
+    whole = '<File\nfile="b.txt"\n>\n1\n2\n3\n4\n</File>\n' * 40
+    assert [r["context"] for r in contexts.collect()] == [whole]
+    selections = spark.createDataFrame([("w", "d", 0, 0, 0, 1)], "workspace string, path string, sl int, sc int, el int, ec int")
+    documents = spark.createDataFrame([("w", "d", "abc")], "workspace string, path string, text string")
+    prompts = cx.selection_prompt(selections, documents, contexts).collect()
+    assert len(prompts) == 1 and prompts[0]["prompt"].startswith(whole + "<CurrentFile")
 
 
 PROMPT = '<CurrentFile path="d">\n{}\n</CurrentFile>\n' + cx.SYSTEM_PROMPT + "<UserPrompt>\n{}\n</UserPrompt>\n"

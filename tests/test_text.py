@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.functions import text as tx
-from symloom.streaming.edit_fold import EditError, apply_batch
+from symloom.streaming.edit_fold import Buffer, EditError
 
+# Edits and the texts they must give.
 EDIT_CASES = [
     ("Hello\nWorld\n", [(0, 5, 0, 5, " there")], "Hello there\nWorld\n"),
     ("Hello\nWorld\n", [(1, 0, 1, 0, "\n")], "Hello\n\nWorld\n"),
@@ -15,25 +16,6 @@ EDIT_CASES = [
 ]
 
 
-def literal_edits(text, edits, width=len):
-    """The edit rules step by step; None where a batch fails."""
-    lines = text.split("\n")
-    for sl, sc, el, ec, new in edits:
-        if sl >= len(lines) or el >= len(lines):
-            return None
-        sc = min(sc, len(lines[sl]))
-        if ec > len(lines[el]):
-            return None
-        if sl == el:
-            lines[sl] = lines[sl][:sc] + new + lines[sl][ec:]
-        else:
-            tail = lines[el][ec:]
-            inserted = (lines[sl][:sc] + new).split("\n")
-            inserted[-1] = inserted[-1] + tail
-            lines = lines[:sl] + inserted + lines[el + 1 :]
-    return "\n".join(lines)
-
-
 def random_batches(count, seed=7):
     rng = random.Random(seed)
     for _ in range(count):
@@ -59,12 +41,25 @@ def test_reference_edit_cases(spark):
         assert (results[number]["error"] is not None) == (expected is None)
 
 
-def test_random_edits_equal_the_literal_fold(spark):
-    cases = list(random_batches(400))
+def place_of(text, offset):
+    return text.count("\n", 0, offset), offset - (text.rfind("\n", 0, offset) + 1)
+
+
+def test_a_splice_at_offsets_is_the_edit_at_their_places(spark):
+    rng, cases, wanted = random.Random(5), [], []
+    for _ in range(400):
+        text = "".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 25)))
+        start = rng.randint(0, len(text))
+        end = rng.randint(start, len(text))
+        new = rng.choice(["", "X", "Y\nZ", "\n"])
+        cases.append((text, [(*place_of(text, start), *place_of(text, end), new)]))
+        wanted.append(text[:start] + new + text[end:])
     results = edited(spark, cases)
-    assert {i: r["text"] for i, r in results.items()} == {
-        i: literal_edits(text, edits) for i, (text, edits) in enumerate(cases)
-    }
+    assert [results[i]["text"] for i in range(len(cases))] == wanted
+    for (text, edits), after in zip(cases, wanted, strict=True):
+        changes = [dict(zip(schemas.EDIT.names, edit, strict=True)) for edit in edits]
+        buffer = Buffer(text).edited(changes, False)
+        assert buffer.text == after and buffer.lengths == [len(line) for line in after.split("\n")]
 
 
 @pytest.mark.parametrize("corrected", [False, True])
@@ -74,7 +69,7 @@ def test_streaming_fold_equals_the_column_fold(spark, corrected):
     for number, (text, edits) in enumerate(cases):
         rows = [dict(zip(schemas.EDIT.names, edit, strict=True)) for edit in edits]
         try:
-            found = "\n".join(apply_batch(text.split("\n"), rows, corrected))
+            found = Buffer(text).edited(rows, corrected).text
         except EditError:
             found = None
         assert found == results[number]["text"]
