@@ -172,6 +172,12 @@ def open_pieces(
     return pieces.join(last, "stream_id").withColumn("closed", F.col("report") <= F.col("_last")).drop("_last")
 
 
+def pending_text(pieces: DataFrame) -> DataFrame:
+    """The open pieces ``(stream_id, seq, place, piece)`` of each stream as one text, ``pending``."""
+    block = scale.seq_block("seq", scale.ROWS_PER_TEXT_BLOCK)
+    return scale.concat_in_order(pieces, STREAM, ["seq", "place"], "piece", block, result="pending")
+
+
 def close_reports(pieces: DataFrame, prefix: str = "") -> DataFrame:
     """The closed reports of ``open_pieces``, joined: ``(stream_id, seq, message)``."""
     texts = scale.concat_in_order(

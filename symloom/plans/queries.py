@@ -726,8 +726,12 @@ def _run_in_drops(spark: SparkSession, drops: list[DataFrame], run) -> None:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DocumentStateStream:
+    """All events; those of purchases arrive twice."""
     documents = DocumentStateStream(spark, scratch_dir(spark, "document-state"))
-    _run_in_drops(spark, _drops(inp.document_events(spark, sf_dir), "seq"), documents.run)
+    events = inp.document_events(spark, sf_dir)
+    bought = inp.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(F.col("event_id").alias("seq"))
+    events = events.unionByName(events.join(bought, "seq", "left_semi"))
+    _run_in_drops(spark, _drops(events, "seq"), documents.run)
     return documents
 
 
@@ -760,18 +764,29 @@ def index_refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _completion_stream(spark: SparkSession, sf_dir: str) -> CompletionStream:
-    rows = inp.chunks(spark, sf_dir).withColumn("done", F.lit(False))
+    """The last turn of a conversation is done; the user's turns arrive twice, and each stream goes on after its end."""
+    chunks = inp.chunks(spark, sf_dir)
+    ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"))
+    rows = chunks.join(ends, "stream_id").withColumn("done", F.col("seq") == F.col("last")).drop("last")
+    asked = inp.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    repeats = rows.join(
+        asked.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq")), ["stream_id", "seq"], "left_semi"
+    )
+    after = ends.select("stream_id", (F.col("last") + 1).alias("seq"), F.lit("too late\n").alias("text"), F.lit(False).alias("done"))
     completions = CompletionStream(spark, scratch_dir(spark, "completion-state"), prefix="progress: ")
-    _run_in_drops(spark, _drops(rows, "seq"), completions.run)
+    arriving = rows.unionByName(repeats.select(*rows.columns)).unionByName(after)
+    _run_in_drops(spark, _drops(arriving, "seq"), completions.run)
     return completions
 
 
 @query
 def completion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _completion_stream(spark, sf_dir).states.latest()
-    return states.select(
-        "stream_id", "line", "character", F.array_join("pending", "").alias("pending"), "last_seq"
-    )
+    completions = _completion_stream(spark, sf_dir)
+    states = completions.states.latest().drop("closed_seq")
+    return states.join(completions.pending(), "stream_id", "left").join(completions.full_text(), "stream_id").select(
+        "stream_id", "line", "character", F.coalesce("pending", F.lit("")).alias("pending"), "last_seq", "is_done",
+        F.md5("full_text").alias("text_md5"),
+    )
 
 
 @query
@@ -779,6 +794,11 @@ def completion_stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _completion_stream(spark, sf_dir).reports()
 
 
+@query
+def completion_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _completion_stream(spark, sf_dir).late().select("stream_id", "seq", F.md5("text").alias("text_md5"))
+
+
 # --- embedding -----------------------------------------------------------------------------------
 
 

@@ -580,7 +580,8 @@ ORACLES: dict[str, str] = {
               PARTITION BY user_id ORDER BY event_id) AS edge
           FROM events)
         SELECT uri, seq, 'document not open' AS reason FROM e
-        WHERE event_type NOT IN ('signup', 'error') AND coalesce(edge, 'error') = 'error'""",
+        WHERE event_type NOT IN ('signup', 'error') AND coalesce(edge, 'error') = 'error'
+        UNION ALL SELECT uri, seq, 'late' FROM e WHERE event_type = 'purchase'""",
     "index_refresh_stream": f"""WITH {SYMBOLS}
         SELECT 'file' AS "row", 'all' AS workspace, path, NULL::INT AS symbol_no, md5 AS value FROM files
         UNION ALL SELECT 'symbol', 'all', path, symbol_no, name FROM symbol""",
@@ -588,8 +589,11 @@ ORACLES: dict[str, str] = {
         last_chunk AS (SELECT * FROM so_far QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1),
         shown AS (SELECT stream_id, max(cut) + 1 AS upto_at FROM closing GROUP BY stream_id)
         SELECT l.stream_id, {_NEWLINES.format("upto")} AS line, length({_LAST_LINE.format("upto")}) AS "character",
-          substr(upto, coalesce(upto_at, 0) + 1) AS pending, seq AS last_seq
+          substr(upto, coalesce(upto_at, 0) + 1) AS pending, seq AS last_seq, true AS is_done, md5(upto) AS text_md5
         FROM last_chunk l LEFT JOIN shown USING (stream_id)""",
+    "completion_stream_late": """
+        SELECT conv_id AS stream_id, turn AS seq, md5(text) AS text_md5 FROM conversations WHERE role = 'user'
+        UNION ALL SELECT conv_id, max(turn) + 1, md5('too late' || chr(10)) FROM conversations GROUP BY conv_id""",
     "completion_stream_reports": f"WITH {REPORTS} SELECT * FROM report",
     "embed_text": f"""WITH source AS (SELECT doc_id AS id, text FROM documents){_vectors("d", "source", "text")}
         SELECT id AS doc_id, place::INT AS place, round(value::DOUBLE, 6) AS value FROM d_places""",

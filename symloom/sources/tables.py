@@ -173,9 +173,9 @@ class VersionedTable:
     def delta(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path("delta", version))
 
-    def rows(self) -> DataFrame | None:
-        """Everything stored, superseded rows too."""
-        base, deltas = self._parts()
+    def rows(self, before: int | None = None) -> DataFrame | None:
+        """Everything stored below version ``before``, superseded rows too."""
+        base, deltas = self._parts(before)
         if deltas is None:
             return base
         rows = deltas.drop("table_version")

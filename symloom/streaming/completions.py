@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from symloom.operators.chunks import stream_cursor, stream_full_text, stream_lines
+from symloom.operators.chunks import close_reports, open_pieces, pending_text, stream_cursor, stream_full_text
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.runner import run_available
 
 _STATE = (
-    "stream_id bigint, line bigint, character bigint, pending array<string>, last_seq bigint, is_done boolean"
+    "stream_id bigint, line bigint, character bigint, closed_seq bigint, last_seq bigint, is_done boolean"
 )
 
 
 class CompletionStream:
     """Consumes ``(stream_id, seq, text, done)``; keeps the cursor and the pending line between batches.
 
-    A chunk at or below the last applied seq of its stream, or after the done flag, is late and ignored.
+    Late chunks are ignored and reported: those at or below the last applied seq of their stream, those after the
+    done flag, in earlier batches or in their own, and repeats of a seq inside a batch, of which the one that
+    sorts first by text is applied.
+
+    The text since a stream's last newline is kept as the pieces it came in, each written once. They are
+    joined when a newline comes; ``closed_seq`` in the state tells which pieces are still pending.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = "", compact_every: int = 20):
@@ -25,31 +31,59 @@ class CompletionStream:
         self.states = VersionedTable(spark, f"{root}/states", ["stream_id"])
         self._taken = VersionedTable(spark, f"{root}/taken", ["stream_id", "seq"])
         self._edits = VersionedTable(spark, f"{root}/edits", ["stream_id", "seq"])
-        self._lines = VersionedTable(spark, f"{root}/lines", ["stream_id", "seq", "part"])
+        self._cut = VersionedTable(spark, f"{root}/cut", ["stream_id", "seq", "place"])
+        self._pieces = VersionedTable(spark, f"{root}/pieces", ["stream_id", "seq", "place"])
+        self._lines = VersionedTable(spark, f"{root}/lines", ["stream_id", "seq"])
         self._late = VersionedTable(spark, f"{root}/late", ["stream_id", "seq"])
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        prior = self.states.latest(batch_id)
-        if prior is None:
-            prior = self.spark.createDataFrame([], _STATE)
+    def _prior(self, before: int | None) -> DataFrame:
+        prior = self.states.latest(before)
+        return self.spark.createDataFrame([], _STATE) if prior is None else prior
+
+    def _marked(self, batch: DataFrame, prior: DataFrame) -> DataFrame:
+        """The batch with the mark ``late``."""
         applied = prior.select("stream_id", F.col("last_seq").alias("_applied"), F.col("is_done").alias("_closed"))
-        is_late = F.coalesce((F.col("seq") <= F.col("_applied")) | F.col("_closed"), F.lit(False))
-        marked = batch.join(applied, "stream_id", "left").select(*batch.columns, is_late.alias("late"))
+        same = Window.partitionBy("stream_id", "seq").orderBy("text", "done")
+        gone = F.coalesce((F.col("seq") <= F.col("_applied")) | F.col("_closed"), F.lit(False))
+        numbered = batch.withColumn("_number", F.row_number().over(same)).join(applied, "stream_id", "left")
+        known = numbered.select(*batch.columns, (gone | (F.col("_number") > 1)).alias("late"))
+        ends = known.where("done and not late").groupBy("stream_id").agg(F.min("seq").alias("_end"))
+        after = F.coalesce(F.col("seq") > F.col("_end"), F.lit(False))
+        return known.join(ends, "stream_id", "left").select(*batch.columns, (F.col("late") | after).alias("late"))
+
+    def _pending(self, states: DataFrame, before: int | None) -> DataFrame | None:
+        """The pieces since the last newline of each of the given streams."""
+        pieces = self._pieces.rows(before)
+        if pieces is None:
+            return None
+        since = states.select("stream_id", F.coalesce("closed_seq", F.lit(-(2**62))).alias("_since"))
+        is_open = (F.col("seq") > F.col("_since")) | ((F.col("seq") == F.col("_since")) & (F.col("place") == 0))
+        return pieces.join(since, "stream_id").where(is_open).drop("_since")
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        prior = self._prior(batch_id)
         # Written once: everything below reads the batch from here.
-        self._taken.write(marked, batch_id)
+        self._taken.write(self._marked(batch, prior), batch_id)
         taken = self._taken.delta(batch_id)
         self._late.write(taken.where("late").drop("late"), batch_id)
         fresh = taken.where(~F.col("late")).drop("late")
         known = prior.join(fresh.select("stream_id").distinct(), "stream_id", "left_semi")
-        pending = known.select("stream_id", F.posexplode("pending").alias("part", "text"))
+        closing = fresh.where(F.instr("text", "\n") > 0).select("stream_id").distinct()
+        pending = self._pending(known.join(closing, "stream_id", "left_semi"), batch_id)
         self._edits.write(stream_cursor(fresh, known), batch_id)
-        self._lines.write(stream_lines(fresh, self.prefix, pending), batch_id)
-        self.states.write(self._new_states(fresh, batch_id), batch_id)
+        self._cut.write(open_pieces(fresh, pending), batch_id)
+        cut = self._cut.delta(batch_id)
+        self._lines.write(close_reports(cut, self.prefix), batch_id)
+        self._pieces.write(cut.where("not closed").select("stream_id", "seq", "place", "piece"), batch_id)
+        self.states.write(self._new_states(fresh, known, batch_id), batch_id)
         self._taken.remove_before(batch_id)
+        self._cut.remove_before(batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self.states.compact(batch_id)
+            still = self._pending(self._prior(batch_id + 1), batch_id + 1)
+            self._pieces.write_base(still, batch_id)
 
-    def _new_states(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+    def _new_states(self, fresh: DataFrame, known: DataFrame, batch_id: int) -> DataFrame:
         cursor = (
             self._edits.delta(batch_id)
             .groupBy("stream_id")
@@ -58,20 +92,17 @@ class CompletionStream:
                 F.max("seq").alias("last_seq"),
             )
         )
-        done = fresh.groupBy("stream_id").agg(F.max(F.coalesce("done", F.lit(False))).alias("is_done"))
-        pieces = F.array_sort(F.collect_list(F.struct("part", "message")))
-        held = (
-            self._lines.delta(batch_id)
-            .where(F.col("seq").isNull())
-            .groupBy("stream_id")
-            .agg(F.transform(pieces, lambda piece: piece["message"]).alias("pending"))
+        newline = F.when(F.instr("text", "\n") > 0, F.col("seq"))
+        seen = fresh.groupBy("stream_id").agg(
+            F.max(F.coalesce("done", F.lit(False))).alias("is_done"), F.max(newline).alias("_closed_now")
         )
-        state = cursor.join(done, "stream_id").join(held, "stream_id", "left")
+        earlier = known.select("stream_id", F.col("closed_seq").alias("_closed_before"))
+        state = cursor.join(seen, "stream_id").join(earlier, "stream_id", "left")
         return state.select(
             "stream_id",
             F.col("_at.next_line").alias("line"),
             F.col("_at.next_character").alias("character"),
-            "pending",
+            F.coalesce("_closed_now", "_closed_before").alias("closed_seq"),
             "last_seq",
             "is_done",
         )
@@ -85,10 +116,18 @@ class CompletionStream:
 
     def reports(self) -> DataFrame:
         """The line reports of all batches."""
-        return self._lines.rows().where(F.col("seq").isNotNull())
+        return self._lines.rows()
+
+    def pending(self) -> DataFrame:
+        """The text since the last newline of each stream that has any: ``(stream_id, pending)``."""
+        pieces = self._pending(self._prior(None), None)
+        if pieces is None:
+            return self.spark.createDataFrame([], "stream_id bigint, pending string")
+        return pending_text(pieces)
 
     def late(self) -> DataFrame:
         return self._late.rows()
 
     def full_text(self) -> DataFrame:
+        """The text of each stream so far; that of a stream that is done is final."""
         return stream_full_text(self.edits().select("stream_id", "seq", "text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symloom import schemas
 from symloom.operators.events import parse_event_json
@@ -67,8 +68,9 @@ def last_states(folded: DataFrame) -> DataFrame:
 class DocumentStateStream:
     """Document state, kept as versions of a table; problems are rows of their own.
 
-    Events apply in seq order per uri. An event at or below the last applied seq of its uri is late: it
-    changes nothing and is reported.
+    Events apply in seq order per uri. An event at or below the last applied seq of its uri is late, and so is a
+    repeat of a seq inside a batch, of which the one with the lowest hash is applied: a late event changes nothing
+    and is reported.
     """
 
     def __init__(self, spark: SparkSession, root: str, corrected: bool = False, compact_every: int = 20):
@@ -86,9 +88,12 @@ class DocumentStateStream:
         """Take in a batch of ``(seq, method, params, ts)``."""
         prior = self._prior(batch_id)
         applied = prior.select("uri", F.col("last_seq").alias("_applied"))
-        is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False))
+        same = Window.partitionBy("uri", "seq").orderBy(F.xxhash64("event", "version", "text", "changes", "ts"))
+        repeat = F.col("error").isNull() & (F.col("_number") > 1)
+        is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False)) | repeat
         parsed = parse_event_json(batch).where(F.col("event").isin("open", "close", "change"))
-        marked = parsed.join(applied, "uri", "left").select(
+        numbered = parsed.withColumn("_number", F.row_number().over(same))
+        marked = numbered.join(applied, "uri", "left").select(
             *_EVENT_COLUMNS, F.coalesce("error", F.when(is_late, "late")).alias("reason")
         )
         # Written once: the fold and the problems read the same rows.

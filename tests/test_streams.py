@@ -93,6 +93,15 @@ def test_document_stream_runs_over_files(spark, tmp_path):
     assert {r["uri"]: r["text"] for r in stream.documents().where("is_open").collect()} == OPEN_AFTER[-1]
 
 
+def test_a_repeat_inside_a_batch_is_applied_once(spark, tmp_path):
+    edit = (2, ev.CHANGE, changed("a", (0, 0, 0, 0, "X")))
+    stream = DocumentStateStream(spark, str(tmp_path))
+    stream.process(message(spark, [(1, ev.OPEN, opened("a", "a")), edit, edit, (3, ev.CHANGE, "{x"), (3, ev.CHANGE, "{x")]), 0)
+    assert [r["text"] for r in stream.documents().collect()] == ["Xa"]
+    problems = sorted((r["uri"] or "", r["seq"], r["reason"]) for r in stream.problems().collect())
+    assert problems == [("", 3, "bad params"), ("", 3, "bad params"), ("a", 2, "late")]
+
+
 def test_edits_leave_version_and_time_alone(spark, tmp_path):
     rows = [(1, ev.OPEN, opened("a", "x", 4)), (2, ev.CHANGE, changed("a", (0, 0, 0, 0, "1\n2\n"), version=5))]
     for corrected, expected in ((False, (4, 0)), (True, (5, 2))):
@@ -136,9 +145,9 @@ CHUNK = "stream_id bigint, seq bigint, text string, done boolean"
 
 def test_completion_stream(spark, tmp_path):
     batches = [
-        [(1, 1, "ab", False), (1, 2, "c\nd", False), (2, 1, "x", True)],
+        [(1, 1, "ab", False), (1, 2, "c\nd", False), (2, 1, "x", True), (4, 0, "a", False), (4, 0, "b", False)],
         [(1, 2, "again", False), (1, 3, "e", False), (2, 2, "after done", False), (3, 5, "q\nr\ns", None)],
-        [(1, 4, "\n\n", True), (3, 6, "t\n", False)],
+        [(1, 4, "\n\n", True), (3, 6, "t\n", False), (4, 1, "c", True), (4, 2, "after", True), (1, 5, "end", False)],
     ]
     stream = CompletionStream(spark, str(tmp_path), prefix="> ", compact_every=2)
     for number, rows in enumerate(batches):
@@ -146,13 +155,27 @@ def test_completion_stream(spark, tmp_path):
             stream.process(spark.createDataFrame(rows, CHUNK), number)
     reports = {(r["stream_id"], r["seq"]): r["message"] for r in stream.reports().collect()}
     assert reports == {(1, 2): "> abc", (1, 4): "> de", (3, 5): "> q", (3, 6): "> r\nst"}
-    assert {(r["stream_id"], r["seq"]) for r in stream.late().collect()} == {(1, 2), (2, 2)}
+    assert sorted((r["stream_id"], r["seq"], r["text"]) for r in stream.late().collect()) == [
+        (1, 2, "again"), (1, 5, "end"), (2, 2, "after done"), (4, 0, "b"), (4, 2, "after"),
+    ]
     texts = {r["stream_id"]: r["full_text"] for r in stream.full_text().collect()}
-    assert texts == {1: "abc\nde\n\n", 2: "x", 3: "q\nr\nst\n"}
+    assert texts == {1: "abc\nde\n\n", 2: "x", 3: "q\nr\nst\n", 4: "ac"}
     edits = {(r["stream_id"], r["seq"]): (r["insert_line"], r["insert_character"]) for r in stream.edits().collect()}
-    assert edits == {(1, 1): (0, 0), (1, 2): (0, 2), (1, 3): (1, 1), (1, 4): (1, 2), (2, 1): (0, 0), (3, 5): (0, 0), (3, 6): (2, 1)}
-    states = {r["stream_id"]: (r["line"], r["character"], "".join(r["pending"] or []), r["is_done"]) for r in stream.states.latest().collect()}
-    assert states == {1: (3, 0, "\n", True), 2: (0, 1, "x", True), 3: (3, 0, "", False)}
+    assert edits == {(1, 1): (0, 0), (1, 2): (0, 2), (1, 3): (1, 1), (1, 4): (1, 2), (2, 1): (0, 0), (3, 5): (0, 0), (3, 6): (2, 1), (4, 0): (0, 0), (4, 1): (0, 1)}
+    states = {r["stream_id"]: (r["line"], r["character"], r["is_done"]) for r in stream.states.latest().collect()}
+    assert states == {1: (3, 0, True), 2: (0, 1, True), 3: (3, 0, False), 4: (0, 2, True)}
+    assert {r["stream_id"]: r["pending"] for r in stream.pending().collect()} == {1: "\n", 2: "x", 3: "", 4: "ac"}
+
+
+def test_pending_text_is_written_once(spark, tmp_path):
+    stream = CompletionStream(spark, str(tmp_path), compact_every=4)
+    for number in range(6):
+        rows = [(1, number, f"p{number}", False), (2, number, f"{number}\n", False)]
+        stream.process(spark.createDataFrame(rows, CHUNK), number)
+        assert stream._pieces.delta(number).where("stream_id = 1").count() == 1
+    assert {r["stream_id"]: r["pending"] for r in stream.pending().collect()} == {1: "p0p1p2p3p4p5", 2: ""}
+    stream.process(spark.createDataFrame([(1, 9, "!\n", True)], CHUNK), 6)
+    assert [r["message"] for r in stream.reports().where("stream_id = 1").collect()] == ["p0p1p2p3p4p5!"]
 
 
 @pytest.mark.parametrize("compact_every", [1, 50])
