@@ -12,7 +12,7 @@ from symloom.functions import paths
 from symloom.operators import symbols as sy
 from symloom.operators.events import CHANGE, CLOSE, OPEN
 from symloom.operators.symbols import Rule
-from symloom.session import read_spread
+from symloom.session import default_filesystem, read_spread
 from symloom.sources.files import open_filesystem
 
 NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -102,7 +102,7 @@ def _instant(column: str):
     )
 
 
-def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_events(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
     """``events`` as editor messages: a user's signup opens a document, an error closes it, all else edits it."""
     uri = F.concat(F.lit("file:///u/"), F.col("user_id").cast("string"))
     kind = F.col("event_type")
@@ -119,19 +119,19 @@ def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     params = F.when(kind == "signup", opened).when(kind == "error", closed).otherwise(changed)
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), method.alias("method"), params.alias("params"), _instant("ts").alias("ts")
-    )
+        F.col("event_id").alias("seq"), method.alias("method"), params.alias("params"), _instant("ts").alias("ts"),
+        *keep,
+    )
 
 
 def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages with a symbol query for each purchase, and JSON that breaks off where value > 50."""
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type", "value")
     is_query = F.col("event_type") == "purchase"
     query = F.format_string('{"query":"user %d"}', F.col("seq"))
-    joined = document_events(spark, sf_dir).join(events, "seq")
+    events = document_events(spark, sf_dir, keep=["event_type", "value"])
     params = F.when(is_query, query).otherwise(F.col("params"))
     broken = F.when(F.col("value") > 50, F.substring(params, F.lit(1), F.length(params) - 1))
-    return joined.select(
+    return events.select(
         "seq",
         F.when(is_query, "workspace/symbol").otherwise(F.col("method")).alias("method"),
         F.coalesce(broken, params).alias("params"),
@@ -173,8 +173,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tree(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Write every document below root as a file of its own, by tasks; gives the written paths."""
 
+    default = default_filesystem(spark)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, inner = open_filesystem(root)
+        system, inner = open_filesystem(root, default=default)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 folder, _, name = row.path.rpartition("/")

@@ -350,9 +350,10 @@ def replace_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, prior = inp.files(spark, sf_dir), inp.prior_index(spark, sf_dir)
     changed = ix.detect_changed_files(files, prior)
     new_symbols = sy.symbol_table(sy.extract_symbols(changed, inp.PROSE_RULES))
-    return _rows_of_index(
-        *ix.replace_file_index(prior, inp.prior_symbols(spark, sf_dir), changed, new_symbols)
-    )
+    index = tb.PublishedIndex(spark, scratch_dir(spark, "published"))
+    index.publish(prior, inp.prior_symbols(spark, sf_dir))
+    index.publish(*ix.replace_file_index(index.files(), index.symbols(), changed, new_symbols))
+    return _rows_of_index(index.files(), index.symbols())
 
 
 @query
@@ -750,6 +751,25 @@ def document_stream_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def index_refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _refreshed(spark, sf_dir)
+    return _rows_of_index(index.files(), index.symbols())
+
+
+@query
+def index_refresh_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of toxic documents are also listed with a wrong ending, so no file lies there."""
+    return _refreshed(spark, sf_dir).problems().select("workspace", "path", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def index_refresh_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of the largest value of every symbol's vector after the refresh, and its size."""
+    found = _refreshed(spark, sf_dir, se.HashedWords()).embeddings()
+    largest = F.array_max("embedding")
+    return found.select("symbol_id", F.array_position("embedding", largest).alias("place"), F.size("embedding").alias("dimensions"))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str, model: se.Model | None = None) -> IndexRefreshStream:
     """Every document arrives as a file: half of the manifest, the rest, then all of it again."""
     root = scratch_dir(spark, "tree")
     written = inp.document_tree(spark, sf_dir, root)
@@ -757,10 +777,14 @@ def index_refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = scratch_dir(spark, "manifest")
     manifest.write.parquet(listed)
     manifest = spark.read.schema(MANIFEST).parquet(listed)
+    gone = inp.labelled(spark, sf_dir).where("toxic = 1").select(
+        F.lit("all").alias("workspace"), F.lit(root).alias("root"), F.concat(F.lit(root), F.lit("/"), "path", F.lit("~")).alias("path")
+    )
+    manifest = manifest.unionByName(gone)
     first = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
-    index = IndexRefreshStream(spark, scratch_dir(spark, "index"), inp.PROSE_RULES)
+    index = IndexRefreshStream(spark, scratch_dir(spark, "index"), inp.PROSE_RULES, model=model)
     _run_in_drops(spark, [manifest.where(first), manifest.where(~first), manifest], index.run)
-    return _rows_of_index(index.files(), index.symbols())
+    return index
 
 
 def _completion_stream(spark: SparkSession, sf_dir: str) -> CompletionStream:

@@ -585,6 +585,14 @@ ORACLES: dict[str, str] = {
     "index_refresh_stream": f"""WITH {SYMBOLS}
         SELECT 'file' AS "row", 'all' AS workspace, path, NULL::INT AS symbol_no, md5 AS value FROM files
         UNION ALL SELECT 'symbol', 'all', path, symbol_no, name FROM symbol""",
+    "index_refresh_problems": f"""WITH {FILES}{LABELLED}
+        SELECT 'all' AS workspace, path || '~' AS path, true AS failed FROM labelled WHERE toxic = 1""",
+    "index_refresh_embeddings": f"""WITH {SYMBOLS},
+        embedded AS (
+          SELECT md5('all' || chr(10) || path) || ':' || symbol_no AS id, chr(10) || body AS embedded FROM symbol)
+        {_vectors("symbol", "embedded", "embedded")},
+        vector AS (SELECT id, list(value ORDER BY place) AS v FROM symbol_places GROUP BY id)
+        SELECT id AS symbol_id, list_position(v, list_max(v))::BIGINT AS place, len(v)::INT AS dimensions FROM vector""",
     "completion_stream": f"""WITH {REPORTS},
         last_chunk AS (SELECT * FROM so_far QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1),
         shown AS (SELECT stream_id, max(cut) + 1 AS upto_at FROM closing GROUP BY stream_id)

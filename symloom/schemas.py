@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 FILE_BYTES = T.StructType(
     [
         T.StructField("path", T.StringType(), False),
-        T.StructField("content", T.BinaryType(), False),
+        T.StructField("content", T.BinaryType(), True),
+        T.StructField("error", T.StringType(), True),
     ]
 )
 

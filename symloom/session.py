@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
 
 def build_session(
     app: str = "symloom", cpus: str = "8", shuffle_partitions: int = 8, shared: str | None = None
@@ -29,17 +30,33 @@ def build_session(
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def hadoop_path(spark: SparkSession, path: str):
+    """A path as Spark takes it: without a scheme it lies in the default file system. Gives path and file system."""
+    jvm = spark.sparkContext._jvm
+    plain = jvm.org.apache.hadoop.fs.Path(path)
+    system = plain.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return plain.makeQualified(system.getUri(), system.getWorkingDirectory()), system
+
+
+def default_filesystem(spark: SparkSession) -> str:
+    """The URI of the file system that paths without a scheme lie in."""
+    return spark._jsparkSession.sessionState().newHadoopConf().get("fs.defaultFS", "file:///")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: what the cluster names for checkpoints, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder; a local one only where the session names none."""
-    base = shared_folder(spark)
-    if base:
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A new folder under the shared folder, removed when the session's process ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        path, system = hadoop_path(spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}")
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS[application] = path.toString()
+    return f"{_FOLDERS[application]}/{name}-{uuid.uuid4().hex}"
 
 
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -57,5 +74,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder, so lost executors do not force a recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
     return df.checkpoint()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from symloom import schemas
 from symloom.functions import paths
-from symloom.session import checkpointed
+from symloom.session import checkpointed, default_filesystem
 
 READ_BYTES = 64 * 1024 * 1024
 ENTRIES_PER_BATCH = 10000
@@ -25,44 +25,64 @@ DIRECTORIES_PER_TASK = 200
 FILES_PER_TASK = 2000
 
 
-def open_filesystem(path: str, opened: dict | None = None) -> tuple[fs.FileSystem, str]:
+# Hadoop's names of file systems and the names they go by here.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def open_filesystem(path: str, opened: dict | None = None, default: str = "file:///") -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path inside it; ``opened`` keeps it for the next path.
 
-    A URI is taken as Spark takes it: the part after the authority is a plain path, not percent-encoded.
+    A URI is taken as Spark takes it: the part after the authority is a plain path, not percent-encoded, and a path
+    without a scheme lies in the ``default`` file system. A scheme that is not known here is an error.
     """
     opened = {} if opened is None else opened
-    scheme, separator, rest = path.partition("://")
-    if not separator:
-        return opened.setdefault("", fs.LocalFileSystem()), path
+    if ":/" not in path.split("/", 1)[0] + "/":
+        path = f"{default.rstrip('/')}{path}" if "://" in default else f"file://{path}"
+    scheme, _, rest = path.partition(":")
+    rest = rest[2:] if rest.startswith("//") else rest
+    if scheme not in SCHEMES:
+        raise ValueError(f"no file system for {path!r}")
     authority, _, inner = rest.partition("/")
-    top = f"{scheme}://{authority}/"
+    top = f"{SCHEMES[scheme]}://{authority}/"
     if top not in opened:
-        opened[top] = fs.FileSystem.from_uri(top)
+        opened[top] = (fs.LocalFileSystem(), "/") if scheme == "file" else fs.FileSystem.from_uri(top)
     system, base = opened[top]
     return system, f"{base.rstrip('/')}/{inner}"
 
 
+def _broken_links(directory: str, system: fs.FileSystem) -> list[str]:
+    """Links to nowhere, which a listing of a local folder leaves out."""
+    if not isinstance(system, fs.LocalFileSystem):
+        return []
+    with os.scandir(directory) as entries:
+        return [entry.path for entry in entries if entry.is_symlink() and not os.path.exists(entry.path)]
+
+
 def _is_linked_dir(info: fs.FileInfo, system: fs.FileSystem) -> bool:
     return isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path)
 
 
-def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    opened: dict = {}
-    for batch in batches:
-        for directory in batch["path"]:
-            system, inner = open_filesystem(directory, opened)
-            scheme = directory.removesuffix(inner)
-            rows = []
-            for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
-                is_dir = info.type == fs.FileType.Directory
-                if info.type == fs.FileType.NotFound or (is_dir and _is_linked_dir(info, system)):
-                    continue
-                rows.append((scheme + info.path, is_dir))
-                if len(rows) == ENTRIES_PER_BATCH:
+def _lister(default: str):
+    def list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: dict = {}
+        for batch in batches:
+            for directory in batch["path"]:
+                system, inner = open_filesystem(directory, opened, default)
+                scheme = directory.removesuffix(inner)
+                # They are listed, and fail to be read.
+                rows = [(scheme + path, False) for path in _broken_links(inner, system)]
+                for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
+                    is_dir = info.type == fs.FileType.Directory
+                    if (not is_dir and info.type != fs.FileType.File) or (is_dir and _is_linked_dir(info, system)):
+                        continue
+                    rows.append((scheme + info.path, is_dir))
+                    if len(rows) == ENTRIES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=["path", "is_dir"])
+                        rows = []
+                if rows:
                     yield pd.DataFrame(rows, columns=["path", "is_dir"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "is_dir"])
+
+    return list_children
 
 
 def _spread(rows: DataFrame, rows_per_task: int) -> DataFrame:
@@ -75,7 +95,8 @@ def _spread(rows: DataFrame, rows_per_task: int) -> DataFrame:
 def _children(directories: DataFrame) -> DataFrame:
     """Entries of each directory; kept, as the next level reads it."""
     spread = _spread(directories.select("path"), DIRECTORIES_PER_TASK)
-    return checkpointed(spread.mapInPandas(_list_children, schemas.DIR_ENTRY))
+    lister = _lister(default_filesystem(directories.sparkSession))
+    return checkpointed(spread.mapInPandas(lister, schemas.DIR_ENTRY))
 
 
 def list_tree(directories: DataFrame) -> DataFrame:
@@ -90,26 +111,28 @@ def list_tree(directories: DataFrame) -> DataFrame:
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """Bytes of each path. Files gone since the listing are left out, as they would be by a later listing."""
+    """Bytes of each path: ``(path, content, error)``. A path that cannot be read has no content and says why."""
+    default = default_filesystem(files.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened: dict = {}
         rows, held = [], 0
         for batch in batches:
             for path in batch["path"]:
-                system, inner = open_filesystem(path, opened)
+                content = error = None
                 try:
+                    system, inner = open_filesystem(path, opened, default)
                     with system.open_input_stream(inner, compression=None) as stream:
                         content = stream.read()
-                except FileNotFoundError:
-                    continue
-                rows.append((path, content))
-                held += len(content)
+                except (OSError, ValueError) as failure:
+                    error = str(failure)
+                rows.append((path, content, error))
+                held += len(content or b"")
                 if held >= READ_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    yield pd.DataFrame(rows, columns=["path", "content", "error"])
                     rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["path", "content"])
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
 
     return _spread(files.select("path"), FILES_PER_TASK).mapInPandas(read, schemas.FILE_BYTES)
 
@@ -161,10 +184,19 @@ def scan_include_roots(
 
 
 def workspace_files(contents: DataFrame, workspace: str, root: str) -> DataFrame:
-    """Scanned bytes as the file table form ``(workspace, path, text, md5)``, paths relative to root."""
-    return contents.select(
+    """Scanned bytes as the file table form ``(workspace, path, text, md5)``, paths relative to root.
+
+    Files that could not be read are left out; ``read_failures`` has them.
+    """
+    return contents.where(F.col("error").isNull()).select(
         F.lit(workspace).alias("workspace"),
         paths.relative_path(F.col("path"), root).alias("path"),
         F.col("content").cast("string").alias("text"),
         paths.content_fingerprint(F.col("content")).alias("md5"),
     )
+
+
+def read_failures(contents: DataFrame, workspace: str, root: str) -> DataFrame:
+    """The files that could not be read: ``(workspace, path, error)``."""
+    path = paths.relative_path(F.col("path"), root).alias("path")
+    return contents.where(F.col("error").isNotNull()).select(F.lit(workspace).alias("workspace"), path, "error")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import paths
-from symloom.sources.files import open_filesystem
+from symloom.session import hadoop_path, scratch_dir
 
 
 def write_file_table(files: DataFrame, path: str, mode: str = "append") -> None:
@@ -28,14 +26,19 @@ def write_symbol_table(
 ) -> None:
     """Symbol rows; an embedding row for each symbol that has one.
 
-    Sorted by folded name inside each file, so the row group statistics serve prefix search. With
-    embeddings the rows are kept on disk for the second write: a model is not asked twice.
+    Range-partitioned and sorted by workspace and folded name, so that a prefix reads few files and, by their
+    statistics, few row groups of them. With embeddings the rows are written once to the shared folder and both
+    tables come from there: a model is not asked twice.
     """
+    spark = symbols.sparkSession
     if embedding_path is not None:
-        symbols = symbols.persist(StorageLevel.DISK_ONLY)
+        made = scratch_dir(spark, "embedded-symbols")
+        symbols.write.parquet(made)
+        symbols = spark.read.schema(symbols.schema).parquet(made)
     columns = [c for c in symbols.columns if c not in ("embedding", "symbol_text")]
     (
         symbols.select(*columns)
+        .repartitionByRange("workspace", "name_fold", "symbol_id")
         .sortWithinPartitions("workspace", "name_fold")
         .write.mode(mode)
         .partitionBy("workspace")
@@ -49,7 +52,44 @@ def write_symbol_table(
             .partitionBy("workspace")
             .parquet(embedding_path)
         )
-        symbols.unpersist()
+        folder, system = hadoop_path(spark, made)
+        system.delete(folder, True)
+
+
+class PublishedIndex:
+    """Files and symbols in versions that are swapped whole: readers see the last one published.
+
+    A version's tables are written first; then an empty file with its number is created, which file systems and
+    object stores do at once or not at all. A job that is run again writes the same version over.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def current(self) -> int | None:
+        """The number of the last published version."""
+        folder, system = hadoop_path(self.spark, f"{self.root}/published")
+        if not system.exists(folder):
+            return None
+        return max((int(status.getPath().getName()) for status in system.listStatus(folder)), default=None)
+
+    def _path(self, version: int, table: str) -> str:
+        return f"{self.root}/version={version:012d}/{table}"
+
+    def publish(self, files: DataFrame, symbols: DataFrame) -> int:
+        """Write the next version and make it the current one."""
+        version = (self.current() or 0) + 1
+        for name, rows in (("files", files), ("symbols", symbols)):
+            rows.write.mode("overwrite").parquet(self._path(version, name))
+        mark, system = hadoop_path(self.spark, f"{self.root}/published/{version:012d}")
+        system.create(mark, False).close()
+        return version
+
+    def files(self) -> DataFrame:
+        return self.spark.read.parquet(self._path(self.current(), "files"))
+
+    def symbols(self) -> DataFrame:
+        return self.spark.read.parquet(self._path(self.current(), "symbols"))
 
 
 def read_workspace_index(spark: SparkSession, path: str, workspace: str) -> DataFrame:
@@ -147,11 +187,12 @@ class VersionedTable:
 
     def _versions(self, kind: str, before: int | None = None) -> list[int]:
         """Numbers of the complete versions: a handful of directory names."""
-        system, inner = open_filesystem(f"{self.root}/{kind}")
-        found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-        numbers = sorted(int(info.base_name.split("=")[1]) for info in found if "=" in info.base_name)
-        marks = system.get_file_info([f"{inner}/table_version={n:012d}/_SUCCESS" for n in numbers])
-        complete = [n for n, mark in zip(numbers, marks, strict=True) if mark.type != fs.FileType.NotFound]
+        folder, system = hadoop_path(self.spark, f"{self.root}/{kind}")
+        if not system.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(folder)]
+        numbers = sorted(int(name.split("=")[1]) for name in names if "=" in name)
+        complete = [n for n in numbers if system.exists(hadoop_path(self.spark, f"{self._path(kind, n)}/_SUCCESS")[0])]
         return [n for n in complete if before is None or n < before]
 
     def _read(self, kind: str, versions: list[int]) -> DataFrame | None:
@@ -213,6 +254,6 @@ class VersionedTable:
     def remove_before(self, version: int) -> None:
         """Remove the versions below, which later versions supersede."""
         for kind in ("base", "delta"):
-            system, _ = open_filesystem(self.root)
             for old in self._versions(kind, version):
-                system.delete_dir(open_filesystem(self._path(kind, old))[1])
+                folder, system = hadoop_path(self.spark, self._path(kind, old))
+                system.delete(folder, True)

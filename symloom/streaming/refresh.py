@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from symloom.functions import paths
 from symloom.operators.index import FILE_KEY, detect_changed_files
-from symloom.operators.symbols import DEFINITION_RULES, Rule, extract_symbols, symbol_table
+from symloom.operators.search import Model, embed_symbols
+from symloom.operators.symbols import DEFINITION_RULES, Rule, add_text_errors, extract_symbols, symbol_table
 from symloom.session import checkpointed
 from symloom.sources.files import read_contents
 from symloom.sources.tables import VersionedTable
@@ -20,15 +21,19 @@ class IndexRefreshStream:
     """The index as versions: each batch adds its changed files and their symbols under its number.
 
     The newest version of a file says which symbol rows are current, so a file and its symbols change
-    together, and a batch writes no more than what changed.
+    together, and a batch writes no more than what changed. With a ``model`` the symbols are embedded in the same pass.
+    A file that cannot be read, or is no text, is a row of ``problems``; one that cannot be read keeps its
+    earlier index.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, compact_every: int = 20
-    ):
-        self.spark, self.rules, self.compact_every = spark, rules, compact_every
+        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, compact_every: int = 20,
+        model: Model | None = None,
+    ):
+        self.spark, self.rules, self.compact_every, self.model = spark, rules, compact_every, model
         self._files = VersionedTable(spark, f"{root}/files", FILE_KEY)
         self._symbols = VersionedTable(spark, f"{root}/symbols", FILE_KEY)
+        self._problems = VersionedTable(spark, f"{root}/problems", FILE_KEY)
 
     def _read(self, manifest: DataFrame) -> DataFrame:
         named = manifest.distinct()
@@ -41,23 +46,31 @@ class IndexRefreshStream:
                 F.substring(F.col("path"), prefix, F.length("path")).alias("path"),
                 F.col("content").cast("string").alias("text"),
                 paths.content_fingerprint(F.col("content")).alias("md5"),
+                "error",
             )
         )
 
     def process(self, manifest: DataFrame, batch_id: int) -> None:
         """Read the files of a batch of ``(workspace, root, path)`` and index those that changed."""
-        scan = self._read(manifest)
+        # Written out once, so that the hash, the symbols and the problems come from the same read.
+        scan = checkpointed(self._read(manifest))
         indexed = self._files.latest(batch_id)
-        changed = scan if indexed is None else detect_changed_files(scan, indexed)
-        # Written out once, so that the hash and the symbols come from the same read.
-        changed = checkpointed(changed)
-        symbols = symbol_table(extract_symbols(changed, self.rules))
+        readable = scan.where(F.col("error").isNull()).drop("error")
+        changed = readable if indexed is None else detect_changed_files(readable, indexed)
+        changed = checkpointed(add_text_errors(changed))
         version = F.lit(batch_id).alias("indexed_at")
+        with_text = self.model is not None
+        symbols = symbol_table(extract_symbols(changed, self.rules, with_text=with_text, corrected=with_text))
+        if self.model is not None:
+            symbols = embed_symbols(symbols, self.model).drop("symbol_text")
         self._symbols.write(symbols.select("*", version), batch_id)
         self._files.write(changed.select(*FILE_KEY, "md5", version), batch_id)
+        failed = scan.unionByName(changed, allowMissingColumns=True).where(F.col("error").isNotNull())
+        self._problems.write(failed.select(*FILE_KEY, "error", version), batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self._symbols.write_base(self.symbols(), batch_id)
             self._files.compact(batch_id)
+            self._problems.compact(batch_id)
 
     def run(self, manifests: DataFrame, checkpoint: str) -> None:
         run_available(manifests, self.process, checkpoint)
@@ -69,3 +82,13 @@ class IndexRefreshStream:
         """Symbols of the current version of each file."""
         current = self.files().select(*FILE_KEY, "indexed_at")
         return self._symbols.rows().join(current, [*FILE_KEY, "indexed_at"], "left_semi")
+
+    def embeddings(self) -> DataFrame:
+        """``(workspace, symbol_id, embedding)`` of the current symbols; needs a model."""
+        return self.symbols().select("workspace", "symbol_id", "embedding")
+
+    def problems(self) -> DataFrame:
+        """The last failure of each file that has not been indexed since: ``(workspace, path, error, indexed_at)``."""
+        later = self.files().select(*FILE_KEY, F.col("indexed_at").alias("_at"))
+        joined = self._problems.latest().join(later, FILE_KEY, "left")
+        return joined.where(F.col("_at").isNull() | (F.col("_at") <= F.col("indexed_at"))).drop("_at")

@@ -34,13 +34,67 @@ def root(tmp_path_factory):
 
 
 def scanned(df, root):
-    return {r["path"][len(root) + 1 :]: bytes(r["content"]) for r in df.collect()}
+    return {r["path"][len(root) + 1 :]: bytes(r["content"]) for r in df.where("error is null").collect()}
 
 
 def test_scan_reads_every_file(spark, root):
     assert scanned(fl.scan_files(spark, root), root) == {**TREE, "linked.go": TREE["main.go"]}
 
 
+def test_what_cannot_be_read_says_so(spark, root):
+    failed = fl.read_failures(fl.scan_files(spark, root), "w", root).collect()
+    assert [(r["workspace"], r["path"]) for r in failed] == [("w", "dangling")]
+    missing = spark.createDataFrame([(f"{root}/nowhere",), ("dbfs:/x",), (f"{root}/main.go",)], "path string")
+    rows = {r["path"]: (r["content"], r["error"]) for r in fl.read_contents(missing).collect()}
+    assert rows[f"{root}/main.go"] == (TREE["main.go"], None)
+    assert rows[f"{root}/nowhere"][0] is None and rows[f"{root}/nowhere"][1]
+    assert "no file system" in rows["dbfs:/x"][1]
+
+
+def test_only_regular_files_are_read(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    os.mkfifo(tmp_path / "pipe")
+    assert [r["path"] for r in fl.scan_files(spark, str(tmp_path)).collect()] == [str(tmp_path / "a")]
+
+
+@pytest.mark.parametrize(
+    "path,default,inner",
+    [
+        ("/a/b c", "file:///", "/a/b c"),
+        ("file:/a/b", "hdfs://n", "/a/b"),
+        ("file:///a/b", "hdfs://n", "/a/b"),
+    ],
+)
+def test_local_paths(path, default, inner):
+    system, found = fl.open_filesystem(path, default=default)
+    assert (system.type_name, found) == ("local", inner)
+
+
+def test_a_path_without_scheme_lies_where_spark_says(spark, tmp_path):
+    from symloom.session import default_filesystem, hadoop_path
+
+    assert default_filesystem(spark) == "file:///"
+    path, _ = hadoop_path(spark, str(tmp_path))
+    assert path.toString() == f"file:{tmp_path}"
+    table = tb.VersionedTable(spark, str(tmp_path / "t"), ["k"])
+    table.write(spark.range(3).selectExpr("id as k"), 0)
+    assert table._versions("delta") == [0] and os.path.isdir(tmp_path / "t" / "delta")
+    assert tb.VersionedTable(spark, f"file:{tmp_path}/t", ["k"])._versions("delta") == [0]
+
+
+def test_published_index_is_swapped_whole(spark, tmp_path):
+    index = tb.PublishedIndex(spark, str(tmp_path))
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    assert index.current() is None
+    index.publish(rows("a"), rows("s"))
+    files, symbols = index.files(), index.symbols()
+    # A job that broke off before it published leaves the current version alone; run again, it writes over its own.
+    rows("broken").write.parquet(index._path(2, "files"))
+    assert [r["path"] for r in index.files().collect()] == ["a"]
+    assert index.publish(files.union(rows("b")), symbols) == 2
+    assert sorted(r["path"] for r in index.files().collect()) == ["a", "b"]
+
+
 def test_scan_takes_uris(spark, root):
     found = scanned(fl.scan_files(spark, "file://" + root), "file://" + root)
     assert set(found) == {*TREE, "linked.go"}

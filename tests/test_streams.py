@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import events as ev
+from symloom.operators.search import HashedWords
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.completions import CompletionStream
 from symloom.streaming.documents import DocumentStateStream
@@ -207,6 +208,22 @@ def test_index_refresh(spark, tmp_path, compact_every):
     )
 
 
+def test_failures_of_a_refresh_are_kept(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f(): pass\n")
+    (tmp_path / "b.py").write_text("def g(): \0pass\n")
+    rows = [("w", str(tmp_path), str(tmp_path / name)) for name in ("a.py", "b.py", "gone.py")]
+    index = IndexRefreshStream(spark, str(tmp_path / "index"), compact_every=2, model=HashedWords())
+    index.process(spark.createDataFrame(rows, MANIFEST), 0)
+    problems = lambda: {r["path"]: r["error"] for r in index.problems().collect()}
+    assert problems().keys() == {"b.py", "gone.py"} and problems()["b.py"] == "not a text file"
+    (tmp_path / "b.py").write_text("def g(): pass\n")
+    index.process(spark.createDataFrame(rows, MANIFEST), 1)
+    assert problems().keys() == {"gone.py"}
+    assert {r["path"] for r in index.symbols().collect()} == {"a.py", "b.py"}
+    vectors = index.embeddings().collect()
+    assert len(vectors) == 2 and all(len(r["embedding"]) == 64 for r in vectors)
+
+
 def test_versioned_table(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path), ["k"])
     assert table.latest() is None
