@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_KEYS = 256
-SALTS = 64
+# A key with more rows than this gets a salt for each such share; the most frequent keys, 100 bytes each or so, are sent
+# to the tasks.
+ROWS_PER_SALT = 1_000_000
+HOT_KEYS = 65536
 ROWS_PER_BLOCK = 65536
 ROWS_PER_TEXT_BLOCK = 512
 # A row holds one text; Spark's rows end at 2 GB.
@@ -29,38 +31,34 @@ def join_unique(
     how: str = "left",
     salt_by: list[str] | None = None,
     counted: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key once.
 
-    The 256 most frequent keys of ``left`` get 64 salts, and their few rows of ``right`` are repeated
-    once per salt. Any other key holds less than 1/256 of the rows. ``salt_by`` names the columns that
-    tell the rows of one key apart (all columns when not given). The keys are
-    counted in ``left``, or in the cheaper frame ``counted`` that has the same keys: ``left`` is read twice
-    otherwise, so give it a stored or checkpointed table when it is dear to compute.
+    A key with more than ``rows_per_salt`` rows of ``left`` is split into shares of about that many, and its
+    row of ``right`` is repeated for each. ``salt_by`` names the columns that tell the rows of one key apart (all
+    columns when not given). The keys are counted in ``left``, or in the cheaper frame ``counted`` that has the
+    same keys: ``left`` is read twice otherwise, so give it a stored or checkpointed table when it is dear to
+    compute. Of keys beyond the ``HOT_KEYS`` most frequent, none has more than that part of all rows.
     """
     hot = (
         (left if counted is None else counted)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > rows_per_salt)
         .orderBy(F.desc("_rows"), *keys)
         .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.lit(SALTS)).cast("int")
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        .select(*keys, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
     )
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), salts).cast("int")
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     repeated = (
         right.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
     )
-    return salted.drop("_hot").join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.drop("_salts").join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def seq_block(seq: str, rows: int = ROWS_PER_BLOCK) -> Column:

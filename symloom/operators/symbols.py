@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +39,13 @@ DEFINITION_RULES = [
     Rule(_SCRIPT, "type", _EXPORT + r"type\s+(\w+)"),
 ]
 
-# Python syntax: the spans are found in Arrow batches. Group 1 is the captured node.
+# Group 1 is the captured node.
 REFERENCE_RULES = [
     Rule(("go",), "field_identifier", r"\.(\w+)"),
     Rule(("go",), "identifier", r"(?<![\w.])(?<!func )(?<!\) )(\w+)\("),
     Rule(("go",), "type_identifier", r"\w\.(\w+)\{"),
 ]
 
-SPANS_PER_BATCH = 50000
-REFERENCE_COLUMNS = ["workspace", "path", "line", "start_col", "end_col", "node_type", "content"]
-
 _FOUND = "struct<line:int,hit:struct<name:string,kind_word:string>>"
 
 
@@ -164,37 +158,65 @@ def symbol_location_struct(symbols: DataFrame, root: str = "") -> DataFrame:
     )
 
 
+def _captures(line: Column, number: Column, rule: Rule) -> Column:
+    """All captures of a rule in a line, as the regular expression finds them one after the other.
+
+    The gaps between the matches and the matches themselves give the places by their lengths. What stands before
+    the name in a match is a group of its own here, so its length is known, too.
+    """
+    lead = re.search(r"(?<!\\)\((?!\?)", rule.pattern).start()
+    pattern = f"(?U)({rule.pattern[:lead]}){rule.pattern[lead:]}"
+    whole, leads, found = (F.regexp_extract_all(line, F.lit(pattern), F.lit(group)) for group in (0, 1, 2))
+    gaps = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(whole))
+    state = "struct<at:int,starts:array<int>>"
+    steps = F.zip_with(gaps, whole, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size")))
+    starts = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")).cast(state),
+        lambda sums, step: F.struct(
+            (sums["at"] + step["gap"] + step["size"]).alias("at"),
+            F.concat(sums["starts"], F.array(sums["at"] + step["gap"])).alias("starts"),
+        ).cast(state),
+        lambda sums: sums["starts"],
+    )
+    columns = F.zip_with(starts, leads, lambda start, before: start + F.length(before))
+    return F.zip_with(
+        columns,
+        found,
+        lambda column, name: F.struct(
+            number.alias("line"),
+            column.alias("start_col"),
+            (column + F.length(name)).alias("end_col"),
+            F.lit(rule.kind).alias("node_type"),
+            name.alias("content"),
+        ),
+    )
+
+
+_CAPTURE = "struct<line:int,start_col:int,end_col:int,node_type:string,content:string>"
+
+
 def extract_references(files: DataFrame, rules: list[Rule] = REFERENCE_RULES) -> DataFrame:
     """One row per captured node of ``files(workspace, path, text)``, with its line and columns.
 
-    Spark has no expression for the positions of all matches, so the spans of a text come from an Arrow
-    batch function; no shuffle is needed.
+    Group 1 of a rule is the node; a pattern matches text and is nowhere empty. All of it happens inside the row of the file.
     """
-    compiled = [(rule.languages, rule.kind, re.compile(rule.pattern)) for rule in rules]
-    by_language: dict[str, list] = {}
-    for languages, kind, pattern in compiled:
-        for language in languages:
-            by_language.setdefault(language, []).append((kind, pattern))
-
-    def spans(row) -> Iterator[tuple]:
-        for line_no, line in enumerate(row.text.split("\n")):
-            for kind, pattern in by_language[row.language]:
-                for match in pattern.finditer(line):
-                    yield row.workspace, row.path, line_no, match.start(1), match.end(1), kind, match.group(1)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = (span for row in batch.itertuples(index=False) for span in spans(row))
-            while rows := list(islice(found, SPANS_PER_BATCH)):
-                yield pd.DataFrame(rows, columns=REFERENCE_COLUMNS)
-
-    languages = F.col("language").isin(*by_language)
+    language = F.col("_language")
+    by_language: dict[tuple[Rule, ...], list[str]] = {}
+    for one in dict.fromkeys(name for rule in rules for name in rule.languages):
+        by_language.setdefault(tuple(rule for rule in rules if one in rule.languages), []).append(one)
+    found = F.array().cast(f"array<{_CAPTURE}>")
+    for of_language, languages in by_language.items():
+
+        def captures(line: Column, number: Column, of_language=of_language) -> Column:
+            return F.concat(*[_captures(line, number, rule) for rule in of_language]).cast(f"array<{_CAPTURE}>")
+
+        nodes = F.flatten(F.transform(F.col("_lines"), lambda line, number: captures(line, number)))
+        found = F.when(language.isin(*languages), nodes).otherwise(found)
+    supported = sorted({name for rule in rules for name in rule.languages})
     return (
-        files.select("workspace", "path", paths.detect_language(F.col("path")).alias("language"), "text")
-        .where(languages & (F.instr(F.col("text"), "\u0000") == 0))
-        .mapInPandas(
-            find,
-            "workspace string, path string, line int, start_col int, end_col int, node_type string, "
-            "content string",
-        )
+        files.where(F.instr(F.col("text"), "\u0000") == 0)
+        .select("workspace", "path", paths.detect_language(F.col("path")).alias("_language"), tx.split_lines(F.col("text")).alias("_lines"))
+        .where(language.isin(*supported))
+        .select("workspace", "path", F.inline(found))
     )

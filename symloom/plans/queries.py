@@ -157,33 +157,23 @@ def open_documents_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def context_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON read back: one row per definition that a document refers to."""
+    """The JSON read back: a row for each document, and for each definition that a document refers to."""
     files = inp.files(spark, sf_dir)
     requests = files.select("workspace", "path", F.lit(0).alias("line"))
     graph = gr.context_graph_json(_code_context(spark, sf_dir), files, requests)
     read = F.from_json(
         "context",
-        "captures map<string,array<struct<content:string>>>, definitions map<string,string>, "
-        "file string, line int, queries string",
+        "captures map<string,array<struct<content:string>>>, definitions map<string,string>, file string, line int",
     )
-    return (
-        graph.select("path", read.alias("g"))
-        .select(
-            "path",
-            "g.line",
-            F.md5("g.file").alias("file_md5"),
-            F.col("g.definitions").alias("_definitions"),
-            F.explode("g.captures").alias("uid", "nodes"),
-        )
-        .select(
-            "path",
-            "line",
-            "file_md5",
-            "uid",
-            F.size("nodes").alias("n_nodes"),
-            F.array_max(F.transform("nodes", lambda n: n["content"])).alias("content"),
-            F.col("_definitions")[F.col("uid")].alias("definition"),
-        )
+    nodes = F.col("g.captures")[F.col("uid")]
+    return graph.select("path", "uid", read.alias("g")).select(
+        "path",
+        "g.line",
+        F.md5("g.file").alias("file_md5"),
+        "uid",
+        F.when(F.col("uid").isNotNull(), F.size(nodes)).alias("n_nodes"),
+        F.array_max(F.transform(nodes, lambda n: n["content"])).alias("content"),
+        F.col("g.definitions")[F.col("uid")].alias("definition"),
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from symloom.operators.context import SYSTEM_PROMPT
-from symloom.plans.inputs import NAME
+# Fixed values, written out here again: the pattern of a name, and the instruction block of the prompt.
+NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+SYSTEM_PROMPT = """<SystemPrompt>
+A user's prompt, in the form of a question, or a description code to write, is shown below. Satisfy the user's prompt or question to the best of your ability. If asked to complete code, DO NOT type out any extra text, or backticks since your response will be appended to the end of the CurrentFile. DO NOT regurgitate the whole file. Simply return the new code, or the modified code.
+</SystemPrompt>
+"""  # noqa: E501
 
 FILES = """
 files AS (
@@ -355,11 +359,10 @@ ORACLES: dict[str, str] = {
     "open_documents_snapshot": f"""WITH {DOCUMENT_STATE}
         SELECT uri, language_id, version, text, epoch_us(last_edit) AS last_edit, 0 AS last_edited_line FROM document WHERE is_open""",
     "context_graph_json": f"""WITH {SYMBOLS}{REFERENCES}{RESOLVED}
-        SELECT r.path, 0 AS line, f.md5 AS file_md5, r.uid, count(*)::INT AS n_nodes, max(content) AS content,
+        SELECT r.path, 0 AS line, NULL AS file_md5, r.uid, count(*)::INT AS n_nodes, max(content) AS content,
           any_value(s.body) AS definition
-        FROM resolved r JOIN symbol s ON s.workspace = r.workspace AND s.uid = r.uid
-        JOIN files f ON f.workspace = r.workspace AND f.path = r.path
-        GROUP BY r.path, f.md5, r.uid""",
+        FROM resolved r JOIN symbol s ON s.workspace = r.workspace AND s.uid = r.uid GROUP BY r.path, r.uid
+        UNION ALL SELECT path, 0, md5, NULL, NULL, NULL, NULL FROM files""",
     "exclude_glob_filter": f"""WITH {FILES} SELECT path FROM files
         WHERE NOT regexp_full_match(path, 'src1./.*')
           AND NOT regexp_full_match(path, '.*[^0-8][.](de|fr)') AND NOT regexp_full_match(path, 'src[0-2]/.*7.*')""",

@@ -65,20 +65,18 @@ def test_context_json(spark):
     definitions = gr.definition_texts(gr.distinct_locations(resolved), files)
     context = gr.code_context(gr.group_captures(resolved), definitions)
     requests = files.select("workspace", "path", F.lit(1).alias("line"))
-    graph = {r["path"]: json.loads(r["context"]) for r in gr.context_graph_json(context, files, requests, "rules").collect()}
+    rows = gr.context_graph_json(context, files, requests, "rules").collect()
+    graph = {(r["path"], r["uid"]): json.loads(r["context"]) for r in rows}
     uid = "b.go 0:0-0:11"
     node = lambda start: {
         "id": uid, "content": "G", "start": {"line": 1, "column": start}, "end": {"line": 1, "column": start + 1},
         "type": "identifier",
     }
-    assert graph["a.go"] == {
-        "captures": {uid: [node(2), node(4)]},
-        "definitions": {uid: "func G() {}"},
-        "file": "func F() {\n  G(G(1))\n}",
-        "line": 1,
-        "queries": "rules",
+    assert graph == {
+        ("a.go", None): {"file": "func F() {\n  G(G(1))\n}", "line": 1, "queries": "rules"},
+        ("b.go", None): {"file": "func G() {}", "line": 1, "queries": "rules"},
+        ("a.go", uid): {"captures": {uid: [node(2), node(4)]}, "definitions": {uid: "func G() {}"}, "line": 1},
     }
-    assert graph["b.go"]["captures"] == {} and graph["b.go"]["definitions"] == {}
 
 
 def test_config_by_path_beats_name(spark):

@@ -116,7 +116,7 @@ def test_blocks_spread_a_group_that_is_partitioned_already(spark):
 def test_join_unique_with_a_hot_key(spark, how):
     left = spark.range(30000).select("id", F.when(F.col("id") < 10000, 7).otherwise(F.col("id") % 3000).alias("k"))
     right = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    salted = scale.join_unique(left, right, ["k"], how)
+    salted = scale.join_unique(left, right, ["k"], how, rows_per_salt=500)
     plain = left.join(right, ["k"], how)
     assert sorted(salted.columns) == sorted(plain.columns)
     assert salted.select("id", "k", "v").exceptAll(plain.select("id", "k", "v")).isEmpty()

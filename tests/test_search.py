@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -154,6 +156,20 @@ def test_references_of_code(spark):
     assert [(r["content"], r["uid"]) for r in resolved] == [("Bar", "a.go 4:0-5:0")]
 
 
+def test_captures_after_a_lead_and_in_long_lines(spark):
+    rules = [sy.Rule(("go",), "after", r"(?:new|old) (\w+)"), sy.Rule(("go",), "arrow", r"->(\w)")]
+    lines = ["new new", "é new é new x old new old", "->a->b", "x" * 3000 + "->y" * 800, ""]
+    files = spark.createDataFrame([("w", "a.go", "\n".join(lines))], "workspace string, path string, text string")
+    found = sy.extract_references(files, rules)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = [
+        (n, m.start(1), m.end(1), rule.kind, m.group(1))
+        for n, line in enumerate(lines) for rule in rules for m in re.finditer(rule.pattern, line)
+    ]
+    rows = [(r["line"], r["start_col"], r["end_col"], r["node_type"], r["content"]) for r in found.collect()]
+    assert sorted(rows) == sorted(wanted)
+
+
 def test_resolution_prefers_the_own_file(spark):
     files = spark.createDataFrame(
         [("w", "a.go", "func Run() {}"), ("w", "b.go", "func Run() {}\nRun()"), ("w", "c.go", "Run()"), ("v", "c.go", "Run()")],
