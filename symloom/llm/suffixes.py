@@ -33,6 +33,7 @@ SPAN = 200
 GRAM = 32
 CELL = 8
 LEAD_WORDS = 3
+CHUNK_BYTES = 1 << 18
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -84,41 +85,78 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors_of(data: bytes, span: int = SPAN) -> dict[str, np.ndarray]:
-    """Anchors ``at``, the first and last window start ``lo`` and ``hi`` of each, and the hashes of gram and stretch."""
+def chunks_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``CHUNK_BYTES`` together; a longer row is a chunk of its own."""
+    start = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and held + size > CHUNK_BYTES:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if len(sizes):
+        yield start, len(sizes)
+
+
+def anchors_of(texts: list[bytes], span: int = SPAN) -> dict[str, np.ndarray]:
+    """Anchors of all texts: the number ``text`` of their text, their place ``at``, the first and last start ``lo`` and
+    ``hi`` of their stretch of windows, and the hashes ``part`` and ``whole`` of 32-gram and stretch.
+
+    The texts are hashed as one; windows over the end of a text are left out, and others never look beyond it.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = b"".join(texts)
     if len(data) < span:
         none = np.zeros(0, np.int64)
-        return {"at": none, "lo": none, "hi": none, "part": none, "whole": none}
+        return {c: none for c in ("text", "at", "lo", "hi", "part", "whole")}
     hashes = Hashes(data)
     places = np.arange(len(data) - GRAM + 1)
     grams = hashes.of(places, places + GRAM)
     ranked = (grams & np.uint64(HIGH)) | places.astype(np.uint64)
-    anchor = (_smallest(ranked, span - GRAM + 1) & np.uint64(MASK ^ HIGH)).astype(np.int64)
-    lo = np.flatnonzero(np.diff(anchor, prepend=-1))
-    hi = np.append(lo[1:], len(anchor)) - 1
-    at = anchor[lo]
+    smallest = _smallest(ranked, span - GRAM + 1)
+    inside = np.repeat(ends, sizes)[: len(smallest)] - np.arange(len(smallest)) >= span
+    starts = np.flatnonzero(inside)
+    anchor = (smallest[starts] & np.uint64(MASK ^ HIGH)).astype(np.int64)
+    # Windows with one anchor follow each other; texts share none.
+    first = np.flatnonzero(np.diff(anchor, prepend=-1))
+    lo, hi, at = starts[first], starts[np.append(first[1:], len(starts))[: len(first)] - 1], anchor[first]
     shape = ((at - lo) * 1_000_003 + (hi - lo)).astype(np.uint64)
     whole = _mix(hashes.of(lo, hi + span) ^ _mix(shape))
-    return {"at": at, "lo": lo, "hi": hi, "part": grams[at].view(np.int64), "whole": whole.view(np.int64)}
+    text = np.searchsorted(ends, lo, side="right")
+    offset = (ends - sizes)[text]
+    return {
+        "text": text, "at": at - offset, "lo": lo - offset, "hi": hi - offset,
+        "part": grams[at].view(np.int64), "whole": whole.view(np.int64),
+    }
 
 
-def cells_of(data: bytes, first: int, at: int, lo: int, hi: int, n: int, span: int = SPAN) -> list[tuple]:
-    """Cells ``(core hash, cell hash, first start, last start)`` of an anchor's stretch.
+def cells_of(pieces: pd.DataFrame, span: int = SPAN) -> dict[str, np.ndarray]:
+    """Cells of pieces: the number ``piece`` of their piece, the hashes ``part`` of the core and ``whole`` of the cell, and the
+    first and last start ``a`` and ``b``.
 
-    ``data`` are the bytes from place ``first`` of a text of n bytes. A cell reaches over the stretch's ends as
-    far as the text does; its core lies in the text all the same.
+    A piece holds the ``bytes`` from place ``first`` of a text of ``n`` bytes around the stretch ``lo`` to ``hi`` of the anchor ``at``.
+    A cell reaches over the stretch's ends as far as the text does; its core lies in the text all the same.
     """
-    hashes = Hashes(data)
-    numbers = np.arange((at - hi) // CELL, (at - lo) // CELL + 1)
-    end = at - CELL * numbers
+    at, lo, hi, n, first = (pieces[c].to_numpy(np.int64) for c in ("at", "lo", "hi", "n", "first"))
+    sizes = np.array([len(x) for x in pieces["bytes"]], np.int64)
+    shift = np.cumsum(sizes) - sizes - first
+    hashes = Hashes(b"".join(pieces["bytes"]))
+    least = (at - hi) // CELL
+    counts = (at - lo) // CELL - least + 1
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    numbers = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts) + least[piece]
+    end = at[piece] - CELL * numbers
     start = end - (CELL - 1)
-    core = hashes.of(end - first, start + span - first)
-    a, b = np.maximum(start, 0), np.minimum(end, n - span)
-    whole = hashes.of(a - first, b + span - first)
+    a, b = np.maximum(start, 0), np.minimum(end, n[piece] - span)
+    move = shift[piece]
+    core = hashes.of(end + move, start + span + move)
+    whole = hashes.of(a + move, b + span + move)
     shape = (numbers * CELL * CELL + (a - start) * CELL + (end - b)).astype(np.uint64)
-    parts = _mix(core ^ _mix(numbers.astype(np.uint64) + np.uint64(17))).view(np.int64)
-    wholes = _mix(whole ^ _mix(shape + np.uint64(1 << 20))).view(np.int64)
-    return list(zip(parts.tolist(), wholes.tolist(), a.tolist(), b.tolist(), strict=True))
+    return {
+        "piece": piece, "a": a, "b": b,
+        "part": _mix(core ^ _mix(numbers.astype(np.uint64) + np.uint64(17))).view(np.int64),
+        "whole": _mix(whole ^ _mix(shape + np.uint64(1 << 20))).view(np.int64),
+    }
 
 
 def cut_of(at: int, lo: int, hi: int, n: int, span: int = SPAN) -> tuple[int, int]:
@@ -181,14 +219,30 @@ WORDS = [f"w{k}" for k in range(LEAD_WORDS + 2)]
 SUFFIX = ", ".join(["row long", "place int", "own boolean", *[f"{w} long" for w in WORDS]])
 
 
-def suffixes_of(data: bytes, first: int, row: int, own: bool, starts: np.ndarray, span: int = SPAN) -> pd.DataFrame:
-    """Suffixes at ``starts``: leading bytes as words in byte order, and two hashes of the rest of the span."""
-    at = starts - first
+def suffixes_of(pieces: pd.DataFrame, span: int = SPAN) -> pd.DataFrame:
+    """Suffixes at the starts of the wanted cells: leading bytes as words in byte order, and two hashes of the rest of the span.
+
+    A window belongs to one stretch only: starts outside the piece's own are left out, so no place comes twice.
+    """
+    first, lo, hi = (pieces[c].to_numpy(np.int64) for c in ("first", "lo", "hi"))
+    sizes = np.array([len(x) for x in pieces["bytes"]], np.int64)
+    shift = np.cumsum(sizes) - sizes - first
+    data = b"".join(pieces["bytes"])
+    per_piece = np.array([len(x) for x in pieces["a"]], np.int64)
+    piece = np.repeat(np.arange(len(pieces)), per_piece)
+    a = np.maximum(np.concatenate(pieces["a"].tolist()).astype(np.int64), lo[piece])
+    b = np.minimum(np.concatenate(pieces["b"].tolist()).astype(np.int64), hi[piece])
+    counts = np.maximum(b - a + 1, 0)
+    cell = np.repeat(np.arange(len(piece)), counts)
+    place = np.arange(len(cell)) - np.repeat(np.cumsum(counts) - counts, counts) + a[cell]
+    at = place + shift[piece[cell]]
     lead = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(8 * LEAD_WORDS)]
-    words = np.ascontiguousarray(lead).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    words = lead.reshape(len(at), 8 * LEAD_WORDS).view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
     rest = [Hashes(data, seed).of(at + 8 * LEAD_WORDS, at + span) for seed in (1, 2)]
     columns = [*words.view(np.int64).T, *[r.view(np.int64) for r in rest]]
-    return pd.DataFrame({"row": row, "place": starts.astype(np.int32), "own": own, **dict(zip(WORDS, columns, strict=True))})
+    own = np.concatenate(pieces["cell_own"].tolist()).astype(bool)[cell]
+    row = pieces["row"].to_numpy()[piece[cell]]
+    return pd.DataFrame({"row": row, "place": place.astype(np.int32), "own": own, **dict(zip(WORDS, columns, strict=True))})
 
 
 def sorted_repeats(suffixes: DataFrame, name: str) -> DataFrame:
@@ -232,10 +286,12 @@ def sorted_repeats(suffixes: DataFrame, name: str) -> DataFrame:
     return found.where("own and twice").select("row", "place").unionByName(across.select("row", "place"))
 
 
-def _by_text(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """Texts with the list of what is wanted of each; a list is bounded by its own text."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
-    return texts.join(lists, "row")
+def _lists(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """One array per column for each key; the rows of a key are bounded by its own text."""
+    gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    return gathered.select(
+        *keys, *[F.col(f"_rows.{name}").alias(alias) for name, alias in columns.items()]
+    )
 
 
 def repeated_places(texts: DataFrame, span: int = SPAN) -> DataFrame:
@@ -246,30 +302,35 @@ def repeated_places(texts: DataFrame, span: int = SPAN) -> DataFrame:
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                frames = []
-                for row, text in batch.iloc[at : at + 256].itertuples(index=False):
-                    found = anchors_of(text.encode("utf-8", "surrogatepass"), span)
-                    frames.append(pd.DataFrame({**found, "row": row, "own": True}))
-                yield pd.concat(frames, ignore_index=True)
+            rows = batch["row"].to_numpy()
+            data = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+            for start, end in chunks_of(np.array([len(d) for d in data], np.int64)):
+                found = anchors_of(data[start:end], span)
+                yield pd.DataFrame({"row": rows[start:end][found.pop("text")], "own": True, **found})
 
     hashed = texts.select("row", "text").mapInPandas(
-        anchors, "at int, lo int, hi int, part long, whole long, row long, own boolean"
+        anchors, "row long, own boolean, at int, lo int, hi int, part long, whole long"
     )
     level1, needed = settle(hashed, "anchors")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["row", "at", "lo", "hi", "own", "n", "first", "bytes"]
         for batch in batches:
-            for row, text, wanted in batch[["row", "text", "wanted"]].itertuples(index=False):
+            rows, held = [], 0
+            for row, text, ats, los, his, owns in batch.itertuples(index=False):
                 data = text.encode("utf-8", "surrogatepass")
-                rows = []
-                for w in wanted:
-                    a, b = cut_of(w["at"], w["lo"], w["hi"], len(data), span)
-                    rows.append((row, w["at"], w["lo"], w["hi"], w["own"], len(data), a, data[a:b]))
-                yield pd.DataFrame(rows, columns=["row", "at", "lo", "hi", "own", "n", "first", "bytes"])
-
+                for at, lo, hi, own in zip(ats.tolist(), los.tolist(), his.tolist(), owns.tolist(), strict=True):
+                    a, b = cut_of(at, lo, hi, len(data), span)
+                    rows.append((row, at, lo, hi, own, len(data), a, data[a:b]))
+                    held += b - a
+                if held > 16 * CHUNK_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    wanted = _lists(needed, ["row"], {c: f"_{c}" for c in ("at", "lo", "hi", "own")})
     pieces = stored(
-        _by_text(texts.select("row", "text"), needed, ["at", "lo", "hi", "own"]).mapInPandas(
+        texts.select("row", "text").join(wanted, "row").mapInPandas(
             cut, "row long, at int, lo int, hi int, own boolean, n int, first int, bytes binary"
         ),
         "pieces",
@@ -277,26 +338,20 @@ def repeated_places(texts: DataFrame, span: int = SPAN) -> DataFrame:
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p in batch.itertuples(index=False):
-                rows += [(p.row, p.at, p.own, *c) for c in cells_of(p.bytes, p.first, p.at, p.lo, p.hi, p.n, span)]
-            yield pd.DataFrame(rows, columns=["row", "at", "own", "part", "whole", "a", "b"])
+            for start, end in chunks_of(np.array([len(x) for x in batch["bytes"]], np.int64)):
+                part = batch.iloc[start:end]
+                found = cells_of(part, span)
+                of = found.pop("piece")
+                yield pd.DataFrame({**{c: part[c].to_numpy()[of] for c in ("row", "at", "own")}, **found})
 
     cut_cells = pieces.mapInPandas(cells, "row long, at int, own boolean, part long, whole long, a int, b int")
     level2, open_cells = settle(cut_cells, "cells")
-    lists = open_cells.groupBy("row", "at").agg(F.collect_list(F.struct("a", "b", "own")).alias("cells"))
+    lists = _lists(open_cells, ["row", "at"], {"a": "a", "b": "b", "own": "cell_own"})
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                frames = []
-                for p in batch.iloc[at : at + 256].itertuples(index=False):
-                    # A window belongs to one stretch only, so no place comes twice.
-                    starts = [np.arange(max(c["a"], p.lo), min(c["b"], p.hi) + 1) for c in p.cells]
-                    owned = np.repeat([c["own"] for c in p.cells], [len(s) for s in starts])
-                    flat = np.concatenate(starts).astype(np.int64)
-                    frames.append(suffixes_of(p.bytes, p.first, p.row, True, flat, span).assign(own=owned.astype(bool)))
-                yield pd.concat(frames, ignore_index=True)
+            for start, end in chunks_of(np.array([len(x) for x in batch["bytes"]], np.int64)):
+                yield suffixes_of(batch.iloc[start:end], span)
 
     level3 = sorted_repeats(pieces.join(lists, ["row", "at"]).mapInPandas(suffixes, SUFFIX), "suffixes")
     spans = (
@@ -309,15 +364,12 @@ def repeated_places(texts: DataFrame, span: int = SPAN) -> DataFrame:
     return result
 
 
-def union_of(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def union_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping and touching intervals made one."""
-    runs: list[list[int]] = []
-    for a, b in sorted(intervals):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [(a, b) for a, b in runs]
+    order = np.argsort(starts, kind="stable")
+    a, b = np.asarray(starts, np.int64)[order], np.maximum.accumulate(np.asarray(ends, np.int64)[order])
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return list(zip(a[new].tolist(), b[np.append(new[1:], len(b)) - 1].tolist(), strict=True))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,18 +388,17 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         "texts",
     )
     places = repeated_places(texts, span)
-    lists = places.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("wanted"))
-    joined = texts.join(lists, "row", "left")
+    joined = texts.join(_lists(places, ["row"], {"from": "_from", "to": "_to"}), "row", "left")
 
     @F.pandas_udf("n_bytes long, spans array<struct<from: int, to: int>>, kept binary")
-    def keep(rows: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+    def keep(rows: pd.Series, starting: pd.Series, ending: pd.Series) -> pd.DataFrame:
         out = []
-        for text, intervals in zip(rows, wanted, strict=True):
+        for text, first, last in zip(rows, starting, ending, strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            runs = [] if intervals is None else union_of([(int(w["from"]), int(w["to"])) for w in intervals])
+            runs = [] if first is None else union_of(first, last)
             ends = [0, *[b for _, b in runs]]
             starts = [*[a for a, _ in runs], len(data)]
             out.append((len(data), runs, b"".join([data[a:b] for a, b in zip(ends, starts, strict=True)])))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    return joined.select("id", keep("text", "wanted").alias("k")).select("id", "k.n_bytes", "k.spans", "k.kept")
+    return joined.select("id", keep("text", "_from", "_to").alias("k")).select("id", "k.n_bytes", "k.spans", "k.kept")
