@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.operators.chunks import close_reports, open_pieces, pending_text, stream_cursor, stream_full_text
-from symloom.sources.tables import VersionedTable
+from symloom.sources.tables import AppendedTable, VersionedTable
 from symloom.streaming.runner import run_available
 
+# Folders that the state lies in by the hash of its key: a batch reads those of its keys.
+STATE_BUCKETS = 64
+
 _STATE = (
     "stream_id bigint, line bigint, character bigint, closed_seq bigint, last_seq bigint, is_done boolean"
 )
@@ -28,16 +31,16 @@ class CompletionStream:
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = "", compact_every: int = 20):
         self.spark, self.prefix, self.compact_every = spark, prefix, compact_every
-        self.states = VersionedTable(spark, f"{root}/states", ["stream_id"])
+        self.states = VersionedTable(spark, f"{root}/states", ["stream_id"], buckets=STATE_BUCKETS)
         self._taken = VersionedTable(spark, f"{root}/taken", ["stream_id", "seq"])
-        self._edits = VersionedTable(spark, f"{root}/edits", ["stream_id", "seq"])
+        self._edits = AppendedTable(spark, f"{root}/edits", ["stream_id", "seq"])
         self._cut = VersionedTable(spark, f"{root}/cut", ["stream_id", "seq", "place"])
-        self._pieces = VersionedTable(spark, f"{root}/pieces", ["stream_id", "seq", "place"])
-        self._lines = VersionedTable(spark, f"{root}/lines", ["stream_id", "seq"])
-        self._late = VersionedTable(spark, f"{root}/late", ["stream_id", "seq"])
+        self._pieces = VersionedTable(spark, f"{root}/pieces", ["stream_id", "seq", "place"], buckets=STATE_BUCKETS)
+        self._lines = AppendedTable(spark, f"{root}/lines", ["stream_id", "seq"])
+        self._late = AppendedTable(spark, f"{root}/late", ["stream_id", "seq"])
 
-    def _prior(self, before: int | None) -> DataFrame:
-        prior = self.states.latest(before)
+    def _prior(self, before: int | None, buckets: list[int] | None = None) -> DataFrame:
+        prior = self.states.latest(before, buckets)
         return self.spark.createDataFrame([], _STATE) if prior is None else prior
 
     def _marked(self, batch: DataFrame, prior: DataFrame) -> DataFrame:
@@ -51,9 +54,9 @@ class CompletionStream:
         after = F.coalesce(F.col("seq") > F.col("_end"), F.lit(False))
         return known.join(ends, "stream_id", "left").select(*batch.columns, (F.col("late") | after).alias("late"))
 
-    def _pending(self, states: DataFrame, before: int | None) -> DataFrame | None:
+    def _pending(self, states: DataFrame, before: int | None, buckets: list[int] | None = None) -> DataFrame | None:
         """The pieces since the last newline of each of the given streams."""
-        pieces = self._pieces.rows(before)
+        pieces = self._pieces.rows(before, buckets)
         if pieces is None:
             return None
         since = states.select("stream_id", F.coalesce("closed_seq", F.lit(-(2**62))).alias("_since"))
@@ -61,7 +64,7 @@ class CompletionStream:
         return pieces.join(since, "stream_id").where(is_open).drop("_since")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        prior = self._prior(batch_id)
+        prior = self._prior(batch_id, self.states.buckets_of(batch))
         # Written once: everything below reads the batch from here.
         self._taken.write(self._marked(batch, prior), batch_id)
         taken = self._taken.delta(batch_id)
@@ -69,7 +72,8 @@ class CompletionStream:
         fresh = taken.where(~F.col("late")).drop("late")
         known = prior.join(fresh.select("stream_id").distinct(), "stream_id", "left_semi")
         closing = fresh.where(F.instr("text", "\n") > 0).select("stream_id").distinct()
-        pending = self._pending(known.join(closing, "stream_id", "left_semi"), batch_id)
+        buckets = self._pieces.buckets_of(closing)
+        pending = self._pending(known.join(closing, "stream_id", "left_semi"), batch_id, buckets)
         self._edits.write(stream_cursor(fresh, known), batch_id)
         self._cut.write(open_pieces(fresh, pending), batch_id)
         cut = self._cut.delta(batch_id)
@@ -82,6 +86,8 @@ class CompletionStream:
             self.states.compact(batch_id)
             still = self._pending(self._prior(batch_id + 1), batch_id + 1)
             self._pieces.write_base(still, batch_id)
+            for appended in (self._edits, self._lines, self._late):
+                appended.compact(batch_id)
 
     def _new_states(self, fresh: DataFrame, known: DataFrame, batch_id: int) -> DataFrame:
         cursor = (

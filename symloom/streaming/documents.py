@@ -9,10 +9,14 @@ from pyspark.sql.window import Window
 from symloom import schemas
 from symloom.operators.events import parse_event_json
 from symloom.operators.scale import running_totals, seq_block
-from symloom.sources.tables import VersionedTable
+from symloom.session import checkpointed
+from symloom.sources.tables import AppendedTable, VersionedTable
 from symloom.streaming.edit_fold import FOLD_TYPE, fold_documents
 from symloom.streaming.runner import run_available
 
+# Folders that the state lies in by the hash of its key: a batch reads those of its keys.
+STATE_BUCKETS = 64
+
 _STATE_COLUMNS = schemas.DOCUMENT_STATE.fieldNames()
 _EVENT_COLUMNS = ["uri", "seq", "event", "language_id", "version", "text", "changes", "ts"]
 
@@ -66,7 +70,7 @@ def last_states(folded: DataFrame) -> DataFrame:
 
 
 class DocumentStateStream:
-    """Document state, kept as versions of a table; problems are rows of their own.
+    """Document state, kept as versions of a table in buckets; problems are rows of their own.
 
     Events apply in seq order per uri. An event at or below the last applied seq of its uri is late, and so is a
     repeat of a seq inside a batch, of which the one with the lowest hash is applied: a late event changes nothing
@@ -75,23 +79,23 @@ class DocumentStateStream:
 
     def __init__(self, spark: SparkSession, root: str, corrected: bool = False, compact_every: int = 20):
         self.spark, self.corrected, self.compact_every = spark, corrected, compact_every
-        self.states = VersionedTable(spark, f"{root}/states", ["uri"])
+        self.states = VersionedTable(spark, f"{root}/states", ["uri"], buckets=STATE_BUCKETS)
         self._taken = VersionedTable(spark, f"{root}/taken", ["uri", "seq"])
         self._folded = VersionedTable(spark, f"{root}/folded", ["uri", "epoch"])
-        self._problems = VersionedTable(spark, f"{root}/problems", ["uri", "seq"])
+        self._problems = AppendedTable(spark, f"{root}/problems", ["uri", "seq"])
 
-    def _prior(self, before: int | None) -> DataFrame:
-        prior = self.states.latest(before)
+    def _prior(self, before: int | None, buckets: list[int] | None = None) -> DataFrame:
+        prior = self.states.latest(before, buckets)
         return self.spark.createDataFrame([], schemas.DOCUMENT_STATE) if prior is None else prior
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Take in a batch of ``(seq, method, params, ts)``."""
-        prior = self._prior(batch_id)
+        parsed = checkpointed(parse_event_json(batch).where(F.col("event").isin("open", "close", "change")))
+        prior = self._prior(batch_id, self.states.buckets_of(parsed))
         applied = prior.select("uri", F.col("last_seq").alias("_applied"))
         same = Window.partitionBy("uri", "seq").orderBy(F.xxhash64("event", "version", "text", "changes", "ts"))
         repeat = F.col("error").isNull() & (F.col("_number") > 1)
         is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False)) | repeat
-        parsed = parse_event_json(batch).where(F.col("event").isin("open", "close", "change"))
         numbered = parsed.withColumn("_number", F.row_number().over(same))
         marked = numbered.join(applied, "uri", "left").select(
             *_EVENT_COLUMNS, F.coalesce("error", F.when(is_late, "late")).alias("reason")
@@ -113,6 +117,7 @@ class DocumentStateStream:
         self._folded.remove_before(batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self.states.compact(batch_id)
+            self._problems.compact(batch_id)
 
     def run(self, events: DataFrame, checkpoint: str) -> None:
         run_available(events, self.process, checkpoint)

@@ -14,6 +14,9 @@ from symloom.sources.files import read_contents
 from symloom.sources.tables import VersionedTable
 from symloom.streaming.runner import run_available
 
+# Folders that the file rows lie in by the hash of workspace and path: a batch reads those of its files.
+STATE_BUCKETS = 64
+
 MANIFEST = "workspace string, root string, path string"
 
 
@@ -31,7 +34,7 @@ class IndexRefreshStream:
         model: Model | None = None,
     ):
         self.spark, self.rules, self.compact_every, self.model = spark, rules, compact_every, model
-        self._files = VersionedTable(spark, f"{root}/files", FILE_KEY)
+        self._files = VersionedTable(spark, f"{root}/files", FILE_KEY, buckets=STATE_BUCKETS, bucket_by=FILE_KEY)
         self._symbols = VersionedTable(spark, f"{root}/symbols", FILE_KEY)
         self._problems = VersionedTable(spark, f"{root}/problems", FILE_KEY)
 
@@ -54,7 +57,7 @@ class IndexRefreshStream:
         """Read the files of a batch of ``(workspace, root, path)`` and index those that changed."""
         # Written out once, so that the hash, the symbols and the problems come from the same read.
         scan = checkpointed(self._read(manifest))
-        indexed = self._files.latest(batch_id)
+        indexed = self._files.latest(batch_id, self._files.buckets_of(scan))
         readable = scan.where(F.col("error").isNull()).drop("error")
         changed = readable if indexed is None else detect_changed_files(readable, indexed)
         changed = checkpointed(add_text_errors(changed))

@@ -1,11 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import events as ev
 from symloom.operators.search import HashedWords
-from symloom.sources.tables import VersionedTable
+from symloom.sources.tables import AppendedTable, VersionedTable
 from symloom.streaming.completions import CompletionStream
 from symloom.streaming.documents import DocumentStateStream
 from symloom.streaming.refresh import MANIFEST, IndexRefreshStream
@@ -243,6 +244,38 @@ def test_versioned_table(spark, tmp_path):
     assert table._versions("delta") == [2, 3] and table._versions("base") == [2, 3]
 
 
+def test_a_read_for_one_key_reads_its_bucket_only(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), ["k"], buckets=16)
+    rows = spark.range(400).selectExpr("cast(id as int) as k", "cast(id * 2 as int) as v")
+    for version in range(3):
+        table.write(rows, version)
+    table.compact(1)
+    one = spark.createDataFrame([(7,)], "k int")
+    buckets = table.buckets_of(one)
+    found = table.latest(buckets=buckets)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)", plan)
+    assert len(buckets) == 1 and scans and all(re.search(rf"table_bucket#\d+ = {buckets[0]}\b", s) for s in scans)
+    assert {r["v"] for r in found.join(one, "k").collect()} == {14}
+    assert table.latest().count() == 400
+
+
+def test_appended_rows_are_merged_once(spark, tmp_path):
+    table = AppendedTable(spark, str(tmp_path), ["k"])
+    write = lambda version: table.write(spark.createDataFrame([(version,)], "k int"), version)
+    for version in range(6):
+        write(version)
+        if version % 2:
+            table.compact(version)
+            # A batch that is run again after the merge adds nothing.
+            write(version)
+            table.compact(version)
+        assert sorted(r["k"] for r in table.rows().collect()) == list(range(version + 1))
+    assert table._versions("merged") == [1, 3, 5] and len(table._versions("delta")) <= 2
+    table.write(spark.createDataFrame([], "k int"), 6)
+    assert table.rows().count() == 6
+
+
 def test_notifications(spark):
     df = spark.createDataFrame([(m,) for m in [*ev.NOTIFICATION_METHODS, "shutdown", "workspace/symbol"]], "method string")
     one_way, two_way = ev.notification_filter(df)
