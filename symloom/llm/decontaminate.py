@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from symloom.llm.shared import free_name, placed_in_order, prefix_sums, stored
+from symloom.llm.shared import free_name, placed_in_order, prefix_sums, stored, text_batches
 
 #: Benchmark text in one automaton; a larger benchmark takes several, one pass over the documents for each.
 AUTOMATON_BYTES = 512 * 1024
@@ -136,24 +136,40 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
 
 
-def _hits(sent):
-    @F.pandas_udf(HITS)
+def without_runs(text: str, starts: list[int], ends: list[int]) -> str:
+    """A text without runs of its words and what stands between the words of a run."""
+    if not len(starts):
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in WORD.finditer(data.lower())]
+    kept, at = [], 0
+    for x, y in zip(starts, ends, strict=True):
+        kept.append(data[at : places[int(x)][0]])
+        at = places[int(y) - 1][1]
+    return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def _hits(sent, rest: bool):
+    @F.pandas_udf(f"{HITS}, rest string")
     def hits(texts: pd.Series) -> pd.DataFrame:
         automaton, rows = sent.value, []
         for text in texts:
             words = words_of(text)
             hit, items = automaton.scan(words)
-            rows.append((len(words), *(_runs(hit) if items else ([], [])), sorted(items)))
-        return pd.DataFrame(rows, columns=["n_words", "from", "to", "items"])
+            starts, ends = _runs(hit) if items else ([], [])
+            rows.append((len(words), starts, ends, sorted(items), without_runs(text, starts, ends) if rest else None))
+        return pd.DataFrame(rows, columns=["n_words", "from", "to", "items", "rest"])
 
-    return hits
+    # Not deterministic for the optimizer: a filter on the result must not run it once more.
+    return hits.asNondeterministic()
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", result: str = "_hits",
+    item_text_col: str = "text", result: str = "_hits", rest: bool = False,
 ) -> DataFrame:
-    """Add the struct ``result``: the document's number of words, the runs of hit words ``from`` to ``to`` (end exclusive), and the items.
+    """Add the struct ``result``: the document's number of words, the runs of hit words ``from`` to ``to`` (end exclusive), the
+    items, and if asked for, as ``rest``, the text without those runs.
 
     A window is ``window`` consecutive words of an item; a shorter item with any word is one window. A word inside any
     occurrence of a window is hit. Null texts have no words; items with equal ids are one item; a null item
@@ -163,7 +179,7 @@ def contamination(
     The automaton is sent to the tasks. A benchmark beyond ``AUTOMATON_BYTES`` is cut into blocks of that
     size, each its own automaton and pass, and the hits of a document are united.
     """
-    spark = docs.sparkSession
+    spark = text_batches(docs).sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
@@ -184,7 +200,7 @@ def contamination(
 
     def hits_of(block: DataFrame) -> Column:
         rows = [(r["item"], words_of(r["words"])) for r in block.toLocalIterator()]
-        return _hits(spark.sparkContext.broadcast(Automaton(rows, window)))(text)
+        return _hits(spark.sparkContext.broadcast(Automaton(rows, window)), rest and len(blocks) == 1)(text)
 
     if len(blocks) == 1:
         return docs.withColumn(result, hits_of(blocks[0]))
@@ -213,7 +229,8 @@ def contamination(
         F.expr("array()").cast("array<int>").alias("to"), F.expr("array()").cast("array<string>").alias("items"),
     )
     joined = docs.join(some, row, "left").withColumn(result, F.coalesce(some_hits, clean))
-    return joined.drop(some_hits, row)
+    cut = F.pandas_udf(_without, StringType())(text, f"{result}.from", f"{result}.to") if rest else F.lit(None).cast("string")
+    return joined.withColumn(result, F.col(result).withField("rest", cut)).drop(some_hits, row)
 
 
 def _word_counts(texts: pd.Series) -> pd.Series:
@@ -221,19 +238,7 @@ def _word_counts(texts: pd.Series) -> pd.Series:
 
 
 def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    out = []
-    for text, a, b in zip(texts, starts, ends, strict=True):
-        if text is None or not len(a):
-            out.append(text)
-            continue
-        data = text.encode("utf-8", "surrogatepass").lower()
-        places = [m.span() for m in WORD.finditer(data)]
-        kept, at, data = [], 0, text.encode("utf-8", "surrogatepass")
-        for x, y in zip(a, b, strict=True):
-            kept.append(data[at : places[int(x)][0]])
-            at = places[int(y) - 1][1]
-        out.append(b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass"))
-    return pd.Series(out, dtype="object")
+    return pd.Series([without_runs(t, a, b) for t, a, b in zip(texts, starts, ends, strict=True)], dtype="object")
 
 
 def decontaminated(
@@ -244,10 +249,10 @@ def decontaminated(
     Columns stay as they are; documents without a hit keep every character, null texts stay null.
     """
     columns, hits = docs.columns, free_name(docs, "_hits")
-    found = contamination(docs, benchmark, window, text_col, result=hits)
+    found = contamination(docs, benchmark, window, text_col, result=hits, rest=True)
     n_hit = F.aggregate(
         F.zip_with(f"{hits}.from", f"{hits}.to", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x
     )
     kept = found.where(n_hit <= F.col(f"{hits}.n_words") * F.lit(max_share))
-    without = F.pandas_udf(_without, StringType())
-    return kept.withColumn(text_col, without(F.col(text_col), f"{hits}.from", f"{hits}.to")).select(*columns)
+    cut = F.when(F.col(text_col).isNotNull(), F.col(f"{hits}.rest"))
+    return kept.withColumn(text_col, cut).select(*columns)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import free_name, stored
+from symloom.llm.shared import free_name, stored, text_batches
 
 #: The n-grams of a profile, most frequent first.
 PROFILE = 400
@@ -80,7 +80,7 @@ def learn_profiles(
 
     N-grams are counted in the tasks and summed; the driver gets ``PROFILE`` n-grams per language.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    usable = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))]) if counts else None
     if share is None:
@@ -121,7 +121,8 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", resul
         known = sent.value
         return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn(result, language(F.col(text_col)))
+    # Not deterministic for the optimizer: a filter on the result must not run it once more.
+    return text_batches(docs).withColumn(result, language.asNondeterministic()(F.col(text_col)))
 
 
 def identified(docs: DataFrame, min_score: float = 0.0, **columns: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.shared import placed_in_order, prefix_sums
-from symloom.llm.tokens import encoder
+from symloom.llm.shared import placed_in_order, prefix_sums, text_batches
+from symloom.llm.tokens import TEXTS_AT_ONCE, encoder
 
 #: Lengths are counted in classes of this many tokens, rounded up.
 UNIT = 8
@@ -36,9 +36,9 @@ def token_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             known = (~batch["_none"]).tolist()
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
                 rows = []
-                texts = batch["text"].iloc[at : at + 256].tolist()
+                texts = batch["text"].iloc[at : at + TEXTS_AT_ONCE].tolist()
                 for k, data in enumerate(encoder(tokenizer).encode(texts), at):
                     data += end
                     n = len(data) // 4
@@ -48,7 +48,7 @@ def token_pieces(
                 frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    rows = docs.select(
+    rows = text_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.col(id_col).isNull().alias("_none"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),

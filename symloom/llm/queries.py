@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm import decontaminate, langid, packing, secrets, sharding, simhash, suffixes, tokens, topk, urls, wavelet
-from symloom.llm.shared import scratch_path, stored
+from symloom.llm.shared import stored
+from symloom.session import scratch_dir
 
 CAPACITY = 2048
 
@@ -57,7 +58,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "wavelet")
+    path = scratch_dir(spark, "wavelet")
     wavelet.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer(), 2)
     files = wavelet.read_token_files(spark, path)
     return wavelet.documents_of(files).select(

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from symloom.session import hadoop_path, scratch_dir
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_DEFAULT = "67108864b"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +23,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are removed when it is done; only the table is read again.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_dir(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -41,9 +38,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.stored_path)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, system = hadoop_path(table.sparkSession, table.stored_path)
+        system.delete(path, True)
+
+
+def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list:
+    """At most ``limit`` rows with the highest counts: those above the lowest count that leaves no more than that.
+
+    Rows with equal counts are taken together or not at all. The driver gets the counts that occur, and the rows.
+    """
+    per_count = counts.groupBy(number).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc(number)).limit(limit + 1)
+    taken, least = 0, None
+    for row in per_count.collect():
+        taken += row["_rows"]
+        if taken > limit:
+            break
+        least = row[number]
+    if least is None:
+        return []
+    return sorted(counts.where(F.col(number) >= least).select(name, *[c for c in counts.columns if c != name]).collect())
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The table itself; from now on Arrow batches of its session hold 4 MB, where Spark's default of 64 MB was left.
+
+    Workers hold a batch several times over, and texts may be long.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        conf.set(ARROW_BYTES, "4m")
+    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:

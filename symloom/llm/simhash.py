@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import components, stored
+from symloom.llm.shared import components, stored, text_batches
 
 SEED = 42
 #: Fingerprints in a tile, about; a population-count group with more is split by hash.
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
+    return text_batches(docs).select(F.col(id_col).alias("id"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
 
 def _population(fp) -> list:

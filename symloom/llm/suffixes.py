@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.shared import discard, stored, worker_state
+from symloom.llm.shared import discard, stored, text_batches, worker_state
 
 SPAN = 200
 GRAM = 32
@@ -381,7 +381,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
     cut without regard to characters. An empty table gives no rows. Other columns are ignored.
     """
     texts = stored(
-        docs.select(
+        text_batches(docs).select(
             F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         ),

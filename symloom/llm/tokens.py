@@ -9,6 +9,7 @@ import numpy as np
 from symloom.llm.shared import worker_state
 
 CACHED_WORDS = 600_000
+TEXTS_AT_ONCE = 64
 LONGEST_CACHED = 48
 PIECES_AT_ONCE = 400
 

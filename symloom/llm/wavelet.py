@@ -10,7 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.tokens import encoder
+from symloom.llm.shared import text_batches
+from symloom.llm.tokens import TEXTS_AT_ONCE, encoder
 
 #: A matrix takes documents until it holds this many tokens; its last document may go beyond.
 MATRIX_TOKENS = 1 << 17
@@ -132,8 +133,8 @@ def _rows_of(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, bits:
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         known = (~batch["no_id"]).tolist()
-        for at in range(0, len(batch), 256):
-            texts = batch["text"].iloc[at : at + 256].tolist()
+        for at in range(0, len(batch), TEXTS_AT_ONCE):
+            texts = batch["text"].iloc[at : at + TEXTS_AT_ONCE].tolist()
             for k, data in enumerate(encoder(tokenizer).encode(texts), at):
                 ids.append(int(batch["id"].iat[k]) if known[k] else None)
                 held.append(data + end)
@@ -159,7 +160,7 @@ def write_token_files(
     come first; rows with equal ids are ordered by text hash, equal rows stay in reading order, each a
     document of its own. An empty table gives files without rows. Other columns are ignored.
     """
-    rows = docs.select(
+    rows = text_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.col(id_col).isNull().alias("no_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
