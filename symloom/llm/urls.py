@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import stored, worker_state
+from symloom.llm.shared import most_frequent, stored, text_batches, worker_state
 
-#: Words and tokens that the two models keep, most frequent first.
+#: Words and tokens that the two models keep at most, the most frequent of all.
 VOCABULARY = 50_000
 LONGEST_WORD = 20
 
@@ -47,8 +47,7 @@ def word_costs(texts: DataFrame, column: str, vocabulary: int = VOCABULARY) -> d
     plain = words.where(F.col("word").rlike(f"^[a-z]{{1,{LONGEST_WORD}}}$"))
     counts = stored(plain.groupBy("word").count(), "url-words")
     total = counts.agg(F.sum("count")).first()[0] or 1
-    top = counts.orderBy(F.desc("count"), "word").limit(vocabulary).collect()
-    return {r["word"]: math.log(total / r["count"]) for r in top}
+    return {r["word"]: math.log(total / r["count"]) for r in most_frequent(counts, "word", "count", vocabulary)}
 
 
 def segment(name: str, costs: dict[str, float], unknown: float) -> list[str]:
@@ -134,7 +133,7 @@ def judged(
 
     The tasks get two tables of at most ``vocabulary`` entries. Token counts are summed before the shuffle.
     """
-    spark = pages.sparkSession
+    spark = text_batches(pages).sparkSession
     sent = spark.sparkContext.broadcast(Words(word_costs(pages, html_col, vocabulary)))
 
     @F.pandas_udf("array<string>")
@@ -154,7 +153,7 @@ def judged(
     tokens = taught.select(blocked.alias("b"), F.explode(tokens_of("host", "path")).alias("token"))
     counts = stored(tokens.groupBy("token").agg(F.sum(1 - F.col("b")).alias("a"), F.sum("b").alias("b")), "url-tokens")
     totals = counts.agg(F.sum("a"), F.sum("b")).first()
-    top = counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary).collect()
+    top = most_frequent(counts.withColumn("both", F.col("a") + F.col("b")), "token", "both", vocabulary)
     model = Bayes(
         {r["token"]: (r["a"], r["b"]) for r in top}, (n[0] or 0, n[1] or 0), (totals[0] or 0, totals[1] or 0)
     )

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from symloom.llm import decontaminate, packing, secrets, sharding, simhash, suffixes, tokens, topk, urls, wavelet
-from symloom.llm.shared import components, scratch_path, stored
+from symloom.llm.shared import components, most_frequent, stored
+from symloom.session import scratch_dir
 
 
 def test_components_of_random_graphs(spark):
@@ -25,6 +26,12 @@ def test_components_of_random_graphs(spark):
     assert found == wanted
 
 
+def test_most_frequent_rows(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 5), ("e", 1)], "w string, n long")
+    names = lambda limit: [r["w"] for r in most_frequent(counts, "w", "n", limit)]
+    assert [names(k) for k in range(6)] == [[], ["a"], ["a"], ["a"], ["a", "b", "c", "d"], ["a", "b", "c", "d", "e"]]
+
+
 def tokenizer_json():
     import public_tokenizers
 
@@ -59,7 +66,7 @@ def test_token_files_are_searched(spark, monkeypatch):
     monkeypatch.setattr(wavelet, "MATRIX_TOKENS", 64)
     rng = random.Random(2)
     docs = [(k, " ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(rng.randint(0, 90)))) for k in range(60)]
-    path = scratch_path(spark, "wavelet-test")
+    path = scratch_dir(spark, "wavelet-test")
     wavelet.write_token_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), path, tokenizer_json(), 2)
     files = wavelet.read_token_files(spark, path)
     ids = {r["id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in wavelet.documents_of(files).collect()}
@@ -125,7 +132,11 @@ def literal_spans(texts, span):
     starts = Counter(t[p : p + span] for t in texts for p in range(len(t) - span + 1))
     result = []
     for t in texts:
-        result.append(suffixes.union_of([(p, p + span) for p in range(len(t) - span + 1) if starts[t[p : p + span]] > 1]))
+        places = [p for p in range(len(t) - span + 1) if starts[t[p : p + span]] > 1]
+        covered = {q for p in places for q in range(p, p + span)}
+        edges = sorted(covered)
+        runs = [(a, b) for a, b in zip([q for q in edges if q - 1 not in covered], [q + 1 for q in edges if q + 1 not in covered], strict=True)]
+        result.append(runs)
     return result
 
 
@@ -178,11 +189,13 @@ def test_large_benchmarks_take_several_automata(spark, monkeypatch):
     assert sorted(map(str, one)) == sorted(map(str, several))
 
 
-def test_hit_passages_are_cut_out(spark):
+@pytest.mark.parametrize("size", [1 << 19, 30])
+def test_hit_passages_are_cut_out(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     docs = [(1, f"Keep THIS, one two three four five six seven eight; {item.upper()}! And this é.", 3), (2, item, 3), (3, "Clean  text\n", 3), (4, None, 3)]
     docs = spark.createDataFrame(docs, "doc_id long, text string, _hits int")
-    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "nothing like it")], "item_id long, text string")
     cut = decontaminate.decontaminated(docs, items, max_share=0.6)
     assert cut.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {
