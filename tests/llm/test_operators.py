@@ -258,6 +258,42 @@ def test_network_learns_from_the_patterns(spark):
     assert clean <= 8
 
 
+def test_windows_see_the_whole_of_a_run():
+    key = "QWERTZ23456789ABCDEFGHJK"
+    run = "services/" * 9 + key + "/services" * 9
+    (start, end, label, around), = secrets.candidates(f"x {run} y", [])
+    assert (start, end, label) == (2, 2 + len(run), 0)
+    windows = [secrets.window_at(around, at) for at in secrets.window_starts(around)]
+    assert all(len(w) == secrets.WINDOW for w in windows)
+    seen = {w[secrets.LEFT + k : secrets.LEFT + k + 16] for w in windows for k in range(secrets.WIDTH - 15)}
+    assert seen >= {run[k : k + 16] for k in range(len(run) - 15)}
+
+
+def test_findings_are_cut_out_of_a_run():
+    hexes = [f"{k:032x}" for k in range(12)]
+    run = "/".join(["QWERTZ23456789ABCDEFGHJK", *hexes, "ZXCVBN98765432LKJHGFDS"])
+    rows = secrets.candidates(run, secrets.base_findings(run))
+    assert [run[a:b] for a, b, label, _ in rows if label] == hexes
+    assert [run[a:b] for a, b, label, _ in rows if not label] == ["QWERTZ23456789ABCDEFGHJK/", "/ZXCVBN98765432LKJHGFDS"]
+
+
+def test_keys_inside_long_runs_are_scored():
+    class Capitals(secrets.Network):
+        """Sure of a window with twelve capitals in the candidate's places."""
+
+        def probabilities(self, x):
+            inside = x[:, secrets.LEFT : secrets.LEFT + secrets.WIDTH]
+            return (((inside >= 28) & (inside < 54)).sum(axis=1) >= 12).astype(float)
+
+    key, path = "QWERTZUIOPASDFGHJK", "/".join(["abcdefgh"] * 9)
+    texts = [f"river {path}/{key}/{path} stone", f"river {'0123456789abcdef' * 2}/{key} stone", f"river {path} stone"]
+    found = []
+    for text in texts:
+        others = [c for c in secrets.candidates(text, secrets.base_findings(text)) if c[2] == 0]
+        found.append([text[c[0] : c[1]] for c, yes in zip(others, Capitals().picks([c[3] for c in others]), strict=True) if yes])
+    assert found == [[f"{path}/{key}/{path}"], [f"/{key}"], []]
+
+
 def test_network_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     network = secrets.Network(filters=3, width=4)
