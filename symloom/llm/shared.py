@@ -42,10 +42,10 @@ def discard(*tables: DataFrame) -> None:
         system.delete(path, True)
 
 
-def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list:
-    """At most ``limit`` rows with the highest counts: those above the lowest count that leaves no more than that.
+def least_of_top(counts: DataFrame, number: str, limit: int) -> int | None:
+    """The lowest number that at most ``limit`` rows reach; None when more rows share the highest one, or none exist.
 
-    Rows with equal counts are taken together or not at all. The driver gets the counts that occur, and the rows.
+    The driver gets the numbers that occur.
     """
     per_count = counts.groupBy(number).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc(number)).limit(limit + 1)
     taken, least = 0, None
@@ -54,6 +54,15 @@ def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list
         if taken > limit:
             break
         least = row[number]
+    return least
+
+
+def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list:
+    """At most ``limit`` rows with the highest counts: those above the lowest count that leaves no more than that.
+
+    Rows with equal counts are taken together or not at all. The driver gets the counts that occur, and the rows.
+    """
+    least = least_of_top(counts, number, limit)
     if least is None:
         return []
     return sorted(counts.where(F.col(number) >= least).select(name, *[c for c in counts.columns if c != name]).collect())

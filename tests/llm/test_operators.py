@@ -234,6 +234,32 @@ def test_bayes_follows_its_teachers(spark):
     assert found[200] == "block" and found[201] == "allow"
 
 
+def test_every_token_counts(spark):
+    word = lambda k: "q" + "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    rows = [(k, f"http://{word(k)}.example.{'net/es' if k % 2 else 'com'}/", f"<p>{word(k)}</p>") for k in range(60_001)]
+    rows += [(100_000 + k, f"http://{word(k)}{word(k + 2)}.org/", None) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.judged(pages, {"com/": "allow", "net/es/": "block"}).where("page_id >= 100000").collect()
+    assert {r["page_id"]: r["_judged"]["verdict"] for r in found} == {
+        100_000 + k: "block" if k % 2 else "allow" for k in range(100)
+    }
+
+
+def test_odds_do_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(4)
+    words = ["river", "house", "casino", "bonus", "garden", "stone", "light"]
+    rows = [
+        (k, f"http://{rng.choice(words)}{rng.choice(words)}{k % 9}.{rng.choice(['com', 'net', 'org'])}/es/{rng.choice(words)}", " ".join(rng.choices(words, k=5)))
+        for k in range(300)
+    ]
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    few, all_ = (
+        {r["page_id"]: r["_judged"] for r in urls.judged(pages, {"com/": "allow", "net/es/": "block"}, vocabulary=n).collect()}
+        for n in (3, 50_000)
+    )
+    assert few == all_ and len({r["odds"] for r in all_.values()}) > 50
+
+
 def secret_documents(rng):
     rows = []
     for k in range(400):
