@@ -13,8 +13,8 @@ from symloom.llm.shared import free_name, least_of_top, most_frequent, stored, t
 
 #: Words, tokens and names that travel to all tasks at most, the most frequent of all; the others are joined.
 VOCABULARY = 50_000
-#: What a word of the pages and a name of an url consist of.
-LETTERS = "a-z"
+#: What a word of the pages and a name of an url consist of: letters of any script, and marks on them.
+LETTERS = r"\p{L}\p{M}"
 NAMES = rf"[{LETTERS}]+|[0-9]+|[^\x00-\x7F{LETTERS}]+"
 #: Weights are summed as multiples of this part of one, so that the order of a sum does not matter.
 PART = 1 << 32
@@ -48,8 +48,8 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """``(word, count)`` of all words in all visible text of html, stored whole."""
     visible = F.regexp_replace(F.col(column), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", " ")
-    words = texts.where(F.col(column).isNotNull()).select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word"))
-    return stored(words.where(F.col("word").rlike(f"^[{LETTERS}]+$")).groupBy("word").count(), "url-words")
+    words = texts.where(F.col(column).isNotNull()).select(F.explode(F.split(F.lower(visible), f"[^{LETTERS}]+")).alias("word"))
+    return stored(words.where("word <> ''").groupBy("word").count(), "url-words")
 
 
 def segment(name: str, costs: dict[str, float], unknown: float) -> list[str]:

@@ -260,6 +260,21 @@ def test_odds_do_not_depend_on_what_is_broadcast(spark):
     assert few == all_ and len({r["odds"] for r in all_.values()}) > 50
 
 
+def test_names_of_any_script_are_split_whole(spark):
+    long = "пере" * 8
+    rows = [(k, f"http://казинобонус{k}.example.net/es/{k}", "<p>казино бонус казино</p>") for k in range(30)]
+    rows += [(100 + k, f"http://jardínflor{k}.example.com/x/{k}", "jardín flor jardín") for k in range(30)]
+    rows += [(200 + k, f"http://a.example.net/es/{long}садовод", "") for k in range(5)]
+    rows += [(300 + k, f"http://a.example.com/x/{long}дом", f"{long}дом") for k in range(5)]
+    rows += [(400, "http://БОНУС.org/", None), (401, "http://flor.org/", None), (402, "http://jardín.org/", None)]
+    rows += [(403, f"http://a.org/{long}садовод", None), (404, f"http://a.org/{long}дом", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = urls.judged(pages, {"com/": "allow", "net/es/": "block"}).where("page_id >= 400").collect()
+    assert {r["page_id"]: r["_judged"]["verdict"] for r in found} == {
+        400: "block", 401: "allow", 402: "allow", 403: "block", 404: "allow",
+    }
+
+
 def secret_documents(rng):
     rows = []
     for k in range(400):
