@@ -19,33 +19,50 @@ SEED_VECTORS = 512
 #: A bucket is pruned by coordinates where a query's cosine threshold is this high, by length otherwise.
 COORDINATES_FROM = 0.75
 FOCUS = 4
-LARGEST = 1 << 26
 NO_ID = (1 << 63) - 1
-EMPTY = -(1 << 62)
+#: Scores that no long holds count as these, below and above all others; in the result they are an error.
+TOO_LOW, TOO_HIGH = 2 - (1 << 63), (1 << 63) - 1
+EMPTY = TOO_LOW - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """``(row, id, v, norm)`` of the rows that take part: ``floor(scale * x)`` of every component x, as long."""
+    """``(row, id, v, norm)`` of the rows that take part: ``floor(scale * x)`` of every component x, as double, which is exact."""
     x = F.col(vector_col).cast("array<double>")
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    whole = F.transform(
-        x, lambda e: F.floor(F.least(F.greatest(e * scale, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")
-    )
+    # From 2^53 on every double is whole.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    whole = F.transform(x, lambda e: floor(e * scale))
     rows = vectors.where(F.col(vector_col).isNotNull()).where(sound)
     return (
         rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole.alias("v"))
-        .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))))
+        .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
         .withColumn("row", F.monotonically_increasing_id())
     )
 
 
-def _matrix(vectors, width: int, exact: type) -> np.ndarray:
-    out = np.zeros((len(vectors), width), exact)
+def _matrix(vectors, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
     for k, v in enumerate(vectors):
         out[k, : len(v)] = v
     return out
 
 
+def products(q: np.ndarray, q_norm: np.ndarray, v: np.ndarray, v_norm: np.ndarray) -> np.ndarray:
+    """All exact inner products of whole numbers, as int64.
+
+    The lengths bound every partial sum: it is exact in doubles below 2^52 and in int64 below 2^62. Pairs beyond
+    are multiplied in Python's integers; what no long holds is ``TOO_LOW`` or ``TOO_HIGH``.
+    """
+    if q_norm.max(initial=0) * v_norm.max(initial=0) < 2.0**52:
+        return (q @ v.T).astype(np.int64)
+    limit = 2.0**62
+    scores = np.clip(q, -limit, limit).astype(np.int64) @ np.clip(v, -limit, limit).astype(np.int64).T
+    for i, j in zip(*np.nonzero(q_norm[:, None] * v_norm[None, :] >= limit), strict=True):
+        exact = sum(int(a) * int(b) for a, b in zip(q[i], v[j], strict=True))
+        scores[i, j] = min(max(exact, TOO_LOW), TOO_HIGH)
+    return scores
+
+
 class Best:
     """The k best candidates of each query so far, by score and then by smaller id."""
 
@@ -92,7 +109,7 @@ def search_bucket(
             # A shorter vector needs a higher cosine, so the bucket's threshold holds for each of its vectors.
             keep &= share >= unit[f] * t - spread if unit[f] >= 0 else share <= unit[f] * t + spread
         kept = np.flatnonzero(keep & (v_rows != q_rows[i]))
-        scores = (v[kept] @ q[i]).astype(np.int64)
+        scores = products(q[i : i + 1], q_norm[i : i + 1], v[kept], v_norm[kept])[0]
         entering = scores >= need[i]
         if entering.any():
             best.add(i, scores[entering], v_ids[kept[entering]])
@@ -103,7 +120,7 @@ def search_bucket(
         long_enough = int(np.searchsorted(-v_norm, -(least * (1 - 1e-9) - 1e-6), side="right"))
         if long_enough == 0:
             continue
-        scores = (q[block] @ v[:long_enough].T).astype(np.int64)
+        scores = products(q[block], q_norm[block], v[:long_enough], v_norm[:long_enough])
         scores[q_rows[block][:, None] == v_rows[None, :long_enough]] = EMPTY
         hit = scores >= np.maximum(need[block], EMPTY + 1)[:, None]
         for k in np.flatnonzero(hit.any(axis=1)):
@@ -116,8 +133,8 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products of every query with all other rows.
 
     Queries are the rows whose id is divisible by ``every``. Rows whose vector is null or holds a null or
-    non-finite component take no part. Components count up to 2^26 in size after scaling; of vectors of
-    different lengths the shorter is filled with zeros. Ties go to the smaller id; a null id is never a query
+    non-finite component take no part. Components of any size count; a score in the result that no long holds is an
+    error, as is a vector whose length no double holds. Of vectors of different lengths the shorter is filled with zeros. Ties go to the smaller id; a null id is never a query
     and comes last among ties. A row is told from others by itself, not by its id, so rows with equal ids find
     each other. Fewer than k candidates give fewer rows, an empty table none. Other columns are ignored.
 
@@ -130,7 +147,8 @@ def top_k(
     facts = ready.agg(F.max(F.size("v")).alias("width"), F.max("norm").alias("norm")).first()
     n_queries = queries.count()
     width = facts["width"] or 0
-    exact = np.float64 if float(facts["norm"] or 0) ** 2 < 2**52 else np.int64
+    if not np.isfinite(facts["norm"] or 0):
+        raise ValueError(f"{vector_col} holds a vector too long for inner products")
     longest = ready.orderBy(F.desc("norm"), "row").limit(SEED_VECTORS).collect()
     ranged = ready.repartitionByRange(F.desc("norm"), F.asc("row"))
     passes = -(-n_queries // QUERIES_PER_PASS)
@@ -139,17 +157,17 @@ def top_k(
         mine = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == number)
         block = mine.select("row", "id", "v", "norm").toArrow()
         sent = spark.sparkContext.broadcast((
-            block["row"].to_numpy(), block["id"].to_numpy(), _matrix(block["v"].to_pylist(), width, exact),
+            block["row"].to_numpy(), block["id"].to_numpy(), _matrix(block["v"].to_pylist(), width),
             block["norm"].to_numpy(), np.array([r["row"] for r in longest], np.int64),
-            _matrix([r["v"] for r in longest], width, exact),
+            _matrix([r["v"] for r in longest], width), np.array([r["norm"] for r in longest], np.float64),
         ))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q_rows, q_ids, q, q_norm, top_rows, top = sent.value
+            q_rows, q_ids, q, q_norm, top_rows, top, top_norm = sent.value
             floor = np.full(len(q), EMPTY, np.int64)
             if len(top) > k:
                 for at in range(0, len(q), 1024):
-                    scores = (q[at : at + 1024] @ top.T).astype(np.int64)
+                    scores = products(q[at : at + 1024], q_norm[at : at + 1024], top, top_norm)
                     scores[q_rows[at : at + 1024, None] == top_rows[None, :]] = EMPTY
                     floor[at : at + 1024] = np.partition(scores, -k, axis=1)[:, -k]
             best = Best(len(q), k)
@@ -158,7 +176,7 @@ def top_k(
                 for at in range(0, len(batch), BUCKET):
                     part = batch.iloc[at : at + BUCKET]
                     search_bucket(
-                        best, floor, q, q_norm, q_rows, _matrix(part["v"].tolist(), width, exact),
+                        best, floor, q, q_norm, q_rows, _matrix(part["v"].tolist(), width),
                         part["norm"].to_numpy(), part["row"].to_numpy(), part["id"].to_numpy(),
                     )
             i, j = np.nonzero(best.scores > EMPTY)
@@ -169,7 +187,9 @@ def top_k(
         local = ranged.mapInPandas(search, "query_row long, query_id long, vec_id long, score long")
         by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
         ranked = local.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-        found.append(stored(ranked, "top-k"))
+        unfit = F.col("score").isin(TOO_LOW, TOO_HIGH)
+        error = F.raise_error(F.concat(F.lit("no long holds a score of query "), F.col("query_id").cast("string"))).cast("long")
+        found.append(stored(ranked.withColumn("score", F.when(unfit, error).otherwise(F.col("score"))), "top-k"))
         sent.unpersist()
     if not found:
         found = [ready.limit(0).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("row").alias("score"), F.lit(0).alias("rank"))]

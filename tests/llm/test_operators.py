@@ -383,6 +383,31 @@ def test_search_takes_several_passes(spark, monkeypatch):
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == wanted
 
 
+@pytest.mark.parametrize("size", [3e5, 3e6])
+def test_long_vectors_are_not_clamped(spark, monkeypatch, size):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(topk, "BUCKET", 16)
+    monkeypatch.setattr(topk, "SEED_VECTORS", 10)
+    vectors = rng.normal(size=(120, 4)) * np.where(np.arange(120) % 7 == 0, size, 1.0)[:, None]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(256 * x)) for x in v] for v in vectors]
+    wanted = set()
+    for q in range(0, 120, 20):
+        scores = [sum(a * b for a, b in zip(whole[q], v, strict=True)) for v in whole]
+        order = sorted((k for k in range(120) if k != q), key=lambda k: (-scores[k], k))[:5]
+        wanted.update((q, rank, k, scores[k]) for rank, k in enumerate(order, 1))
+    found = topk.top_k(table.repartition(3), every=20, k=5).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == wanted
+
+
+def test_scores_that_no_long_holds(spark):
+    rows = [(0, [1e12, 3.0]), (1, [-1e30, 1.0]), (2, [0.0, 2.0]), (3, [0.0, 5.0])]
+    search = lambda rows: topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=2)
+    assert [(r["vec_id"], r["score"]) for r in search(rows).orderBy("rank").collect()] == [(3, 15 << 16), (2, 6 << 16)]
+    with pytest.raises(Exception, match="no long holds a score"):
+        search([*rows, (4, [1e12, 0.0])]).collect()
+
+
 def test_words_are_those_of_the_pattern():
     text = "Ab1_c\u00e9 \u0130x \x7f\x80y;Z"
     lowered = text.translate({c: c + 32 for c in range(65, 91)})
