@@ -17,6 +17,9 @@ PROFILE = 400
 #: Labelled documents per language that profiles are made of, about.
 TRAINING_ROWS = 4000
 UNKNOWN = "und"
+#: A document is in a known language when its score is at least this share of the score that all but ``OUTLIERS`` of
+#: the training documents reach.
+LEAST_SHARE, OUTLIERS = 0.5, 0.01
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,6 +76,16 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list[str]]:
+    """``(lang, text)`` of about ``rows`` labelled documents per language that are not held out, and all languages."""
+    usable = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))]) if counts else None
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.where(draw < share[F.col(lang_col)]) if counts else usable.limit(0)
+    return drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), list(counts)
+
+
 def learn_profiles(
     docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Profiles:
@@ -80,13 +93,9 @@ def learn_profiles(
 
     N-grams are counted in the tasks and summed; the driver gets ``PROFILE`` n-grams per language.
     """
-    usable = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))]) if counts else None
-    if share is None:
+    sample, languages = training_sample(docs, rows, id_col, text_col, lang_col)
+    if not languages:
         return Profiles({})
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,7 +110,7 @@ def learn_profiles(
         "grams",
     )
     best = {}
-    for lang in counts:
+    for lang in languages:
         top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE).collect()
         if top:
             best[lang] = [r["gram"] for r in top]
@@ -125,9 +134,24 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", resul
     return text_batches(docs).withColumn(result, language.asNondeterministic()(F.col(text_col)))
 
 
-def identified(docs: DataFrame, min_score: float = 0.0, **columns: str) -> DataFrame:
-    """The documents in a known language with at least ``min_score``; their columns stay as they are."""
+def least_score(
+    docs: DataFrame, profiles: Profiles, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> float:
+    """``LEAST_SHARE`` of the score that all but ``OUTLIERS`` of the training documents with a letter reach; 0 without any."""
+    sample, _ = training_sample(docs, rows, id_col, text_col, lang_col)
+    scores = predicted(sample, profiles).select("_language.*").where(F.col("lang") != UNKNOWN)
+    return LEAST_SHARE * (scores.agg(F.percentile("score", F.lit(OUTLIERS))).first()[0] or 0.0)
+
+
+def identified(docs: DataFrame, min_score: float | None = None, **columns: str) -> DataFrame:
+    """The documents in a known language; their columns stay as they are.
+
+    A text that shares no n-gram with any profile is in none, nor is one whose score is below ``min_score``, by
+    default the ``least_score`` of the training documents.
+    """
     name = free_name(docs, "_language")
-    found = predicted(docs, learn_profiles(docs, **columns), columns.get("text_col", "text"), name)
-    sure = (F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)
-    return found.where(sure).select(*docs.columns)
+    profiles = learn_profiles(docs, **columns)
+    least = least_score(docs, profiles, **columns) if min_score is None else min_score
+    found = predicted(docs, profiles, columns.get("text_col", "text"), name)
+    score = F.col(f"{name}.score")
+    return found.where((F.col(f"{name}.lang") != UNKNOWN) & (score > 0) & (score >= least)).select(*docs.columns)

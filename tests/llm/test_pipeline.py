@@ -1,5 +1,7 @@
 """The pipeline's stages on small tables: columns, decisions, and what must stay."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -55,3 +57,15 @@ def test_run_gives_the_last_stage(spark, small, outputs):
 
 def test_empty_tables_pass_through(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
+
+
+def test_unknown_languages_are_rejected(spark):
+    rng = random.Random(2)
+    text = lambda words: " ".join(rng.choices(words.split(), k=rng.randint(3, 60)))
+    english, french = "the river and stone house with light winter", "la maison est près du jardin avec une fenêtre"
+    rows = [(k, text(english if k % 2 else french), "en" if k % 2 else "fr") for k in range(400)]
+    rows += [(1000, text("река и каменный дом зимой"), None), (1001, text("日本語 テキスト"), None), (1002, "qxzk " * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.unionByName(spark.createDataFrame([(2000, text(english), None), (2001, text(french), None)], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {*range(400), 2000, 2001}
