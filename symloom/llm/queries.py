@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import decontaminate, langid, packing, secrets, sharding, simhash, suffixes, tokens, topk, urls, wavelet
+from symloom.llm import centroids, decontaminate, langid, licenses, packing, secrets, sharding, simhash, suffixes, tokens, topk, tries, urls, wavelet
 from symloom.llm.shared import stored
 from symloom.session import scratch_dir
 
@@ -142,3 +142,22 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+@query
+def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"), count=16, rounds=3, width=64, scale=64)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.ordered_turns(table(spark, sf_dir, "conversations"))
+    return tries.prefix_trie(*tries.rebuilt(turns, every=100, most=6))

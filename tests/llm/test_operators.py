@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from symloom.llm import decontaminate, packing, secrets, sharding, simhash, suffixes, tokens, topk, urls, wavelet
+from symloom.llm import centroids, decontaminate, licenses, packing, secrets, sharding, simhash, suffixes, tokens, topk, tries, urls, wavelet
 from symloom.llm.shared import components, most_frequent, stored
 from symloom.session import scratch_dir
 
@@ -412,3 +412,105 @@ def test_words_are_those_of_the_pattern():
     text = "Ab1_c\u00e9 \u0130x \x7f\x80y;Z"
     lowered = text.translate({c: c + 32 for c in range(65, 91)})
     assert [w.decode() for w in decontaminate.words_of(text)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def test_blocks_that_hold_a_template(spark):
+    """All blocks at all thresholds against the literal overlap; the words' frequencies differ much."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(30)]
+    weights = [1 / (k + 1) for k in range(30)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(0, 120))) for _ in range(60)]
+    templates = [
+        licenses.Template(f"t{k}", " ".join(rng.choices(words, k=rng.randint(1, 20))), rng.choice([0.3, 0.5, 0.8, 1.0])) for k in range(12)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.matching_blocks(docs, templates).where("template is not null").collect()
+    wanted = Counter()
+    for i, text in enumerate(texts):
+        w = text.split()
+        for n, t in enumerate(templates):
+            own, step = set(t.text.split()), licenses.block_step(t)
+            for k in range(0, len(w), step):
+                common = len(own & set(w[k : k + 2 * step]))
+                if common >= max(1, int(np.ceil(t.least * len(own) - 1e-9))):
+                    wanted[(i, n, k // step, common)] += 1
+    assert Counter((r["id"], r["template"], r["block"], r["overlap"]) for r in found) == wanted
+    assert len(wanted) > 100
+
+
+def test_license_at_the_end_of_a_very_long_text(spark):
+    text = "lorem ipsum under dolor " * 300_000 + "Released under the MIT License. " + "license " * 50
+    docs = spark.createDataFrame([(1, text), (None, "apache license")], "doc_id long, text string")
+    rows = {r["id"]: r for r in licenses.license_scan(docs).collect()}
+    assert rows[1]["labels"] == ["mit"] and rows[1]["first_word"] == rows[1]["last_word"] == 1_200_003
+    assert rows[None]["base_labels"] == ["apache"] and rows[None]["score"] == 1.0
+    none = licenses.license_scan(docs, templates=[]).collect()
+    assert {(r["n_base"], r["score"]) for r in none} == {(0, 0.0)}
+
+
+def test_simplex_bounds_hold():
+    rng = np.random.default_rng(4)
+    for width, spread in ((1, 3), (3, 50), (16, 1000), (64, 1 << 19)):
+        points = rng.integers(-spread, spread + 1, (80, width))
+        points[10:14] = points[3]
+        simplex = centroids.Simplex(points[:12])
+        pivots = points[:12][simplex.used]
+        squared = np.stack([centroids.squared_distances(points, np.broadcast_to(p, points.shape)) for p in pivots], axis=1)
+        low, high = centroids.bounds(*[simplex.apexes(squared)] * 2)
+        true = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+        assert (low <= true + 1e-9).all() and (true <= high + 1e-9).all()
+        # Pivots lie in the span of all pivots, so bounds meet there.
+        assert np.abs(high - low)[: len(pivots)][:, simplex.used].max() < 1e-2 * spread
+
+
+def test_clusters_that_lie_apart_need_few_comparisons(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(0, 4, (40, 64))
+    vectors = [(k, (middles[k % 40] + rng.normal(0, 0.05, 64)).tolist()) for k in range(800)]
+    found = centroids.clustered(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    assert np.mean([r["compared"] for r in found]) < 8
+    whole = np.floor(64 * np.array([v for _, v in vectors])).astype(np.int64)
+    mine = {r["id"]: r["cluster"] for r in found}
+    means = {c: whole[[k for k in mine if mine[k] == c]].mean(axis=0) for c in set(mine.values())}
+    assert len(means) > 8 and all(r["distance"] >= 0 for r in found)
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    vectors = [(1, [float(1 << 40), 0.0]), (2, [float((1 << 40) + 3), 1.0]), (3, [float((1 << 40) + 900), -5.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = centroids.clustered(frame, count=2, rounds=1, width=2, scale=1).collect()
+    assert sum(r["distance"] for r in found) == found[0]["inertia"] < 1000
+    far = spark.createDataFrame([(1, [0.0, 0.0]), (2, [float(1 << 40), 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no long holds"):
+        centroids.clustered(far, count=1, rounds=0, width=2, scale=1).collect()
+
+
+def test_two_fattest_numbers(spark):
+    pairs = [(a, b) for a in range(0, 40) for b in range(a + 1, 41)]
+    frame = spark.createDataFrame(pairs, "a int, b int")
+    for r in frame.select("a", "b", tries.two_fattest(frame["a"], frame["b"]).alias("f")).collect():
+        assert r["f"] == max(range(r["a"] + 1, r["b"] + 1), key=lambda n: n & -n)
+
+
+def test_every_way_of_batching_gives_one_trie(spark):
+    """Strings that branch everywhere and end inside edges; each trie is checked against all prefixes."""
+    rng = random.Random(8)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    strings += [s + "a" * rng.randint(0, 40) for s in strings[:20]] + ["a" * 33, "a" * 64, "a" * 65]
+    turns = [(conv, at, ord(c), 7, 1) for conv, s in enumerate(strings) for at, c in enumerate(s)]
+    frame = spark.createDataFrame(turns, "conv long, at long, t1 long, t2 long, chars long")
+    convs = spark.range(len(strings) + 1).withColumnRenamed("id", "conv")
+    whole, _ = tries.strings_of(frame, convs)
+    prefixes = tries.prefixes_of(frame, whole)
+    known = {s[:d] for s in strings for d in range(1, len(s) + 1)}
+    nodes = {p for p in known if p in strings or sum(p + c in known for c in "ab") > 1}
+    wanted = set()
+    for n in nodes:
+        above = max((len(m) for m in nodes if len(m) < len(n) and n.startswith(m)), default=0)
+        wanted.add((len(n), above, max(range(above + 1, len(n) + 1), key=lambda k: k & -k)))
+    tables = []
+    for batches in (1, 3):
+        rows = tries.compacted(whole, prefixes, batches).collect()
+        assert len(rows) == len(nodes) and {(r["e"], r["p"], r["f"]) for r in rows} == wanted
+        tables.append({tuple(r[c] for c in ("e", "e1", "e2", "p", "p1", "p2", "f", "f1", "f2", "n1", "n2", "upto")) for r in rows})
+    assert tables[0] == tables[1]

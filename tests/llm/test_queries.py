@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from compare import connect, difference
 
+from symloom.llm.licenses import NOTICES, PHRASES, block_step, template_words
 from symloom.llm.queries import CAPACITY, URL_RULES, registered
 from symloom.llm.sql import ORACLES
 
@@ -253,3 +254,112 @@ def test_exact_top_k(spark, small):
             wanted[(i, rank, j, -score)] += 1
     rows = rows_of(spark, "op10_norm_bucketed_search", small)
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows) == wanted
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def literal_licenses(text):
+    """Every phrase at every place, every notice against every block."""
+    w, places, labels, score = license_words(text), [], set(), 0.0
+    for t in PHRASES:
+        p = template_words(t.text)
+        places += [(k, t.label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+    if places:
+        score = 1.0
+    for t in NOTICES:
+        own, step = set(template_words(t.text)), block_step(t)
+        for k in range(0, len(w), step):
+            part = len(own & set(w[k : k + 2 * step])) / len(own)
+            if part >= t.least:
+                labels.add(t.label)
+                score = max(score, part)
+    base = {label for _, label in places}
+    starts = [k for k, _ in places]
+    joined = [",".join(sorted(x)) for x in (base, base | labels)]
+    return len(w), len(places), min(starts, default=None), max(starts, default=None), *joined, score
+
+
+def test_licenses(spark, small, documents):
+    rows = rows_of(spark, "op11_license_scan", small)
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    wanted = Counter((i, *literal_licenses(t)) for i, t, _ in documents)
+    assert Counter(tuple(r[c] for c in names) for r in rows) == wanted
+    labels = {r["doc_id"]: r["labels"] for r in rows}
+    assert (labels[17], labels[18], labels[19]) == ("apache,gpl,mit", "all-rights-reserved,mit", "all-rights-reserved,cc-by-nc,gpl")
+    assert [r["n_base"] for r in rows if r["doc_id"] == 17] == [4]
+
+
+def literal_clusters(table, count=16, rounds=3):
+    sound = [
+        (r["vec_id"], [int(np.floor(64 * float(x))) for x in r["embedding"]])
+        for r in table
+        if r["embedding"] is not None and len(r["embedding"]) == 64 and all(x is not None and np.isfinite(x) for x in r["embedding"])
+    ]
+    hashed = sorted((hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in sound)
+    centroids = [v for _, v in hashed[:count]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        mine = {}
+        for _, v in sound:
+            mine.setdefault(nearest(v)[1], []).append(v)
+        centroids = [[sum(x) // len(mine[k]) for x in zip(*mine[k], strict=True)] if k in mine else c for k, c in enumerate(centroids)]
+    found = [(i, *nearest(v)) for i, v in sound]
+    inertia = Counter()
+    for _, distance, k in found:
+        inertia[k] += distance
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return Counter((i, k, distance, inertia[k], sum(inertia.values()), digest[k]) for i, distance, k in found)
+
+
+def test_clusters(spark, small):
+    rows = rows_of(spark, "op12_simplex_clusters", small)
+    names = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    wanted = literal_clusters(pq.read_table(f"{small}/embeddings.parquet").to_pylist())
+    assert Counter(tuple(r[c] for c in names) for r in rows) == wanted
+    assert len(rows) == 52
+
+
+def literal_trie(rows):
+    """One row per distinct prefix, from all prefixes of all rebuilt conversations."""
+    own = {}
+    for r in rows:
+        if r["conv_id"] is not None:
+            key = (r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or "")
+            own.setdefault(r["conv_id"], []).append(key)
+    own = {c: [k[2:] for k in sorted(turns)] for c, turns in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        built[c] = own.get(base, [])[:h] + turns[h:]
+    members, ends = {}, {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+        ends.setdefault(tuple(turns), []).append(c)
+    children = Counter(n[:-1] for n in members if n)
+    leaves, saved = Counter(), Counter()
+    for n, convs in members.items():
+        for d in range(len(n) + 1):
+            leaves[n[:d]] += n not in children
+            saved[n[:d]] += (len(convs) - 1) * len(n[-1][1]) if n else 0
+    digest = {n: hashlib.sha256(",".join(map(str, sorted(ends.get(n, [])))).encode()).hexdigest() for n in members}
+    return Counter(
+        (min(c), len(n), min(members[n[:-1]]) if n else None, len(c), children[n], leaves[n], saved[n], digest[n])
+        for n, c in members.items()
+    )
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def test_trie_of_conversations(spark, small):
+    rows = rows_of(spark, "op13_prefix_trie", small)
+    wanted = literal_trie(pq.read_table(f"{small}/conversations.parquet").to_pylist())
+    assert Counter(tuple(r[c] for c in TRIE) for r in rows) == wanted
+    assert max(r["depth"] for r in rows) >= 130
