@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.llm.shared import placed_in_order, prefix_sums, text_batches
+from symloom.llm.shared import placed_in_order, prefix_sums, stored, text_batches
 from symloom.llm.tokens import TEXTS_AT_ONCE, encoder
 
 #: Lengths are counted in classes of this many tokens, rounded up.
@@ -20,40 +21,47 @@ MAX_PIVOTS = 6000
 #: Prices divided by the worth of the best pattern are feasible for the dual program, so at this worth the
 #: program is within a thousandth of its optimum.
 CLOSE_ENOUGH = 1.001
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+#: Pieces below this length are packed in bundles of about so many tokens, since a class would waste much of them.
+SHORT, BUNDLE = 64, 128
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = True,
+) -> DataFrame:
     """Tokenize documents and cut them: whole sequences of ``capacity`` tokens, and one rest of what is left.
 
-    One row per piece, with its ids as little-endian unsigned 32-bit integers. A null text is empty, so its
-    document is the end id alone. A null id stays null; each row is a document of its own.
+    One row per piece, with the checksum of its ids and, when asked for, the ids as little-endian unsigned 32-bit integers.
+    A null text is empty, so its document is the end id alone. A null id stays null; each row is a document of its own.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known = (~batch["_none"]).tolist()
             for at in range(0, len(batch), TEXTS_AT_ONCE):
-                rows = []
-                texts = batch["text"].iloc[at : at + TEXTS_AT_ONCE].tolist()
-                for k, data in enumerate(encoder(tokenizer).encode(texts), at):
-                    data += end
-                    n = len(data) // 4
-                    number = int(batch["id"].iat[k]) if known[k] else None
-                    for start in range(0, n, capacity):
-                        rows.append((number, start, min(capacity, n - start), n, data[4 * start : 4 * (start + capacity)]))
-                frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                held = [data + end for data in encoder(tokenizer).encode(part["text"].tolist())]
+                tokens = np.fromiter(map(len, held), np.int64, len(held)) // 4
+                counts = -(-tokens // capacity)
+                row = np.repeat(np.arange(len(held)), counts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
+                parts = [data[k : k + step] for data in held for k in range(0, len(data), step)]
+                numbers = pd.array(part["id"].to_numpy()[row], dtype="Int64")
+                numbers[part["_none"].to_numpy()[row]] = pd.NA
+                yield pd.DataFrame({
+                    "doc_id": numbers, "start": start, "length": np.minimum(capacity, tokens[row] - start), "doc_tokens": tokens[row],
+                    "ids_crc32": np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)),
+                    "ids": parts if with_ids else [None] * len(parts),
+                })
 
     rows = text_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.col(id_col).isNull().alias("_none"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    return rows.mapInPandas(cut, PIECES)
+    pieces = rows.mapInPandas(cut, PIECES)
+    return pieces if with_ids else pieces.drop("ids")
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -160,21 +168,49 @@ class Plan:
         return self.base[at] + (rank - self.starts[at]) // self.each[at]
 
 
+def bundled(short: DataFrame, size: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
+    """Short pieces, each with its ``bundle`` and its place ``inside``, and the bundles ``(doc_id, start, length)``.
+
+    Pieces follow each other by length, document and place; the tokens before a piece tell its bundle, which starts within
+    ``size`` tokens and ends with a piece. A bundle's number stands in the place of a document's.
+    """
+    order = ["length", "doc_id", "start"]
+    summed = prefix_sums(placed_in_order(short, order, "short-pieces"), order, {"tokens": F.col("length")})
+    numbered = stored(summed.withColumn("bundle", F.expr(f"before_tokens div {size}")).drop("total_tokens"), "bundled")
+    bundles = numbered.groupBy("bundle").agg(F.min("before_tokens").alias("first"), F.sum("length").alias("length"))
+    inside = numbered.join(bundles.select("bundle", "first"), "bundle")
+    placed = inside.withColumn("inside", F.col("before_tokens") - F.col("first")).drop("before_tokens", "first")
+    return placed, bundles.select(F.col("bundle").alias("doc_id"), F.lit(0).cast("long").alias("start"), "length")
+
+
 def pack(pieces: DataFrame, capacity: int, unit: int = UNIT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces with ``doc_id``, ``start`` and ``length``.
 
-    A sequence holds at most ``capacity`` tokens; its pieces lie without gaps from 0. The driver gets the
-    histogram, at most ``capacity / unit`` + 1 rows, and solves the program on it. Pieces are ranked by class,
-    document and place over a range partitioning with totals per part, so a class of any size is spread; a
-    sequence has at most ``capacity`` pieces. No pieces give no rows. Rows equal in every ranked column are
-    interchangeable.
+    A sequence holds at most ``capacity`` tokens; its pieces lie without gaps from 0. Pieces below ``SHORT`` tokens are packed in
+    bundles, the others alone. The driver gets the histogram, at most ``capacity / unit`` + 1 rows, and solves the program
+    on it. What is packed is ranked by class, document and place over a range partitioning with totals per part, so a class of any size
+    is spread; a sequence has at most ``capacity`` pieces. No pieces give no rows. Rows equal in every ranked column
+    are interchangeable.
     """
+    columns = pieces.columns
+    is_short = F.col("length") < min(SHORT, capacity // 4)
+    short, bundles = bundled(pieces.where(is_short), min(BUNDLE, capacity // 2))
+    items = pieces.where(~is_short).withColumn("_bundle", F.lit(False))
+    items = items.unionByName(bundles.withColumn("_bundle", F.lit(True)), allowMissingColumns=True)
+    seated = stored(_seated(items, capacity, unit), "seated")
+    alone = seated.where("not _bundle").select(*columns, "sequence_id", "offset")
+    at = seated.where("_bundle").select(F.col("doc_id").alias("bundle"), "sequence_id", F.col("offset").alias("_offset"))
+    within = short.join(at, "bundle").withColumn("offset", F.col("_offset") + F.col("inside"))
+    return alone.unionByName(within.select(*columns, "sequence_id", "offset"))
+
+
+def _seated(items: DataFrame, capacity: int, unit: int) -> DataFrame:
     units = capacity // unit
     full = F.col("length") >= capacity
-    classed = pieces.withColumn("_class", F.when(full, units + 1).otherwise(F.ceil(F.col("length") / unit)).cast("int"))
+    classed = items.withColumn("_class", F.when(full, units + 1).otherwise(F.ceil(F.col("length") / unit)).cast("int"))
     histogram = {r["_class"]: r["count"] for r in classed.groupBy("_class").count().collect()}
     plan = Plan(histogram, units)
-    order = ["_class", "doc_id", "start"]
+    order = ["_class", "_bundle", "doc_id", "start"]
     ranked = prefix_sums(placed_in_order(classed, order, "pieces"), order, {"rows": F.lit(1).cast("long")})
 
     @F.pandas_udf("long")

@@ -46,9 +46,9 @@ def tokenizer() -> str:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Every document in sequences of at most 2048 tokens: where each piece lies, and the checksum of its ids."""
-    pieces = packing.token_pieces(docs, tokenizer(), 1, CAPACITY)
-    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(stored(digests, "digests"), CAPACITY).select(*digests.columns, "sequence_id", "offset")
+    pieces = packing.token_pieces(docs, tokenizer(), 1, CAPACITY, with_ids=False)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return packing.pack(stored(pieces, "pieces"), CAPACITY).select(*columns, "sequence_id", "offset")
 
 
 @query

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+
 import numpy as np
 
 from symloom.llm.shared import worker_state
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 TEXTS_AT_ONCE = 64
 LONGEST_CACHED = 48
 PIECES_AT_ONCE = 400
@@ -29,7 +31,8 @@ class WordEncoder:
 
     A text is cut before spaces that follow a non-space character. There the tokenizer cuts, too, so the ids of
     a text are those of its pieces. Pieces not met before are encoded together, one text for all, and its ids
-    are given back to the pieces by their bytes. The cache is emptied when it holds ``CACHED_WORDS`` words.
+    are given back to the pieces by their bytes. Words are kept in two generations: when the younger one holds
+    ``CACHED_WORDS`` it becomes the older one, and what is met again moves to the next, so frequent words stay.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -39,6 +42,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
@@ -50,49 +54,84 @@ class WordEncoder:
         encoding = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoding.ids, dtype="<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Cache the ids of pieces that follow a space and hold none: one encoded text, cut by bytes."""
-        ids = self._encode_whole(" " + " ".join(pieces))
-        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
-        cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, side="left") + 1)
-        data, start = ids.tobytes(), 0
-        for piece, end in zip(pieces, cuts.tolist(), strict=True):
-            self.words[piece] = data[start:end]
-            start = end
-
-    def _learn_all(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of pieces that follow a space and hold none: one encoded text, cut by bytes."""
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            some = pieces[at : at + PIECES_AT_ONCE]
+            joined = " ".join(some)
+            ids = self._encode_whole(" " + joined)
+            if joined.isascii():
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+            else:
+                sizes = np.fromiter(map(len, map(str.encode, some)), np.int64, len(some))
+            cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes + 1), side="left") + 1)
+            data, start = ids.tobytes(), 0
+            for end in cuts.tolist():
+                yield data[start:end]
+                start = end
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Cache what may be cached; the ids of the others are returned."""
-        own, whole, marked = {}, {}, []
-        for piece in pieces:
-            if not piece or len(piece) > LONGEST_CACHED or piece[0].isspace() or piece[-1].isspace():
+        words, older, own, whole, marked = self.words, self.older, {}, {}, []
+        for piece in missing:
+            if piece in older:
+                words[piece] = older[piece]
+            elif len(piece) > LONGEST_CACHED or not piece or piece[0].isspace() or piece[-1].isspace():
                 own[piece] = self._encode_whole(" " + piece).tobytes()
             elif piece[-1] in ",." and piece[-2:-1].isalpha():
                 # A letter and a mark never share a pre-token.
                 marked.append(piece)
-                if piece[:-1] not in self.words:
-                    whole[piece[:-1]] = None
+                bare = piece[:-1]
+                if bare not in words:
+                    if bare in older:
+                        words[bare] = older[bare]
+                    else:
+                        whole[bare] = None
             else:
                 whole[piece] = None
-        learn = list(whole)
-        for at in range(0, len(learn), PIECES_AT_ONCE):
-            self._learn(learn[at : at + PIECES_AT_ONCE])
+        words.update(zip(whole, self._encode_pieces(list(whole)), strict=True))
         for piece in marked:
-            self.words[piece] = self.words[piece[:-1]] + self.marks[piece[-1]]
+            words[piece] = words[piece[:-1]] + self.marks[piece[-1]]
         return own
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         cut = [BEFORE_WORD.split(t) if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        words = self.words
-        own = self._learn_all([p for p in set().union(*[pieces[1:] for pieces in cut]) if p not in words])
-        result = []
+        found, gaps = [], []
+        missing: set[str] = set()
         for pieces in cut:
-            first = self._encode_whole(pieces[0]).tobytes() if pieces[0] else b""
-            ids = [own[p] if p in own else words[p] for p in pieces[1:]] if own else [words[p] for p in pieces[1:]]
-            result.append(first + b"".join(ids))
-        return result
+            ids = list(map(self.words.get, pieces))
+            # The first piece follows no space.
+            ids[0] = self._encode_whole(pieces[0]).tobytes() if pieces[0] else b""
+            where = _places_of_none(ids)
+            missing.update([pieces[k] for k in where])
+            found.append(ids)
+            gaps.append(where)
+        own = self._learn(missing) if missing else {}
+        for pieces, ids, where in zip(cut, found, gaps, strict=True):
+            for k in where:
+                piece = pieces[k]
+                ids[k] = own[piece] if piece in own else self.words[piece]
+        return [b"".join(ids) for ids in found]
+
+
+def _places_of_none(values: list) -> list[int]:
+    places, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
+def vocabulary_size(tokenizer_json: str) -> int:
+    """One more than the largest id that the tokenizer gives."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values()) + 1
 
 
 def encoder(tokenizer_json: str) -> WordEncoder:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.shared import text_batches
-from symloom.llm.tokens import TEXTS_AT_ONCE, encoder
+from symloom.llm.tokens import TEXTS_AT_ONCE, encoder, vocabulary_size
 
 #: A matrix takes documents until it holds this many tokens; its last document may go beyond.
 MATRIX_TOKENS = 1 << 17
@@ -37,6 +37,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
         row, zeros, planes, ranks = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], []
         blocks = max(1, -(-len(ids) // (8 * BLOCK_BYTES)))
         for b in range(bits - 1, -1, -1):
@@ -132,11 +134,11 @@ def _rows_of(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, bits:
 
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        known = (~batch["no_id"]).tolist()
+        numbers = [None if none else i for i, none in zip(batch["id"].tolist(), batch["no_id"].tolist(), strict=True)]
         for at in range(0, len(batch), TEXTS_AT_ONCE):
             texts = batch["text"].iloc[at : at + TEXTS_AT_ONCE].tolist()
             for k, data in enumerate(encoder(tokenizer).encode(texts), at):
-                ids.append(int(batch["id"].iat[k]) if known[k] else None)
+                ids.append(numbers[k])
                 held.append(data + end)
                 lengths.append(len(data) // 4 + 1)
                 size += lengths[-1]
@@ -149,7 +151,7 @@ def _rows_of(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, bits:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int = 50257,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Write the ids of whole texts, each followed by ``end_id``, as files of wavelet matrices in ascending id order.
@@ -158,7 +160,8 @@ def write_token_files(
     its documents and the number of tokens before it in the file; Parquet compresses them by zstd, and a
     query for one token reads whole matrices only. A null text is empty and gives the end id alone. Null ids
     come first; rows with equal ids are ordered by text hash, equal rows stay in reading order, each a
-    document of its own. An empty table gives files without rows. Other columns are ignored.
+    document of its own. An empty table gives files without rows. Other columns are ignored. There are as many
+    planes as the largest id needs, of ``vocabulary`` ids or of the tokenizer's own; an id beyond stops the job.
     """
     rows = text_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
@@ -168,7 +171,7 @@ def write_token_files(
     keyed = rows.select("id", "no_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_tie"))
     order = [F.desc("no_id"), F.asc("id"), F.asc("_hash"), F.asc("_tie")]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "no_id", "text")
-    bits = int(vocabulary - 1).bit_length()
+    bits = max(1, int(max(vocabulary or vocabulary_size(tokenizer), end_id + 1) - 1).bit_length())
     placed.mapInPandas(lambda batches: _rows_of(batches, tokenizer, end_id, bits), SCHEMA).write.option(
         "compression", "zstd"
     ).parquet(path)

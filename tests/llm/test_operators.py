@@ -514,3 +514,23 @@ def test_every_way_of_batching_gives_one_trie(spark):
         assert len(rows) == len(nodes) and {(r["e"], r["p"], r["f"]) for r in rows} == wanted
         tables.append({tuple(r[c] for c in ("e", "e1", "e2", "p", "p1", "p2", "f", "f1", "f2", "n1", "n2", "upto")) for r in rows})
     assert tables[0] == tables[1]
+
+
+@pytest.mark.parametrize("length", [1, 9, 15, 63])
+def test_short_pieces_fill_their_sequences(spark, length):
+    rows = [(k, 0, length) for k in range(12_000)] + [(20_000, 0, 2048), (20_001, 0, 700)]
+    pieces = stored(spark.createDataFrame(rows, "doc_id long, start long, length long"), "test-pieces")
+    found = packing.pack(pieces, 2048).collect()
+    assert len(found) == len(rows)
+    held = {}
+    for r in sorted(found, key=lambda r: r["offset"]):
+        assert held.get(r["sequence_id"], 0) == r["offset"]
+        held[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(held.values()) <= 2048
+    assert sum(held.values()) >= 0.95 * 2048 * (len(held) - 1)
+
+
+def test_ids_beyond_the_planes_are_an_error():
+    with pytest.raises(ValueError, match="70000"):
+        wavelet.WaveletMatrix.build(np.array([1, 70000]), 16)
+    assert tokens.vocabulary_size(tokenizer_json()) == 50257
