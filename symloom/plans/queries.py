@@ -722,7 +722,7 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DocumentStateStream:
     events = inp.document_events(spark, sf_dir)
     bought = inp.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(F.col("event_id").alias("seq"))
     events = events.unionByName(events.join(bought, "seq", "left_semi"))
-    _run_in_drops(spark, _drops(events, "seq"), documents.run)
+    _run_in_drops(spark, _drops(events, "seq"), lambda stream, _: documents.run(stream))
     return documents
 
 
@@ -789,15 +789,14 @@ def _completion_stream(spark: SparkSession, sf_dir: str) -> CompletionStream:
     after = ends.select("stream_id", (F.col("last") + 1).alias("seq"), F.lit("too late\n").alias("text"), F.lit(False).alias("done"))
     completions = CompletionStream(spark, scratch_dir(spark, "completion-state"), prefix="progress: ")
     arriving = rows.unionByName(repeats.select(*rows.columns)).unionByName(after)
-    _run_in_drops(spark, _drops(arriving, "seq"), completions.run)
+    _run_in_drops(spark, _drops(arriving, "seq"), lambda stream, _: completions.run(stream))
     return completions
 
 
 @query
 def completion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     completions = _completion_stream(spark, sf_dir)
-    states = completions.states.latest().drop("closed_seq")
-    return states.join(completions.pending(), "stream_id", "left").join(completions.full_text(), "stream_id").select(
+    return completions.cursors().join(completions.pending(), "stream_id", "left").join(completions.full_text(), "stream_id").select(
         "stream_id", "line", "character", F.coalesce("pending", F.lit("")).alias("pending"), "last_seq", "is_done",
         F.md5("full_text").alias("text_md5"),
     )

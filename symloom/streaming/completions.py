@@ -2,20 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from symloom.operators.chunks import pending_text, stream_full_text
+from symloom.streaming.runner import KeyedStream
+
+CURSOR = "line bigint, character bigint, last_seq bigint, is_done boolean"
+PIECE = "seq bigint, place int, piece string"
+EDIT_COLUMNS = ["stream_id", "seq", "text", "insert_line", "insert_character", "next_line", "next_character"]
+# One output for all that the processor gives; ``kind`` is a folder of the sink.
+OUTPUT = (
+    "stream_id bigint, seq bigint, text string, done boolean, insert_line bigint, insert_character bigint, "
+    "next_line bigint, next_character bigint, kind string"
+)
 
-from symloom.operators.chunks import close_reports, open_pieces, pending_text, stream_cursor, stream_full_text
-from symloom.sources.tables import AppendedTable, VersionedTable
-from symloom.streaming.runner import run_available
 
-# Folders that the state lies in by the hash of its key: a batch reads those of its keys.
-STATE_BUCKETS = 64
+def _row(kind: str, stream: int, seq: int, text: str | None, done: bool | None = None, at: tuple = (None,) * 4) -> Row:
+    places = dict(zip(EDIT_COLUMNS[3:], at, strict=True))
+    return Row(stream_id=stream, seq=seq, text=text, done=done, **places, kind=kind)
 
-_STATE = (
-    "stream_id bigint, line bigint, character bigint, closed_seq bigint, last_seq bigint, is_done boolean"
-)
+
+class CompletionProcessor(StatefulProcessor):
+    """Keeps a stream's cursor as a value and the pieces since its last newline as a list in the state store.
+
+    A batch without a newline appends its pieces and does not read the earlier ones; a newline joins them all.
+    """
+
+    def __init__(self, prefix: str, forget_after_ms: int | None):
+        self.prefix, self.forget_after_ms = prefix, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cursor = handle.getValueState("cursor", CURSOR)
+        self.pieces = handle.getListState("pieces", PIECE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stream = key[0]
+        chunks = sorted(rows, key=lambda r: (r["seq"], r["text"] is not None, r["text"] or "", bool(r["done"])))
+        line, character, last_seq, is_done = self.cursor.get() if self.cursor.exists() else (0, 0, None, False)
+        fresh, cut, changed = [], False, False
+        for chunk in chunks:
+            seq, text = chunk["seq"], chunk["text"] or ""
+            if is_done or (last_seq is not None and seq <= last_seq):
+                yield _row("late", stream, seq, chunk["text"], chunk["done"])
+                continue
+            before = (line, character)
+            head, newline, tail = text.partition("\n")
+            if newline:
+                earlier = [] if cut else [piece for _, _, piece in self.pieces.get()]
+                message = "".join([self.prefix, *earlier, *[piece for _, _, piece in fresh], head])
+                yield _row("line", stream, seq, message)
+                fresh, cut = [(seq, 0, tail)], True
+                line, character = line + text.count("\n"), len(text) - text.rindex("\n") - 1
+            else:
+                fresh.append((seq, 1, text))
+                character += len(text)
+            yield _row("edit", stream, seq, chunk["text"], chunk["done"], (*before, line, character))
+            last_seq, is_done, changed = seq, bool(chunk["done"]), True
+        if not changed:
+            return
+        self.cursor.update((line, character, last_seq, is_done))
+        if cut:
+            self.pieces.put(fresh)
+        else:
+            self.pieces.appendList(fresh)
+        if is_done and self.forget_after_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_after_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.cursor.clear()
+        self.pieces.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class CompletionStream:
@@ -23,116 +87,41 @@ class CompletionStream:
 
     Late chunks are ignored and reported: those at or below the last applied seq of their stream, those after the
     done flag, in earlier batches or in their own, and repeats of a seq inside a batch, of which the one that
-    sorts first by text is applied.
-
-    The text since a stream's last newline is kept as the pieces it came in, each written once. They are
-    joined when a newline comes; ``closed_seq`` in the state tells which pieces are still pending.
+    sorts first by text is applied. With ``forget_after_ms`` a stream that is done leaves the state that long after.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str = "", compact_every: int = 20):
-        self.spark, self.prefix, self.compact_every = spark, prefix, compact_every
-        self.states = VersionedTable(spark, f"{root}/states", ["stream_id"], buckets=STATE_BUCKETS)
-        self._taken = VersionedTable(spark, f"{root}/taken", ["stream_id", "seq"])
-        self._edits = AppendedTable(spark, f"{root}/edits", ["stream_id", "seq"])
-        self._cut = VersionedTable(spark, f"{root}/cut", ["stream_id", "seq", "place"])
-        self._pieces = VersionedTable(spark, f"{root}/pieces", ["stream_id", "seq", "place"], buckets=STATE_BUCKETS)
-        self._lines = AppendedTable(spark, f"{root}/lines", ["stream_id", "seq"])
-        self._late = AppendedTable(spark, f"{root}/late", ["stream_id", "seq"])
-
-    def _prior(self, before: int | None, buckets: list[int] | None = None) -> DataFrame:
-        prior = self.states.latest(before, buckets)
-        return self.spark.createDataFrame([], _STATE) if prior is None else prior
-
-    def _marked(self, batch: DataFrame, prior: DataFrame) -> DataFrame:
-        """The batch with the mark ``late``."""
-        applied = prior.select("stream_id", F.col("last_seq").alias("_applied"), F.col("is_done").alias("_closed"))
-        same = Window.partitionBy("stream_id", "seq").orderBy("text", "done")
-        gone = F.coalesce((F.col("seq") <= F.col("_applied")) | F.col("_closed"), F.lit(False))
-        numbered = batch.withColumn("_number", F.row_number().over(same)).join(applied, "stream_id", "left")
-        known = numbered.select(*batch.columns, (gone | (F.col("_number") > 1)).alias("late"))
-        ends = known.where("done and not late").groupBy("stream_id").agg(F.min("seq").alias("_end"))
-        after = F.coalesce(F.col("seq") > F.col("_end"), F.lit(False))
-        return known.join(ends, "stream_id", "left").select(*batch.columns, (F.col("late") | after).alias("late"))
-
-    def _pending(self, states: DataFrame, before: int | None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The pieces since the last newline of each of the given streams."""
-        pieces = self._pieces.rows(before, buckets)
-        if pieces is None:
-            return None
-        since = states.select("stream_id", F.coalesce("closed_seq", F.lit(-(2**62))).alias("_since"))
-        is_open = (F.col("seq") > F.col("_since")) | ((F.col("seq") == F.col("_since")) & (F.col("place") == 0))
-        return pieces.join(since, "stream_id").where(is_open).drop("_since")
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        prior = self._prior(batch_id, self.states.buckets_of(batch))
-        # Written once: everything below reads the batch from here.
-        self._taken.write(self._marked(batch, prior), batch_id)
-        taken = self._taken.delta(batch_id)
-        self._late.write(taken.where("late").drop("late"), batch_id)
-        fresh = taken.where(~F.col("late")).drop("late")
-        known = prior.join(fresh.select("stream_id").distinct(), "stream_id", "left_semi")
-        closing = fresh.where(F.instr("text", "\n") > 0).select("stream_id").distinct()
-        buckets = self._pieces.buckets_of(closing)
-        pending = self._pending(known.join(closing, "stream_id", "left_semi"), batch_id, buckets)
-        self._edits.write(stream_cursor(fresh, known), batch_id)
-        self._cut.write(open_pieces(fresh, pending), batch_id)
-        cut = self._cut.delta(batch_id)
-        self._lines.write(close_reports(cut, self.prefix), batch_id)
-        self._pieces.write(cut.where("not closed").select("stream_id", "seq", "place", "piece"), batch_id)
-        self.states.write(self._new_states(fresh, known, batch_id), batch_id)
-        self._taken.remove_before(batch_id)
-        self._cut.remove_before(batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            self.states.compact(batch_id)
-            still = self._pending(self._prior(batch_id + 1), batch_id + 1)
-            self._pieces.write_base(still, batch_id)
-            for appended in (self._edits, self._lines, self._late):
-                appended.compact(batch_id)
-
-    def _new_states(self, fresh: DataFrame, known: DataFrame, batch_id: int) -> DataFrame:
-        cursor = (
-            self._edits.delta(batch_id)
-            .groupBy("stream_id")
-            .agg(
-                F.max_by(F.struct("next_line", "next_character"), F.col("seq")).alias("_at"),
-                F.max("seq").alias("last_seq"),
-            )
-        )
-        newline = F.when(F.instr("text", "\n") > 0, F.col("seq"))
-        seen = fresh.groupBy("stream_id").agg(
-            F.max(F.coalesce("done", F.lit(False))).alias("is_done"), F.max(newline).alias("_closed_now")
-        )
-        earlier = known.select("stream_id", F.col("closed_seq").alias("_closed_before"))
-        state = cursor.join(seen, "stream_id").join(earlier, "stream_id", "left")
-        return state.select(
-            "stream_id",
-            F.col("_at.next_line").alias("line"),
-            F.col("_at.next_character").alias("character"),
-            F.coalesce("_closed_now", "_closed_before").alias("closed_seq"),
-            "last_seq",
-            "is_done",
+    def __init__(self, spark: SparkSession, root: str, prefix: str = "", forget_after_ms: int | None = None):
+        self._stream = KeyedStream(spark, root, "stream_id", OUTPUT)
+        self._processor = CompletionProcessor(prefix, forget_after_ms)
+
+    def run(self, chunks: DataFrame) -> None:
+        """Take in what is available of a stream of chunks."""
+        rows = chunks.where(F.col("seq").isNotNull()).select(
+            F.col("stream_id").cast("long"), F.col("seq").cast("long"), "text", "done"
         )
+        self._stream.run_rows(rows, self._processor, timers=self._processor.forget_after_ms is not None, by=["kind"])
+
+    def _kind(self, kind: str) -> DataFrame:
+        return self._stream.written().where(F.col("kind") == kind)
 
-    def run(self, chunks: DataFrame, checkpoint: str) -> None:
-        run_available(chunks, self.process, checkpoint)
+    def cursors(self) -> DataFrame:
+        """``(stream_id, line, character, last_seq, is_done)`` of each stream in the state."""
+        return self._stream.variable("cursor", f"stream_id bigint, {CURSOR}")
 
     def edits(self) -> DataFrame:
         """Each chunk with its insert position, as in ``stream_cursor``."""
-        return self._edits.rows()
+        return self._kind("edit").select(*EDIT_COLUMNS)
 
     def reports(self) -> DataFrame:
         """The line reports of all batches."""
-        return self._lines.rows()
+        return self._kind("line").select("stream_id", "seq", F.col("text").alias("message"))
 
     def pending(self) -> DataFrame:
         """The text since the last newline of each stream that has any: ``(stream_id, pending)``."""
-        pieces = self._pending(self._prior(None), None)
-        if pieces is None:
-            return self.spark.createDataFrame([], "stream_id bigint, pending string")
-        return pending_text(pieces)
+        return pending_text(self._stream.variable("pieces", f"stream_id bigint, {PIECE}"))
 
     def late(self) -> DataFrame:
-        return self._late.rows()
+        return self._kind("late").select("stream_id", "seq", "text", "done")
 
     def full_text(self) -> DataFrame:
         """The text of each stream so far; that of a stream that is done is final."""

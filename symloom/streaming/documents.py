@@ -2,130 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from symloom import schemas
 from symloom.operators.events import parse_event_json
-from symloom.operators.scale import running_totals, seq_block
-from symloom.session import checkpointed
-from symloom.sources.tables import AppendedTable, VersionedTable
-from symloom.streaming.edit_fold import FOLD_TYPE, fold_documents
-from symloom.streaming.runner import run_available
-
-# Folders that the state lies in by the hash of its key: a batch reads those of its keys.
-STATE_BUCKETS = 64
-
-_STATE_COLUMNS = schemas.DOCUMENT_STATE.fieldNames()
-_EVENT_COLUMNS = ["uri", "seq", "event", "language_id", "version", "text", "changes", "ts"]
-
-
-def fold_events(events: DataFrame, prior: DataFrame, corrected: bool = False) -> DataFrame:
-    """Fold parsed events, in seq order per uri, onto prior state rows.
-
-    Every open or close starts a new epoch of its document, which depends on nothing before it: the
-    epochs of a busy document are folded by different tasks. Epoch 0 goes on from the prior state.
-    """
-    starts_epoch = F.col("event").isin("open", "close")
-    numbered = running_totals(
-        events.select(*_EVENT_COLUMNS),
-        ["uri"],
-        ["seq"],
-        seq_block("seq"),
-        {"epoch": F.when(starts_epoch, 1).otherwise(0)},
-    ).withColumns(
-        {"is_open": F.lit(None).cast("boolean"), "last_edited_line": F.lit(None).cast("int")}
-    )
-    restored = prior.select(
-        "uri",
-        F.col("last_seq").alias("seq"),
-        F.lit("restore").alias("event"),
-        "language_id",
-        "version",
-        "text",
-        F.lit(None).cast(events.schema["changes"].dataType).alias("changes"),
-        F.col("last_edit").alias("ts"),
-        F.lit(0).cast("bigint").alias("epoch"),
-        "is_open",
-        "last_edited_line",
-    )
-    return (
-        numbered.unionByName(restored)
-        .repartition("uri", "epoch")
-        .sortWithinPartitions("uri", "epoch", "seq")
-        .mapInArrow(fold_documents(corrected), FOLD_TYPE)
-    )
-
-
-def last_states(folded: DataFrame) -> DataFrame:
-    """The state after the last epoch of each document."""
-    columns = [c for c in _STATE_COLUMNS if c != "uri"]
-    return (
-        folded.where(F.col("kind") == "state")
-        .groupBy("uri")
-        .agg(F.max_by(F.struct(*columns), F.col("epoch")).alias("_state"))
-        .select("uri", "_state.*")
-    )
+from symloom.streaming.edit_fold import Document
+from symloom.streaming.runner import KeyedStream
+
+# What is kept of a document, its last applied seq included.
+STATE = (
+    "is_open boolean, language_id string, version int, text string, last_edit timestamp, last_edited_line int, last_seq bigint"
+)
+PROBLEMS = "uri string, seq bigint, reason string"
+# Events without a uri change no state; they are spread over so many keys, which no uri starts like.
+NO_URI, NO_URI_KEYS = "\0", 64
+
+_EVENT_COLUMNS = ["uri", "seq", "event", "language_id", "version", "text", "changes", "ts", "error"]
+_FIELDS = [field.split()[0] for field in STATE.split(", ")]
+
+
+class DocumentProcessor(StatefulProcessor):
+    """Applies a document's events of a micro-batch, in seq order, to its value in the state store; gives the problems."""
+
+    def __init__(self, corrected: bool, forget_after_ms: int | None):
+        self.corrected, self.forget_after_ms = corrected, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.document = handle.getValueState("document", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = sorted(rows, key=lambda r: (r["seq"] is not None, r["seq"] or 0, r["hash"]))
+        held = self.document.get() if self.document.exists() else None
+        document = Document(None if held is None else dict(zip(_FIELDS, held, strict=True)))
+        changed = False
+        for event in events:
+            if event["error"] is not None:
+                reason = event["error"]
+            elif event["seq"] is None:
+                reason = "no seq"
+            elif document.last_seq is not None and event["seq"] <= document.last_seq:
+                reason = "late"
+            else:
+                reason, changed = document.apply(event.asDict(recursive=True), self.corrected), True
+            if reason is not None:
+                yield Row(uri=event["uri"], seq=event["seq"], reason=reason)
+        if changed:
+            state = document.state()
+            self.document.update(tuple(state[name] for name in _FIELDS))
+            self._watch(state["is_open"], timerValues)
+
+    def _watch(self, is_open: bool, timers) -> None:
+        if self.forget_after_ms is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not is_open:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.forget_after_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.document.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class DocumentStateStream:
-    """Document state, kept as versions of a table in buckets; problems are rows of their own.
+    """Document state, one value per uri in Spark's state store; problems are rows of an output table.
 
     Events apply in seq order per uri. An event at or below the last applied seq of its uri is late, and so is a
     repeat of a seq inside a batch, of which the one with the lowest hash is applied: a late event changes nothing
-    and is reported.
+    and is reported. A closed document stays as a row that is not open; with ``forget_after_ms`` it is forgotten, with
+    the seq that tells late events, by the first batch that runs so long after its close.
     """
 
-    def __init__(self, spark: SparkSession, root: str, corrected: bool = False, compact_every: int = 20):
-        self.spark, self.corrected, self.compact_every = spark, corrected, compact_every
-        self.states = VersionedTable(spark, f"{root}/states", ["uri"], buckets=STATE_BUCKETS)
-        self._taken = VersionedTable(spark, f"{root}/taken", ["uri", "seq"])
-        self._folded = VersionedTable(spark, f"{root}/folded", ["uri", "epoch"])
-        self._problems = AppendedTable(spark, f"{root}/problems", ["uri", "seq"])
-
-    def _prior(self, before: int | None, buckets: list[int] | None = None) -> DataFrame:
-        prior = self.states.latest(before, buckets)
-        return self.spark.createDataFrame([], schemas.DOCUMENT_STATE) if prior is None else prior
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in a batch of ``(seq, method, params, ts)``."""
-        parsed = checkpointed(parse_event_json(batch).where(F.col("event").isin("open", "close", "change")))
-        prior = self._prior(batch_id, self.states.buckets_of(parsed))
-        applied = prior.select("uri", F.col("last_seq").alias("_applied"))
-        same = Window.partitionBy("uri", "seq").orderBy(F.xxhash64("event", "version", "text", "changes", "ts"))
-        repeat = F.col("error").isNull() & (F.col("_number") > 1)
-        is_late = F.coalesce(F.col("seq") <= F.col("_applied"), F.lit(False)) | repeat
-        numbered = parsed.withColumn("_number", F.row_number().over(same))
-        marked = numbered.join(applied, "uri", "left").select(
-            *_EVENT_COLUMNS, F.coalesce("error", F.when(is_late, "late")).alias("reason")
-        )
-        # Written once: the fold and the problems read the same rows.
-        self._taken.write(marked, batch_id)
-        taken = self._taken.delta(batch_id)
-        fresh = taken.where(F.col("reason").isNull())
-        known = prior.join(fresh.select("uri").distinct(), "uri", "left_semi")
-        self._folded.write(fold_events(fresh, known, self.corrected), batch_id)
-        folded = self._folded.delta(batch_id)
-        failed = folded.where(F.col("kind") == "error").select(
-            "uri", F.col("last_seq").alias("seq"), F.col("error").alias("reason")
-        )
-        rejected = taken.where(F.col("reason").isNotNull()).select("uri", "seq", "reason")
-        self._problems.write(failed.unionByName(rejected), batch_id)
-        self.states.write(last_states(folded), batch_id)
-        self._taken.remove_before(batch_id)
-        self._folded.remove_before(batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            self.states.compact(batch_id)
-            self._problems.compact(batch_id)
-
-    def run(self, events: DataFrame, checkpoint: str) -> None:
-        run_available(events, self.process, checkpoint)
+    def __init__(self, spark: SparkSession, root: str, corrected: bool = False, forget_after_ms: int | None = None):
+        self._stream = KeyedStream(spark, root, "key", PROBLEMS)
+        self._processor = DocumentProcessor(corrected, forget_after_ms)
+
+    def run(self, events: DataFrame) -> None:
+        """Take in what is available of a stream of ``(seq, method, params, ts)``."""
+        parsed = parse_event_json(events).where(F.col("event").isin("open", "close", "change"))
+        spread = F.concat(F.lit(NO_URI), F.pmod(F.xxhash64("seq", "params"), F.lit(NO_URI_KEYS)).cast("string"))
+        rows = parsed.select(
+            F.coalesce("uri", spread).alias("key"), *_EVENT_COLUMNS,
+            F.xxhash64("event", "version", "text", "changes", "ts").alias("hash"),
+        )
+        self._stream.run_rows(rows, self._processor, timers=self._processor.forget_after_ms is not None)
 
     def documents(self) -> DataFrame:
         """Current state rows; closed documents stay as rows that are not open."""
-        return self._prior(None)
+        return self._stream.variable("document", f"key string, {STATE}").withColumnRenamed("key", "uri")
 
-    def problems(self) -> DataFrame | None:
+    def problems(self) -> DataFrame:
         """Late events, events with bad params, and changes that failed, with the reason."""
-        return self._problems.rows()
+        return self._stream.written()

@@ -1,37 +1,7 @@
-"""The fold of one document's events, row by row over sorted Arrow batches.
-
-Each edit needs the text the edits before it left, so a document is folded in order. Only the text of
-the current document is held, however many events it has.
-"""
+"""The fold of one document's events: each edit needs the text the edits before it left."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-
-ROWS_PER_BATCH = 1000
-
-FOLD_SCHEMA = pa.schema(
-    [
-        ("kind", pa.string()),
-        ("uri", pa.string()),
-        ("epoch", pa.int64()),
-        ("last_seq", pa.int64()),
-        ("is_open", pa.bool_()),
-        ("language_id", pa.string()),
-        ("version", pa.int32()),
-        ("text", pa.string()),
-        ("last_edit", pa.timestamp("us", tz="UTC")),
-        ("last_edited_line", pa.int32()),
-        ("error", pa.string()),
-    ]
-)
-FOLD_TYPE = (
-    "kind string, uri string, epoch bigint, last_seq bigint, is_open boolean, language_id string, "
-    "version int, text string, last_edit timestamp, last_edited_line int, error string"
-)
-
 
 class EditError(Exception):
     pass
@@ -85,25 +55,31 @@ class Buffer:
         return Buffer(work.text) if spanning else work
 
 
-class _Document:
-    def __init__(self, uri: str, epoch: int):
-        self.row = dict.fromkeys(FOLD_SCHEMA.names)
-        self.row.update(kind="state", uri=uri, epoch=epoch, is_open=False)
-        self.buffer = Buffer("")
+class Document:
+    """A document's state and the events applied to it. ``held`` is a state that it goes on from."""
+
+    def __init__(self, held: dict | None = None):
+        blank = dict.fromkeys(("language_id", "version", "text", "last_edit", "last_edited_line", "last_seq"))
+        self.row = {"is_open": False, **blank} if held is None else dict(held)
+        self.buffer = Buffer(self.row["text"] or "")
+
+    @property
+    def last_seq(self) -> int | None:
+        return self.row["last_seq"]
 
     def apply(self, event: dict, corrected: bool) -> str | None:
         """Take one event in; the reason when it fails."""
         self.row["last_seq"] = event["seq"]
         kind = event["event"]
-        if kind == "close" or (kind == "restore" and not event["is_open"]):
+        if kind == "close":
             self.row["is_open"], self.buffer = False, Buffer("")
-        elif kind in ("open", "restore"):
+        elif kind == "open":
             self.row.update(
                 is_open=True,
                 language_id=event["language_id"],
                 version=event["version"],
                 last_edit=event["ts"],
-                last_edited_line=event["last_edited_line"] or 0,
+                last_edited_line=0,
             )
             self.buffer = Buffer(event["text"] or "")
         elif not self.row["is_open"]:
@@ -132,38 +108,3 @@ class _Document:
             blank = dict.fromkeys(("language_id", "version", "text", "last_edit", "last_edited_line"))
             return {**self.row, **blank}
         return {**self.row, "text": self.buffer.text}
-
-
-def fold_documents(corrected: bool):
-    """For ``mapInArrow`` over rows sorted by uri, epoch and seq: a state row per epoch, a row per failed event."""
-
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        document = None
-        for batch in batches:
-            for event in batch.to_pylist():
-                if document is None or (document.row["uri"], document.row["epoch"]) != (
-                    event["uri"],
-                    event["epoch"],
-                ):
-                    if document is not None:
-                        yield document.state()
-                    document = _Document(event["uri"], event["epoch"])
-                reason = document.apply(event, corrected)
-                if reason is not None:
-                    failed = dict.fromkeys(FOLD_SCHEMA.names)
-                    failed.update(kind="error", uri=event["uri"], last_seq=event["seq"], error=reason)
-                    yield failed
-        if document is not None:
-            yield document.state()
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for row in results(batches):
-            held.append(row)
-            if len(held) == ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pylist(held, FOLD_SCHEMA)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, FOLD_SCHEMA)
-
-    return fold

@@ -74,55 +74,81 @@ PROBLEMS = {
 }
 
 
-@pytest.mark.parametrize("compact_every", [1, 50])
-def test_document_stream(spark, tmp_path, compact_every):
-    stream = DocumentStateStream(spark, str(tmp_path), compact_every=compact_every)
+def feed(stream, folder, rows):
+    """Rows arrive as one more file, and the stream takes in what is new."""
+    rows.coalesce(1).write.mode("append").parquet(str(folder))
+    stream.run(rows.sparkSession.readStream.schema(rows.schema).parquet(str(folder)))
+
+
+def forget_commit(root, number):
+    """As if the process ended after the output of a batch was written and before the batch was committed."""
+    for path in (root / "checkpoint" / "commits").iterdir():
+        if path.name.strip(".").split(".")[0] == str(number):
+            path.unlink()
+
+
+def test_document_stream(spark, tmp_path):
     for number, rows in enumerate(BATCHES):
-        stream.process(message(spark, rows), number)
-        # A batch that is run again changes nothing.
-        stream.process(message(spark, rows), number)
+        # Each batch is taken in by a new object: all that is known lies in the checkpoint.
+        stream = DocumentStateStream(spark, str(tmp_path / "out"))
+        assert number or (stream.documents().collect(), stream.problems().collect()) == ([], [])
+        feed(stream, tmp_path / "in", message(spark, rows))
         found = {r["uri"]: r["text"] for r in stream.documents().where("is_open").collect()}
         assert found == OPEN_AFTER[number]
-    assert {(r["uri"], r["seq"], r["reason"]) for r in stream.problems().collect()} == PROBLEMS
+    problems = [(r["uri"], r["seq"], r["reason"]) for r in stream.problems().collect()]
+    assert set(problems) == PROBLEMS and len(problems) == len(PROBLEMS)
 
 
-def test_document_stream_runs_over_files(spark, tmp_path):
-    source = str(tmp_path / "in")
+def test_a_batch_that_was_not_committed_runs_again(spark, tmp_path):
+    for number, rows in enumerate(BATCHES):
+        stream = DocumentStateStream(spark, str(tmp_path / "out"))
+        feed(stream, tmp_path / "in", message(spark, rows))
+        forget_commit(tmp_path / "out", number)
     stream = DocumentStateStream(spark, str(tmp_path / "out"))
-    for rows in BATCHES:
-        message(spark, rows).coalesce(1).write.mode("append").json(source)
-        stream.run(spark.readStream.schema(EVENT).json(source), str(tmp_path / "checkpoint"))
-    assert {r["uri"]: r["text"] for r in stream.documents().where("is_open").collect()} == OPEN_AFTER[-1]
+    feed(stream, tmp_path / "in", message(spark, [(16, ev.OPEN, opened("z", "z"))]))
+    states = {r["uri"]: (r["text"], r["last_seq"]) for r in stream.documents().where("is_open").collect()}
+    assert states == {"a": ("fresh", 14), "z": ("z", 16)}
+    assert len(stream.problems().collect()) == len(PROBLEMS)
 
 
 def test_a_repeat_inside_a_batch_is_applied_once(spark, tmp_path):
     edit = (2, ev.CHANGE, changed("a", (0, 0, 0, 0, "X")))
-    stream = DocumentStateStream(spark, str(tmp_path))
-    stream.process(message(spark, [(1, ev.OPEN, opened("a", "a")), edit, edit, (3, ev.CHANGE, "{x"), (3, ev.CHANGE, "{x")]), 0)
+    stream = DocumentStateStream(spark, str(tmp_path / "out"))
+    rows = [(1, ev.OPEN, opened("a", "a")), edit, edit, (3, ev.CHANGE, "{x"), (3, ev.CHANGE, "{x"), (None, ev.CLOSE, closed("a"))]
+    feed(stream, tmp_path / "in", message(spark, rows))
     assert [r["text"] for r in stream.documents().collect()] == ["Xa"]
-    problems = sorted((r["uri"] or "", r["seq"], r["reason"]) for r in stream.problems().collect())
-    assert problems == [("", 3, "bad params"), ("", 3, "bad params"), ("a", 2, "late")]
+    problems = sorted((r["uri"] or "", r["seq"] or 0, r["reason"]) for r in stream.problems().collect())
+    assert problems == [("", 3, "bad params"), ("", 3, "bad params"), ("a", 0, "no seq"), ("a", 2, "late")]
 
 
-def test_edits_leave_version_and_time_alone(spark, tmp_path):
+@pytest.mark.parametrize(("corrected", "expected"), [(False, (4, 0)), (True, (5, 2))])
+def test_edits_leave_version_and_time_alone(spark, tmp_path, corrected, expected):
     rows = [(1, ev.OPEN, opened("a", "x", 4)), (2, ev.CHANGE, changed("a", (0, 0, 0, 0, "1\n2\n"), version=5))]
-    for corrected, expected in ((False, (4, 0)), (True, (5, 2))):
-        stream = DocumentStateStream(spark, str(tmp_path / str(corrected)), corrected=corrected)
-        stream.process(message(spark, rows), 0)
-        row = stream.documents().first()
-        assert (row["version"], row["last_edited_line"]) == expected
+    stream = DocumentStateStream(spark, str(tmp_path / "out"), corrected=corrected)
+    feed(stream, tmp_path / "in", message(spark, rows))
+    row = stream.documents().first()
+    assert (row["version"], row["last_edited_line"]) == expected
 
 
 def test_one_document_with_most_events(spark, tmp_path):
     rows = [(0, ev.OPEN, opened("hot", ""))]
     rows += [(n, ev.CHANGE, changed("hot", (0, 0, 0, 0, f"{n}\n"))) for n in range(1, 1500)]
     rows += [(1500 + n, ev.OPEN, opened(f"u{n}", "x")) for n in range(300)]
-    stream = DocumentStateStream(spark, str(tmp_path))
-    stream.process(message(spark, rows), 0)
+    stream = DocumentStateStream(spark, str(tmp_path / "out"))
+    feed(stream, tmp_path / "in", message(spark, rows))
     texts = {r["uri"]: r["text"] for r in stream.documents().collect()}
     assert texts["hot"] == "".join(f"{n}\n" for n in range(1499, 0, -1)) and len(texts) == 301
 
 
+def test_closed_documents_can_be_forgotten(spark, tmp_path):
+    stream = DocumentStateStream(spark, str(tmp_path / "out"), forget_after_ms=1)
+    feed(stream, tmp_path / "in", message(spark, [(1, ev.OPEN, opened("a", "a")), (2, ev.OPEN, opened("b", "b")), (3, ev.CLOSE, closed("a"))]))
+    feed(stream, tmp_path / "in", message(spark, [(4, ev.OPEN, opened("c", "c"))]))
+    assert {r["uri"] for r in stream.documents().collect()} == {"b", "c"}
+    feed(stream, tmp_path / "in", message(spark, [(1, ev.OPEN, opened("a", "again"))]))
+    assert {r["uri"]: r["text"] for r in stream.documents().collect()} == {"a": "again", "b": "b", "c": "c"}
+
+
 def test_parse_event_json(spark):
     rows = [
         (1, ev.OPEN, opened("a", "t")),
@@ -151,12 +177,13 @@ def test_completion_stream(spark, tmp_path):
         [(1, 2, "again", False), (1, 3, "e", False), (2, 2, "after done", False), (3, 5, "q\nr\ns", None)],
         [(1, 4, "\n\n", True), (3, 6, "t\n", False), (4, 1, "c", True), (4, 2, "after", True), (1, 5, "end", False)],
     ]
-    stream = CompletionStream(spark, str(tmp_path), prefix="> ", compact_every=2)
     for number, rows in enumerate(batches):
-        for _ in range(2):
-            stream.process(spark.createDataFrame(rows, CHUNK), number)
-    reports = {(r["stream_id"], r["seq"]): r["message"] for r in stream.reports().collect()}
-    assert reports == {(1, 2): "> abc", (1, 4): "> de", (3, 5): "> q", (3, 6): "> r\nst"}
+        stream = CompletionStream(spark, str(tmp_path / "out"), prefix="> ")
+        feed(stream, tmp_path / "in", spark.createDataFrame(rows, CHUNK))
+        if number < 2:
+            forget_commit(tmp_path / "out", number)
+    reports = [(r["stream_id"], r["seq"], r["message"]) for r in stream.reports().collect()]
+    assert sorted(reports) == [(1, 2, "> abc"), (1, 4, "> de"), (3, 5, "> q"), (3, 6, "> r\nst")]
     assert sorted((r["stream_id"], r["seq"], r["text"]) for r in stream.late().collect()) == [
         (1, 2, "again"), (1, 5, "end"), (2, 2, "after done"), (4, 0, "b"), (4, 2, "after"),
     ]
@@ -164,20 +191,23 @@ def test_completion_stream(spark, tmp_path):
     assert texts == {1: "abc\nde\n\n", 2: "x", 3: "q\nr\nst\n", 4: "ac"}
     edits = {(r["stream_id"], r["seq"]): (r["insert_line"], r["insert_character"]) for r in stream.edits().collect()}
     assert edits == {(1, 1): (0, 0), (1, 2): (0, 2), (1, 3): (1, 1), (1, 4): (1, 2), (2, 1): (0, 0), (3, 5): (0, 0), (3, 6): (2, 1), (4, 0): (0, 0), (4, 1): (0, 1)}
-    states = {r["stream_id"]: (r["line"], r["character"], r["is_done"]) for r in stream.states.latest().collect()}
+    states = {r["stream_id"]: (r["line"], r["character"], r["is_done"]) for r in stream.cursors().collect()}
     assert states == {1: (3, 0, True), 2: (0, 1, True), 3: (3, 0, False), 4: (0, 2, True)}
     assert {r["stream_id"]: r["pending"] for r in stream.pending().collect()} == {1: "\n", 2: "x", 3: "", 4: "ac"}
 
 
 def test_pending_text_is_written_once(spark, tmp_path):
-    stream = CompletionStream(spark, str(tmp_path), compact_every=4)
-    for number in range(6):
-        rows = [(1, number, f"p{number}", False), (2, number, f"{number}\n", False)]
-        stream.process(spark.createDataFrame(rows, CHUNK), number)
-        assert stream._pieces.delta(number).where("stream_id = 1").count() == 1
+    stream = CompletionStream(spark, str(tmp_path / "out"), forget_after_ms=1)
+    for number in range(3):
+        rows = [(1, 2 * number + k, f"p{2 * number + k}", False) for k in (0, 1)] + [(2, number, f"{number}\n", number == 2)]
+        feed(stream, tmp_path / "in", spark.createDataFrame(rows, CHUNK))
+    pieces = stream._stream.variable("pieces", "").where("stream_id = 1")
+    assert sorted(r["piece"] for r in pieces.collect()) == [f"p{n}" for n in range(6)]
     assert {r["stream_id"]: r["pending"] for r in stream.pending().collect()} == {1: "p0p1p2p3p4p5", 2: ""}
-    stream.process(spark.createDataFrame([(1, 9, "!\n", True)], CHUNK), 6)
+    feed(stream, tmp_path / "in", spark.createDataFrame([(1, 9, "!\n", True)], CHUNK))
     assert [r["message"] for r in stream.reports().where("stream_id = 1").collect()] == ["p0p1p2p3p4p5!"]
+    # The stream that was done before is no longer in the state.
+    assert {r["stream_id"] for r in stream.cursors().collect()} == {1}
 
 
 @pytest.mark.parametrize("compact_every", [1, 50])
