@@ -176,20 +176,8 @@ def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
         yield at, ids[near][order], distance[order]
 
 
-def nearest_symbols(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """The k nearest of ``embeddings(workspace, symbol_id, embedding)`` per ``queries(workspace, query_id, embedding)``, by L2.
-
-    A query sees its own workspace only. Both sides come in blocks, and every block of a workspace's queries meets
-    every block of its embeddings in some task; a pair of blocks gives k rows per query. Ties go to the lower id.
-    """
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    asked = _vector_blocks(queries, "query_id", QUERIES_PER_BLOCK, "query")
-    stored = _vector_blocks(embeddings, "symbol_id", VECTORS_PER_BLOCK, "symbol")
-    numbers = asked.select("workspace", "query_blocks").distinct()
-    aimed = stored.join(numbers, "workspace").withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))
-    )
-    pairs = aimed.drop("query_blocks").join(asked.drop("query_blocks"), ["workspace", "query_block"])
+def compared_blocks(pairs: DataFrame, k: int, query_type: str) -> DataFrame:
+    """``(workspace, query_id, symbol_id, distance)``: the k nearest of each pair of blocks, for each of its queries."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,13 +193,33 @@ def nearest_symbols(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST)
                 yield pd.concat(frames, ignore_index=True)
 
     columns = ["workspace", "symbol_keys", "symbol_values", "query_keys", "query_values"]
-    found = pairs.select(*columns).mapInPandas(
+    return pairs.select(*columns).mapInPandas(
         compare, f"workspace string, query_id {query_type}, symbol_id string, distance double"
     )
+
+
+def first_by_distance(found: DataFrame, k: int) -> DataFrame:
+    """The k rows of each query with the smallest distance, with their rank; ties by id."""
     by_distance = Window.partitionBy("workspace", "query_id").orderBy("distance", "symbol_id")
     return found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
 
 
+def nearest_symbols(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
+    """The k nearest of ``embeddings(workspace, symbol_id, embedding)`` per ``queries(workspace, query_id, embedding)``, by L2.
+
+    A query sees its own workspace only. Both sides come in blocks, and every block of a workspace's queries meets
+    every block of its embeddings in some task: the queries' blocks are copied to the embeddings' blocks, each of which is a key
+    of its own. A pair of blocks gives k rows per query. Ties go to the lower id.
+    """
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    asked = _vector_blocks(queries, "query_id", QUERIES_PER_BLOCK, "query")
+    stored = _vector_blocks(embeddings, "symbol_id", VECTORS_PER_BLOCK, "symbol")
+    numbers = stored.select("workspace", "symbol_block")
+    aimed = asked.join(numbers, "workspace")
+    pairs = stored.join(aimed, ["workspace", "symbol_block"])
+    return first_by_distance(compared_blocks(pairs, k, query_type), k)
+
+
 def semantic_symbol_search(
     symbols: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = NEAREST
 ) -> DataFrame:

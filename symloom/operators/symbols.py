@@ -158,15 +158,40 @@ def symbol_location_struct(symbols: DataFrame, root: str = "") -> DataFrame:
     )
 
 
+def _group_is_all(pattern: str) -> bool:
+    """Whether group 1 spans the whole pattern, so that a match is its capture."""
+    depth, at, in_class = 0, 0, False
+    while at < len(pattern):
+        sign = pattern[at]
+        if sign == "\\":
+            at += 1
+        elif in_class:
+            in_class = sign != "]"
+        elif sign == "[":
+            in_class = True
+        elif sign in "()":
+            depth += 1 if sign == "(" else -1
+            if depth == 0:
+                return at == len(pattern) - 1
+        at += 1
+    return False
+
+
 def _captures(line: Column, number: Column, rule: Rule) -> Column:
     """All captures of a rule in a line, as the regular expression finds them one after the other.
 
     The gaps between the matches and the matches themselves give the places by their lengths. What stands before
-    the name in a match is a group of its own here, so its length is known, too.
+    the name in a match is a group of its own here, so its length is known, too. Where group 1 is the whole pattern, the
+    matches are the names and nothing stands before them: a line is looked through twice then, else four times.
     """
     lead = re.search(r"(?<!\\)\((?!\?)", rule.pattern).start()
+    plain = lead == 0 and _group_is_all(rule.pattern)
     pattern = f"(?U)({rule.pattern[:lead]}){rule.pattern[lead:]}"
-    whole, leads, found = (F.regexp_extract_all(line, F.lit(pattern), F.lit(group)) for group in (0, 1, 2))
+    whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    if plain:
+        leads, found = F.transform(whole, lambda match: F.lit("")), whole
+    else:
+        leads, found = (F.regexp_extract_all(line, F.lit(pattern), F.lit(group)) for group in (1, 2))
     gaps = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(whole))
     state = "struct<at:int,starts:array<int>>"
     steps = F.zip_with(gaps, whole, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size")))

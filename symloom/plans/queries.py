@@ -20,10 +20,12 @@ from symloom.operators import index as ix
 from symloom.operators import search as se
 from symloom.operators import stats as st
 from symloom.operators import symbols as sy
+from symloom.operators.vectors import VectorIndex
 from symloom.plans import inputs as inp
 from symloom.session import checkpointed, scratch_dir
 from symloom.sources import files as fl
 from symloom.sources import tables as tb
+from symloom.sources.manifest import Change, ManifestIndex
 from symloom.streaming.completions import CompletionStream
 from symloom.streaming.documents import DocumentStateStream
 from symloom.streaming.refresh import MANIFEST, IndexRefreshStream
@@ -337,20 +339,19 @@ def delete_file_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replace_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, prior = inp.files(spark, sf_dir), inp.prior_index(spark, sf_dir)
-    changed = ix.detect_changed_files(files, prior)
+    """A prior index is committed, then the files that changed since, with their symbols."""
+    index = ManifestIndex(spark, scratch_dir(spark, "published"))
+    prior = inp.prior_index(spark, sf_dir)
+    index.commit({"files": Change(prior), "symbols": Change(inp.prior_symbols(spark, sf_dir))}, keys=prior)
+    changed = checkpointed(ix.detect_changed_files(inp.files(spark, sf_dir), index.table("files")))
     new_symbols = sy.symbol_table(sy.extract_symbols(changed, inp.PROSE_RULES))
-    index = tb.PublishedIndex(spark, scratch_dir(spark, "published"))
-    index.publish(prior, inp.prior_symbols(spark, sf_dir))
-    index.publish(*ix.replace_file_index(index.files(), index.symbols(), changed, new_symbols))
-    return _rows_of_index(index.files(), index.symbols())
+    rows = changed.select("workspace", "path", "md5")
+    index.commit({"files": Change(rows, changed), "symbols": Change(new_symbols, changed)}, keys=changed)
+    return _rows_of_index(index.table("files"), index.table("symbols"))
 
 
-@query
-def semantic_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbols nearest to the mean vector of each label, in every workspace."""
-    symbols = _embedded_symbols(spark, sf_dir)
-    embeddings = symbols.where(F.col("embedding").isNotNull()).select("workspace", "symbol_id", "embedding")
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of each label, asked in every workspace."""
     means = (
         inp.table(spark, sf_dir, "embeddings")
         .select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("at", "value"))
@@ -359,7 +360,26 @@ def semantic_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("query_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda m: m["mean"]).alias("embedding"))
     )
-    asked = means.withColumn("workspace", F.explode(F.array(*[F.lit(name) for name in inp.PROSE])))
+    return means.withColumn("workspace", F.explode(F.array(*[F.lit(name) for name in inp.PROSE])))
+
+
+@query
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of ``semantic_symbol_search``, from a stored index that reads the cells it needs."""
+    symbols = checkpointed(_embedded_symbols(spark, sf_dir))
+    index = VectorIndex(spark, scratch_dir(spark, "vector-index"))
+    index.write(symbols.select("workspace", "symbol_id", "embedding"))
+    hits = index.nearest(_asked_vectors(spark, sf_dir)).select("workspace", "query_id", "rank", "symbol_id")
+    found = symbols.join(hits, ["workspace", "symbol_id"])
+    return found.select("workspace", "query_id", "rank", "symbol_id", "path", "name")
+
+
+@query
+def semantic_symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols nearest to the mean vector of each label, in every workspace."""
+    symbols = _embedded_symbols(spark, sf_dir)
+    embeddings = symbols.where(F.col("embedding").isNotNull()).select("workspace", "symbol_id", "embedding")
+    asked = _asked_vectors(spark, sf_dir)
     found = se.semantic_symbol_search(symbols.drop("embedding"), embeddings, asked)
     return found.select("workspace", "query_id", "rank", "symbol_id", "path", "name")
 

@@ -615,3 +615,4 @@ ORACLES: dict[str, str] = {
         ORDER BY s.path, start_line LIMIT 100""",
 }
 ORACLES["build_context"] = f"SELECT * EXCLUDE (failed) FROM ({ORACLES['build_context']})"
+ORACLES["vector_index_search"] = ORACLES["semantic_symbol_search"]

@@ -1,12 +1,9 @@
-"""Index tables on shared storage, JSON documents, and a table of versions for streams."""
+"""Index tables on shared storage, and JSON documents."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from symloom.functions import paths
 from symloom.session import hadoop_path, scratch_dir
@@ -59,42 +56,6 @@ def write_symbol_table(
         system.delete(folder, True)
 
 
-class PublishedIndex:
-    """Files and symbols in versions that are swapped whole: readers see the last one published.
-
-    A version's tables are written first; then an empty file with its number is created, which file systems and
-    object stores do at once or not at all. A job that is run again writes the same version over.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def current(self) -> int | None:
-        """The number of the last published version."""
-        folder, system = hadoop_path(self.spark, f"{self.root}/published")
-        if not system.exists(folder):
-            return None
-        return max((int(status.getPath().getName()) for status in system.listStatus(folder)), default=None)
-
-    def _path(self, version: int, table: str) -> str:
-        return f"{self.root}/version={version:012d}/{table}"
-
-    def publish(self, files: DataFrame, symbols: DataFrame) -> int:
-        """Write the next version and make it the current one."""
-        version = (self.current() or 0) + 1
-        for name, rows in (("files", files), ("symbols", symbols)):
-            rows.write.mode("overwrite").parquet(self._path(version, name))
-        mark, system = hadoop_path(self.spark, f"{self.root}/published/{version:012d}")
-        system.create(mark, False).close()
-        return version
-
-    def files(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.current(), "files"))
-
-    def symbols(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.current(), "symbols"))
-
-
 def read_workspace_index(spark: SparkSession, path: str, workspace: str) -> DataFrame:
     """The rows of exactly one workspace; other workspaces' directories are not listed by the scan."""
     return spark.read.parquet(path).where(F.col("workspace") == F.lit(workspace))
@@ -173,156 +134,3 @@ def open_documents_snapshot(states: DataFrame) -> DataFrame:
         "uri",
         F.struct("uri", "language_id", "version", "text", "last_edit", "last_edited_line").alias("document"),
     )
-
-
-class VersionedTable:
-    """Rows per key, written as numbered deltas; the latest version of a key wins.
-
-    ``compact`` folds the deltas into a base, so that reads stay short. Writing a version again replaces
-    it, which makes a replayed micro-batch harmless. With ``buckets`` the rows of a version lie in folders by
-    the hash of ``bucket_by``; a read for some keys lists and reads their folders only.
-    """
-
-    def __init__(
-        self, spark: SparkSession, root: str, keys: list[str], buckets: int = 1, bucket_by: list[str] | None = None
-    ):
-        self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
-        self.buckets, self.bucket_by = buckets, bucket_by or keys[:1]
-        self._schema: T.StructType | None = None
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
-
-    def buckets_of(self, rows: DataFrame) -> list[int]:
-        """The buckets that the keys of some rows lie in: no more numbers than there are buckets."""
-        return sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())
-
-    def _path(self, kind: str, version: int) -> str:
-        return f"{self.root}/{kind}/table_version={version:012d}"
-
-    def _versions(self, kind: str, before: int | None = None) -> list[int]:
-        """Numbers of the complete versions: a handful of directory names."""
-        folder, system = hadoop_path(self.spark, f"{self.root}/{kind}")
-        if not system.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in system.listStatus(folder)]
-        numbers = sorted(int(name.split("=")[1]) for name in names if "=" in name)
-        complete = [n for n in numbers if system.exists(hadoop_path(self.spark, f"{self._path(kind, n)}/_SUCCESS")[0])]
-        return [n for n in complete if before is None or n < before]
-
-    def _keep_schema(self, schema: T.StructType) -> None:
-        """Written once beside the versions: a version without rows has no file that could tell it."""
-        if self._schema is None:
-            path, system = hadoop_path(self.spark, f"{self.root}/schema")
-            if not system.exists(path):
-                out = system.create(path, True)
-                out.write(bytearray(schema.json().encode()))
-                out.close()
-            self._schema = T.StructType.fromJson(json.loads(schema.json()))
-
-    def _known_schema(self) -> T.StructType:
-        if self._schema is None:
-            text = self.spark.read.text(f"{self.root}/schema", wholetext=True).first()[0]
-            self._schema = T.StructType.fromJson(json.loads(text))
-        return self._schema
-
-    def _read(self, kind: str, versions: list[int], buckets: list[int] | None = None) -> DataFrame | None:
-        """Rows of some versions with their ``table_version``."""
-        if not versions:
-            return None
-        places = T.StructType([T.StructField("table_version", T.LongType()), T.StructField("table_bucket", T.IntegerType())])
-        reader = self.spark.read.option("basePath", f"{self.root}/{kind}").schema(
-            T.StructType([*self._known_schema().fields, *places.fields])
-        )
-        found = reader.parquet(*[self._path(kind, version) for version in versions])
-        return (found if buckets is None else found.where(F.col("table_bucket").isin(buckets))).drop("table_bucket")
-
-    def _write(self, df: DataFrame, kind: str, version: int) -> None:
-        self._keep_schema(df.schema)
-        placed = df.withColumn("table_bucket", self._bucket())
-        if self.buckets > 1:
-            placed = placed.repartition("table_bucket", *self.keys)
-        placed.write.mode("overwrite").partitionBy("table_bucket").parquet(self._path(kind, version))
-
-    def _parts(self, before: int | None = None, buckets: list[int] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-        """The newest base, and the deltas after it with their version."""
-        bases = self._versions("base", before)[-1:]
-        deltas = [v for v in self._versions("delta", before) if not bases or v > bases[0]]
-        base = self._read("base", bases, buckets)
-        return base if base is None else base.drop("table_version"), self._read("delta", deltas, buckets)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        self._write(df, "delta", version)
-
-    def delta(self, version: int) -> DataFrame:
-        return self._read("delta", [version]).drop("table_version")
-
-    def rows(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """Everything stored below version ``before``, superseded rows too."""
-        base, deltas = self._parts(before, buckets)
-        if deltas is None:
-            return base
-        rows = deltas.drop("table_version")
-        return rows if base is None else base.unionByName(rows)
-
-    def latest(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The current row of each key, as of the versions below ``before``; None when nothing is there."""
-        base, deltas = self._parts(before, buckets)
-        if deltas is None:
-            return base
-        columns = [c for c in deltas.columns if c not in (*self.keys, "table_version")]
-        recent = (
-            deltas.groupBy(*self.keys)
-            .agg(F.max_by(F.struct(*columns), F.col("table_version")).alias("_row"))
-            .select(*self.keys, "_row.*")
-        )
-        if base is None:
-            return recent
-        return base.join(recent.select(*self.keys), self.keys, "left_anti").unionByName(recent)
-
-    def write_base(self, df: DataFrame, version: int) -> None:
-        """A new base, unless it is there already; what only the base before the previous one needed is removed."""
-        if version in self._versions("base"):
-            return
-        self._write(df, "base", version)
-        bases = self._versions("base")
-        if len(bases) > 2:
-            self.remove_before(bases[-2])
-
-    def compact(self, version: int) -> None:
-        """Fold everything up to ``version`` into a base."""
-        if version not in self._versions("base"):
-            self.write_base(self.latest(version + 1), version)
-
-    def remove_before(self, version: int) -> None:
-        """Remove the versions below, which later versions supersede."""
-        for kind in ("base", "delta"):
-            for old in self._versions(kind, version):
-                folder, system = hadoop_path(self.spark, self._path(kind, old))
-                system.delete(folder, True)
-
-
-class AppendedTable(VersionedTable):
-    """Rows that are only added, as numbered deltas; ``compact`` merges the deltas since the last time into one version.
-
-    Each row is merged once, and the number of folders stays small. A delta at or below a merged version is a
-    replay of what that holds.
-    """
-
-    def rows(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        merged = self._versions("merged", before)
-        deltas = [v for v in self._versions("delta", before) if not merged or v > merged[-1]]
-        parts = [self._read(kind, numbers, buckets) for kind, numbers in (("merged", merged), ("delta", deltas))]
-        parts = [p.drop("table_version") for p in parts if p is not None]
-        if not parts:
-            return None
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    def compact(self, version: int) -> None:
-        merged = self._versions("merged")
-        if merged and merged[-1] >= version:
-            return
-        deltas = [v for v in self._versions("delta", version + 1) if not merged or v > merged[-1]]
-        if deltas:
-            self._write(self._read("delta", deltas).drop("table_version"), "merged", version)
-            self.remove_before(version)

@@ -11,32 +11,27 @@ from symloom.operators.search import Model, embed_symbols
 from symloom.operators.symbols import DEFINITION_RULES, Rule, add_text_errors, extract_symbols, symbol_table
 from symloom.session import checkpointed
 from symloom.sources.files import read_contents
-from symloom.sources.tables import VersionedTable
+from symloom.sources.manifest import RANGES, Change, ManifestIndex
 from symloom.streaming.runner import run_available
 
-# Folders that the file rows lie in by the hash of workspace and path: a batch reads those of its files.
-STATE_BUCKETS = 64
-
 MANIFEST = "workspace string, root string, path string"
 
 
 class IndexRefreshStream:
-    """The index as versions: each batch adds its changed files and their symbols under its number.
+    """The index under manifests: each batch is one commit, which rewrites the key ranges of its changed files only.
 
-    The newest version of a file says which symbol rows are current, so a file and its symbols change
-    together, and a batch writes no more than what changed. With a ``model`` the symbols are embedded in the same pass.
+    A file and its symbols change together, and several streams may refresh one index. A batch that is run again finds
+    its number in the manifest and does nothing. With a ``model`` the symbols are embedded in the same pass.
     A file that cannot be read, or is no text, is a row of ``problems``; one that cannot be read keeps its
-    earlier index.
+    earlier index. Every ``vacuum_every`` batches, folders that no recent manifest names are removed.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, compact_every: int = 20,
-        model: Model | None = None,
+        self, spark: SparkSession, root: str, rules: list[Rule] = DEFINITION_RULES, vacuum_every: int = 20,
+        model: Model | None = None, name: str = "refresh", ranges: int = RANGES,
     ):
-        self.spark, self.rules, self.compact_every, self.model = spark, rules, compact_every, model
-        self._files = VersionedTable(spark, f"{root}/files", FILE_KEY, buckets=STATE_BUCKETS, bucket_by=FILE_KEY)
-        self._symbols = VersionedTable(spark, f"{root}/symbols", FILE_KEY)
-        self._problems = VersionedTable(spark, f"{root}/problems", FILE_KEY)
+        self.spark, self.rules, self.vacuum_every, self.model, self.name = spark, rules, vacuum_every, model, name
+        self.index = ManifestIndex(spark, root, ranges)
 
     def _read(self, manifest: DataFrame) -> DataFrame:
         named = manifest.distinct()
@@ -55,9 +50,12 @@ class IndexRefreshStream:
 
     def process(self, manifest: DataFrame, batch_id: int) -> None:
         """Read the files of a batch of ``(workspace, root, path)`` and index those that changed."""
+        base = self.index.manifest()
+        if base["batches"].get(self.name, -1) >= batch_id:
+            return
         # Written out once, so that the hash, the symbols and the problems come from the same read.
         scan = checkpointed(self._read(manifest))
-        indexed = self._files.latest(batch_id, self._files.buckets_of(scan))
+        indexed = self.index.table("files", base, self.index.ranges_of(scan, base))
         readable = scan.where(F.col("error").isNull()).drop("error")
         changed = readable if indexed is None else detect_changed_files(readable, indexed)
         changed = checkpointed(add_text_errors(changed))
@@ -65,26 +63,28 @@ class IndexRefreshStream:
         with_text = self.model is not None
         symbols = symbol_table(extract_symbols(changed, self.rules, with_text=with_text, corrected=with_text))
         if self.model is not None:
-            symbols = embed_symbols(symbols, self.model).drop("symbol_text")
-        self._symbols.write(symbols.select("*", version), batch_id)
-        self._files.write(changed.select(*FILE_KEY, "md5", version), batch_id)
+            symbols = checkpointed(embed_symbols(symbols, self.model).drop("symbol_text"))
         failed = scan.unionByName(changed, allowMissingColumns=True).where(F.col("error").isNotNull())
-        self._problems.write(failed.select(*FILE_KEY, "error", version), batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            self._symbols.write_base(self.symbols(), batch_id)
-            self._files.compact(batch_id)
-            self._problems.compact(batch_id)
+        failed = checkpointed(failed.select(*FILE_KEY, "error", version))
+        seen = changed.select(*FILE_KEY).unionByName(failed.select(*FILE_KEY))
+        changes = {
+            "files": Change(changed.select(*FILE_KEY, "md5", version), changed),
+            "symbols": Change(symbols.select("*", version), changed),
+            "problems": Change(failed, seen),
+        }
+        self.index.commit(changes, seen, (self.name, batch_id), base)
+        if (batch_id + 1) % self.vacuum_every == 0:
+            self.index.vacuum()
 
     def run(self, manifests: DataFrame, checkpoint: str) -> None:
         run_available(manifests, self.process, checkpoint)
 
     def files(self) -> DataFrame:
-        return self._files.latest()
+        return self.index.table("files")
 
     def symbols(self) -> DataFrame:
         """Symbols of the current version of each file."""
-        current = self.files().select(*FILE_KEY, "indexed_at")
-        return self._symbols.rows().join(current, [*FILE_KEY, "indexed_at"], "left_semi")
+        return self.index.table("symbols")
 
     def embeddings(self) -> DataFrame:
         """``(workspace, symbol_id, embedding)`` of the current symbols; needs a model."""
@@ -92,6 +92,4 @@ class IndexRefreshStream:
 
     def problems(self) -> DataFrame:
         """The last failure of each file that has not been indexed since: ``(workspace, path, error, indexed_at)``."""
-        later = self.files().select(*FILE_KEY, F.col("indexed_at").alias("_at"))
-        joined = self._problems.latest().join(later, FILE_KEY, "left")
-        return joined.where(F.col("_at").isNull() | (F.col("_at") <= F.col("indexed_at"))).drop("_at")
+        return self.index.table("problems")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.functions import names, paths
 from symloom.sources import files as fl
 from symloom.sources import tables as tb
+from symloom.sources.manifest import Change, ManifestIndex
 
 TREE = {
     "main.go": b"package main\n",
@@ -76,23 +77,65 @@ def test_a_path_without_scheme_lies_where_spark_says(spark, tmp_path):
     assert default_filesystem(spark) == "file:///"
     path, _ = hadoop_path(spark, str(tmp_path))
     assert path.toString() == f"file:{tmp_path}"
-    table = tb.VersionedTable(spark, str(tmp_path / "t"), ["k"])
-    table.write(spark.range(3).selectExpr("id as k"), 0)
-    assert table._versions("delta") == [0] and os.path.isdir(tmp_path / "t" / "delta")
-    assert tb.VersionedTable(spark, f"file:{tmp_path}/t", ["k"])._versions("delta") == [0]
-
-
-def test_published_index_is_swapped_whole(spark, tmp_path):
-    index = tb.PublishedIndex(spark, str(tmp_path))
-    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
-    assert index.current() is None
-    index.publish(rows("a"), rows("s"))
-    files, symbols = index.files(), index.symbols()
-    # A job that broke off before it published leaves the current version alone; run again, it writes over its own.
-    rows("broken").write.parquet(index._path(2, "files"))
-    assert [r["path"] for r in index.files().collect()] == ["a"]
-    assert index.publish(files.union(rows("b")), symbols) == 2
-    assert sorted(r["path"] for r in index.files().collect()) == ["a", "b"]
+    index = ManifestIndex(spark, str(tmp_path / "t"), ranges=4)
+    index.commit({"files": Change(file_rows(spark, a="1"))})
+    assert os.path.isdir(tmp_path / "t" / "manifests") and ManifestIndex(spark, f"file:{tmp_path}/t").versions() == [1]
+
+
+def file_rows(spark, **md5):
+    return spark.createDataFrame([("w", name, value) for name, value in md5.items()], "workspace string, path string, md5 string")
+
+
+def held(index, **at):
+    return {r["path"]: r["md5"] for r in index.table("files", **at).collect()}
+
+
+def test_a_commit_rewrites_the_ranges_of_its_files(spark, tmp_path):
+    index = ManifestIndex(spark, str(tmp_path), ranges=16)
+    assert index.table("files") is None
+    many = file_rows(spark, **{f"f{k}": "old" for k in range(100)})
+    assert index.commit({"files": Change(many), "symbols": Change(many.withColumn("name", F.col("path")))}) == 1
+    one = file_rows(spark, f7="new")
+    assert index.commit({"files": Change(one, one), "symbols": Change(one.withColumn("name", F.lit("n")), one)}) == 2
+    entries = index.manifest()["tables"]["files"]["ranges"]
+    assert sorted(e["version"] for e in entries.values()) == [1] * 15 + [2]
+    assert held(index) == {f"f{k}": "new" if k == 7 else "old" for k in range(100)}
+    assert index.table("symbols").where("name = 'n'").count() == 1 and index.table("symbols").count() == 100
+    # Earlier versions can be read until they are removed.
+    assert held(index, manifest=index.manifest(1))["f7"] == "old"
+    gone = one.limit(0)
+    index.commit({"files": Change(gone, one), "symbols": Change(gone.withColumn("name", F.lit("")), one)})
+    index.vacuum(keep=1)
+    assert index.versions() == [3] and len(held(index)) == 99
+    assert len(list((tmp_path / "data").iterdir())) == 4
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both start from one version; the second to commit finds a newer one, in other ranges and in its own."""
+    first, second = (ManifestIndex(spark, str(tmp_path), ranges=8) for _ in range(2))
+    first.commit({"files": Change(file_rows(spark, **{f"f{k}": "0" for k in range(40)}))})
+    base = second.manifest()
+    mine, yours = file_rows(spark, **{f"f{k}": "1" for k in range(0, 12)}), file_rows(spark, **{f"f{k}": "2" for k in (3, 30, 35)})
+    assert first.commit({"files": Change(mine, mine)}) == 2
+    assert second.commit({"files": Change(yours, yours)}, batch=("s", 0), base=base) == 3
+    # A batch that was committed before is not committed again, whoever asks.
+    assert second.commit({"files": Change(mine, mine)}, batch=("s", 0), base=base) == 3
+    expected = {f"f{k}": "2" if k in (3, 30, 35) else "1" if k < 12 else "0" for k in range(40)}
+    assert held(first) == held(second) == expected
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(number):
+        rows = file_rows(spark, **{f"f{number}": "x", f"g{number}": "y"})
+        return ManifestIndex(spark, str(tmp_path), ranges=4).commit({"files": Change(rows, rows)})
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(6)))
+    index = ManifestIndex(spark, str(tmp_path))
+    assert sorted(versions) == index.versions() == [1, 2, 3, 4, 5, 6]
+    assert len(held(index)) == 12 and index.manifest()["ranges"] == 4
 
 
 def test_scan_takes_uris(spark, root):

@@ -201,3 +201,35 @@ def test_enclosing_equals_brute_force(spark):
         if around:
             expected[uid] = min(around, key=lambda d: (d[0], d[1], -d[2], -d[3]))
     assert {u: (found.get(u), expected.get(u)) for u in {*found, *expected} if found.get(u) != expected.get(u)} == {}
+
+
+def test_vector_index_reads_the_cells_it_needs(spark, tmp_path):
+    """Vectors around many centres, one workspace with most of them, equal vectors and a workspace of two."""
+    from symloom.operators.vectors import VectorIndex
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 10, (60, 16))
+    rows = [("big", f"s{k:05d}", (middles[k % 60] + rng.normal(0, 0.3, 16)).tolist()) for k in range(3000)]
+    rows += [("big", f"t{k}", rows[0][2]) for k in range(12)] + [("few", "a", [0.0] * 16), ("few", "b", [1.0] * 16), ("few", "c", None)]
+    vectors = spark.createDataFrame(rows, "workspace string, symbol_id string, embedding array<double>")
+    asked = [("big", k, (middles[k] + rng.normal(0, 0.1, 16)).tolist()) for k in range(20)]
+    asked += [("big", 100, rows[0][2]), ("few", 7, [0.4] * 16), ("none", 8, [0.0] * 16)]
+    queries = spark.createDataFrame(asked, "workspace string, query_id int, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.write(vectors)
+    found = sorted(tuple(r) for r in index.nearest(queries, 10).collect())
+    assert found == sorted(tuple(r) for r in se.nearest_symbols(vectors, queries, 10).collect())
+    assert [r[2] for r in found if r[0] == "few"] == ["a", "b"] and len(found) == 212
+    read, _ = index.visits(queries.where("workspace = 'big'"), 10)
+    held = index.cells().where("workspace = 'big'").count()
+    assert held > 40 and read.count() < 21 * held / 8
+
+
+def test_an_empty_vector_index(spark, tmp_path):
+    from symloom.operators.vectors import VectorIndex
+
+    schema = "workspace string, symbol_id string, embedding array<double>"
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.write(spark.createDataFrame([], schema))
+    queries = spark.createDataFrame([("w", 1, [0.0])], "workspace string, query_id int, embedding array<double>")
+    assert index.nearest(queries).collect() == []

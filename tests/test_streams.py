@@ -1,12 +1,10 @@
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import events as ev
 from symloom.operators.search import HashedWords
-from symloom.sources.tables import AppendedTable, VersionedTable
 from symloom.streaming.completions import CompletionStream
 from symloom.streaming.documents import DocumentStateStream
 from symloom.streaming.refresh import MANIFEST, IndexRefreshStream
@@ -210,11 +208,10 @@ def test_pending_text_is_written_once(spark, tmp_path):
     assert {r["stream_id"] for r in stream.cursors().collect()} == {1}
 
 
-@pytest.mark.parametrize("compact_every", [1, 50])
-def test_index_refresh(spark, tmp_path, compact_every):
+def test_index_refresh(spark, tmp_path):
     root = tmp_path / "src"
     root.mkdir()
-    index = IndexRefreshStream(spark, str(tmp_path / "index"), compact_every=compact_every)
+    index = IndexRefreshStream(spark, str(tmp_path / "index"), vacuum_every=2)
 
     def arrive(batch_id, **texts):
         for name, text in texts.items():
@@ -243,7 +240,7 @@ def test_failures_of_a_refresh_are_kept(spark, tmp_path):
     (tmp_path / "a.py").write_text("def f(): pass\n")
     (tmp_path / "b.py").write_text("def g(): \0pass\n")
     rows = [("w", str(tmp_path), str(tmp_path / name)) for name in ("a.py", "b.py", "gone.py")]
-    index = IndexRefreshStream(spark, str(tmp_path / "index"), compact_every=2, model=HashedWords())
+    index = IndexRefreshStream(spark, str(tmp_path / "index"), model=HashedWords())
     index.process(spark.createDataFrame(rows, MANIFEST), 0)
     problems = lambda: {r["path"]: r["error"] for r in index.problems().collect()}
     assert problems().keys() == {"b.py", "gone.py"} and problems()["b.py"] == "not a text file"
@@ -255,57 +252,6 @@ def test_failures_of_a_refresh_are_kept(spark, tmp_path):
     assert len(vectors) == 2 and all(len(r["embedding"]) == 64 for r in vectors)
 
 
-def test_versioned_table(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path), ["k"])
-    assert table.latest() is None
-    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k int, v string")
-    state = lambda **at: {r["k"]: r["v"] for r in table.latest(**at).collect()}
-    table.write(rows((1, "a"), (2, "b")), 0)
-    table.write(rows((1, "c"), (3, None)), 1)
-    assert state() == {1: "c", 2: "b", 3: None}
-    assert state(before=1) == {1: "a", 2: "b"}
-    table.compact(1)
-    table.write(rows((2, None)), 2)
-    assert state() == {1: "c", 2: None, 3: None}
-    table.compact(2)
-    table.write(rows((4, "d")), 3)
-    table.compact(3)
-    assert state() == {1: "c", 2: None, 3: None, 4: "d"}
-    assert table._versions("delta") == [2, 3] and table._versions("base") == [2, 3]
-
-
-def test_a_read_for_one_key_reads_its_bucket_only(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path), ["k"], buckets=16)
-    rows = spark.range(400).selectExpr("cast(id as int) as k", "cast(id * 2 as int) as v")
-    for version in range(3):
-        table.write(rows, version)
-    table.compact(1)
-    one = spark.createDataFrame([(7,)], "k int")
-    buckets = table.buckets_of(one)
-    found = table.latest(buckets=buckets)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    scans = re.findall(r"PartitionFilters: \[([^\]]*)", plan)
-    assert len(buckets) == 1 and scans and all(re.search(rf"table_bucket#\d+ = {buckets[0]}\b", s) for s in scans)
-    assert {r["v"] for r in found.join(one, "k").collect()} == {14}
-    assert table.latest().count() == 400
-
-
-def test_appended_rows_are_merged_once(spark, tmp_path):
-    table = AppendedTable(spark, str(tmp_path), ["k"])
-    write = lambda version: table.write(spark.createDataFrame([(version,)], "k int"), version)
-    for version in range(6):
-        write(version)
-        if version % 2:
-            table.compact(version)
-            # A batch that is run again after the merge adds nothing.
-            write(version)
-            table.compact(version)
-        assert sorted(r["k"] for r in table.rows().collect()) == list(range(version + 1))
-    assert table._versions("merged") == [1, 3, 5] and len(table._versions("delta")) <= 2
-    table.write(spark.createDataFrame([], "k int"), 6)
-    assert table.rows().count() == 6
-
-
 def test_notifications(spark):
     df = spark.createDataFrame([(m,) for m in [*ev.NOTIFICATION_METHODS, "shutdown", "workspace/symbol"]], "method string")
     one_way, two_way = ev.notification_filter(df)
