@@ -116,7 +116,8 @@ class ManifestIndex:
             folder = f"data/{uuid.uuid4().hex}"
             # One range goes to one task, or to some by the salt of its paths, but never to all of them.
             numbered = rows.withColumn(_RANGE, number).where(F.col(_RANGE).isin(ranges))
-            numbered.repartition(_RANGE, F.pmod(F.xxhash64("path"), F.lit(self._salts(len(ranges))))).write.partitionBy(_RANGE).parquet(f"{self.root}/{folder}")
+            salt = F.pmod(F.xxhash64("path"), F.lit(self._salts(len(ranges))))
+            numbered.repartition(_RANGE, salt).write.partitionBy(_RANGE).parquet(f"{self.root}/{folder}")
             place, system = hadoop_path(self.spark, f"{self.root}/{folder}")
             made = {s.getPath().getName() for s in system.listStatus(place)}
             written[name] = {r: f"{folder}/{_RANGE}={r}" if f"{_RANGE}={r}" in made else None for r in ranges}
@@ -132,12 +133,16 @@ class ManifestIndex:
     ) -> int:
         """Commit the changes of some tables as one version; gives its number.
 
-        ``keys`` holds all files of the changes, where a frame tells them cheaper than the changes do. ``batch`` is the name of a stream and the number of its batch: a batch that was committed before is not committed again.
+        ``keys`` holds all files of the changes, where a frame tells them cheaper than the changes do. ``batch`` is the name of a
+        stream and the number of its batch: a batch that was committed before is not committed again.
         Give stored or checkpointed frames: a retry reads them again. The driver sees range numbers and folder names.
         """
         base = self.manifest() if base is None else base
         named = [rows for c in changes.values() for rows in (c.add, c.drop) if rows is not None] if keys is None else [keys]
-        touched = sorted({r for rows in named for r in self.ranges_of(rows, base)})
+        if base["version"] == 0:
+            touched = list(range(base["ranges"]))
+        else:
+            touched = sorted({r for rows in named for r in self.ranges_of(rows, base)})
         pending = touched
         written: dict[str, dict[int, str | None]] = {name: {} for name in changes}
         while True:
