@@ -21,6 +21,7 @@ def build_session(
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if shared:
