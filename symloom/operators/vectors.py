@@ -19,6 +19,18 @@ MOST_CELLS, SAMPLE_PER_CELL, FIT_ROUNDS = 1024, 32, 5
 SLACK = 1e-9
 
 
+BLOCKS = "workspace string, symbol_keys array<string>, symbol_values array<double>, cell int"
+
+
+def _matrix(rows: list) -> np.ndarray:
+    return np.array(rows, np.float64) if len(rows) else np.zeros((0, 1))
+
+
+def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, len(flat) // max(1, batch.num_rows))
+
+
 def _distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     square = (vectors * vectors).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1)[None] - 2 * vectors @ centroids.T
     return np.sqrt(np.maximum(square, 0))
@@ -53,13 +65,14 @@ class VectorIndex:
         )
         cells = int(min(MOST_CELLS, max(1, np.ceil(np.sqrt(rows.count())))))
         drawn = rows.orderBy(F.xxhash64("symbol_id"), "symbol_id").limit(cells * SAMPLE_PER_CELL).select("v").collect()
-        sample = np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), -1)
+        sample = _matrix([r["v"] for r in drawn])
         centroids = fit_centroids(sample, cells) if len(drawn) else sample
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                apart = _distances(v, centroids)
+                if not batch.num_rows:
+                    continue
+                apart = _distances(_vectors(batch, "v"), centroids)
                 own = apart.argmin(axis=1)
                 near = apart[np.arange(len(own)), own]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(near)], [*batch.schema.names, "cell", "away"])
@@ -93,12 +106,12 @@ class VectorIndex:
         """``(workspace, query_id, embedding, cell, rows, least)``: no vector of the cell is nearer than ``least``. A row per query and
         cell of its workspace, at most ``MOST_CELLS`` for each."""
         centroids = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()
-        points = np.array([r["centroid"] for r in centroids], np.float64).reshape(len(centroids), -1)
+        points = _matrix([r["centroid"] for r in centroids])
         query_type = queries.schema["query_id"].dataType.simpleString()
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                v = _vectors(batch, "embedding")
                 apart = _distances(v, points) if len(points) else np.zeros((len(v), 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * apart.shape[1], pa.int32()), pa.array(apart.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "apart"])
@@ -123,7 +136,7 @@ class VectorIndex:
             "workspace", "cell", F.transform("_rows", lambda r: r["query_id"]).alias("query_keys"),
             F.flatten(F.transform("_rows", lambda r: r["embedding"])).alias("query_values"),
         )
-        blocks = self.spark.read.parquet(f"{self.path}/blocks").where(F.col("cell").isin(numbers))
+        blocks = self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks").where(F.col("cell").isin(numbers))
         return compared_blocks(blocks.join(asked, ["workspace", "cell"]), k, query_type)
 
     def visits(self, queries: DataFrame, k: int = NEAREST) -> tuple[DataFrame, DataFrame]:
