@@ -291,7 +291,7 @@ def test_network_learns_from_the_patterns(spark):
     docs = spark.createDataFrame(secret_documents(random.Random(1)), "doc_id long, text string")
     scans = stored(secrets.scanned(docs), "scan-test")
     network = secrets.learn(scans)
-    assert network is not None and 0.5 <= network.threshold <= 1
+    assert 0.5 <= network.threshold <= 1
     found = {r["id"]: [s["kind"] for s in r["spans"]] for r in secrets.findings(scans, network).collect()}
     assert all(found[k].count("assign") == 1 for k in range(400))
     assert found[5000] == ["learned"]
@@ -299,6 +299,28 @@ def test_network_learns_from_the_patterns(spark):
     assert clean <= 8
 
 
+def test_key_words_are_hidden_from_the_network():
+    text = 'a river Token = "QWERTZ23456789ABCDEFGHJK" stone password=QWERTZ23456789ABCDEFGHJK house'
+    hidden = [around for *_, around in secrets.candidates(text, secrets.base_findings(text))]
+    assert len(hidden) == 2 and not any(secrets.KEY_WORD.search(around) for around in hidden)
+    assert all(around[secrets.LEFT :].startswith("QWERTZ23456789ABCDEFGHJK") for around in hidden)
+
+
+@pytest.mark.parametrize("n_found, n_other", [(0, 0), (0, 5), (1, 1), (3, 40)])
+def test_any_number_of_findings_gives_a_network(n_found, n_other):
+    rng = random.Random(n_other)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    window = lambda value: secrets.window_at(secrets.framed("the light of the ", value, " house in winter"), 0)
+    found = [(window(key()), k % 5 == 0) for k in range(n_found)]
+    other = [(window(f"river-stone-garden-{k}"), k % 5 == 0) for k in range(n_other)]
+    # Two keys that the patterns miss stand among the unlabelled ones.
+    network = secrets.fitted(found, other + [(window(key()), False) for _ in range(2)])
+    sought = [secrets.framed("the light of the ", key(), " house") for _ in range(50)]
+    assert sum(network.picks(sought)) >= 45
+    runs = [secrets.framed("the light of the ", value, " house") for value in secrets.made_values(np.random.default_rng(5), 200)[1]]
+    assert sum(network.picks(runs)) <= 10
+
+
 def test_windows_see_the_whole_of_a_run():
     key = "QWERTZ23456789ABCDEFGHJK"
     run = "services/" * 9 + key + "/services" * 9

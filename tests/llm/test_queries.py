@@ -1,16 +1,20 @@
 """The registered queries against brute force on small tables, and on empty ones."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from compare import connect, difference
 
+from symloom.llm import secrets
 from symloom.llm.licenses import NOTICES, PHRASES, block_step, template_words
 from symloom.llm.queries import CAPACITY, URL_RULES, registered
 from symloom.llm.sql import ORACLES
@@ -222,18 +226,75 @@ def literal_findings(text):
     return sorted(found)
 
 
-def test_patterns_find_secrets(spark, small, documents):
+def plain_probability(network, window):
+    """The network's answer for one window, place by place."""
+    codes = [0 if c == "\0" else secrets.SYMBOLS.get(c, 1) for c in window]
+    w, span = network.weights, network.span
+    total, count = 0, 0
+    best = {True: np.full(w["shift"].size, -1.0), False: np.full(w["shift"].size, -1.0)}
+    for at in range(len(codes) - span + 1):
+        response = np.maximum(np.concatenate([w["embed"][c] for c in codes[at : at + span]]) @ w["conv"] + w["shift"], 0)
+        within = secrets.LEFT <= at and at + span <= secrets.LEFT + secrets.HEAD + secrets.TAIL
+        best[within] = np.maximum(best[within], response)
+        if within:
+            total, count = total + response, count + 1
+    logit = np.concatenate([best[True], best[False], total / count]) @ w["out"] + w["bias"][0]
+    return 1 / (1 + np.exp(-(network.slope * logit + network.offset)))
+
+
+def planted_documents():
+    """Keys that no pattern matches, half of them after a name that is no key word, and as many ordinary runs."""
+    rng = random.Random(3)
+    alphabets = ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits]
+    rows = []
+    for k in range(60):
+        key = "".join(rng.choice(alphabets[k % 3]) for _ in range(32))
+        word = "-".join(rng.choice(["river", "stone", "garden", "window", "morning"]) for _ in range(4))
+        named = "credential = " if k % 2 else ""
+        rows += [(k, f"the light of the {named}{key} house in winter"), (100 + k, f"the light of the {named}{word} house in winter")]
+    return rows
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_secrets_equal_brute_force(spark, small, documents, planted, tmp_path):
+    rows = [(i, text or "") for i, text, _ in documents]
+    folder = small
+    if planted:
+        rows += planted_documents()
+        folder = str(tmp_path)
+        pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), f"{folder}/documents.parquet")
+    cands = {text: secrets.candidates(text, secrets.base_findings(text)) for _, text in rows}
+    labels = {}
+    for found in cands.values():
+        for *_, label, around in found:
+            window = secrets.drawn_window(around)
+            labels[window] = max(label, labels.get(window, 0))
+    hashes = {w: np.uint64(xxhash.xxh64(w.encode(), seed=42).intdigest()).astype(np.int64).item() for w in labels}
+    taken = [[(w, hashes[w] % 5 == 0) for w in sorted(labels, key=lambda w: (hashes[w], w)) if labels[w] == n] for n in (1, 0)]
+    network = secrets.fitted(*taken)
     wanted = Counter()
-    for i, text, _ in documents:
-        found = literal_findings(text or "")
-        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
-        kinds = Counter(f[3] for f in found)
+    learned = Counter()
+    for i, text in rows:
+        base = literal_findings(text)
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base)
+        more = []
+        for a, b, label, around in cands[text]:
+            windows = [secrets.window_at(around, at) for at in secrets.window_starts(around)]
+            if not label and max(plain_probability(network, w) for w in windows) >= network.threshold:
+                more.append((a, 3, b, "learned"))
+        learned[i] += len(more)
+        spans = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))
+        kinds = Counter(f[3] for f in base)
         digest = hashlib.sha256(joined.encode()).hexdigest()
-        wanted[(i, kinds["assign"], kinds["access"], kinds["hex"], digest, joined)] += 1
+        wanted[(i, kinds["assign"], kinds["access"], kinds["hex"], digest, spans)] += 1
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    rows = rows_of(spark, "op9_secret_scan", small)
-    assert Counter(tuple(r[c] for c in names) for r in rows) == wanted
-    assert sum(r["n_assign"] for r in rows) >= 3 and sum(r["n_hex"] for r in rows) >= 1
+    answer = rows_of(spark, "op9_secret_scan", folder)
+    assert Counter(tuple(r[c] for c in names) for r in answer) == wanted
+    assert sum(r["n_assign"] for r in answer) >= 3 and sum(r["n_hex"] for r in answer) >= 1
+    if planted:
+        shared = {i for i, _, _ in documents}
+        assert sum(learned[k] for k in range(60) if k not in shared) >= 0.9 * len([k for k in range(60) if k not in shared])
+        assert sum(learned[100 + k] for k in range(60)) <= 1
 
 
 def test_exact_top_k(spark, small):
