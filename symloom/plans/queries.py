@@ -20,6 +20,7 @@ from symloom.operators import index as ix
 from symloom.operators import search as se
 from symloom.operators import stats as st
 from symloom.operators import symbols as sy
+from symloom.operators.name_index import NameIndex
 from symloom.operators.vectors import VectorIndex
 from symloom.plans import inputs as inp
 from symloom.session import checkpointed, scratch_dir
@@ -282,6 +283,17 @@ def symbol_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@query
+def name_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark and their first two letters, looked up in a stored name index of 16 parts."""
+    index = NameIndex(spark, scratch_dir(spark, "name-index"))
+    index.write(_stored_symbols(spark, sf_dir), parts=16)
+    words = _search_queries(spark, sf_dir)
+    heads = words.select("workspace", F.concat(F.lit("head "), "query_id").alias("query_id"), F.substring("query", 1, 2).alias("query"))
+    found = index.search(words.unionByName(heads), corrected=True)
+    return found.select("workspace", "query_id", "rank", "symbol_id", "name")
+
+
 @query
 def symbol_location_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = sy.symbol_location_struct(inp.symbols(spark, sf_dir), "/my repo")

@@ -398,6 +398,17 @@ ORACLES: dict[str, str] = {
         SELECT word, CASE word WHEN 'class' THEN 5 WHEN 'function' THEN 12 WHEN 'method' THEN 6 WHEN 'module' THEN 2
           WHEN 'interface' THEN 11 WHEN 'enum' THEN 10 ELSE 13 END AS kind, count(*) AS n FROM words GROUP BY word""",
     "symbol_prefix_search": f"WITH {SYMBOLS} {_PREFIX_SEARCH}",
+    "name_index_search": f"""WITH {SYMBOLS},
+        word AS (
+          SELECT 'text ' || item_id AS query_id, text AS query FROM benchmark
+          UNION ALL SELECT 'word ' || item_id, string_split(text, ' ')[1] FROM benchmark),
+        asked AS (FROM word UNION ALL SELECT 'head ' || query_id, left(query, 2) FROM word),
+        query AS (SELECT *, unnest(['de', 'en', 'es', 'fr']) AS workspace FROM asked),
+        hit AS (
+          SELECT q.workspace, query_id, symbol_id, name, row_number() OVER (
+            PARTITION BY q.workspace, query_id ORDER BY path, start_line)::INT AS rank
+          FROM query q JOIN symbol s ON s.workspace = q.workspace AND starts_with(name_fold, {_FOLD.format("query")}))
+        SELECT workspace, query_id, rank, symbol_id, name FROM hit WHERE rank <= 100""",
     "symbol_location_struct": f"""WITH {SYMBOLS}
         SELECT name, kind, 'file:///my%20repo/' || path AS uri, start_line, start_col AS start_character, end_line,
           end_col AS end_character FROM symbol""",

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -5,9 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from symloom.functions import names
 from symloom.operators import graph as gr
 from symloom.operators import search as se
 from symloom.operators import symbols as sy
+from symloom.operators.name_index import NameIndex
 
 
 @pytest.mark.parametrize("block", [4096, 7])
@@ -116,6 +119,59 @@ def test_prefix_search_of_many_equals_one_by_one(spark):
         assert one == [r["name"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == query]
 
 
+def named_symbols(spark, rows):
+    symbols = spark.createDataFrame(rows, "workspace string, path string, name string")
+    return symbols.withColumn("name_fold", names.fold_name(F.col("name"))).withColumn("start_line", F.lit(1)).withColumn("start_col", F.lit(0))
+
+
+def test_name_index_equals_a_scan(spark, tmp_path):
+    letters = ["a", "B", "_", "%", "é", "日", "\U0010ffff", "z"]
+    rng = random.Random(4)
+    rows = [("w" if k % 3 else "w2", f"f{k:05d}", "".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))) for k in range(3000)]
+    rows += [("w", f"hot{k:05d}", "main") for k in range(1500)] + [("w", "n", None), (None, "n", "ab"), ("", "e", "ab")]
+    symbols = named_symbols(spark, rows)
+    asked = ["a", "AB", "b_", "%", "_", "", "é", "日z", "\U0010ffff", "z%a", "main", "mainly", "m", "q", None]
+    queries = spark.createDataFrame(
+        [(w, f"q{k}", q) for w in ("w", "w2", "", "x", None) for k, q in enumerate(asked)], "workspace string, query_id string, query string"
+    )
+    index = NameIndex(spark, f"{tmp_path}/names")
+    index.write(symbols, parts=12, rows_per_page=64)
+    stored = spark.read.parquet(f"{tmp_path}/names/parts").collect()
+    assert len(stored) > 8 and max(r["n_rows"] for r in stored) < 1500
+    columns = ["workspace", "query_id", "rank", "path", "name"]
+    for corrected in (False, True):
+        scanned = se.prefix_search_many(symbols, queries, limit=50, corrected=corrected).select(columns)
+        found = index.search(queries, limit=50, corrected=corrected).select(columns)
+        assert sorted(found.collect()) == sorted(scanned.collect())
+        assert index.matches(queries, corrected).count() == se.prefix_matches(symbols, queries, corrected).count()
+
+
+def test_name_index_opens_the_interval_only(spark, tmp_path):
+    symbols = named_symbols(spark, [("w", f"f{k}", f"name{k:05d}") for k in range(4000)])
+    index = NameIndex(spark, f"{tmp_path}/names")
+    index.write(symbols, parts=16, rows_per_page=32)
+    queries = spark.createDataFrame(
+        [("w", "ten", "name0123"), ("w", "one", "name03999"), ("w", "all", "n"), ("w", "none", "zebra"), ("v", "other", "n")],
+        "workspace string, query_id string, query string",
+    )
+    reads = {r["query_id"]: r for r in index.reads(queries, corrected=True).collect()}
+    assert reads["ten"]["n_parts"] <= 2 and reads["ten"]["n_pages"] <= 2 and reads["ten"]["n_rows"] <= 64
+    assert reads["one"]["n_parts"] == reads["one"]["n_pages"] == 1 and reads["all"]["n_rows"] == 4000
+    assert 0 < reads["one"]["n_bytes"] * 4 < reads["all"]["n_bytes"]
+    assert all(reads[q]["n_parts"] == reads[q]["n_bytes"] == 0 for q in ("none", "other"))
+    plan = index.matches(queries.where("query_id = 'one'"), True)._jdf.queryExecution().toString()
+    assert "Generate explode(filter" not in plan and "PartitionFilters" in plan
+
+
+def test_empty_name_index(spark, tmp_path):
+    symbols = named_symbols(spark, []).withColumn("extra", F.lit("x"))
+    index = NameIndex(spark, f"{tmp_path}/names")
+    index.write(symbols)
+    queries = spark.createDataFrame([("w", "q", "a")], "workspace string, query_id string, query string")
+    assert index.search(queries).collect() == [] and "extra" in index.search(queries).columns
+    assert [r["n_parts"] for r in index.reads(queries).collect()] == [0]
+
+
 def test_extraction_rules(spark):
     files = spark.createDataFrame(
         [
