@@ -438,6 +438,35 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("workspace", "path", "line", "start_col", "content", "def_path", "uid")
 
 
+def _name_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return gr.name_classes(checkpointed(inp.references(spark, sf_dir)), _stored_symbols(spark, sf_dir))
+
+
+@query
+def reference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with all their definitions: how many, the first and the last, and how many nodes refer to them."""
+    classes, definitions, _ = _name_classes(spark, sf_dir)
+    ends = definitions.groupBy("class_id").agg(F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid"))
+    return classes.join(ends, "class_id").drop("class_id")
+
+
+@query
+def reference_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node that has a definition, with the number of its definitions."""
+    classes, _, members = _name_classes(spark, sf_dir)
+    counted = members.join(classes.select("class_id", "n_definitions"), "class_id")
+    return counted.select("workspace", "path", "line", "start_col", "content", "n_definitions")
+
+
+@query
+def linked_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All definitions of the nodes in toxic documents."""
+    _, definitions, members = _name_classes(spark, sf_dir)
+    chosen = inp.labelled(spark, sf_dir).where("toxic = 1").select("workspace", "path")
+    links = gr.linked_definitions(members.join(chosen, ["workspace", "path"], "left_semi"), definitions)
+    return links.select("workspace", "path", "line", "start_col", "uid", "in_file")
+
+
 @query
 def enclosing_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The definition around every capitalised word, with its text."""

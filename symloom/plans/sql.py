@@ -473,6 +473,20 @@ ORACLES: dict[str, str] = {
           WHEN content IS NULL THEN 'range outside the file' END AS error FROM looked_up""",
     "resolve_references": f"""WITH {SYMBOLS}{REFERENCES}{RESOLVED}
         SELECT workspace, path, line, start_col, content, def_path, uid FROM resolved""",
+    "reference_classes": f"""WITH {SYMBOLS}{REFERENCES},
+        definition_count AS (
+          SELECT workspace, name AS content, count(*) AS n_definitions, min(uid) AS first_uid, max(uid) AS last_uid
+          FROM symbol GROUP BY ALL),
+        node_count AS (SELECT workspace, content, count(*) AS n_members FROM reference GROUP BY ALL)
+        SELECT *, n_definitions * n_members AS n_links FROM definition_count JOIN node_count USING (workspace, content)""",
+    "reference_members": f"""WITH {SYMBOLS}{REFERENCES},
+        definition_count AS (SELECT workspace, name AS content, count(*) AS n_definitions FROM symbol GROUP BY ALL)
+        SELECT workspace, path, line, start_col, content, n_definitions
+        FROM reference JOIN definition_count USING (workspace, content)""",
+    "linked_definitions": f"""WITH {SYMBOLS}{REFERENCES}{LABELLED}
+        SELECT r.workspace, r.path, r.line, r.start_col, s.uid, s.path = r.path AS in_file
+        FROM reference r JOIN symbol s ON s.workspace = r.workspace AND s.name = r.content
+        WHERE r.path IN (SELECT path FROM labelled WHERE toxic = 1)""",
     "enclosing_definition": f"""WITH {SYMBOLS}{REFERENCES}
         SELECT r.workspace, r.path, r.line || ':' || r.start_col AS place, s.uid, md5(s.body) AS definition_md5
         FROM reference r JOIN symbol s ON s.workspace = r.workspace AND s.path = r.path

@@ -79,6 +79,31 @@ def test_context_json(spark):
     }
 
 
+def test_classes_hold_all_links_without_pairs(spark):
+    nodes = [("w", f"n{k:04d}", 1, k, "hot" if k % 3 else f"name{k % 5}") for k in range(600)]
+    nodes += [("v", "n", 1, 0, "hot"), ("w", "n", 1, 0, "lost"), ("w", "n", 2, 0, None), (None, "n", 3, 0, "hot"), ("w", "n", 4, 0, "name0")]
+    nodes += [nodes[0]]
+    references = spark.createDataFrame(nodes, "workspace string, path string, line int, start_col int, content string")
+    places = [("w", f"n{k:04d}", "hot", k) for k in range(0, 300)] + [("w", f"d{k}", f"name{k % 4}", k) for k in range(9)]
+    places += [("u", "d", "hot", 0), ("w", "d", "unused", 0), ("w", "d", None, 1), (None, "d", "hot", 2)]
+    symbols = spark.createDataFrame(places, "workspace string, path string, name string, start_line int").selectExpr(
+        "*", "0 AS start_col", "start_line AS end_line", "3 AS end_col"
+    )
+    classes, definitions, members = gr.name_classes(references, symbols)
+    wanted = sorted(
+        (w, p, line, col, f"{d} {at}:0-{at}:3", d == p)
+        for w, p, line, col, name in nodes for v, d, other, at in places
+        if w is not None and name is not None and (w, name) == (v, other)
+    )
+    links = gr.linked_definitions(members, definitions)
+    assert rows(links, "workspace", "path", "line", "start_col", "uid", "in_file") == wanted
+    assert sum(r["n_links"] for r in classes.collect()) == len(wanted)
+    assert {(r["workspace"], r["content"]) for r in classes.collect()} == {("w", "hot"), *(("w", f"name{k}") for k in range(4))}
+    assert members.count() + definitions.count() < len(wanted) / 50
+    none = gr.name_classes(references.limit(0), symbols)
+    assert [frame.count() for frame in none] == [0, 0, 0]
+
+
 def test_config_by_path_beats_name(spark):
     config = spark.createDataFrame(
         [("z", "/x/app", ["i1"], ["e1"]), ("y", "/x/app", ["i2"], None), ("app", None, ["i3"], ["e3"]), ("lib", "/q/lib", None, None)],
