@@ -30,6 +30,9 @@ def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     A word's start and end count as a blank. A gram is coded by its characters, 21 bits each.
     """
     words = WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):
+        # Fractions, raised digits and number letters are no letters.
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = f" {' '.join(words)} "

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from compare import connect, difference
 
-from symloom.llm import secrets
+from symloom.llm import langid, secrets
 from symloom.llm.licenses import NOTICES, PHRASES, block_step, template_words
 from symloom.llm.queries import CAPACITY, URL_RULES, registered
 from symloom.llm.sql import ORACLES
@@ -97,6 +97,46 @@ def test_language_of_every_text(spark, small, documents):
         assert 0 <= r["score"] <= 1
 
 
+def plain_grams(text):
+    """The counts of the 1- to 3-grams of a text's words, the most frequent first, shorter ones and lower characters before others."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    line = f" {' '.join(words)} " if words else ""
+    counts = Counter(c for c in line if c != " ")
+    counts.update(line[k : k + 2] for k in range(len(line) - 1))
+    counts.update(line[k : k + 3] for k in range(len(line) - 2) if line[k + 1] != " ")
+    return counts
+
+
+def in_order(counts):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:400]
+
+
+def test_languages_equal_brute_force(spark, small, documents):
+    totals = {}
+    for i, text, lang in documents:
+        if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            totals.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {lang: {g: rank for rank, g in enumerate(in_order(c))} for lang, c in sorted(totals.items()) if c}
+    assert len(profiles) > 2
+    wanted = Counter()
+    for i, text, _ in documents:
+        own = in_order(plain_grams(text))
+        apart = {
+            lang: sum(abs(ranks[g] - k) if g in ranks else 400 for k, g in enumerate(own)) for lang, ranks in profiles.items()
+        }
+        lang = min(apart, key=apart.get) if own else "und"
+        wanted[(i, lang, round(1 - apart[lang] / (400 * len(own)), 9) if own else 0.0)] += 1
+    rows = rows_of(spark, "op3_rank_order_profiles", small)
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in rows) == wanted
+
+
+@pytest.mark.parametrize("text, letters", [("½ ² Ⅷ ٣", ""), ("x² a½b", "xab"), ("é_日9", "é日")])
+def test_only_letters_make_grams(text, letters):
+    grams, counts = langid.grams_of(text)
+    assert {chr(g) for g in grams if g < 1 << 21} == set(letters)
+    assert sum(counts) == sum(plain_grams(text).values())
+
+
 def test_held_out_languages_are_told(spark):
     rows = QUERIES["op3_rank_order_profiles"](spark, GIVEN).where("held_out").collect()
     languages = dict(connect(GIVEN).sql("SELECT doc_id, lang FROM documents").fetchall())
