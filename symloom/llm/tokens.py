@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
 from symloom.llm.shared import worker_state
 
-CACHED_WORDS = 300_000
+#: About 200 bytes each; a worker holds at most twice as many.
+CACHED_WORDS = 600_000
+CACHED_STARTS = 100_000
 TEXTS_AT_ONCE = 64
 LONGEST_CACHED = 48
 PIECES_AT_ONCE = 400
 
 # A space after a character that is no white space always begins a new pre-token of a byte-level vocabulary.
 BEFORE_WORD = re.compile(r"(?<=\S) ")
-ODD_SPACE = re.compile(r"\s ")
+# A space as byte-level vocabularies write it.
+SPACE_BYTE = "Ġ"
+ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def read_tokenizer(path: str) -> str:
@@ -48,11 +53,14 @@ class WordEncoder:
         for token, number in vocabulary.items():
             # Byte-level vocabularies write each byte as one character.
             self.id_bytes[number] = len(token)
-        self.marks = {mark: self._encode_whole(mark).tobytes() for mark in ",."}
+        # Runs that follow no space: marks after a letter, words after a line's end.
+        self.starts: dict[str, bytes] = {}
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_whole(self, text: str) -> np.ndarray:
-        encoding = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(encoding.ids, dtype="<u4")
+        return self._encode_all([text])[0]
 
     def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
         """The ids of pieces that follow a space and hold none: one encoded text, cut by bytes."""
@@ -70,51 +78,80 @@ class WordEncoder:
                 yield data[start:end]
                 start = end
 
+    def _encode_letters(self, word: str) -> bytes:
+        """The ids of ASCII letters that follow a space: one pre-token, so the model alone decides."""
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(SPACE_BYTE + word)]).tobytes()
+
+    def _encode_start(self, run: str) -> bytes:
+        """The ids of a run that follows no space."""
+        if run not in self.starts:
+            if len(self.starts) >= CACHED_STARTS:
+                self.starts = {}
+            self.starts[run] = self._encode_whole(run).tobytes()
+        return self.starts[run]
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Cache what may be cached; the ids of the others are returned."""
-        words, older, own, whole, marked = self.words, self.older, {}, {}, []
-        for piece in missing:
+        words, older, own, whole, joined = self.words, self.older, {}, {}, []
+
+        def want(piece: str) -> None:
             if piece in older:
                 words[piece] = older[piece]
-            elif len(piece) > LONGEST_CACHED or not piece or piece[0].isspace() or piece[-1].isspace():
-                own[piece] = self._encode_whole(" " + piece).tobytes()
-            elif piece[-1] in ",." and piece[-2:-1].isalpha():
-                # A letter and a mark never share a pre-token.
-                marked.append(piece)
-                bare = piece[:-1]
-                if bare not in words:
-                    if bare in older:
-                        words[bare] = older[bare]
-                    else:
-                        whole[bare] = None
+            elif piece.isascii() and piece.isalpha():
+                words[piece] = self._encode_letters(piece)
             else:
                 whole[piece] = None
+
+        for piece in missing:
+            if piece in older:
+                words[piece] = older[piece]
+                continue
+            if len(piece) > LONGEST_CACHED or not piece or piece[0].isspace() or piece[-1].isspace():
+                own[piece] = self._encode_whole(" " + piece).tobytes()
+                continue
+            line, end, start = piece.partition("\n")
+            if not (end and line[-1] > " " and line.isascii() and start.isascii() and start.isalpha()):
+                # Only a single line's end between a character that is no white space and letters is a pre-token of its own.
+                line, end, start = piece, "", ""
+            bare = line.rstrip(ASCII_MARKS)
+            if not bare[-1:].isalpha():
+                bare = line
+            # A letter and a mark that follows it never share a pre-token.
+            if len(bare) < len(piece):
+                joined.append((piece, bare, line[len(bare) :], end, start))
+            if bare not in words:
+                want(bare)
         words.update(zip(whole, self._encode_pieces(list(whole)), strict=True))
-        for piece in marked:
-            words[piece] = words[piece[:-1]] + self.marks[piece[-1]]
+        for piece, bare, *rest in joined:
+            words[piece] = b"".join([words[bare], *[self._encode_start(run) for run in rest if run]])
         return own
 
+    def _cut(self, text: str) -> tuple[list[str], list[bytes | None], list[int]]:
+        """A text's pieces, their ids as far as they are cached, and the places of the others; the first piece follows no space."""
+        pieces = text.split(" ")
+        for cut_again in (True, False):
+            ids = list(map(self.words.get, pieces))
+            ids[0] = b""
+            where = _places_of_none(ids)
+            # No cached piece is empty or ends with white space, so spaces after white space show among the others.
+            if not cut_again or not any(not pieces[k] or pieces[k][-1].isspace() for k in where) and not pieces[0][-1:].isspace():
+                break
+            pieces = BEFORE_WORD.split(text)
+        return pieces, ids, where
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
-        cut = [BEFORE_WORD.split(t) if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        found, gaps = [], []
-        missing: set[str] = set()
-        for pieces in cut:
-            ids = list(map(self.words.get, pieces))
-            # The first piece follows no space.
-            ids[0] = self._encode_whole(pieces[0]).tobytes() if pieces[0] else b""
-            where = _places_of_none(ids)
-            missing.update([pieces[k] for k in where])
-            found.append(ids)
-            gaps.append(where)
+        cut = [self._cut(text) for text in texts]
+        missing = {pieces[k] for pieces, _, where in cut for k in where}
         own = self._learn(missing) if missing else {}
-        for pieces, ids, where in zip(cut, found, gaps, strict=True):
+        for (pieces, ids, where), first in zip(cut, self._encode_all([pieces[0] for pieces, _, _ in cut]), strict=True):
+            ids[0] = first.tobytes()
             for k in where:
                 piece = pieces[k]
                 ids[k] = own[piece] if piece in own else self.words[piece]
-        return [b"".join(ids) for ids in found]
+        return [b"".join(ids) for _, ids, _ in cut]
 
 
 def _places_of_none(values: list) -> list[int]:

@@ -43,6 +43,7 @@ def test_word_encoder_equals_the_tokenizer(monkeypatch):
     encoder = tokens.WordEncoder(tokenizer_json())
     rng = random.Random(1)
     texts = ["", " ", "a  b", "a \n b", "it's 's x,", "x\x1c y", "<|endoftext|> a", "w." * 80, "é, ñ. 語 a"]
+    texts += ["x.\nFoo a b!!.\nBar c\x1c\nZed d\n\nQu e\n.f hé\né no .\nab", "q don't\nIt's ,\nx a'll. b'll'll a\r\nb 's.\nA's"] * 2
     texts += ["".join(rng.choice(" \n\tab1.,'s é\x1c\x85 ") for _ in range(rng.randint(0, 16))) for _ in range(1500)]
     wanted = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [x for at in range(0, len(texts), 50) for x in encoder.encode(texts[at : at + 50])] == wanted
