@@ -15,6 +15,7 @@ from symloom.operators import chunks as ch
 from symloom.operators import config as cf
 from symloom.operators import context as cx
 from symloom.operators import events as ev
+from symloom.operators import folders as fo
 from symloom.operators import graph as gr
 from symloom.operators import index as ix
 from symloom.operators import search as se
@@ -331,6 +332,23 @@ def skip_unchanged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.select("workspace", "path", "md5")
 
 
+@query
+def folder_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in folders of a hundred documents, against the prior index, whose German folders went by other names."""
+
+    def in_folders(before: str):
+        folder = F.concat(F.lit(before), (F.floor(F.col("doc_id") / 100)).cast("string"))
+        return F.concat_ws("/", F.substring_index("path", "/", 1), folder, F.substring_index("path", "/", -1))
+
+    new = inp.files(spark, sf_dir).select("workspace", in_folders("").alias("path"), "md5")
+    stale = F.md5(F.concat(F.col("text"), F.lit("x")))
+    renamed = F.when(F.col("workspace") == "de", in_folders("was-")).otherwise(in_folders(""))
+    old = inp.labelled(spark, sf_dir).select(
+        "workspace", renamed.alias("path"), F.when(F.col("quality") == 0, stale).otherwise(F.col("md5")).alias("md5")
+    )
+    return fo.compare_trees(fo.folder_tree(new), fo.folder_tree(old))
+
+
 def _rows_of_index(files: DataFrame, symbols: DataFrame) -> DataFrame:
     file_rows = files.select(
         F.lit("file").alias("row"), "workspace", "path", F.lit(None).cast("int").alias("symbol_no"),

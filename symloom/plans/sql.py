@@ -419,6 +419,52 @@ ORACLES: dict[str, str] = {
         SELECT workspace, path, md5 FROM files EXCEPT SELECT workspace, path, md5 FROM prior""",
     "skip_unchanged_files": f"""WITH {FILES}{LABELLED}
         SELECT workspace, path, md5 FROM files INTERSECT SELECT workspace, path, md5 FROM prior""",
+    # A node's content is the list of all files below it, by relative path.
+    "folder_changes": f"""WITH {FILES}{LABELLED},
+        side AS (
+          SELECT 'n' AS side, workspace AS ws, md5,
+            split_part(path, '/', 1) || '/' || (doc_id // 100) || '/' || split_part(path, '/', 2) AS path FROM files
+          UNION ALL
+          SELECT 'o', workspace, CASE WHEN quality = 0 THEN md5(text || 'x') ELSE md5 END,
+            split_part(path, '/', 1) || CASE WHEN workspace = 'de' THEN '/was-' ELSE '/' END || (doc_id // 100) || '/'
+              || split_part(path, '/', 2) FROM labelled),
+        file AS (
+          SELECT DISTINCT side, ws, coalesce(md5, '') AS md5, path, string_split(path, '/') AS names FROM side
+          WHERE ws IS NOT NULL AND path IS NOT NULL),
+        node AS (
+          SELECT side, ws, depth, array_to_string(names[1:depth], '/') AS path, depth < 3 AS is_dir,
+            CASE WHEN depth > 0 THEN array_to_string(names[1:depth - 1], '/') END AS parent, count(*) AS n,
+            string_agg(array_to_string(names[depth + 1:], '/') || ' ' || md5, ',' ORDER BY file.path, md5) AS content
+          FROM file, range(4) AS depths(depth) GROUP BY 1, 2, 3, 4, 5, 6),
+        lone AS (
+          SELECT * FROM node x WHERE NOT EXISTS (
+            FROM node y WHERE y.side <> x.side AND y.ws = x.ws AND y.depth = x.depth AND y.path = x.path)),
+        top AS (
+          SELECT * FROM lone a WHERE depth = 0 OR NOT EXISTS (
+            FROM lone b WHERE b.side = a.side AND b.ws = a.ws AND b.depth = a.depth - 1 AND b.path = a.parent)),
+        met AS (
+          SELECT t.*, o.path AS old_path FROM top t LEFT JOIN (
+            SELECT ws, is_dir, content, min(path) AS path FROM top WHERE side = 'o' GROUP BY ALL) o USING (ws, is_dir, content)
+          WHERE side = 'n'),
+        rest AS (
+          SELECT side, ws, depth, path FROM met WHERE old_path IS NULL
+          UNION ALL
+          SELECT side, ws, depth, path FROM top t WHERE side = 'o' AND NOT EXISTS (
+            FROM met m WHERE m.ws = t.ws AND m.is_dir = t.is_dir AND m.old_path = t.path)),
+        loose AS (
+          SELECT f.side, f.ws, f.path, f.md5 FROM file f, range(4) AS depths(depth)
+          JOIN rest r ON r.depth = depths.depth AND r.side = f.side AND r.ws = f.ws
+            AND r.path = array_to_string(f.names[1:depths.depth], '/')),
+        met_file AS (
+          SELECT l.*, o.path AS old_path FROM loose l LEFT JOIN (
+            SELECT ws, md5, min(path) AS path FROM loose WHERE side = 'o' GROUP BY ALL) o USING (ws, md5)
+          WHERE side = 'n')
+        SELECT x.ws AS workspace, x.path, x.is_dir, 'changed' AS change, NULL::VARCHAR AS old_path, x.n AS n_files
+        FROM node x JOIN node y USING (ws, depth, path) WHERE x.side = 'n' AND y.side = 'o' AND x.content <> y.content
+        UNION ALL SELECT ws, path, is_dir, 'moved', old_path, n FROM met WHERE old_path IS NOT NULL
+        UNION ALL SELECT ws, path, false, if(old_path IS NULL, 'added', 'moved'), old_path, 1 FROM met_file
+        UNION ALL SELECT ws, path, false, 'removed', NULL, 1 FROM loose l WHERE side = 'o' AND NOT EXISTS (
+          FROM met_file m WHERE m.ws = l.ws AND m.old_path = l.path)""",
     "delete_file_symbols": f"""WITH {SYMBOLS}{LABELLED},
         gone AS (SELECT path FROM labelled WHERE toxic = 1),
         kept_files AS (SELECT * FROM files WHERE path NOT IN (SELECT path FROM gone)),
