@@ -340,11 +340,14 @@ def folder_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = F.concat(F.lit(before), (F.floor(F.col("doc_id") / 100)).cast("string"))
         return F.concat_ws("/", F.substring_index("path", "/", 1), folder, F.substring_index("path", "/", -1))
 
-    new = inp.files(spark, sf_dir).select("workspace", in_folders("").alias("path"), "md5")
+    # Texts are hashed where they are read; only hashes meet the labels.
     stale = F.md5(F.concat(F.col("text"), F.lit("x")))
+    hashed = inp.files(spark, sf_dir).select("doc_id", "workspace", "path", "md5", stale.alias("stale"))
+    new = hashed.select("workspace", in_folders("").alias("path"), "md5")
+    labelled = hashed.join(inp.table(spark, sf_dir, "labels"), "doc_id")
     renamed = F.when(F.col("workspace") == "de", in_folders("was-")).otherwise(in_folders(""))
-    old = inp.labelled(spark, sf_dir).select(
-        "workspace", renamed.alias("path"), F.when(F.col("quality") == 0, stale).otherwise(F.col("md5")).alias("md5")
+    old = labelled.select(
+        "workspace", renamed.alias("path"), F.when(F.col("quality") == 0, F.col("stale")).otherwise(F.col("md5")).alias("md5")
     )
     return fo.compare_trees(fo.folder_tree(new), fo.folder_tree(old))
 
