@@ -133,3 +133,31 @@ def test_running_symbol_totals_follow_the_walk(spark):
         total += names.index(path) + 1
         expected["w", path] = total
     assert found == expected
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 7, 4096])
+def test_join_in_blocks_equals_the_join(spark, rows_per_block):
+    rng = random.Random(3)
+    rows = lambda n: [(rng.choice(["hot"] * 6 + ["a", "b", None]), k // 2) for k in range(n)]
+    left, right = spark.createDataFrame(rows(60), "k string, x int"), spark.createDataFrame(rows(40) + [("c", 1)], "k string, y int")
+    found = scale.join_in_blocks(left, right, ["k"], rows_per_block)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, ["k"]).collect()))
+
+
+def test_linked_definitions_deals_a_hot_class_to_tasks(spark):
+    """A class with many nodes and definitions: its links come from many tasks."""
+    from symloom.operators import graph as gr
+
+    members = spark.range(9000).selectExpr("'w' AS workspace", "'c' AS class_id", "concat('p', id) AS path")
+    definitions = spark.range(9000).selectExpr("'w' AS workspace", "'c' AS class_id", "concat('p', id) AS def_path")
+    plain = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        links = gr.linked_definitions(members, definitions)
+        per_task = [r["count"] for r in links.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 81_000_000 and max(per_task) < 60_000_000
