@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import names
 from symloom.functions import specs as sp
 from symloom.functions import text as tx
-from symloom.operators.scale import concat_in_order, join_unique
+from symloom.operators.scale import TEXTS_PER_SALT, concat_in_order, join_unique
 from symloom.operators.search import SYMBOL_ORDER, prefix_matches, prefix_search_many
 
 # Fixed value: the instruction block of the prompt.
@@ -231,17 +231,18 @@ def selection_prompt(
 
     ``contexts(workspace, context, error)`` holds one context per workspace. The text before the end line
     shows the start line already cut, and on one line the end column counts after that cut; ``corrected``
-    shows the line whole and counts columns as selected.
+    shows the line whole and counts columns as selected. Documents meet the context of their workspace in shares of
+    ``TEXTS_PER_SALT``, whole texts until then.
     """
     sl, sc, el, ec = (F.col(c) for c in ("sl", "sc", "el", "ec"))
-    opened = open_documents.select(
-        "workspace",
-        "path",
-        F.concat(tx.split_lines(F.col("text")), F.array(F.lit(""))).alias("_lines"),
-    )
+    opened = open_documents.select("workspace", "path", F.col("text").alias("_text"))
     context = contexts.select("workspace", "context", F.col("error").alias("_context_error"))
     joined = selections.join(opened, ["workspace", "path"], "left")
-    joined = join_unique(joined, context, ["workspace"], salt_by=selections.columns, counted=selections)
+    joined = join_unique(
+        joined, context, ["workspace"], salt_by=selections.columns, counted=selections, rows_per_salt=TEXTS_PER_SALT
+    )
+    lines = F.concat(tx.split_lines(F.col("_text")), F.array(F.lit("")))
+    joined = joined.withColumn("_lines", lines).drop("_text")
 
     first, last = F.get("_lines", sl), F.get("_lines", el)
     cut_first = tx.tail(first, sc)

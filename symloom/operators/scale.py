@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 # to the tasks.
 ROWS_PER_SALT = 1_000_000
 HOT_KEYS = 65536
+# The same for rows that take or carry a text: their number says little of their bytes.
+TEXTS_PER_SALT = 4096
 ROWS_PER_BLOCK = 65536
 # A task of ``join_in_blocks`` meets about the square of this many pairs of a key at a time.
 ROWS_PER_JOIN_BLOCK = 4096

@@ -214,3 +214,22 @@ def test_prompt_needs_an_open_document_and_a_sound_context(spark):
     broken = spark.createDataFrame([("w", None, "bad")], "workspace string, context string, error string")
     rows = cx.selection_prompt(selections, documents, broken).collect()
     assert {r["path"]: r["error"] for r in rows} == {"d": "bad", "x": "document not open"}
+
+
+def test_documents_of_one_workspace_meet_its_context_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(cx, "TEXTS_PER_SALT", 10)
+    plain = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    selections = spark.range(400).selectExpr("'w' AS workspace", "concat('p', id) AS path", "0 AS sl", "0 AS sc", "0 AS el", "1 AS ec")
+    opened = selections.selectExpr("workspace", "path", "'text' AS text")
+    contexts = spark.createDataFrame([("w", "ctx", None)], "workspace string, context string, error string")
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        prompts = cx.selection_prompt(selections, opened, contexts)
+        per_task = [r["count"] for r in prompts.groupBy(F.spark_partition_id()).count().collect()]
+        assert prompts.where("prompt like 'ctx%' AND error IS NULL").count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 400 and max(per_task) < 200
