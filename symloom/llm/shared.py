@@ -9,30 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.session import hadoop_path, scratch_dir
-
-
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_DEFAULT = "67108864b"
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, lost executors redo nothing above.
-
-    The shuffle files of the write are removed when it is done; only the table is read again.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.stored_path = path
-    return table
+from symloom.session import hadoop_path, stored, text_batches  # noqa: F401
 
 
 def discard(*tables: DataFrame) -> None:
@@ -68,17 +45,6 @@ def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list
     return sorted(counts.where(F.col(number) >= least).select(name, *[c for c in counts.columns if c != name]).collect())
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """The table itself; from now on Arrow batches of its session hold 4 MB, where Spark's default of 64 MB was left.
-
-    Workers hold a batch several times over, and texts may be long.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(ARROW_BYTES) == ARROW_DEFAULT:
-        conf.set(ARROW_BYTES, "4m")
-    return df
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of the table is called so."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from symloom.functions import paths
 from symloom.operators import symbols as sy
 from symloom.operators.events import CHANGE, CLOSE, OPEN
 from symloom.operators.symbols import Rule
-from symloom.session import default_filesystem, read_spread
+from symloom.session import default_filesystem, read_spread, text_batches
 from symloom.sources.files import open_filesystem
 
 NAME = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -185,4 +185,4 @@ def document_tree(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
                     stream.write(row.text.encode())
             yield pd.DataFrame({"path": root + "/" + batch["path"]})
 
-    return files(spark, sf_dir).select("path", "text").mapInPandas(write, "path string")
+    return text_batches(files(spark, sf_dir).select("path", "text")).mapInPandas(write, "path string")

@@ -19,7 +19,7 @@ from symloom import schemas
 from symloom.functions import paths
 from symloom.session import checkpointed, default_filesystem
 
-READ_BYTES = 64 * 1024 * 1024
+READ_BYTES = 4 * 1024 * 1024
 ENTRIES_PER_BATCH = 10000
 DIRECTORIES_PER_TASK = 200
 FILES_PER_TASK = 2000
@@ -50,16 +50,23 @@ def open_filesystem(path: str, opened: dict | None = None, default: str = "file:
     return system, f"{base.rstrip('/')}/{inner}"
 
 
-def _broken_links(directory: str, system: fs.FileSystem) -> list[str]:
-    """Links to nowhere, which a listing of a local folder leaves out."""
+def _entries(directory: str, system: fs.FileSystem) -> Iterator[tuple[str, bool]]:
+    """Path of each folder and regular file of a directory, and whether it is a folder.
+
+    A local directory is read entry by entry, whatever its size. Links to folders are left out; links to nowhere are
+    listed, and fail to be read. Other file systems give their listing of a directory as one list.
+    """
     if not isinstance(system, fs.LocalFileSystem):
-        return []
+        for info in system.get_file_info(fs.FileSelector(directory, recursive=False)):
+            if info.type in (fs.FileType.Directory, fs.FileType.File):
+                yield info.path, info.type == fs.FileType.Directory
+        return
     with os.scandir(directory) as entries:
-        return [entry.path for entry in entries if entry.is_symlink() and not os.path.exists(entry.path)]
-
-
-def _is_linked_dir(info: fs.FileInfo, system: fs.FileSystem) -> bool:
-    return isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path)
+        for entry in entries:
+            if entry.is_dir(follow_symlinks=False):
+                yield entry.path, True
+            elif entry.is_file() or (entry.is_symlink() and not os.path.exists(entry.path)):
+                yield entry.path, False
 
 
 def _lister(default: str):
@@ -69,13 +76,9 @@ def _lister(default: str):
             for directory in batch["path"]:
                 system, inner = open_filesystem(directory, opened, default)
                 scheme = directory.removesuffix(inner)
-                # They are listed, and fail to be read.
-                rows = [(scheme + path, False) for path in _broken_links(inner, system)]
-                for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
-                    is_dir = info.type == fs.FileType.Directory
-                    if (not is_dir and info.type != fs.FileType.File) or (is_dir and _is_linked_dir(info, system)):
-                        continue
-                    rows.append((scheme + info.path, is_dir))
+                rows = []
+                for path, is_dir in _entries(inner, system):
+                    rows.append((scheme + path, is_dir))
                     if len(rows) == ENTRIES_PER_BATCH:
                         yield pd.DataFrame(rows, columns=["path", "is_dir"])
                         rows = []

@@ -261,3 +261,18 @@ def test_embedding_text(spark):
         "[1, 0.5, -0.25, 1e-05, 1.5e-07, 0.0001, 123456790, 0, 3e+21, 0.1, 100000000000000000000]"
     )
     assert row["dimensions"] == 11
+
+
+def test_a_local_folder_is_listed_entry_by_entry(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.py").write_text("x")
+    (tmp_path / "_empty").write_text("")
+    (tmp_path / "file_link").symlink_to(tmp_path / "a.py")
+    (tmp_path / "folder_link").symlink_to(tmp_path / "sub")
+    (tmp_path / "broken").symlink_to(tmp_path / "nowhere")
+    os.mkfifo(tmp_path / "pipe")
+    system, inner = fl.open_filesystem(str(tmp_path))
+    entries = fl._entries(inner, system)
+    assert iter(entries) is entries
+    found = {path.removeprefix(f"{inner}/"): is_dir for path, is_dir in entries}
+    assert found == {"sub": True, "a.py": False, "_empty": False, "file_link": False, "broken": False}
