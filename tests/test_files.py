@@ -276,3 +276,17 @@ def test_a_local_folder_is_listed_entry_by_entry(tmp_path):
     assert iter(entries) is entries
     found = {path.removeprefix(f"{inner}/"): is_dir for path, is_dir in entries}
     assert found == {"sub": True, "a.py": False, "_empty": False, "file_link": False, "broken": False}
+
+
+def test_symbols_are_extracted_once_for_their_table(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(number):
+        calls.add(1)
+        return f"n{number}"
+
+    numbers = spark.range(50)
+    symbols = numbers.select(F.lit("w").alias("workspace"), name.asNondeterministic()("id").alias("name_fold"), F.col("id").alias("symbol_id"))
+    tb.write_symbol_table(symbols, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 50 and calls.value == 50

@@ -289,3 +289,14 @@ def test_an_empty_vector_index(spark, tmp_path):
     index.write(spark.createDataFrame([], schema))
     queries = spark.createDataFrame([("w", 1, [0.0])], "workspace string, query_id int, embedding array<double>")
     assert index.nearest(queries).collect() == []
+
+
+def test_references_take_one_pass_over_a_line(spark):
+    rule = sy.Rule(("de",), "word", "([A-Z][a-z]+)")
+    line = F.col("line")
+    lines = spark.createDataFrame([("Ab cDe $1 \\ Fgh",), ("",), ("none",), ("AbCd",)], "line string")
+    found = lines.select("line", sy._captures(line, F.lit(3), rule).alias("found"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_") == 1
+    got = {r["line"]: [(c["start_col"], c["end_col"], c["content"]) for c in r["found"]] for r in found.collect()}
+    assert got == {"Ab cDe $1 \\ Fgh": [(0, 2, "Ab"), (4, 6, "De"), (12, 15, "Fgh")], "": [], "none": [], "AbCd": [(0, 2, "Ab"), (2, 4, "Cd")]}
