@@ -138,11 +138,14 @@ def _vector_blocks(vectors: DataFrame, key: str, size: int, prefix: str) -> Data
     sized = vectors.where(F.col("embedding").isNotNull()).select(
         "workspace", F.col(key).alias("_key"), F.col("embedding").cast("array<double>").alias("_vector")
     )
-    counts = sized.groupBy("workspace").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{prefix}_blocks"))
+    # Only workspaces of more than one block are sent to the tasks: no more of them than there are blocks.
+    counted = sized.groupBy("workspace").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > size)
+    large = counted.select("workspace", F.ceil(F.col("_rows") / size).cast("int").alias(f"{prefix}_blocks"))
     block = F.pmod(F.xxhash64("_key"), F.col(f"{prefix}_blocks")).cast("int")
     row = F.struct("_key", "_vector")
     return (
-        sized.join(counts, "workspace")
+        sized.join(F.broadcast(large), "workspace", "left")
+        .fillna(1, [f"{prefix}_blocks"])
         .groupBy("workspace", block.alias(f"{prefix}_block"), f"{prefix}_blocks")
         .agg(F.collect_list(row).alias("_rows"))
         .select(

@@ -300,3 +300,13 @@ def test_references_take_one_pass_over_a_line(spark):
     assert plan.count("regexp_") == 1
     got = {r["line"]: [(c["start_col"], c["end_col"], c["content"]) for c in r["found"]] for r in found.collect()}
     assert got == {"Ab cDe $1 \\ Fgh": [(0, 2, "Ab"), (4, 6, "De"), (12, 15, "Fgh")], "": [], "none": [], "AbCd": [(0, 2, "Ab"), (2, 4, "Cd")]}
+
+
+def test_vectors_of_a_workspace_are_not_brought_together_for_their_number(spark):
+    """Only the numbers of blocks are sent around: no join of all vectors by workspace."""
+    rows = [("w" if k % 5 else "v", f"s{k:03}", [float(k), 1.0]) for k in range(60)] + [("u", "s", [0.0, 0.0]), (None, "t", [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "workspace string, symbol_id string, embedding array<float>")
+    blocks = se._vector_blocks(vectors, "symbol_id", 10, "symbol")
+    assert "SortMergeJoin" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert {(r["workspace"], r["symbol_blocks"]) for r in blocks.collect()} >= {("w", 5), ("v", 2), ("u", 1)}
+    assert sorted(k for r in blocks.collect() for k in r["symbol_keys"]) == sorted(r[1] for r in rows)
