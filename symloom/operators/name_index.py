@@ -7,10 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from symloom.functions import names
-from symloom.operators.search import PREFIX_LIMIT, SYMBOL_ORDER
+from symloom.operators.search import PREFIX_LIMIT, SYMBOL_ORDER, first_by_place
 from symloom.session import hadoop_path
 
 #: Rows of a part, about, and no more parts than this: the driver and each plan hold the first and last key of every part.
@@ -104,9 +103,7 @@ class NameIndex:
 
     def search(self, queries: DataFrame, limit: int = PREFIX_LIMIT, corrected: bool = False) -> DataFrame:
         """The first ``limit`` symbols of each query by path and place, with their rank."""
-        by_place = Window.partitionBy("workspace", "query_id").orderBy(*SYMBOL_ORDER)
-        ranked = self.matches(queries, corrected).withColumn("rank", F.row_number().over(by_place))
-        return ranked.where(F.col("rank") <= limit)
+        return first_by_place(lambda texts: self.matches(texts, corrected), queries, limit)
 
     def reads(self, queries: DataFrame, corrected: bool = False) -> DataFrame:
         """What each query opens: ``(workspace, query_id, n_parts, n_pages, n_rows, n_bytes)``, zeros where nothing fits.

@@ -74,17 +74,28 @@ def prefix_matches(symbols: DataFrame, queries: DataFrame, corrected: bool = Fal
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
+def first_by_place(matches: Callable[[DataFrame], DataFrame], queries: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` symbols of each query by path and place, with their rank.
+
+    ``matches`` gives the symbols of queries. Each text is looked up once in its workspace, however many queries have it:
+    its first symbols are all that any of them can use.
+    """
+    asked = queries.select("workspace", "query_id", "query")
+    texts = asked.select("workspace", F.col("query").alias("query_id"), "query").distinct()
+    of_text = Window.partitionBy("workspace", "query").orderBy(*SYMBOL_ORDER)
+    first = matches(texts).drop("query_id").withColumn("_place", F.row_number().over(of_text))
+    first = first.where(F.col("_place") <= limit).drop("_place")
+    by_place = Window.partitionBy("workspace", "query_id").orderBy(*SYMBOL_ORDER)
+    ranked = first.join(asked, ["workspace", "query"]).withColumn("rank", F.row_number().over(by_place))
+    columns = [c for c in first.columns if c != "query"]
+    return ranked.where(F.col("rank") <= limit).select(*columns, "query_id", "query", "rank")
+
+
 def prefix_search_many(
     symbols: DataFrame, queries: DataFrame, limit: int = PREFIX_LIMIT, corrected: bool = False
 ) -> DataFrame:
     """The first ``limit`` symbols of each query, with their rank; each task cuts before the shuffle."""
-    asked = queries.select("workspace", "query_id", "query")
-    by_place = Window.partitionBy("workspace", "query_id").orderBy(*SYMBOL_ORDER)
-    return (
-        prefix_matches(symbols, asked, corrected)
-        .withColumn("rank", F.row_number().over(by_place))
-        .where(F.col("rank") <= limit)
-    )
+    return first_by_place(lambda texts: prefix_matches(symbols, texts, corrected), queries, limit)
 
 
 class HashedWords:

@@ -291,6 +291,32 @@ def test_an_empty_vector_index(spark, tmp_path):
     assert index.nearest(queries).collect() == []
 
 
+def test_vectors_of_a_workspace_are_not_brought_together_for_their_number(spark):
+    """Only the numbers of blocks are sent around: no join of all vectors by workspace."""
+    rows = [("w" if k % 5 else "v", f"s{k:03}", [float(k), 1.0]) for k in range(60)] + [("u", "s", [0.0, 0.0]), (None, "t", [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "workspace string, symbol_id string, embedding array<float>")
+    blocks = se._vector_blocks(vectors, "symbol_id", 10, "symbol")
+    assert "SortMergeJoin" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert {(r["workspace"], r["symbol_blocks"]) for r in blocks.collect()} >= {("w", 5), ("v", 2), ("u", 1)}
+    assert sorted(k for r in blocks.collect() for k in r["symbol_keys"]) == sorted(r[1] for r in rows)
+
+
+def test_a_text_of_many_queries_is_looked_up_once(spark, monkeypatch):
+    rows = [("w", f"p{k}", 0, 0, name, name.lower()) for k, name in enumerate(["Theory", "Then", "Other", "Theme"])]
+    symbols = spark.createDataFrame(rows, "workspace string, path string, start_line int, start_col int, name string, name_fold string")
+    queries = spark.createDataFrame(
+        [("w", "a", "the"), ("w", "b", "the"), ("w", "c", "the"), ("w", "c", "oth"), ("w", None, "the"), ("v", "a", "the"), ("w", "d", None)],
+        "workspace string, query_id string, query string",
+    )
+    asked, matches = [], se.prefix_matches
+    monkeypatch.setattr(se, "prefix_matches", lambda s, texts, corrected=False: asked.append(texts.count()) or matches(s, texts, corrected))
+    found = se.prefix_search_many(symbols, queries, limit=2)
+    got = sorted((r["query_id"] or "", r["rank"], r["name"]) for r in found.collect())
+    # One query id with two texts ranks the hits of both.
+    assert got == [(q, n, name) for q in ["", "a", "b", "c"] for n, name in ((1, "Theory"), (2, "Then"))]
+    assert asked == [4]
+
+
 def test_references_take_one_pass_over_a_line(spark):
     rule = sy.Rule(("de",), "word", "([A-Z][a-z]+)")
     line = F.col("line")
@@ -300,13 +326,3 @@ def test_references_take_one_pass_over_a_line(spark):
     assert plan.count("regexp_") == 1
     got = {r["line"]: [(c["start_col"], c["end_col"], c["content"]) for c in r["found"]] for r in found.collect()}
     assert got == {"Ab cDe $1 \\ Fgh": [(0, 2, "Ab"), (4, 6, "De"), (12, 15, "Fgh")], "": [], "none": [], "AbCd": [(0, 2, "Ab"), (2, 4, "Cd")]}
-
-
-def test_vectors_of_a_workspace_are_not_brought_together_for_their_number(spark):
-    """Only the numbers of blocks are sent around: no join of all vectors by workspace."""
-    rows = [("w" if k % 5 else "v", f"s{k:03}", [float(k), 1.0]) for k in range(60)] + [("u", "s", [0.0, 0.0]), (None, "t", [0.0, 0.0])]
-    vectors = spark.createDataFrame(rows, "workspace string, symbol_id string, embedding array<float>")
-    blocks = se._vector_blocks(vectors, "symbol_id", 10, "symbol")
-    assert "SortMergeJoin" not in blocks._jdf.queryExecution().executedPlan().toString()
-    assert {(r["workspace"], r["symbol_blocks"]) for r in blocks.collect()} >= {("w", 5), ("v", 2), ("u", 1)}
-    assert sorted(k for r in blocks.collect() for k in r["symbol_keys"]) == sorted(r[1] for r in rows)
