@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 import string
 import zlib
@@ -36,8 +37,16 @@ WINDOW = LEFT + WIDTH + RIGHT
 STEP = 8
 #: Windows that are scored at once.
 WINDOWS_AT_ONCE = 4096
-#: Training rows of each kind, found or not found by the patterns; the lowest hashes of all rows are taken.
+#: Rows of each kind, found or not found by the patterns, that a first network learns from in one place: the lowest hashes.
+#: Where a table has more, all of its rows train that network on, in blocks of about so many rows, and set the threshold.
 TRAINING_ROWS = 3000
+ROWS_PER_BLOCK = 8192
+#: The driver gets a network from each block, so there are no more blocks than these.
+MOST_BLOCKS = 256
+#: Step sizes of the rounds over all rows.
+RATES = [0.004, 0.003, 0.002, 0.001]
+#: Bins of one look for an order statistic, and the rows that are few enough to be sorted in one place.
+BINS = 1024
 #: The share of held-out findings that the threshold must let through.
 RECALL = 0.99
 #: Values made by a rule, of each kind, that are added to the training rows, a fifth of them held out as well.
@@ -235,10 +244,13 @@ class Network:
             np.add.at(grads["embed"], x[:, k : k + back.shape[1]], to_columns[:, :, k])
         return grads
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.01) -> None:
-        """Adam over shuffled batches, in smaller and smaller steps; both kinds weigh the same."""
+    def train(
+        self, x: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.01, weight: np.ndarray | None = None
+    ) -> None:
+        """Adam over shuffled batches, in smaller and smaller steps; both kinds weigh the same where no weights are given."""
         rng = np.random.default_rng(11)
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+        if weight is None:
+            weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step, steps = 0, epochs * -(-len(x) // batch)
@@ -330,11 +342,131 @@ def fitted(found: list[tuple[str, bool]], unlabelled: list[tuple[str, bool]]) ->
     return network
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """``rows(label, made, ...)`` with weights of mean 1: both labels weigh the same, and in a label the table's rows and the made ones."""
+    counts = {(r["label"], r["made"]): r["count"] for r in rows.groupBy("label", "made").count().collect()}
+    weight = F.lit(None).cast("double")
+    for (label, made), n in counts.items():
+        share = sum(counts.values()) / n / sum(1 for k in counts if k[0] == label) / len({k[0] for k in counts})
+        weight = F.when((F.col("label") == label) & (F.col("made") == made), F.lit(share)).otherwise(weight)
+    return rows.withColumn("weight", weight)
+
+
+def trained_in_blocks(rows: DataFrame, network: Network, rate: float) -> Network:
+    """One round over ``rows(block, window, label, weight)``: every block trains the network on, and the mean of the results is next.
+
+    The driver gets a network of each block, and no row.
+    """
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("window")
+        local = copy.deepcopy(network)
+        local.train(coded(part["window"].tolist()), part["label"].to_numpy(float), 1, rate=rate, weight=part["weight"].to_numpy(float))
+        flat = np.concatenate([local.weights[k].ravel() for k in sorted(local.weights)])
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "n": [len(part)], "flat": [flat]})
+
+    made = sorted(rows.groupBy("block").applyInPandas(one, "block int, n long, flat array<double>").collect())
+    mean = np.average([r["flat"] for r in made], axis=0, weights=[r["n"] for r in made])
+    after, at = copy.deepcopy(network), 0
+    for k in sorted(after.weights):
+        size = after.weights[k].size
+        after.weights[k] = mean[at : at + size].reshape(after.weights[k].shape)
+        at += size
+    return after
+
+
+def scored(rows: DataFrame, network: Network) -> DataFrame:
+    """The rows with the network's ``logit`` of their window, stored."""
+
+    @F.pandas_udf("double")
+    def logit(windows: pd.Series) -> pd.Series:
+        return pd.Series(network.logits(coded(windows.tolist())))
+
+    return stored(rows.withColumn("logit", logit("window")), "logits")
+
+
+def kth_smallest(rows: DataFrame, column: str, k: int) -> float | None:
+    """The value that ``k`` others precede in order, exactly; counts of bins narrow it down until few rows are left."""
+    value = F.col(column)
+    while True:
+        n, low, high = rows.agg(F.count(value), F.min(value), F.max(value)).first()
+        if n <= k or low == high:
+            return None if n <= k else low
+        if n <= BINS:
+            return sorted(r[0] for r in rows.select(value).collect())[k]
+        bin_of = F.least(F.floor((value - low) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        for number, count in sorted(map(tuple, rows.groupBy(bin_of).count().collect())):
+            if k < count:
+                rows = rows.where(bin_of == number)
+                break
+            k -= count
+
+
+def calibrated_on_all(held: DataFrame, network: Network, recall: float = RECALL) -> Network:
+    """``Network.calibrate`` by sums and counts over ``held(logit, label, made)`` of any size.
+
+    The threshold lets ``recall`` of the table's findings through, and of the made keys as well.
+    """
+    held, logit, after = weighted(held), F.col("logit"), copy.deepcopy(network)
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-(logit * a + b)))
+        error, curve = F.col("weight") * (p - F.col("label")), F.col("weight") * p * (1 - p)
+        sums = held.agg(F.sum("weight"), *[F.sum(c) for c in (error * logit, error, curve * logit * logit, curve * logit, curve)]).first()
+        ga, gb, haa, hab, hbb = (s / sums[0] for s in sums[1:])
+        gradient = [ga + 0.01 * (a - 1), gb + 0.01 * b]
+        step = np.clip(np.linalg.solve([[haa + 0.01, hab], [hab, hbb + 0.01]], gradient), -1, 1)
+        a, b = a - float(step[0]), b - float(step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    # Sums of doubles differ in their last places from run to run.
+    after.slope, after.offset = round(max(a, 0.05), 6), round(b, 6)
+    points = []
+    for made in (True, False):
+        found = held.where((F.col("label") == 1) & (F.col("made") == made))
+        points.append(kth_smallest(found, "logit", int(np.floor(found.count() * (1 - recall)))))
+    points = [point for point in points if point is not None]
+    if not points:
+        after.threshold = 1.1
+        return after
+    below = held.where((F.col("label") == 0) & (logit < min(points))).agg(F.max("logit")).first()[0]
+    chance = lambda x: 0.0 if x is None else float(1 / (1 + np.exp(-(after.slope * x + after.offset))))
+    after.threshold = max(0.5, (chance(min(points)) + chance(below)) / 2)
+    return after
+
+
+def trained_on_all(distinct: DataFrame, made: tuple[list[str], list[str]], network: Network) -> Network:
+    """A network trained on over all of ``distinct(window, label, h)`` and made keys and runs; its threshold comes from all held-out rows.
+
+    As in ``fitted``, a first network names the unlabelled rows that look like findings, and the second learns without them.
+    """
+    rows = [(w, label, k % 5 == 0) for label, windows in ((1, made[0]), (0, made[1])) for k, w in enumerate(windows)]
+    added = distinct.sparkSession.createDataFrame(rows, "window string, label int, held boolean").withColumn("made", F.lit(True))
+    table = distinct.select("window", F.col("label").cast("int").alias("label"), (F.pmod("h", F.lit(5)) == 0).alias("held"), F.lit(False).alias("made"))
+    every = table.unionByName(added)
+    blocks = max(1, min(MOST_BLOCKS, every.count() // ROWS_PER_BLOCK))
+    every = every.withColumn("block", F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks)).cast("int"))
+
+    def trained(on: DataFrame) -> Network:
+        learning, model = stored(weighted(on.where(~F.col("held"))), "training"), network
+        for rate in RATES:
+            model = trained_in_blocks(learning, model, rate)
+        return calibrated_on_all(scored(on.where("held"), model), model)
+
+    first = trained(every)
+    doubt = (F.col("label") == 0) & ~F.col("made") & (1 / (1 + F.exp(-(F.col("logit") * first.slope + first.offset))) >= first.threshold)
+    judged = scored(every, first).withColumn("doubt", doubt)
+    if judged.where("doubt").isEmpty():
+        return first
+    return trained(judged.where("NOT doubt").select(*every.columns))
+
+
 def learn(scans: DataFrame, rows: int = TRAINING_ROWS) -> Network:
-    """Train on at most ``rows`` found and as many other candidates, and on made ones; any table has a network.
+    """Train on all found and all other candidates, and on made ones; any table has a network.
 
-    One window of each candidate takes part, and equal windows count once; the rows with the lowest hashes of all are
-    taken, a fifth of them held out. A table without findings leaves the made keys to learn from.
+    One window of each candidate takes part, and equal windows count once, a fifth of them held out. At most ``rows`` of each
+    kind, those with the lowest hashes, start the network; where there are more, all rows train it on and set its
+    threshold. A table without findings leaves the made keys to learn from.
     """
 
     @F.pandas_udf("string")
@@ -349,7 +481,10 @@ def learn(scans: DataFrame, rows: int = TRAINING_ROWS) -> Network:
     for label in (1, 0):
         lowest = distinct.where(F.col("label") == label).orderBy("h", "window").limit(rows).collect()
         taken.append([(r["window"], r["h"] % 5 == 0) for r in lowest])
-    return fitted(*taken)
+    network = fitted(*taken)
+    if distinct.groupBy("label").count().where(F.col("count") > rows).isEmpty():
+        return network
+    return trained_on_all(distinct, made_windows([w for w, _ in taken[1] or taken[0]]), network)
 
 
 def merged(base: list, found: list, picked: list[bool]) -> list[tuple[int, str, int]]:

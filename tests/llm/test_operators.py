@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
 
 from symloom.llm import centroids, decontaminate, licenses, packing, secrets, sharding, simhash, suffixes, tokens, topk, tries, urls, wavelet
 from symloom.llm.shared import components, most_frequent, stored
@@ -300,6 +301,48 @@ def test_network_learns_from_the_patterns(spark):
     assert clean <= 8
 
 
+def test_all_rows_of_a_table_train_the_network(spark):
+    """With a start of 30 rows of each kind, the others still take part, and the same way each time."""
+    docs = spark.createDataFrame(secret_documents(random.Random(1)), "doc_id long, text string")
+    scans = stored(secrets.scanned(docs), "scan-test")
+    network = secrets.learn(scans, rows=30)
+    again = secrets.learn(scans, rows=30)
+    windows = {}
+    for r in scans.collect():
+        for c in r["found"]:
+            w = secrets.drawn_window(c["around"])
+            windows[w] = max(windows.get(w, 0), c["label"])
+    hashes = {w: np.uint64(xxhash.xxh64(w.encode(), seed=42).intdigest()).astype(np.int64).item() for w in windows}
+    taken = [[(w, hashes[w] % 5 == 0) for w in sorted(hashes, key=hashes.get) if windows[w] == n][:30] for n in (1, 0)]
+    start = secrets.fitted(*taken)
+    assert sum(windows.values()) > 100
+    assert np.abs(network.weights["out"] - start.weights["out"]).max() > 1e-3
+    assert network.threshold == again.threshold and all((network.weights[k] == again.weights[k]).all() for k in network.weights)
+    held = [w for w, label in windows.items() if label and hashes[w] % 5 == 0]
+    passed = (network.probabilities(secrets.coded(held)) >= network.threshold).mean()
+    assert passed >= 0.98 or network.threshold == 0.5
+
+
+def test_sums_over_tasks_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    logits = np.concatenate([rng.normal(2, 2, 3000), rng.normal(-2, 2, 5000), np.full(2000, 0.25)])
+    rows = [(float(x), int(k < 3000), bool(k % 2)) for k, x in enumerate(logits)]
+    held = spark.createDataFrame(rows, "logit double, label int, made boolean").repartition(5)
+    for k in (0, 17, 2500, 9999):
+        assert secrets.kth_smallest(held, "logit", k) == np.sort(logits)[k]
+    assert secrets.kth_smallest(held, "logit", 10000) is None
+    network = secrets.calibrated_on_all(held, secrets.Network(), recall=0.75)
+    y, made = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    weight = np.array([1 / ((y == a) & (made == b)).sum() for a, b in zip(y, made, strict=True)])
+    p = 1 / (1 + np.exp(-(network.slope * logits + network.offset)))
+    error = weight * (p - y) / weight.sum()
+    assert abs((error * logits).sum() + 0.01 * (network.slope - 1)) < 1e-5 and abs(error.sum() + 0.01 * network.offset) < 1e-5
+    points = [np.sort(logits[(y == 1) & (made == m)])[375] for m in (True, False)]
+    below = logits[(y == 0) & (logits < min(points))].max()
+    chance = 1 / (1 + np.exp(-(network.slope * np.array([min(points), below]) + network.offset)))
+    assert chance.mean() > 0.5 and abs(network.threshold - chance.mean()) < 1e-9
+
+
 def test_key_words_are_hidden_from_the_network():
     text = 'a river Token = "QWERTZ23456789ABCDEFGHJK" stone password=QWERTZ23456789ABCDEFGHJK house'
     hidden = [around for *_, around in secrets.candidates(text, secrets.base_findings(text))]
