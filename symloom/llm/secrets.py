@@ -38,9 +38,9 @@ STEP = 8
 #: Windows that are scored at once.
 WINDOWS_AT_ONCE = 4096
 #: Rows of each kind, found or not found by the patterns, that a first network learns from in one place: the lowest hashes.
-#: Where a table has more, all of its rows train that network on, in blocks of about so many rows, and set the threshold.
+#: Where a table has more, all of its rows train that network on, in blocks of ``ROWS_PER_BLOCK`` or more, and set the threshold.
 TRAINING_ROWS = 3000
-ROWS_PER_BLOCK = 8192
+ROWS_PER_BLOCK = 1024
 #: The driver gets a network from each block, so there are no more blocks than these.
 MOST_BLOCKS = 256
 #: Step sizes of the rounds over all rows.
