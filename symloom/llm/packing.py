@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.llm.shared import placed_in_order, prefix_sums, stored, text_batches
-from symloom.llm.tokens import TEXTS_AT_ONCE, encoder
+from symloom.llm.tokens import encoder
 
 #: Lengths are counted in classes of this many tokens, rounded up.
 UNIT = 8
@@ -39,21 +39,19 @@ def token_pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_AT_ONCE):
-                part = batch.iloc[at : at + TEXTS_AT_ONCE]
-                held = [data + end for data in encoder(tokenizer).encode(part["text"].tolist())]
-                tokens = np.fromiter(map(len, held), np.int64, len(held)) // 4
-                counts = -(-tokens // capacity)
-                row = np.repeat(np.arange(len(held)), counts)
-                start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
-                parts = [data[k : k + step] for data in held for k in range(0, len(data), step)]
-                numbers = pd.array(part["id"].to_numpy()[row], dtype="Int64")
-                numbers[part["_none"].to_numpy()[row]] = pd.NA
-                yield pd.DataFrame({
-                    "doc_id": numbers, "start": start, "length": np.minimum(capacity, tokens[row] - start), "doc_tokens": tokens[row],
-                    "ids_crc32": np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)),
-                    "ids": parts if with_ids else [None] * len(parts),
-                })
+            held = [data + end for data in encoder(tokenizer).encode(batch["text"].tolist())]
+            tokens = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            counts = -(-tokens // capacity)
+            row = np.repeat(np.arange(len(held)), counts)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
+            parts = [data[k : k + step] for data in held for k in range(0, len(data), step)]
+            numbers = pd.array(batch["id"].to_numpy()[row], dtype="Int64")
+            numbers[batch["_none"].to_numpy()[row]] = pd.NA
+            yield pd.DataFrame({
+                "doc_id": numbers, "start": start, "length": np.minimum(capacity, tokens[row] - start), "doc_tokens": tokens[row],
+                "ids_crc32": np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)),
+                "ids": parts if with_ids else [None] * len(parts),
+            })
 
     rows = text_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),

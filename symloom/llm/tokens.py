@@ -1,28 +1,84 @@
-"""Token ids of whole texts by a public byte-level tokenizer file, word by word through a bounded cache."""
+"""Token ids of whole texts by a public byte-level tokenizer file, piece by piece through a bounded cache."""
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from symloom.llm.shared import worker_state
 
 #: About 200 bytes each; a worker holds at most twice as many.
 CACHED_WORDS = 600_000
-CACHED_STARTS = 100_000
-TEXTS_AT_ONCE = 64
 LONGEST_CACHED = 48
 PIECES_AT_ONCE = 400
+#: Texts are cut into pieces in blocks of about so many bytes.
+BLOCK_BYTES = 4 << 20
 
-# A space after a character that is no white space always begins a new pre-token of a byte-level vocabulary.
-BEFORE_WORD = re.compile(r"(?<=\S) ")
 # A space as byte-level vocabularies write it.
 SPACE_BYTE = "Ġ"
-ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+# Classes of bytes; what is not told for sure is OTHER (no white space) or UNSURE.
+UNSURE, LETTER, DIGIT, MARK, OTHER, SPACE, LINE_END, APOSTROPHE = range(8)
+
+
+def _class_of(byte: int) -> int:
+    char = chr(byte)
+    if byte >= 0x80:
+        return OTHER
+    if char in " \n'":
+        return {" ": SPACE, "\n": LINE_END, "'": APOSTROPHE}[char]
+    if char.isalnum():
+        return LETTER if char.isalpha() else DIGIT
+    return MARK if char.isprintable() else UNSURE
+
+
+def _cut_between(before: int, after: int) -> int:
+    """1: a cut; 2: a cut if the line's end before is a piece of its own; else 0."""
+    solid = {LETTER, DIGIT, MARK, APOSTROPHE, OTHER}
+    if before == LINE_END and after in solid:
+        return 2
+    if before in solid and after in (SPACE, LINE_END):
+        return 1
+    # An apostrophe may begin a contraction with the letters after it, and is a mark otherwise.
+    runs = {LETTER: 0, DIGIT: 1, MARK: 2, APOSTROPHE: 2}
+    return int(before in runs and after in runs and before != APOSTROPHE and runs[before] != runs[after])
+
+
+CLASSES = bytes(_class_of(byte) for byte in range(256))
+CUTS = bytes(_cut_between(pair >> 3, pair & 7) if pair < 64 else 0 for pair in range(256))
+#: Classes of the characters that UTF-8 writes in two and in three bytes.
+TWO_BYTES = np.array([LETTER if chr(c).isalpha() else UNSURE if chr(c).isspace() else OTHER for c in range(1 << 11)], np.uint8)
+WHITE = np.array([c for c in range(1 << 11, 1 << 16) if chr(c).isspace()])
+
+
+def piece_starts(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin that lie in ``data``, as UTF-8, between ``bounds``; the bounds are among the places.
+
+    A cut is made before a space or a line's end that follows no white space, after a single line's end before none, and where
+    letters, digits and ASCII marks meet, but for what follows an apostrophe. All are ends of a byte-level tokenizer's
+    pre-tokens, and no piece but a single line's end ends with white space that has something after it.
+    """
+    classes = np.frombuffer(bytearray(data.translate(CLASSES)), np.uint8)
+    if not data.isascii():
+        row = np.frombuffer(data, np.uint8)
+        at = np.flatnonzero((row >= 0xC2) & (row <= 0xDF))
+        classes[at] = classes[at + 1] = TWO_BYTES[(row[at] & np.uint16(0x1F)) << np.uint16(6) | row[at + 1] & 0x3F]
+        # White space of three bytes begins with E1, E2 or E3.
+        at = np.flatnonzero((row >= 0xE1) & (row <= 0xE3))
+        code = (row[at] & np.int64(0x0F)) << 12 | (row[at + 1] & np.int64(0x3F)) << 6 | row[at + 2] & 0x3F
+        at = at[np.isin(code, WHITE)]
+        classes[at] = classes[at + 1] = classes[at + 2] = UNSURE
+    pairs = (classes[:-1] << np.uint8(3) | classes[1:]).tobytes()
+    cuts = np.frombuffer(b"\0" + pairs.translate(CUTS) + b"\0", np.uint8)
+    inside = cuts == 1
+    inside[bounds] = True
+    after_line = np.flatnonzero(cuts == 2)
+    inside[after_line[inside[after_line - 1]]] = True
+    return np.flatnonzero(inside)
 
 
 def read_tokenizer(path: str) -> str:
@@ -32,12 +88,12 @@ def read_tokenizer(path: str) -> str:
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizers library does; ids of short words are kept and used again.
+    """Encodes texts as the tokenizers library does; ids of short pieces are kept and used again.
 
-    A text is cut before spaces that follow a non-space character. There the tokenizer cuts, too, so the ids of
-    a text are those of its pieces. Pieces not met before are encoded together, one text for all, and its ids
-    are given back to the pieces by their bytes. Words are kept in two generations: when the younger one holds
-    ``CACHED_WORDS`` it becomes the older one, and what is met again moves to the next, so frequent words stay.
+    A text is cut where the tokenizer cuts, too, so its ids are those of its pieces. The different pieces of a block of
+    texts are looked up once; those not met before go to the model, if they are one pre-token for sure, or else to the whole tokenizer,
+    many as one text, whose ids are given back to the pieces by their bytes. Pieces are kept in two generations: when the
+    younger one holds ``CACHED_WORDS`` it becomes the older one, and what is met again moves to the next, so frequent ones stay.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -46,122 +102,87 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             # Byte-level vocabularies write each byte as one character.
             self.id_bytes[number] = len(token)
-        # Runs that follow no space: marks after a letter, words after a line's end.
-        self.starts: dict[str, bytes] = {}
 
     def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_whole(self, text: str) -> np.ndarray:
-        return self._encode_all([text])[0]
-
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        """The ids of pieces that follow a space and hold none: one encoded text, cut by bytes."""
+    def _encode_pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The ids of pieces that begin with a space and end with none: one encoded text, cut by bytes."""
         for at in range(0, len(pieces), PIECES_AT_ONCE):
             some = pieces[at : at + PIECES_AT_ONCE]
-            joined = " ".join(some)
-            ids = self._encode_whole(" " + joined)
-            if joined.isascii():
-                sizes = np.fromiter(map(len, some), np.int64, len(some))
-            else:
-                sizes = np.fromiter(map(len, map(str.encode, some)), np.int64, len(some))
-            cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes + 1), side="left") + 1)
+            ids = self._encode_all([b"".join(some).decode()])[0]
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(sizes), side="left") + 1)
             data, start = ids.tobytes(), 0
             for end in cuts.tolist():
                 yield data[start:end]
                 start = end
 
-    def _encode_letters(self, word: str) -> bytes:
-        """The ids of ASCII letters that follow a space: one pre-token, so the model alone decides."""
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(SPACE_BYTE + word)]).tobytes()
-
-    def _encode_start(self, run: str) -> bytes:
-        """The ids of a run that follows no space."""
-        if run not in self.starts:
-            if len(self.starts) >= CACHED_STARTS:
-                self.starts = {}
-            self.starts[run] = self._encode_whole(run).tobytes()
-        return self.starts[run]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Cache what may be cached; the ids of the others are returned."""
-        words, older, own, whole, joined = self.words, self.older, {}, {}, []
-
-        def want(piece: str) -> None:
-            if piece in older:
-                words[piece] = older[piece]
-            elif piece.isascii() and piece.isalpha():
-                words[piece] = self._encode_letters(piece)
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces not met before."""
+        found, spaced, alone, tokenize = {}, [], [], self.model.tokenize
+        for piece in pieces:
+            text = piece.decode()
+            after_space = text[0] == " "
+            if text.isascii() and (text[1:] if after_space else text).isalpha():
+                # One pre-token, so the model alone decides.
+                tokens = tokenize(SPACE_BYTE + text[1:] if after_space else text)
+                found[piece] = array("I", [token.id for token in tokens]).tobytes()
+            elif after_space and not text[-1].isspace():
+                spaced.append(piece)
             else:
-                whole[piece] = None
-
-        for piece in missing:
-            if piece in older:
-                words[piece] = older[piece]
-                continue
-            if len(piece) > LONGEST_CACHED or not piece or piece[0].isspace() or piece[-1].isspace():
-                own[piece] = self._encode_whole(" " + piece).tobytes()
-                continue
-            line, end, start = piece.partition("\n")
-            if not (end and line[-1] > " " and line.isascii() and start.isascii() and start.isalpha()):
-                # Only a single line's end between a character that is no white space and letters is a pre-token of its own.
-                line, end, start = piece, "", ""
-            bare = line.rstrip(ASCII_MARKS)
-            if not bare[-1:].isalpha():
-                bare = line
-            # A letter and a mark that follows it never share a pre-token.
-            if len(bare) < len(piece):
-                joined.append((piece, bare, line[len(bare) :], end, start))
-            if bare not in words:
-                want(bare)
-        words.update(zip(whole, self._encode_pieces(list(whole)), strict=True))
-        for piece, bare, *rest in joined:
-            words[piece] = b"".join([words[bare], *[self._encode_start(run) for run in rest if run]])
-        return own
-
-    def _cut(self, text: str) -> tuple[list[str], list[bytes | None], list[int]]:
-        """A text's pieces, their ids as far as they are cached, and the places of the others; the first piece follows no space."""
-        pieces = text.split(" ")
-        for cut_again in (True, False):
-            ids = list(map(self.words.get, pieces))
-            ids[0] = b""
-            where = _places_of_none(ids)
-            # No cached piece is empty or ends with white space, so spaces after white space show among the others.
-            if not cut_again or not any(not pieces[k] or pieces[k][-1].isspace() for k in where) and not pieces[0][-1:].isspace():
-                break
-            pieces = BEFORE_WORD.split(text)
-        return pieces, ids, where
+                alone.append(piece)
+        found.update(zip(spaced, self._encode_pieces(spaced), strict=True))
+        found.update(zip(alone, [ids.tobytes() for ids in self._encode_all([p.decode() for p in alone])], strict=True))
+        return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces."""
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
-        cut = [self._cut(text) for text in texts]
-        missing = {pieces[k] for pieces, _, where in cut for k in where}
-        own = self._learn(missing) if missing else {}
-        for (pieces, ids, where), first in zip(cut, self._encode_all([pieces[0] for pieces, _, _ in cut]), strict=True):
-            ids[0] = first.tobytes()
-            for k in where:
-                piece = pieces[k]
-                ids[k] = own[piece] if piece in own else self.words[piece]
-        return [b"".join(ids) for _, ids, _ in cut]
-
-
-def _places_of_none(values: list) -> list[int]:
-    places, at = [], -1
-    try:
-        while True:
-            at = values.index(None, at + 1)
-            places.append(at)
-    except ValueError:
-        return places
+        words, older = self.words, self.older
+        ids = list(map(words.get, pieces))
+        missing = [k for k, known in enumerate(ids) if known is None]
+        found = {pieces[k]: older[pieces[k]] for k in missing if pieces[k] in older}
+        found.update(self._learn([pieces[k] for k in missing if pieces[k] not in found]))
+        for k in missing:
+            ids[k] = found[pieces[k]]
+            if len(pieces[k]) <= LONGEST_CACHED:
+                words[pieces[k]] = ids[k]
+        return ids
+
+    def _encode_block(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join(texts)
+        if not data:
+            return [b""] * len(texts)
+        bounds = np.cumsum([0, *map(len, texts)])
+        starts = piece_starts(data, bounds)
+        buffers = [None, pa.py_buffer(starts), pa.py_buffer(data)]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, buffers).dictionary_encode()
+        ids = pa.array(self._look_up(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        _, places, held = ids.buffers()
+        ends = np.frombuffer(places, np.int64, len(starts))[np.searchsorted(starts, bounds)].tolist()
+        whole = held.to_pybytes()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        encoded, block, size = [], [], 0
+        for text in texts:
+            block.append(text.encode())
+            size += len(block[-1])
+            if size >= BLOCK_BYTES:
+                encoded += self._encode_block(block)
+                block, size = [], 0
+        return encoded + self._encode_block(block)
 
 
 def vocabulary_size(tokenizer_json: str) -> int:

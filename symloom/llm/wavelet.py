@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.shared import text_batches
-from symloom.llm.tokens import TEXTS_AT_ONCE, encoder, vocabulary_size
+from symloom.llm.tokens import encoder, vocabulary_size
 
 #: A matrix takes documents until it holds this many tokens; its last document may go beyond.
 MATRIX_TOKENS = 1 << 17
@@ -135,17 +135,15 @@ def _rows_of(batches: Iterator[pd.DataFrame], tokenizer: str, end_id: int, bits:
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         numbers = [None if none else i for i, none in zip(batch["id"].tolist(), batch["no_id"].tolist(), strict=True)]
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            texts = batch["text"].iloc[at : at + TEXTS_AT_ONCE].tolist()
-            for k, data in enumerate(encoder(tokenizer).encode(texts), at):
-                ids.append(numbers[k])
-                held.append(data + end)
-                lengths.append(len(data) // 4 + 1)
-                size += lengths[-1]
-                if size >= MATRIX_TOKENS:
-                    yield matrix()
-                    number, first = number + 1, first + size
-                    ids, lengths, held, size = [], [], [], 0
+        for k, data in enumerate(encoder(tokenizer).encode(batch["text"].tolist())):
+            ids.append(numbers[k])
+            held.append(data + end)
+            lengths.append(len(data) // 4 + 1)
+            size += lengths[-1]
+            if size >= MATRIX_TOKENS:
+                yield matrix()
+                number, first = number + 1, first + size
+                ids, lengths, held, size = [], [], [], 0
     if ids:
         yield matrix()
 

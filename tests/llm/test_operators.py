@@ -50,6 +50,27 @@ def test_word_encoder_equals_the_tokenizer(monkeypatch):
     assert [x for at in range(0, len(texts), 50) for x in encoder.encode(texts[at : at + 50])] == wanted
 
 
+def test_marks_and_line_ends_make_no_new_words(monkeypatch):
+    words = [a + b for a in ("red", "green", "blue", "grey", "été") for b in ("", "ish", "ly", "ness")]
+    marks = [".", ",", "!", "?", ";", ":"]
+    rng = random.Random(4)
+    texts = [
+        "".join(rng.choice(words) + rng.choice(marks) + rng.choice([" ", "\n"]) for _ in range(200)) for _ in range(100)
+    ]
+    encoder = tokens.WordEncoder(tokenizer_json())
+    wanted = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == wanted
+    # A word after a space and after a line's end, a mark, a line's end, a space at the end.
+    assert len(encoder.words) <= 2 * len(words) + len(marks) + 2
+    # Every character of two or three bytes in its places, over the ends of small blocks.
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 500)
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"x{c} y.{c}\n{c}'s a 1{c}\n\n{c}é {c}. {c}{c} \n{c} é{c}" for c in chars]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for at in range(0, len(texts), 500) for x in encoder.encode(texts[at : at + 500])] == wanted
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
