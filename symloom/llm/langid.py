@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import free_name, stored, text_batches
+from symloom.llm.shared import discard, free_name, kth_smallest, stored, text_batches
 
 #: The n-grams of a profile, most frequent first.
 PROFILE = 400
-#: Labelled documents per language that profiles are made of, about.
+#: Labelled documents per language that profiles are made of, about, unless all of them are asked for.
 TRAINING_ROWS = 4000
 UNKNOWN = "und"
 #: A document is in a known language when its score is at least this share of the score that all but ``OUTLIERS`` of
@@ -79,20 +79,25 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list[str]]:
-    """``(lang, text)`` of about ``rows`` labelled documents per language that are not held out, and all languages."""
-    usable = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+def training_rows(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    """All labelled documents that are not held out."""
+    return text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+
+
+def training_sample(docs: DataFrame, rows: int | None, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list[str]]:
+    """``(lang, text)`` of about ``rows`` training documents per language, or of all of them, and all languages."""
+    usable = training_rows(docs, id_col, lang_col)
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))]) if counts else None
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.where(draw < share[F.col(lang_col)]) if counts else usable.limit(0)
-    return drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), list(counts)
+    if rows is not None and counts:
+        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])
+        usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30) < share[F.col(lang_col)])
+    return usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), list(counts)
 
 
 def learn_profiles(
-    docs: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, rows: int | None = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Profiles:
-    """Profiles from about ``rows`` labelled documents per language that are not held out, picked by a hash of the id.
+    """Profiles from about ``rows`` labelled documents per language that are not held out, picked by a hash of the id; from all without ``rows``.
 
     N-grams are counted in the tasks and summed; the driver gets ``PROFILE`` n-grams per language.
     """
@@ -137,23 +142,27 @@ def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", resul
     return text_batches(docs).withColumn(result, language.asNondeterministic()(F.col(text_col)))
 
 
-def least_score(
-    docs: DataFrame, profiles: Profiles, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> float:
-    """``LEAST_SHARE`` of the score that all but ``OUTLIERS`` of the training documents with a letter reach; 0 without any."""
-    sample, _ = training_sample(docs, rows, id_col, text_col, lang_col)
-    scores = predicted(sample, profiles).select("_language.*").where(F.col("lang") != UNKNOWN)
-    return LEAST_SHARE * (scores.agg(F.percentile("score", F.lit(OUTLIERS))).first()[0] or 0.0)
+def least_score(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """``LEAST_SHARE`` of the score that all but ``OUTLIERS`` of the training documents with a letter reach; 0 without any.
+
+    Every training document is scored; the score lies between the two nearest ones in order, which counts in the tasks find.
+    """
+    scored = predicted(training_rows(docs, id_col, lang_col).select(F.col(text_col).alias("text")), profiles)
+    scores = stored(scored.select("_language.*").where(F.col("lang") != UNKNOWN).select("score"), "scores")
+    at = OUTLIERS * max(scores.count() - 1, 0)
+    low, high = (kth_smallest(scores, "score", int(f(at))) or 0.0 for f in (np.floor, np.ceil))
+    discard(scores)
+    return LEAST_SHARE * float(low if low == high else (np.ceil(at) - at) * low + (at - np.floor(at)) * high)
 
 
 def identified(docs: DataFrame, min_score: float | None = None, **columns: str) -> DataFrame:
     """The documents in a known language; their columns stay as they are.
 
     A text that shares no n-gram with any profile is in none, nor is one whose score is below ``min_score``, by
-    default the ``least_score`` of the training documents.
+    default the ``least_score`` of the training documents. All of them make the profiles and the least score.
     """
     name = free_name(docs, "_language")
-    profiles = learn_profiles(docs, **columns)
+    profiles = learn_profiles(docs, None, **columns)
     least = least_score(docs, profiles, **columns) if min_score is None else min_score
     found = predicted(docs, profiles, columns.get("text_col", "text"), name)
     score = F.col(f"{name}.score")

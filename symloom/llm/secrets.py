@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.shared import stored, text_batches
+from symloom.llm.shared import kth_smallest, stored, text_batches
 
 KINDS = ["assign", "access", "hex", "learned"]
 PATTERNS = {
@@ -45,8 +45,6 @@ ROWS_PER_BLOCK = 1024
 MOST_BLOCKS = 256
 #: Step sizes of the rounds over all rows.
 RATES = [0.004, 0.003, 0.002, 0.001]
-#: Bins of one look for an order statistic, and the rows that are few enough to be sorted in one place.
-BINS = 1024
 #: The share of held-out findings that the threshold must let through.
 RECALL = 0.99
 #: Values made by a rule, of each kind, that are added to the training rows, a fifth of them held out as well.
@@ -385,23 +383,6 @@ def scored(rows: DataFrame, network: Network) -> DataFrame:
     return stored(rows.withColumn("logit", logit("window")), "logits")
 
 
-def kth_smallest(rows: DataFrame, column: str, k: int) -> float | None:
-    """The value that ``k`` others precede in order, exactly; counts of bins narrow it down until few rows are left."""
-    value = F.col(column)
-    while True:
-        n, low, high = rows.agg(F.count(value), F.min(value), F.max(value)).first()
-        if n <= k or low == high:
-            return None if n <= k else low
-        if n <= BINS:
-            return sorted(r[0] for r in rows.select(value).collect())[k]
-        bin_of = F.least(F.floor((value - low) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
-        for number, count in sorted(map(tuple, rows.groupBy(bin_of).count().collect())):
-            if k < count:
-                rows = rows.where(bin_of == number)
-                break
-            k -= count
-
-
 def calibrated_on_all(held: DataFrame, network: Network, recall: float = RECALL) -> Network:
     """``Network.calibrate`` by sums and counts over ``held(logit, label, made)`` of any size.
 

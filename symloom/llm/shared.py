@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from symloom.session import hadoop_path, stored, text_batches  # noqa: F401
 
+#: Bins of one look for an order statistic, and the rows that are few enough to be sorted in one place.
+BINS = 1024
+
 
 def discard(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
@@ -45,6 +48,23 @@ def most_frequent(counts: DataFrame, name: str, number: str, limit: int) -> list
     return sorted(counts.where(F.col(number) >= least).select(name, *[c for c in counts.columns if c != name]).collect())
 
 
+def kth_smallest(rows: DataFrame, column: str, k: int) -> float | None:
+    """The value that ``k`` others precede in order, exactly; counts of bins narrow it down until few rows are left."""
+    value = F.col(column)
+    while True:
+        n, low, high = rows.agg(F.count(value), F.min(value), F.max(value)).first()
+        if n <= k or low == high:
+            return None if n <= k else low
+        if n <= BINS:
+            return sorted(r[0] for r in rows.select(value).collect())[k]
+        bin_of = F.least(F.floor((value - low) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        for number, count in sorted(map(tuple, rows.groupBy(bin_of).count().collect())):
+            if k < count:
+                rows = rows.where(bin_of == number)
+                break
+            k -= count
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of the table is called so."""
     taken = {c.lower() for c in df.columns}

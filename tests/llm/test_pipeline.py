@@ -1,10 +1,14 @@
 """The pipeline's stages on small tables: columns, decisions, and what must stay."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from symloom.llm import langid
 from symloom.llm.queries import table
 
 
@@ -69,3 +73,24 @@ def test_unknown_languages_are_rejected(spark):
     docs = docs.unionByName(spark.createDataFrame([(2000, text(english), None), (2001, text(french), None)], docs.schema))
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept == {*range(400), 2000, 2001}
+
+
+def test_every_training_document_makes_the_profiles_and_the_least_score(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7))) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(1, 12))), "en") for k in range(2 * langid.TRAINING_ROWS)]
+    docs = spark.createDataFrame([*rows, (None, "zzz", "en"), (-1, "zzz", None), (-2, None, "en")], "doc_id long, text string, lang string")
+    texts = [t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    assert len(texts) > langid.TRAINING_ROWS
+
+    counts = Counter()
+    for text in texts:
+        counts.update(dict(zip(*map(np.ndarray.tolist, langid.grams_of(text)), strict=True)))
+    profiles = langid.learn_profiles(docs, None)
+    assert profiles.grams[np.argsort(profiles.ranks[:-1, 0])].tolist() == sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE]
+
+    scores = [profiles.predict(t)[1] for t in texts]
+    least = langid.least_score(docs, profiles)
+    assert least == pytest.approx(0.5 * np.quantile(scores, 0.01), abs=1e-12)
+    kept = {r["doc_id"] for r in langid.identified(docs).collect()}
+    assert kept - {None, -1} == {k for k, t, _ in rows if profiles.predict(t)[1] >= least}
