@@ -9,19 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.session import hadoop_path, stored, text_batches  # noqa: F401
+from symloom.session import discard, stored, text_batches  # noqa: F401
 
 #: Bins of one look for an order statistic, and the rows that are few enough to be sorted in one place.
 BINS = 1024
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove stored tables that nothing reads any more."""
-    for table in tables:
-        path, system = hadoop_path(table.sparkSession, table.stored_path)
-        system.delete(path, True)
-
-
 def least_of_top(counts: DataFrame, number: str, limit: int) -> int | None:
     """The lowest number that at most ``limit`` rows reach; None when more rows share the highest one, or none exist.
 

@@ -1,7 +1,9 @@
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from symloom.functions import text as tx
 from symloom.operators import config as cf
 from symloom.operators import graph as gr
 from symloom.operators import index as ix
@@ -79,6 +81,42 @@ def test_context_json(spark):
     }
 
 
+def test_own_definitions_are_cut_in_their_file(spark):
+    """Only definitions of other files are given; the rows are those of all definitions, each line asked for once more."""
+    files = spark.createDataFrame(
+        [
+            ("w", "a.go", "func F() {\n  G(F(1))\n}\nfunc H() { F(2) }"), ("w", "b.go", "func G() { H(G(1)) }"),
+            ("w", "a 0:0-1:1.go", "func K() { K(F(1)) }"), ("w", "twice.go", "func T() { T(1) }"), ("w", "twice.go", "func T() { T(1) }"),
+        ],
+        "workspace string, path string, text string",
+    )
+    resolved = gr.resolve_references(sy.extract_references(files), sy.symbol_table(sy.extract_symbols(files)))
+    captures = gr.group_captures(resolved)
+    texts = lambda part: gr.definition_texts(gr.distinct_locations(part), files)
+    every = gr.code_context(captures, texts(resolved))
+    columns = ["workspace", "path", "uid", "nodes", "definition"]
+    others = texts(resolved.where("path <> def_path"))
+    assert rows(gr.code_context(captures, others, files), *columns) == rows(every, *columns)
+    assert others.count() < texts(resolved).count()
+    lost = gr.code_context(captures, others, files.where("path <> 'twice.go'"))
+    assert [tuple(r)[1:] for r in lost.where("definition IS NULL").select("workspace", "path", "uid").collect()] == [("twice.go", "twice.go 0:0-0:17")]
+
+    requests = files.select("workspace", "path", F.explode(F.array(F.lit(1), F.lit(7))).alias("line"))
+    asked = gr.code_context(captures.join(requests, ["workspace", "path"]), others, files)
+    graph = lambda context: Counter(map(tuple, gr.context_graph_json(context, files, requests).collect()))
+    found = graph(asked)
+    assert found == graph(every)
+    assert sum(n for r, n in found.items() if r[1] == "twice.go" and r[3]) == 8
+
+
+def test_places_of_definitions_are_read_back(spark):
+    names = ["path", "start_line", "start_col", "end_line", "end_col"]
+    places = [("a b 1:2-3:4.go", 0, 1, 22, 333), ("", 5, 6, 7, 8), ("x", None, 0, 1, 2)]
+    uids = spark.createDataFrame(places, "path string, start_line int, start_col int, end_line int, end_col int")
+    place = tx.definition_place(tx.definition_uid(*[F.col(n) for n in names]))
+    assert [tuple(r) for r in uids.select(place.alias("p")).select("p.*").collect()] == places
+
+
 def test_classes_hold_all_links_without_pairs(spark):
     nodes = [("w", f"n{k:04d}", 1, k, "hot" if k % 3 else f"name{k % 5}") for k in range(600)]
     nodes += [("v", "n", 1, 0, "hot"), ("w", "n", 1, 0, "lost"), ("w", "n", 2, 0, None), (None, "n", 3, 0, "hot"), ("w", "n", 4, 0, "name0")]
