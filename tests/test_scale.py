@@ -144,6 +144,15 @@ def test_join_in_blocks_equals_the_join(spark, rows_per_block):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, ["k"]).collect()))
 
 
+def test_join_in_blocks_takes_as_many_tasks_as_pairs_need(spark):
+    """Small sides of many pairs: adaptive execution must not merge their tasks by bytes."""
+    left, right = spark.range(800).selectExpr("id % 8 AS k", "id AS x"), spark.range(800).selectExpr("id % 8 AS k", "id AS y")
+    found = scale.join_in_blocks(left, right, ["k"], 25, 1600).groupBy(F.spark_partition_id()).count()
+    per_task = [r["count"] for r in found.collect()]
+    assert sum(per_task) == 80_000 and len(per_task) > 25 and max(per_task) < 10_000
+    assert scale.join_in_blocks(left.where("x < 0"), right, ["k"]).collect() == []
+
+
 def test_linked_definitions_deals_a_hot_class_to_tasks(spark):
     """A class with many nodes and definitions: its links come from many tasks."""
     from symloom.operators import graph as gr
